@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontaminate, langid, line_dedup, quality, simhash, suffix_tree, toxicity
+from talweg.llm import decontaminate, langid, line_dedup, pieces, pii, quality, simhash, suffix_tree, toxicity, version_sketch
 from talweg.llm.common import remainder, table
 
 
@@ -22,6 +22,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, a digest of the sampled pieces, and whether they decode to the text."""
+    model = pieces.load()
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.to_json("pieces"), 256).alias("pieces_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = toxicity.training_sample(docs, table(spark, sf_dir, "labels"), "quality", remainder(F.col("doc_id"), 5) != 0, quality.TRAIN_ROWS)
@@ -29,6 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.fit(pii.training_table()))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_table(table(spark, sf_dir, "documents"))
 
 
+def op8_version_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_sketch.fingerprinted(table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scored(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
 
@@ -48,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op4_quality, op6_decontaminate, op7_simhash, op9_suffix_tree, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_pieces, op4_quality, op5_pii, op6_decontaminate, op7_simhash, op8_version_sketch, op9_suffix_tree, op10_toxicity)}
 
 #: Runs of lines match along a diagonal (p - q) of two documents; a line goes if an earlier equal run of 50 words or more holds it.
 _LINE_DEDUP = r"""
