@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talweg.llm import decontaminate, langid, line_dedup, simhash
+from talweg.llm import decontaminate, langid, line_dedup, pieces, simhash
 from talweg.llm.common import cut, remainder, table
 
 #: A document is rejected if it has no letters or if no language is at least this likely.
@@ -47,11 +47,19 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.size("hit_spans") == 0).select(F.col("row").cast(names).alias("row")).select("row.*")
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its sampled pieces, and whether they decode to its text."""
+    model = pieces.load()
+    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
+    return coded.select("doc_id", "text", "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", language),
     ("lines", lines),
     ("near_duplicates", near_duplicates),
     ("clean", clean),
+    ("encode", encode),
 ]
 
 #: The stages learn models and follow links, which SQL does not express.
