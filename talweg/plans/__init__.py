@@ -1,6 +1,6 @@
 """Queries of the engine; importing this package registers them."""
 
-from talweg.plans import terrain
+from talweg.plans import shapes, terrain
 from talweg.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "terrain"]
+__all__ = ["ORACLE_SQL", "QUERIES", "shapes", "terrain"]
