@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from talweg.llm.common import blocks, code_points
 
 MODEL, TEMPERATURE, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 17
-BLOCK_CHARS, HELD_NODES = 1 << 19, 3_000_000
+#: Characters of text coded at once, characters of new chunks filtered at once, and places of filtered chunks held.
+BLOCK_CHARS, FILTER_CHARS, HELD_NODES = 1 << 18, 1 << 16, 1 << 20
 _BLANK = 0x2581
 #: What a byte-spelled character costs beside the rarest piece.
 _SPELLED = 10.0
@@ -123,15 +124,15 @@ class Lattices:
         self.index: dict[str, int] = {}
         self.n_nodes = self.n_arcs = 0
         #: First and last node by chunk, first arc by node; by arc its cumulative share, length and piece.
-        self.first, self.last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.begin, self.share = np.zeros(1 << 16, np.int64), np.zeros(1 << 18)
-        self.step, self.arc = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.first, self.last = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.begin, self.share = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.float32)
+        self.step, self.arc = np.zeros(1 << 18, np.int16), np.zeros(1 << 18, np.int32)
 
     def _put(self, names: tuple[str, ...], at: int, values: tuple[np.ndarray, ...]) -> None:
         for name, value in zip(names, values, strict=True):
             whole = getattr(self, name)
             if at + len(value) > len(whole):
-                wide = np.zeros(2 * (at + len(value)), whole.dtype)
+                wide = np.zeros(at + len(value) + at // 2, whole.dtype)
                 wide[:at] = whole[:at]
                 setattr(self, name, wide)
                 whole = wide
@@ -140,8 +141,10 @@ class Lattices:
     def add(self, chunks: list[str]) -> None:
         """Filters the chunks that are not held."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        if not new:
-            return
+        for lo, hi in blocks([len(c) for c in new], FILTER_CHARS):
+            self._filter(new[lo:hi])
+
+    def _filter(self, new: list[str]) -> None:
         codes, offsets = code_points(new)
         codes = codes.astype(np.int64)
         codes = np.where(codes == _BLANK, 0x110000, np.where(codes == 32, _BLANK, codes))
@@ -185,13 +188,13 @@ class Lattices:
     def sample(self, chunks: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arcs' pieces of all chunks end to end, and how many each has; seeds: uint64 for each chunk."""
         at = np.array([self.index[c] for c in chunks], np.int64)
-        first, node = self.first[at], self.last[at]
+        first, node = self.first[at], self.last[at].astype(np.int64)
         who = np.arange(len(chunks))
         count = np.zeros(len(chunks), np.int64)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
             u = (_mixed(seeds[who] + np.uint64((len(steps) + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-            k = self.begin[node]
+            k = self.begin[node].astype(np.int64)
             short = np.flatnonzero(self.share[k] <= u)
             while len(short):
                 k[short] += 1
@@ -292,10 +295,11 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
         c = coder(model, temperature, seed)
         for batch in batches:
             texts, keys = batch.column(text).to_pylist(), batch.column("__key").to_pylist()
-            for lo, hi in blocks([len(t or "") for t in texts], 8 * BLOCK_CHARS):
+            for lo, hi in blocks([len(t or "") for t in texts], 4 * BLOCK_CHARS):
                 ids, offsets = c.encode([t or "" for t in texts[lo:hi]], keys[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts[lo:hi]]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in keep], lists], [*keep, name])
+        c.lattices.clear()  # the worker may serve other tasks
 
     return given.mapInArrow(run, schema)
 
