@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 def closure(facets: DataFrame) -> DataFrame:
     """All faces of the given simplices, each once."""
     v = F.array_sort(F.array_distinct("verts"))
-    masks = facets.select("complex_id", v.alias("v")).where(F.size("v") > 0).select("complex_id", "v", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("v")) - 1)).alias("m"))
-    face = F.filter("v", lambda x, i: F.getbit(F.col("m").cast("long"), i) == 1)
+    masks = facets.select("complex_id", v.alias("v")).where(F.size("v") > 0).select("complex_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("v")).cast("long") - 1)).alias("m"))
+    face = F.filter("v", lambda x, i: F.getbit("m", i) == 1)
     return masks.select("complex_id", face.alias("verts")).dropDuplicates(["complex_id", "verts"])
 
 

@@ -1,6 +1,6 @@
 """Queries of the engine; importing this package registers them."""
 
-from talweg.plans import samples, shapes, terrain
+from talweg.plans import relations, samples, shapes, terrain
 from talweg.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "samples", "shapes", "terrain"]
+__all__ = ["ORACLE_SQL", "QUERIES", "relations", "samples", "shapes", "terrain"]
