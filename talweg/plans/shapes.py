@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.operators import diagrams, topology
@@ -13,7 +13,10 @@ from talweg.sources.tables import cells, patches
 
 _P = f"{tree()}, {PAIRS}"
 _GRID = "grid as (select i::int as i, 2.0::double + i * 1.5::double as t from range(0, 20) g(i))"
-_THRESHOLDS = F.array(*[F.lit(2.0 + i * 1.5) for i in range(20)])
+
+
+def _thresholds() -> Column:
+    return F.array(*[F.lit(2.0 + i * 1.5) for i in range(20)])
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +63,14 @@ def log_cap(spark, sf_dir):
 
 @query(f"with recursive {_P}, {_GRID} select p.patch_id, g.i, g.t, count(*) filter (where birth <= t and (death is null or t < death)) as n from pairs p, grid g group by all")
 def betti_curve(spark, sf_dir):
-    return diagrams.betti_curve(diagrams.points(pairs_of(spark, sf_dir)), _THRESHOLDS)
+    return diagrams.betti_curve(diagrams.points(pairs_of(spark, sf_dir)), _thresholds())
 
 
 @query(f"""with recursive {_P}, {_GRID}, has as (select distinct patch_id from pairs), layers as (select k::int as k from range(1, 4) l(k)),
 tents as (select p.patch_id, g.i, greatest(0, least(t - birth, death - t))::double as v, row_number() over (partition by p.patch_id, g.i order by greatest(0, least(t - birth, death - t)) desc) as k from pairs p, grid g where death is not null)
 select h.patch_id, g.i, l.k, round(coalesce(t.v, 0), 6) as value from has h cross join grid g cross join layers l left join tents t on t.patch_id = h.patch_id and t.i = g.i and t.k = l.k""")
 def landscape(spark, sf_dir):
-    return diagrams.landscape(diagrams.points(pairs_of(spark, sf_dir)), _THRESHOLDS, 3).withColumn("value", F.round("value", 6))
+    return diagrams.landscape(diagrams.points(pairs_of(spark, sf_dir)), _thresholds(), 3).withColumn("value", F.round("value", 6))
 
 
 @query(f"""with recursive {_P}, has as (select distinct patch_id from pairs), px as (select i % 6 as px, i // 6 as py from range(0, 36) g(i))
