@@ -75,6 +75,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     gone = repeated_lines(docs, min_words, doc_id, text).select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (_key(text) == F.col("__k")), "left")
     lines = F.split(F.col(text), "\n", -1)
+    # Runs reach over lines without words, which stay.
+    worded = F.filter("__gone", lambda i: F.length(F.trim(F.translate(F.get(lines, i), "\t\r\x0b\x0c", "    "))) > 0)
+    joined = joined.withColumn("__gone", worded)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i)), "\n")
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
-    return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed")).withColumnsRenamed({"__removed": "n_removed"})
+    return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns if c != "n_removed"], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

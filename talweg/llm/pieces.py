@@ -27,6 +27,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talweg.llm.common import blocks, code_points
 
@@ -289,7 +290,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     """docs with an array of sampled piece ids; a column of that name is replaced."""
     keep = [c for c in docs.columns if c != name]
     given = docs.select(*keep, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"))
-    schema = docs.select(*keep, F.array(F.lit(0)).alias(name)).schema
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model, temperature, seed)
@@ -307,7 +308,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
 def decode(docs: DataFrame, model: bytes, pieces: str = "pieces", name: str = "decoded") -> DataFrame:
     """docs with the texts of their pieces; a column of that name is replaced."""
     keep = [c for c in docs.columns if c != name]
-    schema = docs.select(*keep, F.lit("").alias(name)).schema
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model, TEMPERATURE, SEED)
