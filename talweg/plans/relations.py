@@ -11,6 +11,7 @@ from talweg.operators import evaluation, quality, raster, simplicial, spatial, t
 from talweg.plans.prelude import CELLS
 from talweg.plans.registry import query
 from talweg.sources.tables import boxes, cells, patches, table
+from talweg.streaming import ingest
 
 # Quality checks
 
@@ -473,6 +474,12 @@ def scan_filter(spark, sf_dir):
     return n.join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
 
 
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def event_windows(spark, sf_dir):
+    """Tumbling windows, as the stream makes them."""
+    return ingest.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
 # Evaluation
 
 _EV = "ev as (select l.doc_id, u.name, u.truth, ((d.n_chars * (case when u.name = 'quality' then 7 else 13 end)) % 101 / 100.0::double) as score from labels l join documents d on d.doc_id = l.doc_id cross join lateral (values ('quality', l.quality), ('toxic', l.toxic)) u(name, truth))"
