@@ -1,14 +1,16 @@
 """Evaluation of scores against labels.
 
-Rows are (label name, truth 0/1, score). Scores are never overwritten by thresholds.
+Rows are (label name, truth 0/1, score). Scores are never overwritten by thresholds. Curves are running sums over distinct
+scores, dealt by ranges of scores, so no label's scores meet in one task. The keys are label names, few by nature.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talweg.operators.ranking import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -41,28 +43,31 @@ def subset_metrics(rows: DataFrame, threshold: Column, item: str) -> DataFrame:
     return per_item.agg((F.sum("w") / F.sum("n")).alias("hamming"), F.avg((F.col("w") == 0).cast("int")).alias("subset_accuracy"))
 
 
-def auroc(rows: DataFrame, *keys: str) -> DataFrame:
-    """Area under the ROC curve by counts of each distinct score; null without both classes.
-
-    Scores are summed first, so a score that many rows share is one row, and the running sum is over distinct scores."""
+def _by_score(rows: DataFrame, *keys: str) -> DataFrame:
+    """p and n, positives and negatives of each distinct score, and tp and fp, those at or above it."""
     by_score = rows.groupBy(*keys, "score").agg(F.sum("truth").alias("p"), F.sum(1 - F.col("truth")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return by_score.withColumn("u", F.col("p") * (below + F.col("n") / 2)).groupBy(*keys).agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
+    return running(by_score, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}, keys)
+
+
+def auroc(rows: DataFrame, *keys: str) -> DataFrame:
+    """Area under the ROC curve by counts of each distinct score; null without both classes."""
+    # A negative counts the positives above it, and half of those beside it.
+    at = _by_score(rows, *keys).withColumn("u", F.col("n") * (F.col("tp") - F.col("p") / 2))
+    return at.groupBy(*keys).agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
 
 
 def curve(rows: DataFrame, *keys: str) -> DataFrame:
-    """For each distinct score: tp, fp, precision, recall and false-positive rate of the threshold at it."""
-    by_score = rows.groupBy(*keys, "score").agg(F.sum("truth").alias("p"), F.sum(1 - F.col("truth")).alias("n"))
-    down, whole = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
-    at = by_score.select(*keys, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("n").over(whole).alias("nn"))
-    return at.select(*keys, "score", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _ratio(F.col("tp"), F.col("np")).alias("recall"), _ratio(F.col("fp"), F.col("nn")).alias("fpr"))
+    """For each distinct score: p and n at it, tp, fp, precision, recall and false-positive rate of the threshold at it."""
+    at = _by_score(rows, *keys)
+    whole = at.groupBy(*keys).agg(F.sum("p").alias("np"), F.sum("n").alias("nn"))
+    joined = at.join(F.broadcast(whole), list(keys)) if keys else at.crossJoin(F.broadcast(whole))
+    return joined.select(*keys, "score", "p", "n", "np", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _ratio(F.col("tp"), F.col("np")).alias("recall"), _ratio(F.col("fp"), F.col("nn")).alias("fpr"))
 
 
 def average_precision(rows: DataFrame, *keys: str) -> DataFrame:
     """Sum of precision times the step in recall over distinct scores."""
-    c = curve(rows, *keys)
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(W.partitionBy(*keys).orderBy(F.desc("score"))), F.lit(0.0))
-    return c.withColumn("s", step * F.col("precision")).groupBy(*keys).agg(F.sum("s").alias("ap"))
+    step = _ratio(F.col("p"), F.col("np"))
+    return curve(rows, *keys).withColumn("s", step * F.col("precision")).groupBy(*keys).agg(F.sum("s").alias("ap"))
 
 
 def best_threshold(rows: DataFrame, *keys: str) -> DataFrame:

@@ -200,14 +200,19 @@ def _node_batches(batch: pa.RecordBatch, rows: np.ndarray, forest: Forest) -> pa
     ], NODES.names)
 
 
-def merge_tree(patch_rows: DataFrame, tau: int = 2) -> DataFrame:
-    """Node rows of the merge trees over cells with accumulation of at least tau."""
+def merge_tree(patch_rows: DataFrame, tau: int = 2, kth: int | None = None) -> DataFrame:
+    """Node rows of the merge trees over cells with accumulation of at least tau; with kth, of at least each patch's
+    kth greatest accumulation (and 1) instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, z in stacks(batch):
                 _, to, acc, order = routed(z)
-                yield _node_batches(batch, rows, Forest(to, acc, order, acc >= tau))
+                least = tau
+                if kth is not None:
+                    k = min(max(kth, 1), acc.shape[1])
+                    least = np.maximum(np.partition(acc, acc.shape[1] - k, axis=1)[:, [acc.shape[1] - k]], 1)
+                yield _node_batches(batch, rows, Forest(to, acc, order, acc >= least))
 
     return patch_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, NODES)
 

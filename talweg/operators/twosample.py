@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talweg.operators.ranking import running
+
 #: Vectors in one block; a pair of blocks is one row of at most 2 BLOCK vectors.
 BLOCK = 512
 
@@ -126,12 +128,11 @@ def balanced_splits(tiles: list[int]) -> list[tuple[int, int, str]]:
     return [(m, t, "a" if m >> i & 1 else "b") for m in range(1 << len(tiles)) if m.bit_count() == half for i, t in enumerate(tiles)]
 
 
-def average_ranks(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
-    """Adds ranks from 1, ties sharing their mean."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    first = F.rank().over(w.orderBy(value))
-    ties = F.count("*").over(W.partitionBy(*keys, value))
-    return df.withColumn(name, first + (ties - 1) / 2)
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds ranks from 1, ties sharing their mean; ranks are worked out over distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    ranks = running(counts, [value], {"__through": F.col("__n")}).select(F.col(value).alias("__v"), (F.col("__through") - (F.col("__n") - 1) / 2).alias(name))
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import coords
 from talweg.operators import evaluation, quality, raster, simplicial, spatial, topology
+from talweg.operators.ranking import numbered
 from talweg.plans.prelude import CELLS
 from talweg.plans.registry import query
 from talweg.sources.tables import boxes, cells, patches, table
@@ -410,8 +411,8 @@ def scalar_subquery(spark, sf_dir):
 def natural_order(spark, sf_dir):
     """Names in natural order: prefix, number, suffix."""
     name = F.concat(F.split("p_name", " ")[0], F.lit("_"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "ms").otherwise(""))
-    n = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    return n.withColumn("place", F.row_number().over(W.orderBy(coords.natural_key(F.col("name")), "p_partkey")))
+    n = table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("key", coords.natural_key(F.col("name")))
+    return numbered(n, ["key", "p_partkey"], "place").select("p_partkey", "name", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("select event_id, props, coalesce(json_extract_string(props, '$.k'), 'none') as k from events")
@@ -480,6 +481,31 @@ def event_windows(spark, sf_dir):
     return ingest.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
+@query("select event_type, event_id, ts from (select event_type, event_id, ts, row_number() over (partition by event_type order by ts, event_id) as k from events) where k <= 10")
+def first_steps(spark, sf_dir):
+    """The first ten time steps of each variable."""
+    k = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_type", "event_id", "ts", k.alias("k")).where("k <= 10").drop("k")
+
+
+@query("select doc_id, quality, row_number() over (partition by quality order by md5(doc_id::varchar), doc_id) <= 0.2 * count(*) over (partition by quality) as test from labels")
+def stratified_split(spark, sf_dir):
+    """A fifth of each class as test set, drawn by hash."""
+    k = numbered(table(spark, sf_dir, "labels").select("doc_id", "quality", F.md5(F.col("doc_id").cast("string")).alias("h")), ["h", "doc_id"], "k", ("quality",))
+    n = k.groupBy("quality").agg(F.count("*").alias("n"))
+    return k.join(F.broadcast(n), "quality").select("doc_id", "quality", (F.col("k") + 1 <= 0.2 * F.col("n")).alias("test"))
+
+
+@query(f"with {_CB} select c.k as customer, count(*) as n_centres from cb c join sb s on (s.x0 + s.x1) / 2 between c.x0 and c.x1 and (s.y0 + s.y1) / 2 between c.y0 and c.y1 group by all")
+def content_validation(spark, sf_dir):
+    """Expected centres that lie inside actual bounds."""
+    c, s = _cb(spark, sf_dir)
+    b = F.col("sb")
+    x, y = (b["min_x"] + b["max_x"]) / 2, (b["min_y"] + b["max_y"]) / 2
+    centres = s.withColumn("sb", F.struct(x.alias("min_x"), y.alias("min_y"), x.alias("max_x"), y.alias("max_y")))
+    return spatial.box_join(c, centres, "b", "sb").groupBy("customer").agg(F.count("*").alias("n_centres"))
+
+
 # Evaluation
 
 _EV = "ev as (select l.doc_id, u.name, u.truth, ((d.n_chars * (case when u.name = 'quality' then 7 else 13 end)) % 101 / 100.0::double) as score from labels l join documents d on d.doc_id = l.doc_id cross join lateral (values ('quality', l.quality), ('toxic', l.toxic)) u(name, truth))"

@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talweg.operators import diagrams, topology, twosample
+from talweg.operators.ranking import numbered
 from talweg.plans.prelude import DIST, PAIRS, tree
 from talweg.plans.registry import query
-from talweg.plans.shapes import neighbours_of, pairs_of
+from talweg.plans.shapes import pairs_of
 from talweg.plans.terrain import nodes_of
+from talweg.sources.files import cut
 from talweg.sources.tables import patches, table
 
 
@@ -62,6 +64,29 @@ def l2_pairs(spark, sf_dir):
     return twosample.pair_distances(pairs(spark, sf_dir)).withColumn("d", F.round("d", 6))
 
 
+@query(f"""with recursive {tree()}, {PAIRS}, lab as (select vec_id as patch_id, label::int as label from embeddings), tp as (select l.label, p.birth, p.death from pairs p join lab l on l.patch_id = p.patch_id),
+pr as (select a.label as i, b.label as j from (select distinct label from tp) a join (select distinct label from tp) b on a.label < b.label),
+cap as (select i, j, coalesce(max(t.death) * 1.5, 1.0)::double as cap from pr left join tp t on t.label in (i, j) group by all),
+pt as (select c.i, c.j, t.label = c.i as own, t.birth::double as x, coalesce(t.death, c.cap)::double as y from cap c join tp t on t.label in (c.i, c.j)),
+ang as (select k, -pi() / 2 + k * pi() / 5 as t from range(0, 5) g(k)),
+vals as (select i, j, k, true as side, case when own then x * cos(t) + y * sin(t) else (x + y) / 2 * (cos(t) + sin(t)) end as v from pt, ang union all select i, j, k, false, case when own then (x + y) / 2 * (cos(t) + sin(t)) else x * cos(t) + y * sin(t) end from pt, ang),
+rk as (select *, row_number() over (partition by i, j, k, side order by v) as n from vals)
+select l.i, l.j, round(sum(abs(l.v - r.v)) / 5, 3) as sw from rk l join rk r on r.i = l.i and r.j = l.j and r.k = l.k and r.n = l.n and l.side and not r.side group by all""")
+def sw_matrix(spark, sf_dir):
+    """Sliced Wasserstein between the pooled diagrams of every two tiles."""
+    pooled = diagrams.points(pairs_of(spark, sf_dir).select(F.col("label").alias("patch_id"), "birth", "death"))
+    duos = pooled.toDF("i", "a").join(pooled.toDF("j", "b"), F.col("i") < F.col("j"))
+    return diagrams.sliced_wasserstein(duos, 5).select("i", "j", F.round("sw", 3).alias("sw"))
+
+
+@query(f"with {_D} select ta % 2 + tb % 2 as kind, count(*) as n, round(avg(d), 6) as mean from pd group by all")
+def population_blocks(spark, sf_dir):
+    """Mean distances within and across two populations (even and odd tiles), as blocks of one matrix: 0 and 2 within, 1 across."""
+    v = vectors(spark, sf_dir).withColumn("tile", F.col("tile") % 2)
+    sums = twosample.block_sums(twosample.block_pairs(twosample.vector_blocks(v, v.count())), 1.0, "distance")
+    return sums.select((F.col("tile_a") + F.col("tile_b")).alias("kind"), "n", F.round(F.col("sum_k") / F.col("n"), 6).alias("mean"))
+
+
 @query(f"with {_SIGMA} select round(sigma, 6) as sigma from sg")
 def median_sigma(spark, sf_dir):
     d = twosample.pair_distances(pairs(spark, sf_dir))
@@ -112,8 +137,6 @@ def power_curve(spark, sf_dir):
 select round(floor, 6) as floor, round(median, 6) as median, round(median / floor, 4) as ratio, round((select avg((mmd2 > floor)::int) from test, f), 6) as above, round((select avg((mmd2 >= median)::int) from mmd, m), 6) as p, median > floor as rejected from f, m""")
 def test_vs_null(spark, sf_dir):
     """The null shifted by 0.001 in a third of the splits, against all."""
-    from talweg.sources.files import cut
-
     null = cut(twosample.mmd2(sums_of(spark, sf_dir), splits_of(spark, sf_dir), sizes_of(spark, sf_dir), "split"))
     test = null.where("split % 3 = 0").select((F.col("mmd2") + 0.001).alias("mmd2"))
     out = twosample.against_null(test, null)
@@ -334,9 +357,8 @@ def ensemble_mean(spark, sf_dir):
 @query("with r as (select s_suppkey, s_acctbal, row_number() over (order by s_acctbal, s_suppkey) - 1 as k, count(*) over () as n from supplier), t as (select i::int as pick, floor(i * (n - 1) / 9.0::double + 0.5)::bigint as k from range(0, 10) g(i), (select max(n) as n from r)) select t.pick, r.s_suppkey, r.s_acctbal from t join r on r.k = t.k")
 def spread_pick(spark, sf_dir):
     """Ten suppliers at evenly spaced ranks of their balance."""
-    whole = W.partitionBy(F.lit(0))
-    r = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.row_number().over(whole.orderBy("s_acctbal", "s_suppkey")) - 1).cast("long").alias("k"), F.count("*").over(whole).alias("n"))
-    t = spark.range(10).select(F.col("id").cast("int").alias("pick")).crossJoin(F.broadcast(r.agg(F.max("n").alias("m")))).withColumn("k", F.floor(F.col("pick") * (F.col("m") - 1) / 9.0 + 0.5))
+    r = cut(numbered(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"]))
+    t = spark.range(10).select(F.col("id").cast("int").alias("pick")).crossJoin(F.broadcast(r.agg(F.count("*").alias("m")))).withColumn("k", F.floor(F.col("pick") * (F.col("m") - 1) / 9.0 + 0.5))
     return t.join(r, "k").select("pick", "s_suppkey", "s_acctbal")
 
 

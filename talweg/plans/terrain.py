@@ -244,6 +244,29 @@ def merge_tree_nodes(spark, sf_dir):
     return nodes_of(spark, sf_dir).select("patch_id", "node", "parent", "is_head", "birth", "death")
 
 
+_MATCHED = tree("(select t.tau from taus t where t.patch_id = a.patch_id)", ACC + ", taus as (select patch_id, greatest(acc, 1) as tau from (select patch_id, acc, row_number() over (partition by patch_id order by acc desc) as k from acc) where k = 16)")
+
+
+@query(f"with recursive {_MATCHED} select n.patch_id, n.node, n.parent, n.birth, n.death, o.strahler from nodes n join ord o on o.patch_id = n.patch_id and o.node = n.node")
+def density_matched_tree(spark, sf_dir):
+    """Each patch at its own threshold, the 16th greatest accumulation."""
+    return kernels.merge_tree(patches(spark, sf_dir), kth=16).select("patch_id", "node", "parent", "birth", "death", "strahler")
+
+
+@query(f"""with recursive {tree()}, {DIST}, {PAIRS}, rb as (select patch_id, avg(ratio) as rb from (select patch_id, n / lead(n) over (partition by patch_id order by strahler) as ratio from dist) group by all),
+pp as (select patch_id, count(death) as n_finite, coalesce(max(death - birth), 0)::double as longest from pairs group by all), jj as (select patch_id, count(*) filter (where is_head) as leaves, count(*) filter (where not is_head) as junctions from nodes group by all)
+select e.vec_id as patch_id, e.label::int as label, jj.leaves, jj.junctions, round(rb.rb, 6) as rb, pp.n_finite, pp.longest from embeddings e left join jj on jj.patch_id = e.vec_id left join rb on rb.patch_id = e.vec_id left join pp on pp.patch_id = e.vec_id""")
+def patch_summary(spark, sf_dir):
+    """One row for each patch from elevation to tree, diagram and ratios; a patch without a channel has nulls.
+
+    The node table is joined to itself by patch only, and every side is one row a patch."""
+    nodes = nodes_of(spark, sf_dir)
+    rb = topology.bifurcation(topology.distribution(nodes, "patch_id"), "patch_id")
+    stats = topology.persistence_statistics(topology.persistence_pairs(nodes), "patch_id").select("patch_id", "n_finite", "longest")
+    out = patches(spark, sf_dir).select("patch_id", "label").join(topology.junctions(nodes, "patch_id").drop("roots"), "patch_id", "left").join(rb, "patch_id", "left").join(stats, "patch_id", "left")
+    return out.select("patch_id", "label", "leaves", "junctions", F.round("rb", 6).alias("rb"), "n_finite", "longest")
+
+
 @query(f"with recursive {tree()}, ids as (select patch_id, node, parent, row_number() over (partition by patch_id order by node) - 1 as segment from nodes) select a.patch_id, a.segment, b.segment as into_segment, 1 as edge_cells from ids a join ids b on b.patch_id = a.patch_id and b.node = a.parent")
 def merge_tree_edges(spark, sf_dir):
     """Segment graph: nodes renumbered within the patch."""
@@ -308,6 +331,16 @@ def mask_h1(spark, sf_dir):
     return topology.mask_h1(patches(spark, sf_dir), TAU).where("v > 0")
 
 
+@query(f"with {CELLS} select patch_id, count(*) as n, count(*) filter (where z is null or not isfinite(z)) as n_nodata, round(min(z), 6) as lo, round(max(z), 6) as hi, min(z) >= -500 and max(z) <= 9000 as in_range, count(*) * 8 < 1024 as too_small from cells group by all")
+def raster_checks(spark, sf_dir):
+    """Cells, nodata, range and size of each raster, from the patch row alone."""
+    bad = F.size(F.filter("z", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    n = F.size("z")
+    return patches(spark, sf_dir).select(
+        "patch_id", n.cast("long").alias("n"), bad.cast("long").alias("n_nodata"), F.round(F.array_min("z"), 6).alias("lo"), F.round(F.array_max("z"), 6).alias("hi"), ((F.array_min("z") >= -500) & (F.array_max("z") <= 9000)).alias("in_range"), (n * 8 < 1024).alias("too_small")
+    )
+
+
 @query()
 def cubical_confluences(spark, sf_dir):
     return topology.cubical_confluences(patches(spark, sf_dir), TAU)
