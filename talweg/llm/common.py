@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,15 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def small(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `limit` bytes of the column `name` (texts or lists), or one row: what a task holds is bounded."""
+    for batch in batches:
+        column = batch.column(name)
+        size = pc.binary_length(column) if pa.types.is_string(column.type) else pc.multiply(pc.list_value_length(column), 4)
+        for lo, hi in blocks(pc.fill_null(size, 0).to_pylist(), limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null reads as empty."""
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]

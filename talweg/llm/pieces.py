@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talweg.llm.common import blocks, code_points
+from talweg.llm.common import blocks, code_points, small
 
 MODEL, TEMPERATURE, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 17
 #: Characters of text coded at once, characters of new chunks filtered at once, and places of filtered chunks held.
@@ -46,6 +46,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _by(key: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of keys in [0, below); small ranges are sorted by radix."""
+    return np.argsort(key.astype(np.uint16) if below <= 1 << 16 else key, kind="stable")
+
+
 class Vocabulary:
     """Pieces of a model as a trie over code points, with weights, and their bytes."""
 
@@ -83,6 +88,9 @@ class Vocabulary:
         self.key, self.node = keys[order], np.array(list(nodes.values()), np.int64)[order]
         self.piece = np.array(piece, np.int64)
         self.key = np.r_[self.key, np.iinfo(np.int64).max]
+        #: The trie's first step by code point, as every place takes it; -1: none.
+        self.first = np.full(0x110001, -1, np.int32)
+        self.first[[c for a, c in nodes if a == 0]] = [k for (a, _), k in nodes.items() if a == 0]
         # Bytes of every piece, end to end.
         each = [names[i].replace(sign, " ").encode() if i in names else b"" for i in range(n)]
         for b in range(256):
@@ -92,26 +100,28 @@ class Vocabulary:
         self.at = np.r_[0, np.cumsum(self.length)[:-1]]
 
     def arcs(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, piece) of every arc; room: places from each to its chunk's end. Piece -1 - c spells character c."""
-        start, at = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        """(start, length, piece) of every arc, but for spelled characters the longer first; room: places from each to its chunk's end. Piece -1 - c spells character c."""
+        at = self.first[codes].astype(np.int64)
+        start = np.flatnonzero(at >= 0)
+        at = at[start]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         single = np.zeros(len(codes), bool)
-        depth = 0
+        depth = 1
         while len(start):
-            key = (at << 21) | codes[start + depth]
-            k = np.searchsorted(self.key, key)
-            ok = self.key[k] == key
-            start, at = start[ok], self.node[k[ok]]
-            depth += 1
             ends = self.piece[at] >= 0
             found.append((start[ends], np.full(int(ends.sum()), depth), self.piece[at[ends]]))
             if depth == 1:
                 single[start[ends]] = True
             more = room[start] > depth
             start, at = start[more], at[more]
+            key = (at << 21) | codes[start + depth]
+            k = np.searchsorted(self.key, key)
+            ok = self.key[k] == key
+            start, at = start[ok], self.node[k[ok]]
+            depth += 1
         alone = np.flatnonzero(~single)
         found.append((alone, np.ones(len(alone), np.int64), -1 - codes[alone]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+        return tuple(np.concatenate(x) for x in zip(*found[::-1], strict=True))  # type: ignore[return-value]
 
 
 class Lattices:
@@ -153,33 +163,33 @@ class Lattices:
         chunk = np.repeat(np.arange(len(new)), size)
         room = offsets[1:][chunk] - np.arange(len(codes))
         start, length, piece = self.vocabulary.arcs(codes, room)
+        # By the place that an arc ends at, longer arcs first: they are the likelier ones, so that a draw looks at few.
+        order = _by(start + length - 1, len(codes))
+        start, length, piece = start[order], length[order], piece[order]
         weight = np.where(piece >= 0, self.vocabulary.weight[np.maximum(piece, 0)], self.vocabulary.spelled)
-        end = start + length - 1  # the place that an arc ends at
+        end = start + length - 1
+        begins = start == offsets[chunk[start]]
         depth = end - offsets[chunk[start]]
-        order = np.argsort(depth * len(codes) + end, kind="stable")
-        start, length, piece, weight, end, depth = (x[order] for x in (start, length, piece, weight, end, depth))
+        by_depth = _by(depth, int(size.max()))
+        cuts = np.searchsorted(depth[by_depth], np.arange(int(size.max()) + 1))
         total = np.zeros(len(codes))
         value = np.empty(len(start))
-        cuts = np.searchsorted(depth, np.arange(int(size.max()) + 1))
-        begins = start == offsets[chunk[start]]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            e = end[lo:hi]
-            v = weight[lo:hi] + np.where(begins[lo:hi], 0.0, total[start[lo:hi] - 1])
+            at = by_depth[lo:hi]
+            e = end[at]
+            v = weight[at] + np.where(begins[at], 0.0, total[start[at] - 1])
             groups = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
             top = np.maximum.reduceat(v, groups)
             wide = np.diff(np.r_[groups, len(v)])
             p = np.exp(v - np.repeat(top, wide))
             s = np.add.reduceat(p, groups)
             total[e[groups]] = top + np.log(s)
-            value[lo:hi] = p / np.repeat(s, wide)
-        # Each place's likeliest arcs come first, so that a draw looks at few.
-        order = np.argsort(end + 0.5 * (1 - value), kind="stable")
-        end, value = end[order], value[order]
+            value[at] = p / np.repeat(s, wide)
         groups = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
         running = np.cumsum(value)
         share = running - np.repeat(running[groups] - value[groups], np.diff(np.r_[groups, len(end)]))
         share[np.r_[groups[1:], len(end)] - 1] = 2.0
-        self._put(("share", "step", "arc"), self.n_arcs, (share, length[order], piece[order]))
+        self._put(("share", "step", "arc"), self.n_arcs, (share, length, piece))
         self._put(("begin",), self.n_nodes, (groups + self.n_arcs,))
         self.n_arcs += len(end)
         self._put(("first", "last"), len(self.index), (offsets[:-1] + self.n_nodes, offsets[1:] + self.n_nodes - 1))
@@ -294,12 +304,11 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model, temperature, seed)
-        for batch in batches:
+        for batch in small(batches, text, BLOCK_CHARS):
             texts, keys = batch.column(text).to_pylist(), batch.column("__key").to_pylist()
-            for lo, hi in blocks([len(t or "") for t in texts], 4 * BLOCK_CHARS):
-                ids, offsets = c.encode([t or "" for t in texts[lo:hi]], keys[lo:hi])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts[lo:hi]]))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in keep], lists], [*keep, name])
+            ids, offsets = c.encode([t or "" for t in texts], keys)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], lists], [*keep, name])
         c.lattices.clear()  # the worker may serve other tasks
 
     return given.mapInArrow(run, schema)
@@ -312,7 +321,7 @@ def decode(docs: DataFrame, model: bytes, pieces: str = "pieces", name: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model, TEMPERATURE, SEED)
-        for batch in batches:
+        for batch in small(batches, pieces):
             lists = batch.column(pieces)
             n = np.array([x or 0 for x in lists.value_lengths().to_pylist()], np.int64)
             texts = c.decode(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(n)])
