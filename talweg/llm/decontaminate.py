@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talweg.llm.common import blocks, texts_of
+from talweg.llm.common import blocks, small, texts_of
 
 WINDOW = 10
 #: Bytes of normalised benchmark text in one table, and of document text searched at once.
@@ -51,9 +51,12 @@ class WuManber:
         for end in range(self.block - 1, self.m):
             at = self._hash([heads[:, end - j] for j in range(self.block - 1, -1, -1)])
             np.minimum.at(self.shift, at, np.uint16(self.m - 1 - end))
-        self.buckets: dict[bytes, list[int]] = defaultdict(list)
-        for k, p in enumerate(patterns):
-            self.buckets[p[: self.m]].append(k)
+        #: By the hash of the block that ends a pattern's window: the patterns by window.
+        self.buckets: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+        last = self._hash([heads[:, self.m - 1 - j] for j in range(self.block - 1, -1, -1)])
+        for k, (h, p) in enumerate(zip(last.tolist(), patterns, strict=True)):
+            self.buckets[h][p[: self.m]].append(k)
+        self.buckets = {h: dict(b) for h, b in self.buckets.items()}
 
     def _hash(self, columns: list[np.ndarray]) -> np.ndarray:
         h = np.zeros(len(columns[0]), np.uint32)
@@ -68,10 +71,12 @@ class WuManber:
         at = np.arange(self.m - 1, len(text), LANE, dtype=np.int64)
         stop = np.minimum(at + LANE, len(text))
         while len(at):
-            jump = self.shift[self._hash([text[at - j] for j in range(self.block - 1, -1, -1)])]
-            for end in at[jump == 0].tolist():
+            suffix = self._hash([text[at - j] for j in range(self.block - 1, -1, -1)])
+            jump = self.shift[suffix]
+            stopped = jump == 0
+            for end, h in zip(at[stopped].tolist(), suffix[stopped].tolist(), strict=True):
                 start = end - self.m + 1
-                for k in self.buckets.get(buffer[start : end + 1], ()):
+                for k in self.buckets[h].get(buffer[start : end + 1], ()):
                     if buffer.startswith(self.patterns[k], start):
                         yield start, k
             at = at + np.maximum(jump, 1)
@@ -139,7 +144,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
         table = Windows(items, window)
 
         def search(batches: Iterator[pa.RecordBatch], table: Windows = table) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches, text):
                 texts = [words(t) for t in texts_of(batch, text)]
                 before = zip(batch.column("hit_spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
                 spans, met = [], []
