@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm.char_grams import gram_ids, letters_only, lowered
-from talweg.llm.common import blocks, platt, segment_sums, sigmoid, texts_of
+from talweg.llm.common import blocks, platt, segment_sums, sigmoid, small, texts_of
 
 #: Families of closely related languages.
 FAMILIES = {
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, text):
             texts = texts_of(batch, text)
             pred, score = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.common import blocks, code_points, texts_of
+from talweg.llm.common import blocks, code_points, small, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("other", *KINDS)
@@ -369,7 +369,7 @@ def find(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = all_spans(texts_of(batch, "text"), field)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:4]]
             digests = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]

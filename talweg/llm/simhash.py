@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.common import cut, texts_of
+from talweg.llm.common import cut, small, texts_of
 
 RADIUS, SHINGLE, SHARD, LEAF = 4, 4, 50_000, 256
 _SHINGLES = 1 << 16
@@ -63,7 +63,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", size
     schema = docs.select(*keep, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, text):
             fp = pa.array(fingerprints(texts_of(batch, text), size).view(np.int64))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], fp], [*keep, name])
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.common import blocks, cut, texts_of
+from talweg.llm.common import blocks, cut, small, texts_of
 
 SYMBOLS, DEPTH, LEAST, DIVERGENCE, PRIOR, SHARE = 256, 2, 8, 300.0, 50.0, 0.75
 HOT, HOT_BYTES, FLUSH, BLOCK_CHARS = 100_000, 48, 200_000, 1 << 20
@@ -48,7 +48,7 @@ def corpus_counts(docs: DataFrame, training: Column, text: str = "text") -> Data
 
         words: Counter = Counter()
         texts = 0
-        for batch in batches:
+        for batch in small(batches, text):
             for t in texts_of(batch, text):
                 words.update(tokens(t))
                 texts += 1
@@ -97,7 +97,7 @@ def run_counts(docs: DataFrame, training: Column, symbol: dict[bytes, int], text
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part].astype(np.int64))], ["run", "n"])
             seen[:] = 0
 
-        for batch in batches:
+        for batch in small(batches, text):
             body = texts_of(batch, text)
             for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
                 number, _ = runs([tokens(t) for t in body[lo:hi]], symbol)
@@ -160,7 +160,7 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
         log_base = {w: float(np.log10(c + 1)) for w, c in known.items()}
         log_share = {w: 0.0 if w in symbol else float(np.log10((c + SHARE) / others)) for w, c in known.items()}
         end, rid = float(np.log10(texts + 1)), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in small(batches, text):
             body = texts_of(batch, text)
             for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
                 held = [tokens(t) for t in body[lo:hi]]

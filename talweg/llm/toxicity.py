@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm.char_grams import gram_ids, lowered
-from talweg.llm.common import blocks, sigmoid, texts_of
+from talweg.llm.common import blocks, sigmoid, small, texts_of
 
 SIZES, BITS, FEATURES, TRAIN_ROWS, BLOCK_CHARS = (3, 4, 5), 18, 1536, 6000, 1 << 19
 
@@ -101,7 +101,7 @@ def score(docs: DataFrame, model, name: str = "score", text: str = "text") -> Da
     schema = docs.select(*keep, F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, text):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(model.scores(texts_of(batch, text)), pa.float64())], [*keep, name])
 
     return docs.mapInArrow(run, schema)
