@@ -2,8 +2,8 @@
 
 One dictionary is trained on good and one on bad labelled texts. A text is compressed block by block with either,
 every block on its own, so that the dictionaries count throughout a long text. Its measure is the difference between
-the two sizes over their sum, and so is the text's overall compressed share; a logistic curve through both, fitted on
-training texts that the dictionaries have not seen, makes the calibrated score.
+the two sizes over their sum, beside it the compressed share; a logistic curve through both, which minds the length of
+short texts, fitted on training texts that the dictionaries have not seen, makes the calibrated score.
 
 Training takes at most `TRAIN_ROWS` labelled texts, those with the least hash of doc_id, on the driver.
 Nulls and edges: a null text reads as empty; an empty text scores the share of good training rows, as does every
@@ -15,11 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 import zstandard
 
 from talweg.llm.common import sigmoid
 
-BLOCK, LEVEL, DICTIONARY, TRAIN_ROWS, SAMPLE_BYTES = 1024, 3, 64 << 10, 6000, 4 << 20
+BLOCK, LEVEL, DICTIONARY, TRAIN_ROWS, SAMPLE_BYTES = 1024, 3, 110 << 10, 6000, 8 << 20
 
 
 def text_blocks(text: str) -> list[bytes]:
@@ -70,13 +71,16 @@ class Model:
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = shape(self.measures(texts))
+        x = shape(self.measures(texts), texts)
         empty = np.array([not t for t in texts], bool)
         return np.where(empty, self.prior, sigmoid(x @ self.curve) if self.curve.any() else self.prior)
 
 
-def shape(m: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(m)), 10 * m[:, 0], m[:, 1], 10 * m[:, 0] * m[:, 1], m[:, 1] ** 2], 1)
+def shape(m: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Terms of the curve: the measures, and how far they hold in short texts."""
+    short = 1 / (1 + np.array([len(t) for t in texts], np.float64) / 100)
+    d, share = 10 * m[:, 0], m[:, 1]
+    return np.stack([np.ones(len(m)), d, share, d * share, share**2, short, d * short, share * short], 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01, rounds: int = 60) -> np.ndarray:
@@ -90,13 +94,14 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01, rounds: int = 60) -
 
 def fit(samples: list[tuple[str, int]]) -> Model:
     """A model from (text, label) samples: dictionaries from one half of each class, the curve from the other."""
-    texts = {k: sorted(t for t, label in samples if label == k and t) for k in (0, 1)}
+    texts = {k: sorted((t for t, label in samples if label == k and t), key=lambda t: (xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")), t)) for k in (0, 1)}
     n = len(texts[0]) + len(texts[1])
     prior = (len(texts[1]) / n) if n else 0.0
     if min(map(len, texts.values())) < 2:
-        return Model(b"\n" * 8, b"\n" * 8, np.zeros(5), prior)
-    model = Model(dictionary(texts[1][::2]), dictionary(texts[0][::2]), np.zeros(5), prior)
+        return Model(b"\n" * 8, b"\n" * 8, np.zeros(8), prior)
+    model = Model(dictionary(texts[1][::2]), dictionary(texts[0][::2]), np.zeros(8), prior)
     held = [(t, k) for k in (0, 1) for t in texts[k][1::2]]
     y = np.array([k for _, k in held], float)
-    model.curve = logistic(shape(model.measures([t for t, _ in held])), y)
+    seen = [t for t, _ in held]
+    model.curve = logistic(shape(model.measures(seen), seen), y)
     return model
