@@ -13,13 +13,12 @@ The benchmark is taken in blocks of at most `BLOCK_BYTES` bytes of windows, so w
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,25 +157,15 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     return out
 
 
-def hit_words(spans: list[tuple[int, int]]) -> int:
-    """Words inside any of the spans."""
-    total, reach = 0, 0
-    for first, end in sorted(spans):
-        total += max(0, end - max(first, reach))
-        reach = max(reach, end)
-    return total
+def hit_words(spans: Column) -> Column:
+    """Words inside any of an array of spans."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("reach"))
+    step = lambda s, x: F.struct((s["total"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["first"], s["reach"]))).alias("total"), F.greatest(s["reach"], x["end"]).alias("reach"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda s: s["total"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    found = find_windows(docs.select("doc_id", "text"), benchmark, window)
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [hit_words([(x["first"], x["end"]) for x in s]) for s in batch.column("hit_spans").to_pylist()]
-            items = batch.column("items").to_pylist()
-            sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit])], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return found.select("doc_id", "n_words", "hit_spans", "items").mapInArrow(digest, schema)
+    found = find_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
+    hit = found.select("doc_id", "n_words", hit_words(F.col("hit_spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return hit.withColumn("contaminated", F.col("n_hit") > 0)

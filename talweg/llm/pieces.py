@@ -296,19 +296,24 @@ def load(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", name: str = "pieces", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """docs with an array of sampled piece ids; a column of that name is replaced."""
-    keep = [c for c in docs.columns if c != name]
+def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", name: str = "pieces", lossless: str | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """docs with an array of sampled piece ids, and, under the name `lossless`, whether they decode to the text; columns of
+    these names are replaced."""
+    keep = [c for c in docs.columns if c not in (name, lossless)]
     given = docs.select(*keep, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"))
     schema = T.StructType([*docs.select(*keep).schema, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    if lossless:
+        schema = schema.add(lossless, T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model, temperature, seed)
         for batch in small(batches, text, BLOCK_CHARS):
             texts, keys = batch.column(text).to_pylist(), batch.column("__key").to_pylist()
-            ids, offsets = c.encode([t or "" for t in texts], keys)
+            body = [t or "" for t in texts]
+            ids, offsets = c.encode(body, keys)
+            same = [pa.array([a == b for a, b in zip(c.decode(ids, offsets), body, strict=True)])] if lossless else []
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], lists], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], lists, *same], schema.names)
         c.lattices.clear()  # the worker may serve other tasks
 
     return given.mapInArrow(run, schema)

@@ -24,9 +24,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, a digest of the sampled pieces, and whether they decode to the text."""
-    model = pieces.load()
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.to_json("pieces"), 256).alias("pieces_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load(), lossless="lossless")
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ","), 256).alias("pieces_sha256"), "lossless")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
