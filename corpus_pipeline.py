@@ -49,9 +49,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its sampled pieces, and whether they decode to its text."""
-    model = pieces.load()
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
-    return coded.select("doc_id", "text", "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    return pieces.encode(docs.select("doc_id", "text"), pieces.load(), lossless="lossless")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
