@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from talweg.llm.common import blocks
 
+#: Places that texts are dealt to by doc_id, at most: what a place holds is sorted with spilling, so more are no need.
+PLACES = 2048
 CELLS, GROWTH, STRETCH, BLOCK_CHARS = 12, 4, 8, 1 << 19
 
 
@@ -180,6 +182,7 @@ def _place(bounds: list[int]) -> Column:
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """(place, guest, doc_id, text) by place, each sorted; the first rows of a place are also guests of the one before."""
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = min(parts, PLACES)
     place = _place(_bounds(placed, parts))
     heads = {r["place"]: r["head"] for r in placed.groupBy(place.alias("place")).agg(F.max("doc_id").alias("head")).collect()}
     used = sorted(heads)
