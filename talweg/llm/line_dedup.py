@@ -30,9 +30,13 @@ def _key(text: str) -> Column:
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, k, pos, h, words, s, c): one row a line with words; s and c are the words before and through it."""
     parts = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("id"), _key(text).alias("k"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    line = F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))
+    # Rare characters and runs of blanks are looked for before the dearer functions that deal with them are called.
+    raw = F.col("line")
+    blank = F.contains(raw, F.lit("\t")) | F.contains(raw, F.lit("\r")) | F.contains(raw, F.lit("\x0b")) | F.contains(raw, F.lit("\x0c"))
+    line = F.trim(F.when(blank, F.translate("line", "\t\r\x0b\x0c", "    ")).otherwise(raw))
     # Every word begins at the line's start or after a blank: blanks less those before another blank.
-    words = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) - F.regexp_count(F.col("line"), F.lit(" (?= )")) + 1
+    doubled = F.when(F.contains(raw, F.lit("  ")), F.regexp_count(raw, F.lit(" (?= )"))).otherwise(0)
+    words = F.length(raw) - F.length(F.replace(raw, F.lit(" "), F.lit(""))) - doubled + 1
     parts = parts.withColumn("line", line).where(F.length("line") > 0).select("id", "k", "pos", F.xxhash64("line").alias("h"), words.cast("long").alias("words"))
     parts = parts.dropDuplicates(["id", "k", "pos"])
     doc = W.partitionBy("id", "k").orderBy("pos")
