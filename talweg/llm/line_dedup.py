@@ -38,7 +38,8 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     doubled = F.when(F.contains(raw, F.lit("  ")), F.regexp_count(raw, F.lit(" (?= )"))).otherwise(0)
     words = F.length(raw) - F.length(F.replace(raw, F.lit(" "), F.lit(""))) - doubled + 1
     parts = parts.withColumn("line", line).where(F.length("line") > 0).select("id", "k", "pos", F.xxhash64("line").alias("h"), words.cast("long").alias("words"))
-    parts = parts.dropDuplicates(["id", "k", "pos"])
+    # Dealt by document once, for repeated rows to meet and for the windows.
+    parts = parts.repartition("id", "k").dropDuplicates(["id", "k", "pos"])
     doc = W.partitionBy("id", "k").orderBy("pos")
     return parts.withColumn("c", F.sum("words").over(doc.rowsBetween(W.unboundedPreceding, 0))).withColumn("s", F.col("c") - F.col("words"))
 
