@@ -1,16 +1,23 @@
 """LM scoring by a probabilistic suffix tree over words, beside add-one unigram scores.
 
-Tokens are lower-cased words and one end for each text. The tree's symbols are the `SYMBOLS` - 2 most frequent words,
-the end, and one for all other words. Its nodes are contexts of up to `DEPTH` symbols. A context is retained if its
-next-symbol counts diverge from what its suffix predicts: the log-likelihood ratio between the two must exceed
-`DIVERGENCE` at a count of `LEAST` or more. Distributions are smoothed towards the suffix's with weight `PRIOR`; a
-symbol is scored by the longest retained suffix of what precedes it. A word among the others has its smoothed share
-of their count besides, and words that no training text holds have together the share of the words met once.
-Counts are taken over all training texts; as DEPTH + 1 symbols make at most SYMBOLS**(DEPTH + 1) runs, the tree fits
-the driver and each task at any input size.
-
-Word counts do not: they are summed by shuffle and kept as a table. The `HOT` most frequent words go to every task;
-what else a document holds is joined to the table, one row for each distinct word of a document.
+Tokens are lower-cased words and one end for each text. A node is a context of whole words. Contexts of one word are
+tried first, and those that a retained context is the suffix of after that, as long as any is retained: depth and
+number of contexts follow the counts and have no bound. A context met `LEAST` times or more is retained if the
+log-likelihood ratio between its next words and its suffix's prediction exceeds, for each distinct next word, the
+logarithm of the number of tokens. Next words are smoothed towards the suffix's with the weight of as many tokens as
+there are distinct next words, and at last towards the words' shares. A token is scored by the longest retained
+suffix of what precedes it.
+
+Where the word before is no retained context, a tree over classes predicts: its symbols are the `SYMBOLS` - 2 most
+frequent words, the end, and one for all other words, its contexts up to `DEPTH` symbols, retained above `DIVERGENCE`
+and smoothed with weight `PRIOR`. A word among the others has its smoothed share of their count besides, and words
+that no training text holds have together the share of the words met once.
+
+Counts are taken over all training texts, summed by shuffle and kept as tables: words, and for each level of contexts
+runs of words as 64-bit hashes. A text's score is a sum over its runs: a retained context adds the logarithm of what
+it leaves to its suffix, a run that was met what it differs from that. The `HOT` most frequent words and the
+`HOT_RUNS` most frequent runs go to every task, and a filter of 2**`FILTER_BITS` bits that tells most runs that are in
+no table; what else a document holds is joined to the tables.
 
 Nulls and edges: a null text reads as empty and has the end alone as token; rows equal in every column are each
 answered; a null doc_id counts as the empty text for the training split; without training texts every count is 0.
@@ -23,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -32,6 +40,8 @@ from talweg.llm.common import blocks, cut, small, texts_of
 
 SYMBOLS, DEPTH, LEAST, DIVERGENCE, PRIOR, SHARE = 256, 2, 8, 300.0, 50.0, 0.75
 HOT, HOT_BYTES, FLUSH, BLOCK_CHARS = 100_000, 48, 200_000, 1 << 20
+HOT_RUNS, RUNS_FLUSH, FILTER_BITS = 2_000_000, 1 << 21, 27
+END = 0x5851F42D4C957F2D
 
 
 def tokens(text: str) -> list[bytes]:
@@ -134,6 +144,170 @@ def grow(run: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.log10(state, out=state).astype(np.float32).reshape(-1)
 
 
+def longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of the runs with one more word before them."""
+    h = (run * np.uint64(0x9E3779B97F4A7C15)) ^ (word + np.uint64(0x632BE59BD9B4E019))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def as_context(run: np.ndarray) -> np.ndarray:
+    """Keys of contexts, apart from those of the same words as a run."""
+    h = (run ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def hashes(texts: list[list[bytes]], seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its hash (Spark's xxhash64 of the word) and its place in its text."""
+    h, flat = xxhash.xxh64_intdigest, []
+    for w in texts:
+        for x in w:
+            k = seen.get(x)
+            if k is None:
+                k = seen[x] = h(x, seed=42)
+            flat.append(k)
+        flat.append(END)
+    if len(seen) > FLUSH:
+        seen.clear()
+    sizes = np.array([len(w) + 1 for w in texts], np.int64)
+    return np.array(flat, np.uint64), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def packed(bits: np.ndarray) -> bytes:
+    return zstandard.compress(bits.tobytes(), 1)
+
+
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(bits), np.uint8)
+
+
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """A filter of the column key: a bit for each remainder of 2**FILTER_BITS."""
+    x = F.pmod("key", F.lit(1 << FILTER_BITS)) + 1
+    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for r in keys.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toLocalIterator():
+        out[(r["b"] - 1) << 12 : r["b"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def levels(h: np.ndarray, place: np.ndarray, grown) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(depth, token, context, run, suffix) for contexts of one word and more, onward where grown(depth, context)."""
+    at, depth = np.flatnonzero(place >= 1), 1
+    context, suffix = h[at - 1], h[at]
+    while len(at):
+        run = longer(suffix, h[at - depth])
+        yield depth, at, context, run, suffix
+        on = grown(depth, context) & (place[at] > depth)
+        at, context, suffix = at[on], context[on], run[on]
+        context = longer(context, h[at - depth - 1])
+        depth += 1
+
+
+def level_counts(docs: DataFrame, training: Column, depth: int, given, text: str = "text") -> DataFrame:
+    """(run, context, suffix, n) of the runs whose context has `depth` words, the last a common one, and a suffix that may be retained."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, bits = (unpacked(x) for x in given.value)
+        seen: dict[bytes, int] = {}
+        held: list[list[np.ndarray]] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            run, context, suffix = (np.concatenate(x).view(np.int64) for x in zip(*held, strict=True))
+            held.clear()
+            run, first, n = np.unique(run, return_index=True, return_counts=True)
+            for lo in range(0, len(run), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(run[part]), pa.array(context[first[part]]), pa.array(suffix[first[part]]), pa.array(n[part].astype(np.int64))], ["run", "context", "suffix", "n"])
+
+        some = 0
+        for batch in small(batches, text):
+            body = texts_of(batch, text)
+            for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
+                for d, _, context, run, suffix in levels(*hashes([tokens(t) for t in body[lo:hi]], seen), lambda _, c: holds(bits, as_context(c))):
+                    if d == depth:
+                        ok = holds(common, context) if d == 1 else slice(None)
+                        held.append([run[ok], context[ok], suffix[ok]])
+                        some += len(held[-1][0])
+                        break
+            if some > RUNS_FLUSH:
+                yield from rows()
+                some = 0
+        if held:
+            yield from rows()
+
+    counts = docs.where(training).select(text).mapInArrow(count, "run long, context long, suffix long, n long")
+    return counts.groupBy("run").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
+
+
+def grow_words(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str = "text") -> tuple[DataFrame | None, np.ndarray]:
+    """(key, value, n) of the retained contexts and the runs met in them, and a filter of the keys.
+
+    words: (key, p, n), the words' shares and counts; n: the number of tokens. Values are log10: of a context, the share
+    that it leaves to its suffix; of a run, its probability over the suffix's, less the value of its context."""
+    spark = docs.sparkSession
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    common = bits_of(words.where(F.col("n") >= LEAST))
+    before, parts, depth = words.select("key", "p"), [], 1
+    while True:
+        given = spark.sparkContext.broadcast((packed(common), packed(bits)))
+        counts = level_counts(docs, training, depth, given, text)
+        met = cut(counts.join(before.toDF("suffix", "q"), "suffix").drop("suffix"))
+        given.destroy()
+        c = F.col("n")
+        sums = met.groupBy("context").agg(F.sum("n").alias("a"), F.count("*").alias("s"), F.sum(c * F.log(c / F.col("q"))).alias("g"))
+        gain = 2 * (F.col("g") - F.col("a") * F.log(F.col("a")))
+        kept = cut(sums.where((F.col("a") >= LEAST) & (gain > F.col("s") * F.log(F.lit(float(n))))).select("context", "a", "s"))
+        if kept.isEmpty():
+            return (parts[0] if len(parts) == 1 else cut(_union(parts))) if parts else None, bits
+        rest = F.col("s") / (F.col("a") + F.col("s"))
+        p = c / (F.col("a") + F.col("s")) + rest * F.col("q")
+        runs = cut(met.join(kept, "context").select(F.col("run").alias("key"), p.alias("p"), (F.log10(p / F.col("q")) - F.log10(rest)).alias("value"), "n"))
+        own = _context_keys(kept.select("context", F.log10(rest).alias("value"), F.col("a").alias("n")))
+        level = cut(own.unionByName(runs.select("key", "value", "n")))
+        parts.append(level)
+        bits |= bits_of(level)
+        before, depth = runs.select("key", "p"), depth + 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _context_keys(contexts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = as_context(b.column("context").to_numpy().view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column("value"), b.column("n")], ["key", "value", "n"])
+
+    return contexts.mapInArrow(run, "key long, value double, n long")
+
+
+def hot_runs(model: DataFrame | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of the most frequent rows, as many whole counts as `most` rows hold."""
+    if model is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    least, held = None, 0
+    for r in model.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["n"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    top = model.where(F.col("n") >= least).select("key", "value").toArrow()
+    key = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], top.column("value").to_numpy()[order]
+
+
 def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
@@ -151,12 +325,20 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
     # Of the other words: their tokens, their number, and as many tokens for all unknown words as there are words met once.
     unknown = float(max(once, 1))
     others = float(total - sum(hot[w] for w in symbol)) + SHARE * (distinct - len(symbol)) + unknown
-    given = spark.sparkContext.broadcast((hot, symbol, tree))
-    schema = "rid long, doc_id long, training boolean, n_tokens long, n_hot long, base_hot double, log_hot double, cold array<struct<word:string,k:int>>"
+    # The words' shares, by which the others share alike in both trees, and by symbol.
+    whole = others + sum(hot[w] + SHARE for w in symbol) + texts + SHARE
+    share_of = np.log10(np.r_[texts + SHARE, [hot[w] + SHARE for w in symbol], np.ones(SYMBOLS - 2 - len(symbol)), others] / whole)
+    ends = spark.createDataFrame([(END, (texts + SHARE) / whole, int(texts))], "key long, p double, n long")
+    shares = vocabulary.select(F.xxhash64("word").alias("key"), ((F.col("c") + SHARE) / F.lit(whole)).alias("p"), F.col("c").alias("n")).unionByName(ends)
+    model, bits = grow_words(docs, training, shares, n, text) if n else (None, np.zeros(1 << FILTER_BITS - 3, np.uint8))
+    given = spark.sparkContext.broadcast((hot, symbol, tree, share_of, packed(bits), *hot_runs(model, HOT_RUNS)))
+    schema = "rid long, doc_id long, training boolean, n_tokens long, n_hot long, base_hot double, log_hot double, cold array<struct<word:string,k:int>>, runs array<struct<key:long,more:double>>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, symbol, packed = given.value
-        log_p = np.frombuffer(zstandard.decompress(packed), np.float32)
+        known, symbol, classes, share_of, bits, key, value = given.value
+        bits = unpacked(bits)
+        seen: dict[bytes, int] = {}
+        log_p = np.frombuffer(zstandard.decompress(classes), np.float32)
         log_base = {w: float(np.log10(c + 1)) for w, c in known.items()}
         log_share = {w: 0.0 if w in symbol else float(np.log10((c + SHARE) / others)) for w, c in known.items()}
         end, rid = float(np.log10(texts + 1)), TaskContext.get().partitionId() << 33
@@ -166,6 +348,24 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
                 held = [tokens(t) for t in body[lo:hi]]
                 number, offsets = runs(held, symbol)
                 path = np.add.reduceat(log_p[number], offsets[:-1], dtype=np.float64)
+                doc = np.repeat(np.arange(len(held)), np.diff(offsets))
+                # Where the word before is a context, its share comes in place of what the classes predict.
+                instead = share_of[number % SYMBOLS] - log_p[number]
+                late = []
+                for depth, at, context, run, _ in levels(*hashes(held, seen), lambda _, c: holds(bits, as_context(c))):
+                    first = holds(bits, as_context(context))
+                    at, context, run = at[first], as_context(context[first]), run[first]
+                    also = holds(bits, run)
+                    more = np.r_[instead[at] if depth == 1 else np.zeros(len(at)), np.zeros(also.sum())]
+                    at, k = np.r_[at, at[also]], np.r_[context, run[also]]
+                    i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
+                    there = key[i] == k if len(key) else np.zeros(len(k), bool)
+                    path += np.bincount(doc[at[there]], value[i[there]] + more[there], len(held))
+                    late.append((doc[at[~there]], k[~there], more[~there]))
+                late = [np.concatenate(x) for x in zip(*late, strict=True)] if late else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)]
+                order = np.argsort(late[0], kind="stable")
+                late_ends = np.r_[0, np.cumsum(np.bincount(late[0], minlength=len(held)))].astype(np.int32)
+                late_runs = pa.ListArray.from_arrays(pa.array(late_ends), pa.StructArray.from_arrays([pa.array(late[1][order].view(np.int64)), pa.array(late[2][order])], ["key", "more"]))
                 n_hot, base, share, ends, words, times = [], [], [], [0], [], []
                 for w in held:
                     found, b, s = int(texts > 0), end, 0.0
@@ -185,8 +385,8 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
                 cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "k"]))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid + lo, rid + hi)), part.column("doc_id"), part.column("training"), pa.array(np.diff(offsets)), pa.array(n_hot, pa.int64()), pa.array(base, pa.float64()), pa.array(path + np.array(share)), cold],
-                    ["rid", "doc_id", "training", "n_tokens", "n_hot", "base_hot", "log_hot", "cold"],
+                    [pa.array(np.arange(rid + lo, rid + hi)), part.column("doc_id"), part.column("training"), pa.array(np.diff(offsets)), pa.array(n_hot, pa.int64()), pa.array(base, pa.float64()), pa.array(path + np.array(share)), cold, late_runs],
+                    ["rid", "doc_id", "training", "n_tokens", "n_hot", "base_hot", "log_hot", "cold", "runs"],
                 )
             rid += len(body)
 
@@ -197,7 +397,12 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
         F.sum(F.col("k") * F.log10(F.coalesce(F.col("c") + SHARE, F.lit(unknown)) / F.lit(others))).alias("log_cold"),
     )
     zero = F.lit(0.0)
-    return rows.drop("cold").join(rest, "rid", "left").select(
+    if model is not None:
+        later = rows.select("rid", F.explode("runs").alias("x")).select("rid", "x.*").join(model.select("key", "value"), "key").groupBy("rid").agg(F.sum(F.col("value") + F.col("more")).alias("log_runs"))
+        rest = rest.join(later, "rid", "full")
+    else:
+        rest = rest.withColumn("log_runs", zero)
+    return rows.drop("cold", "runs").join(rest, "rid", "left").select(
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("base_cold", zero) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), (F.col("log_hot") + F.coalesce("log_cold", zero)).alias("score"),
+        (F.col("base_hot") + F.coalesce("base_cold", zero) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), (F.col("log_hot") + F.coalesce("log_cold", zero) + F.coalesce("log_runs", zero)).alias("score"),
     )

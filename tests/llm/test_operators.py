@@ -514,3 +514,28 @@ def test_no_documents_or_no_training(none, odd):
     rows = suffix_tree.scored(odd, F.lit(False)).collect()
     assert len(rows) == len(ODD) and {r.train_tokens for r in rows} == {0} and {r.n_known for r in rows} == {0}
     assert {round(r.base_score, 9) for r in rows} == {0.0}
+
+
+def test_contexts_are_whole_words_however_many(spark):
+    # More words than the classes tell apart, alike in number: pairs, and third words that only the two before tell.
+    many = range(600)
+    rows = [[f"a{i} b{i}" for i in many] * 10, [f"{x}{i} mid{i} {x}{i}end" for i in range(200) for x in ("l", "r")] * 40]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(x[i] for i in part) for x in rows for part in np.array_split(rng.permutation(len(x)), 100)]
+    held = [" ".join(f"a{i} b{i}" for i in many), " ".join(f"a{i} b{(i + 1) % 600}" for i in many), " ".join(f"l{i} mid{i} l{i}end" for i in range(200)), " ".join(f"l{i} mid{i} r{i}end" for i in range(200))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + held)], "doc_id long, text string")
+    score = {r.doc_id - len(texts): r.score for r in suffix_tree.scored(df, F.col("doc_id") < len(texts)).collect()}
+    assert score[0] > score[1] + 600 and score[2] > score[3] + 100
+
+
+def test_word_contexts_score_alike_from_either_table(spark, monkeypatch):
+    texts = ["x y z", "x y x y", "y x", "x z z y"] * 30
+    vocabulary = ["x", "y", "z"]
+    ends = [f"x {w}" for w in vocabulary]
+    for hot in (0, 1000):
+        monkeypatch.setattr(suffix_tree, "HOT_RUNS", hot)
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + ["x"] + ends)], "doc_id long, text string")
+        rows = {r.doc_id - len(texts): r.score for r in suffix_tree.scored(df, F.col("doc_id") < len(texts)).collect()}
+        if hot:
+            assert all(math.isclose(rows[k], before[k], rel_tol=1e-9) for k in before)
+        before = rows
