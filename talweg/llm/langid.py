@@ -21,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talweg.llm.char_grams import gram_ids, letters_only, lowered
@@ -163,7 +164,7 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
 
 
 def training_sample(docs: DataFrame, chosen: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most about per_language texts of each language among the chosen rows, by the least hash of doc_id."""
+    """At most per_language texts of each language among the chosen rows, by the least hash of doc_id."""
     rows = docs.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -171,13 +172,9 @@ def training_sample(docs: DataFrame, chosen: Column, per_language: int = PER_LAN
     rank = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30))
     under = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, int(min(1.0, 1.1 * per_language / n) * (1 << 30)))])
     wide = rows.where(rank < F.element_at(under, F.col("lang"))).select("text", "lang", rank.alias("rank"))
-    taken: dict[str, int] = defaultdict(int)
-    out = []
-    for r in wide.orderBy("rank").limit(len(counts) * per_language).toLocalIterator():
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            out.append((r["text"], r["lang"]))
-    return out
+    # Each language is bounded alone: what another has in excess takes nothing from it.
+    place = F.row_number().over(W.partitionBy("lang").orderBy("rank", F.xxhash64("text")))
+    return [(r["text"], r["lang"]) for r in wide.withColumn("place", place).where(F.col("place") <= per_language).toLocalIterator()]
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -113,6 +113,13 @@ def test_language_by_family(docs):
     assert langid.family("fr") == langid.family("es") != langid.family("de")
 
 
+def test_a_rare_language_keeps_its_sample(spark):
+    rows = [(10_000 * k + i, f"text {i}", f"l{k}") for k in range(14) for i in range(2000)] + [(900_000 + i, f"rare {i}", "rare") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = Counter(g for _, g in langid.training_sample(df, F.lit(True), 200))
+    assert taken["rare"] == 50 and all(150 < taken[f"l{k}"] <= 200 for k in range(14))
+
+
 def test_language_of_odd_rows(odd, none, docs):
     model = langid.fit([(r.text, r.lang) for r in docs.limit(100).collect()])
     rows = langid.identify(odd.withColumn("score", F.lit("x")), model).collect()
