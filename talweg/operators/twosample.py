@@ -6,7 +6,10 @@ matrix products, and only the sums for each pair of tiles leave a task. Every sp
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ from talweg.operators.ranking import running
 
 #: Vectors in one block; a pair of blocks is one row of at most 2 BLOCK vectors.
 BLOCK = 512
+#: Splits of tiles of one size that are enumerated; draws beyond.
+MOST_SPLITS = 5000
 
 
 def vector_blocks(vectors: DataFrame, n: int, key: str = "id") -> DataFrame:
@@ -128,6 +133,17 @@ def balanced_splits(tiles: list[int]) -> list[tuple[int, int, str]]:
     return [(m, t, "a" if m >> i & 1 else "b") for m in range(1 << len(tiles)) if m.bit_count() == half for i, t in enumerate(tiles)]
 
 
+def sized_splits(tiles: list[int], k: int) -> list[tuple[int, int, str]]:
+    """(split, tile, side) of k tiles against k others: every such split, or where those are more than MOST_SPLITS, as many
+    draws: the tiles in the order of a hash of (draw, tile), the first k against the next k, so that none is left out."""
+    if math.comb(len(tiles), k) * math.comb(len(tiles) - k, k) <= MOST_SPLITS:
+        pairs = [(a, b) for a in combinations(tiles, k) for b in combinations([t for t in tiles if t not in a], k)]
+    else:
+        orders = (sorted(tiles, key=lambda t: hashlib.md5(f"{rep},{t}".encode()).digest()) for rep in range(MOST_SPLITS))  # noqa: B023
+        pairs = [(o[:k], o[k : 2 * k]) for o in orders]
+    return [(i, t, side) for i, (a, b) in enumerate(pairs) for side, part in (("a", a), ("b", b)) for t in part]
+
+
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds ranks from 1, ties sharing their mean; ranks are worked out over distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))

@@ -170,6 +170,21 @@ def jackknife(spark, sf_dir):
     return by_tile.agg(F.count("*").alias("n"), F.round(F.min("p95"), 6).alias("least"), F.round(F.max("p95"), 6).alias("greatest"), F.round(F.avg("p95"), 6).alias("mean"), F.round(F.stddev_samp("p95"), 7).alias("sd"))
 
 
+_LEFT = "tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v order by tile limit 10)), size as (select (count(*) - 1) // 2 as k, count(*) as n from tiles), ks as (select a, b, (a * 1024 + b)::int as split from size, range(1, 1024) x(a), range(1, 1024) y(b) where a & b = 0 and bit_count(a) = k and bit_count(b) = k and (a | b) < (1 << n)), sz as (select split, t.tile, case when (a >> t.i) & 1 = 1 then 'a' else 'b' end as side from ks, tiles t where ((a | b) >> t.i) & 1 = 1)"
+
+
+@query(f"""with {_GAUSS}, {_LEFT}, {_mmd('sz', 'split')}, loo as (select t.tile, quantile_cont(m.mmd2, 0.95) as p95 from tiles t join ks on ((a | b) >> t.i) & 1 = 0 join mmd m on m.split = ks.split group by all)
+select count(*) as n, round(min(p95), 6) as least, round(max(p95), 6) as greatest, round(avg(p95), 6) as mean, round(stddev_samp(p95), 7) as sd from loo""")
+def leave_one_out(spark, sf_dir):
+    """95th percentile of the null over splits of K against K other tiles, K as large as fits without one tile, tile by tile, and its spread."""
+    tiles = [r["tile"] for r in sizes_of(spark, sf_dir).orderBy("tile").collect()]
+    rows = [(t, *x) for t in tiles for x in twosample.sized_splits([o for o in tiles if o != t], (len(tiles) - 1) // 2)]
+    splits = spark.createDataFrame(rows, "left_out long, split int, tile long, side string")
+    null = twosample.mmd2(sums_of(spark, sf_dir), splits, sizes_of(spark, sf_dir), "left_out", "split")
+    by_tile = null.groupBy("left_out").agg(F.percentile("mmd2", 0.95).alias("p95"))
+    return by_tile.agg(F.count("*").alias("n"), F.round(F.min("p95"), 6).alias("least"), F.round(F.max("p95"), 6).alias("greatest"), F.round(F.avg("p95"), 6).alias("mean"), F.round(F.stddev_samp("p95"), 7).alias("sd"))
+
+
 @query(f"""with {_D}, w as (select d, ta = tb as same from pd) select round(avg(d) filter (where not same) / avg(d) filter (where same), 6) as mean_ratio, round(quantile_cont(d, 0.5) filter (where not same) / quantile_cont(d, 0.5) filter (where same), 6) as median_ratio from w""")
 def raw_movement(spark, sf_dir):
     """Distances across tiles over those within."""

@@ -46,3 +46,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_each_left_out_tile_gives_its_own_percentile(spark, sf_dir):
+    r = QUERIES["leave_one_out"](spark, sf_dir).first()
+    assert r.n > 1 and r.least < r.greatest and r.sd > 0
