@@ -133,6 +133,17 @@ def power_curve(spark, sf_dir):
     return out.select("k", "reps", "side_min", *[F.round(c, 6).alias(c) for c in ("side_mean", "median", "p95", "greatest")])
 
 
+@query(f"""with {_GAUSS}, {_SIZED.replace('<= 2', '<= 5')}, {_mmd('sz', 'split')} select k.k, count(*) as reps, round(avg((n_a + n_b) / 2), 6) as side_mean, min(least(n_a, n_b)) as side_min, round(quantile_cont(mmd2, 0.5), 6) as median, round(quantile_cont(mmd2, 0.95), 6) as p95, round(max(mmd2), 6) as greatest
+from mmd join ks k on k.split = mmd.split group by k.k""")
+def power_curve_whole(spark, sf_dir):
+    """The power curve over all tiles, K up to half their number; the SQL is for ten tiles."""
+    tiles = [r["tile"] for r in sizes_of(spark, sf_dir).orderBy("tile").collect()]
+    rows = [(k, *x) for k in range(1, len(tiles) // 2 + 1) for x in twosample.sized_splits(tiles, k)]
+    splits = spark.createDataFrame(rows, "k int, split int, tile long, side string")
+    null = twosample.mmd2(sums_of(spark, sf_dir), splits, sizes_of(spark, sf_dir), "k", "split")
+    return twosample.null_summary(null, "k").select("k", "reps", "side_min", *[F.round(c, 6).alias(c) for c in ("side_mean", "median", "p95", "greatest")])
+
+
 @query(f"""with {_GAUSS}, {_SPLITS}, {_mmd('split', 'split')}, test as (select mmd2 + 0.001 as mmd2 from mmd where split % 3 = 0), f as (select quantile_cont(mmd2, 0.95) as floor from mmd), m as (select quantile_cont(mmd2, 0.5) as median from test)
 select round(floor, 6) as floor, round(median, 6) as median, round(median / floor, 4) as ratio, round((select avg((mmd2 > floor)::int) from test, f), 6) as above, round((select avg((mmd2 >= median)::int) from mmd, m), 6) as p, median > floor as rejected from f, m""")
 def test_vs_null(spark, sf_dir):

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from talweg.operators import twosample
 from talweg.plans import ORACLE_SQL, QUERIES
 
 
@@ -51,3 +52,13 @@ def test_entry(spark):
 def test_each_left_out_tile_gives_its_own_percentile(spark, sf_dir):
     r = QUERIES["leave_one_out"](spark, sf_dir).first()
     assert r.n > 1 and r.least < r.greatest and r.sd > 0
+
+
+def test_power_curve_runs_to_half_the_tiles(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label").distinct().count()
+    assert sorted(r.k for r in QUERIES["power_curve_whole"](spark, sf_dir).collect()) == list(range(1, n // 2 + 1))
+
+
+def test_drawn_splits_hold_every_tile():
+    drawn = twosample.sized_splits(list(range(21)), 10)
+    assert {t for _, t, _ in drawn} == set(range(21)) and len(drawn) == 20 * twosample.MOST_SPLITS
