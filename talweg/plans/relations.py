@@ -461,13 +461,22 @@ def size_estimate(spark, sf_dir):
 
 @query(f"with {CELLS}, bx as (select s_suppkey as k, (s_suppkey % 5)::int as r0, (s_suppkey % 4)::int as c0 from supplier where s_suppkey <= 50) select k as box, patch_id, r - r0 as r, c - c0 as c, round(z, 6) as z from cells join bx on bx.k = patch_id and r between r0 and r0 + 3 and c between c0 and c0 + 3")
 def patch_extract(spark, sf_dir):
-    """Cells of each patch inside its box, in the box's own rows and columns."""
+    """Cells of each patch inside its box, for the boxes of the first 50 suppliers as in the SQL, in the box's own rows and columns."""
     b = table(spark, sf_dir, "supplier").where("s_suppkey <= 50").select(F.col("s_suppkey").alias("box"), (F.col("s_suppkey") % 5).cast("int").alias("r0"), (F.col("s_suppkey") % 4).cast("int").alias("c0"))
     at = cells(patches(spark, sf_dir)).join(b, F.col("box") == F.col("patch_id"))
     inside = at.where((F.col("r") >= F.col("r0")) & (F.col("r") <= F.col("r0") + 3) & (F.col("c") >= F.col("c0")) & (F.col("c") <= F.col("c0") + 3))
     return inside.select("box", "patch_id", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), F.round("z", 6).alias("z"))
 
 
+@query(f"with {CELLS}, bx as (select s_suppkey as k, (s_suppkey % 5)::int as r0, (s_suppkey % 4)::int as c0 from supplier) select k as box, patch_id, r - r0 as r, c - c0 as c, round(z, 6) as z from cells join bx on bx.k = patch_id and r between r0 and r0 + 3 and c between c0 and c0 + 3")
+def patch_extract_all(spark, sf_dir):
+    """Cells of each patch inside its box, for all boxes, in the box's own rows and columns."""
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("box"), (F.col("s_suppkey") % 5).cast("int").alias("r0"), (F.col("s_suppkey") % 4).cast("int").alias("c0"))
+    at = cells(patches(spark, sf_dir)).join(b, F.col("box") == F.col("patch_id"))
+    inside = at.where((F.col("r") >= F.col("r0")) & (F.col("r") <= F.col("r0") + 3) & (F.col("c") >= F.col("c0")) & (F.col("c") <= F.col("c0") + 3))
+    return inside.select("box", "patch_id", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), F.round("z", 6).alias("z"))
+
+
 @query("select n_name, r_name from nation, region where n_regionkey = r_regionkey and n_nationkey between 3 and 15")
 def scan_filter(spark, sf_dir):
     """Column pruning and a filter that reaches the scan."""

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from talweg.operators import twosample
 from talweg.plans import ORACLE_SQL, QUERIES
@@ -62,3 +63,13 @@ def test_power_curve_runs_to_half_the_tiles(spark, sf_dir):
 def test_drawn_splits_hold_every_tile():
     drawn = twosample.sized_splits(list(range(21)), 10)
     assert {t for _, t, _ in drawn} == set(range(21)) and len(drawn) == 20 * twosample.MOST_SPLITS
+
+
+def test_every_box_is_extracted(spark, tmp_path, monkeypatch):
+    from talweg.plans import relations
+
+    grid = spark.createDataFrame([(i, [[float(i)] * 8] * 8) for i in (1, 50, 51, 60)], "patch_id long, z array<array<double>>")
+    monkeypatch.setattr(relations, "patches", lambda *_: grid)
+    monkeypatch.setattr(relations, "cells", lambda df: df.select("patch_id", F.posexplode("z").alias("r", "row")).select("patch_id", "r", F.posexplode("row").alias("c", "z")))
+    monkeypatch.setattr(relations, "table", lambda *_: spark.range(1, 70).toDF("s_suppkey"))
+    assert {r.box for r in relations.patch_extract_all(spark, "").collect()} == {1, 50, 51, 60}
