@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import tempfile
 import uuid
@@ -15,18 +16,46 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a folder of our own only where none is configured."""
+    """The checkpoint folder that the cluster names; a folder of our own only on one machine where none is configured."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talweg-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="talweg-checkpoint-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: what follows reads it instead of working it out again."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: With this setting Spark deletes a query's shuffle files when the query ends; lost ones are made again on demand.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: what follows reads it instead of working it out again.
+
+    The shuffle files behind it go at once, and so do `done`, tables cut before that nothing reads after this."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    for table in done:
+        drop(table)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that cut() made."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: TIFF field types with their sizes and struct codes, and the tags of a single-band raster.
