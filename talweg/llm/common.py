@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,24 +10,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talweg.sources.files import cut, drop
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "drop"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a folder of our own only where none is configured."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talweg-checkpoint-"))
-    return context.getCheckpointDir()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df as a Parquet table in the shared checkpoint folder."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def own_partitions(spark: SparkSession, parts: int) -> list[int]:
+    """`parts` ints that repartition(parts, column of them) deals to a partition each."""
+    keys: dict[int, int] = {}
+    for r in spark.range(0, parts * 40 + 1000, 1, 1).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect():
+        keys[r["at"]] = r["id"]
+    if len(keys) < parts:
+        return list(range(parts))
+    return [keys[k] for k in range(parts)]
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -2,22 +2,22 @@
 
 Tokens are lower-cased words and one end for each text. A node is a context of whole words. Contexts of one word are
 tried first, and those that a retained context is the suffix of after that, as long as any is retained: depth and
-number of contexts follow the counts and have no bound. A context met `LEAST` times or more is retained if the
-log-likelihood ratio between its next words and its suffix's prediction exceeds, for each distinct next word, the
-logarithm of the number of tokens. Next words are smoothed towards the suffix's with the weight of as many tokens as
-there are distinct next words, and at last towards the words' shares. A token is scored by the longest retained
-suffix of what precedes it.
-
-Where the word before is no retained context, a tree over classes predicts: its symbols are the `SYMBOLS` - 2 most
-frequent words, the end, and one for all other words, its contexts up to `DEPTH` symbols, retained above `DIVERGENCE`
-and smoothed with weight `PRIOR`. A word among the others has its smoothed share of their count besides, and words
-that no training text holds have together the share of the words met once.
-
-Counts are taken over all training texts, summed by shuffle and kept as tables: words, and for each level of contexts
-runs of words as 64-bit hashes. A text's score is a sum over its runs: a retained context adds the logarithm of what
-it leaves to its suffix, a run that was met what it differs from that. The `HOT` most frequent words and the
-`HOT_RUNS` most frequent runs go to every task, and a filter of 2**`FILTER_BITS` bits that tells most runs that are in
-no table; what else a document holds is joined to the tables.
+number of contexts follow the counts and have no bound. A context met `LEAST` times or more is retained if its next
+words diverge from what its suffix predicts: the log-likelihood ratio over the next words met twice or more, and all
+others together, exceeds for each of these the logarithm of the number of tokens. In a retained context the words met
+twice or more count; tokens met once there count for the suffix, whose smoothed prediction has their weight and that of
+as many tokens as there are words met more often. A token is so predicted by the longest retained suffix of what
+precedes it, and at last by the words' shares; unknown words have together the share of the words met once.
+
+All counts are over all training texts. Words and contexts are 64-bit hashes. Each level of contexts is counted in
+two steps: a task counts what it reads and deals the counts by context, packed into blocks of bytes; of contexts that
+end with a very frequent word the counts are dealt by next word too. A block's counts are summed by the task that gets
+it, whose share is bounded by `DEAL` tokens. Divergence tests and smoothing are joins and sums over what was met twice.
+
+A text's score is a sum: a retained context adds the logarithm of what it leaves to its suffix, a run of a context and
+a next word that was met what it differs from that. The most frequent words and runs, at most `HOT` and `HOT_RUNS`,
+go to every task, with filters of at most 2**`FILTER_BITS` bits that tell most keys that are in no table; what else a
+document holds is joined to the tables.
 
 Nulls and edges: a null text reads as empty and has the end alone as token; rows equal in every column are each
 answered; a null doc_id counts as the empty text for the training split; without training texts every count is 0.
@@ -25,157 +25,133 @@ answered; a null doc_id counts as the empty text for the training split; without
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.common import blocks, cut, small, texts_of
+from talweg.llm.common import blocks, cut, drop, own_partitions, small, texts_of
 
-SYMBOLS, DEPTH, LEAST, DIVERGENCE, PRIOR, SHARE = 256, 2, 8, 300.0, 50.0, 0.75
-HOT, HOT_BYTES, FLUSH, BLOCK_CHARS = 100_000, 48, 200_000, 1 << 20
-HOT_RUNS, RUNS_FLUSH, FILTER_BITS = 2_000_000, 1 << 21, 27
-END = 0x5851F42D4C957F2D
+LEAST, SHARE = 8, 0.75
+HOT, HOT_RUNS, FILTER_BITS = 1 << 19, 2_000_000, 28
+FLUSH, DEAL, BLOCK_CHARS = 1 << 21, 1 << 22, 1 << 20
+END = np.uint64(0x5851F42D4C957F2D)
+_BLANK = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BYTES = np.random.default_rng(7).integers(1 << 63, 1 << 64, 256, np.uint64) | np.uint64(1)
+_POWERS = np.ones(1, np.uint64)
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of the runs with one more word before them."""
+    return mixed((run * np.uint64(0x9E3779B97F4A7C15)) ^ (word + np.uint64(0x632BE59BD9B4E019)))
+
+
+def as_context(run: np.ndarray) -> np.ndarray:
+    """Keys of contexts, apart from those of the same words as a run."""
+    h = (run ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token of each text, and the number of tokens of each text."""
+    global _POWERS
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer((b" " + b" ".join(parts) + b" ").translate(_BLANK), np.uint8)
+    solid = data != 32
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    if len(sizes) and sizes.max() > len(_POWERS):
+        _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max()) * 2, 0x9FB21C651E98DF25, np.uint64)])
+    letters = np.flatnonzero(solid)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    h = np.add.reduceat(_BYTES[data[letters]] * _POWERS[place], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.uint64)
+    h = mixed(h ^ (sizes.astype(np.uint64) << np.uint64(48)))
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    upto = np.searchsorted(starts, ends)
+    return np.insert(h, upto, END), np.diff(np.r_[0, upto]) + 1
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """The place of each token in its text."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, sums of n, a place of each)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n[order], first) if len(key) else n[:0], order[first]
+
+
+def _rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(columns.values())))
+    for lo in range(0, n, 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns.values()], list(columns))
 
 
 def corpus_counts(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
-    """(word, n): counts of the words, and under null of the texts."""
-    schema = "word string, n long"
+    """(key, n): counts of the tokens of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(words: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
-
-        words: Counter = Counter()
-        texts = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        some = 0
         for batch in small(batches, text):
-            for t in texts_of(batch, text):
-                words.update(tokens(t))
-                texts += 1
-                if len(words) > FLUSH:
-                    yield rows(words)
-                    words = Counter()
-        if words:
-            yield rows(words)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([texts], pa.int64())], ["word", "n"])
-
-    return docs.where(training).select(text).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def runs(texts: list[list[bytes]], symbol: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each token (words, then the end) of each text the number of its run of DEPTH + 1 symbols; the texts' offsets."""
-    other, lead = SYMBOLS - 1, [0] * DEPTH
-    flat: list[int] = []
-    for w in texts:
-        flat += lead
-        flat += [symbol.get(x, other) for x in w]
-        flat.append(0)
-    symbols = np.array(flat, np.int32)
-    sizes = np.array([len(w) + 1 for w in texts], np.int64)
-    offsets = np.r_[0, np.cumsum(sizes)]
-    number = np.zeros(len(symbols), np.int32)
-    for j in range(DEPTH, -1, -1):
-        number *= SYMBOLS
-        number[j:] += symbols[: len(symbols) - j]
-    scored = np.ones(len(symbols), bool)
-    starts = offsets[:-1] + DEPTH * np.arange(len(texts))
-    for j in range(DEPTH):
-        scored[starts + j] = False
-    return number[scored], offsets
-
-
-def run_counts(docs: DataFrame, training: Column, symbol: dict[bytes, int], text: str = "text") -> DataFrame:
-    """(run, n): counts of runs of DEPTH + 1 symbols in the training texts."""
+            h, _ = hashes(texts_of(batch, text))
+            held.append(np.unique(h, return_counts=True))
+            some += len(held[-1][0])
+            if some > FLUSH:
+                key, n, _ = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, some = [(key, n)], len(key)
+                if some > FLUSH // 2:
+                    yield from _rows({"key": key.view(np.int64), "n": n})
+                    held, some = [], 0
+        if held:
+            key, n, _ = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from _rows({"key": key.view(np.int64), "n": n})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, some = np.zeros(SYMBOLS ** (DEPTH + 1), np.int32), 0
+    return docs.where(training).select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(seen)
-            for lo in range(0, len(at), 1 << 16):
-                part = at[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part].astype(np.int64))], ["run", "n"])
-            seen[:] = 0
 
-        for batch in small(batches, text):
-            body = texts_of(batch, text)
-            for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
-                number, _ = runs([tokens(t) for t in body[lo:hi]], symbol)
-                np.add.at(seen, number, 1)
-                some += len(number)
-            if some > 1 << 30:
-                yield from rows()
-                some = 0
-        yield from rows()
-
-    return docs.where(training).select(text).mapInArrow(count, "run int, n long").groupBy("run").agg(F.sum("n").alias("n"))
-
-
-def grow(run: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 probability of the last symbol of each run after the others, by the longest retained suffix; float32."""
-    full = np.zeros(SYMBOLS ** (DEPTH + 1), np.float32)
-    full[run] = n
-    levels = [full.reshape(-1, SYMBOLS)]
-    while len(levels) <= DEPTH:
-        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(0, dtype=np.float64).astype(np.float32))
-    state = (levels[DEPTH] + 1) / (levels[DEPTH].sum(dtype=np.float64) + SYMBOLS)
-    for depth in range(1, DEPTH + 1):
-        counts = levels[DEPTH - depth]
-        out = np.empty(counts.shape, np.float32)
-        for first in range(SYMBOLS):  # the contexts that begin with one symbol are in the order of their suffixes
-            rows = slice(first * len(state), (first + 1) * len(state))
-            c = counts[rows]
-            total = c.sum(1, keepdims=True)
-            p = (c + PRIOR * state) / (total + PRIOR)
-            gain = 2 * (c * (np.log(p) - np.log(state))).sum(1)
-            retained = (total[:, 0] >= LEAST) & (gain > DIVERGENCE)
-            out[rows] = np.where(retained[:, None], p, state)
-        state = out
-    return np.log10(state, out=state).astype(np.float32).reshape(-1)
+# Filters
 
 
-def longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of the runs with one more word before them."""
-    h = (run * np.uint64(0x9E3779B97F4A7C15)) ^ (word + np.uint64(0x632BE59BD9B4E019))
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+def _at(key: np.ndarray, probe: int, size: int) -> np.ndarray:
+    return (key >> np.uint64(35 * probe) & np.uint64(size - 1)).astype(np.int64)
 
 
-def as_context(run: np.ndarray) -> np.ndarray:
-    """Keys of contexts, apart from those of the same words as a run."""
-    h = (run ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+def holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether keys may be among those of a filter."""
+    out = np.ones(len(key), bool)
+    for probe in range(2):
+        at = _at(key, probe, 8 * len(bits))
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
-def hashes(texts: list[list[bytes]], seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its hash (Spark's xxhash64 of the word) and its place in its text."""
-    h, flat = xxhash.xxh64_intdigest, []
-    for w in texts:
-        for x in w:
-            k = seen.get(x)
-            if k is None:
-                k = seen[x] = h(x, seed=42)
-            flat.append(k)
-        flat.append(END)
-    if len(seen) > FLUSH:
-        seen.clear()
-    sizes = np.array([len(w) + 1 for w in texts], np.int64)
-    return np.array(flat, np.uint64), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def no_bits(n: int) -> np.ndarray:
+    """An empty filter for keys out of n tokens."""
+    return np.zeros(1 << min(FILTER_BITS, max(16, (4 * n).bit_length())) - 3, np.uint8)
 
 
-def holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+def bits_of(keys: DataFrame, n: int) -> np.ndarray:
+    """A filter of the column key: two bits for each."""
+    out = no_bits(n)
+    low = F.lit(8 * len(out) - 1)
+    probes = F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", 35).bitwiseAND(low))
+    x = keys.select(F.explode(probes).alias("x")).select((F.col("x") + 1).alias("x"))
+    for r in x.groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toLocalIterator():
+        out[(r["b"] - 1) << 12 : r["b"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def packed(bits: np.ndarray) -> bytes:
@@ -186,101 +162,161 @@ def unpacked(bits: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(bits), np.uint8)
 
 
-def bits_of(keys: DataFrame) -> np.ndarray:
-    """A filter of the column key: a bit for each remainder of 2**FILTER_BITS."""
-    x = F.pmod("key", F.lit(1 << FILTER_BITS)) + 1
-    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for r in keys.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toLocalIterator():
-        out[(r["b"] - 1) << 12 : r["b"] << 12] = np.frombuffer(r["bits"], np.uint8)
-    return out
+# Levels of contexts
 
 
-def levels(h: np.ndarray, place: np.ndarray, grown) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(depth, token, context, run, suffix) for contexts of one word and more, onward where grown(depth, context)."""
+def levels(h: np.ndarray, place: np.ndarray, grown) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(depth, token, context, suffix's context) for contexts of one word and more, onward where grown(context)."""
     at, depth = np.flatnonzero(place >= 1), 1
-    context, suffix = h[at - 1], h[at]
+    context = h[at - 1]
+    suffix = context
     while len(at):
-        run = longer(suffix, h[at - depth])
-        yield depth, at, context, run, suffix
-        on = grown(depth, context) & (place[at] > depth)
-        at, context, suffix = at[on], context[on], run[on]
-        context = longer(context, h[at - depth - 1])
+        yield depth, at, context, suffix
+        on = (place[at] > depth) & grown(context)
+        at, suffix = at[on], context[on]
         depth += 1
+        context = longer(suffix, h[at - depth])
+
+
+def _wide(values: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, which compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def level_counts(docs: DataFrame, training: Column, depth: int, given, text: str = "text") -> DataFrame:
-    """(run, context, suffix, n) of the runs whose context has `depth` words, the last a common one, and a suffix that may be retained."""
+def _narrow(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def pack(context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts n of words after contexts as a block of bytes: each context and each word is there once."""
+    order = np.argsort(context, kind="stable")
+    context = context[order]
+    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    words, at = np.unique(word[order], return_inverse=True)
+    sizes = np.array([len(first), len(words), len(order)], "<u8")
+    body = [context[first].tobytes(), suffix[order][first].tobytes(), words.tobytes(), _wide(np.diff(np.r_[first, len(order)])), _wide(at), _wide(n[order])]
+    return zstandard.compress(sizes.tobytes() + b"".join(body), 1)
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.decompress(block)
+    a, b, c = np.frombuffer(data[:24], "<u8").tolist()
+    ends = np.cumsum([24, 8 * a, 8 * a, 8 * b, 4 * a, 4 * c, 4 * c]).tolist()
+    x = [data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
+    context, suffix, words = (np.frombuffer(y, np.uint64) for y in x[:3])
+    many = _narrow(x[3])
+    return np.repeat(context, many), np.repeat(suffix, many), words[_narrow(x[4])], _narrow(x[5]).astype(np.int64)
+
+
+def level_counts(docs: DataFrame, training: Column, depth: int, given, parts: int, text: str = "text") -> DataFrame:
+    """(run, context, suffix, n) of runs met twice or more whose context has `depth` words and may be retained, and under
+    a null run the tokens after each such context; contexts that are dealt by next word are there in parts."""
+    keys = own_partitions(docs.sparkSession, parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, bits = (unpacked(x) for x in given.value)
-        seen: dict[bytes, int] = {}
+        common, bits, met = (unpacked(x) for x in given.value[:3])
+        frequent = given.value[3]
         held: list[list[np.ndarray]] = []
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            run, context, suffix = (np.concatenate(x).view(np.int64) for x in zip(*held, strict=True))
+        def blocks_of() -> Iterator[pa.RecordBatch]:
+            context, suffix, word, last = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            run, first, n = np.unique(run, return_index=True, return_counts=True)
-            for lo in range(0, len(run), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(run[part]), pa.array(context[first[part]]), pa.array(suffix[first[part]]), pa.array(n[part].astype(np.int64))], ["run", "context", "suffix", "n"])
+            run, n, at = summed(longer(word, context), np.ones(len(word), np.int64))
+            context, suffix, word, part = context[at], suffix[at], word[at], np.isin(last[at], frequent)
+            place = (mixed(np.where(part, run, context)) >> np.uint64(20)).astype(np.int64) % parts * 2 + part
+            order = np.argsort(place, kind="stable")
+            ends = np.searchsorted(place[order], np.arange(2 * parts + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                rows = order[ends[k] : ends[k + 1]]
+                block = pack(context[rows], suffix[rows], word[rows], n[rows])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k // 2]], pa.int32()), pa.array([bool(k % 2)]), pa.array([block], pa.binary())], ["place", "part", "block"])
 
         some = 0
         for batch in small(batches, text):
             body = texts_of(batch, text)
             for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
-                for d, _, context, run, suffix in levels(*hashes([tokens(t) for t in body[lo:hi]], seen), lambda _, c: holds(bits, as_context(c))):
+                h, sizes = hashes(body[lo:hi])
+                ok = holds(common, h)
+                # A context of two words is no more frequent than its words as a run of the level before.
+                may = lambda c: holds(bits, as_context(c))
+                for d, at, context, suffix in levels(h, places(sizes), may):
                     if d == depth:
-                        ok = holds(common, context) if d == 1 else slice(None)
-                        held.append([run[ok], context[ok], suffix[ok]])
-                        some += len(held[-1][0])
+                        good = ok[at - d] & (holds(met, context) if d == 2 else True)
+                        at, context, suffix = at[good], context[good], suffix[good]
+                        held.append([context, suffix, h[at], h[at - 1]])
+                        some += len(at)
                         break
-            if some > RUNS_FLUSH:
-                yield from rows()
+            if some > FLUSH:
+                yield from blocks_of()
                 some = 0
         if held:
-            yield from rows()
-
-    counts = docs.where(training).select(text).mapInArrow(count, "run long, context long, suffix long, n long")
-    return counts.groupBy("run").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
-
-
-def grow_words(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str = "text") -> tuple[DataFrame | None, np.ndarray]:
-    """(key, value, n) of the retained contexts and the runs met in them, and a filter of the keys.
+            yield from blocks_of()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+        for batch in batches:
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                held[part].append(unpack(block))
+        for part, some in held.items():
+            if not some:
+                continue
+            context, suffix, word, n = (np.concatenate(x) for x in zip(*some, strict=True))
+            run, n, at = summed(longer(word, context), n)
+            context, suffix, word = context[at], suffix[at], word[at]
+            total, a, _ = summed(context, n)
+            twice = n >= 2
+            if not part:  # of these contexts all is here
+                total, a = total[a >= LEAST], a[a >= LEAST]
+                twice &= np.isin(context, total)
+            before = word if depth == 1 else longer(word, suffix)
+            columns = (run[twice], context[twice], before[twice])
+            yield from _rows(dict(zip(("run", "context", "suffix"), (c.view(np.int64) for c in columns), strict=True)) | {"n": n[twice]})
+            for lo in range(0, len(total), 1 << 16):
+                x, y = total[lo : lo + (1 << 16)].view(np.int64), a[lo : lo + (1 << 16)]
+                none = pa.nulls(len(x), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(x), none, pa.array(y)], ["run", "context", "suffix", "n"])
+
+    dealt = docs.where(training).select(text).mapInArrow(count, "place int, part boolean, block binary")
+    return dealt.repartition(parts, "place").mapInArrow(merge, "run long, context long, suffix long, n long")
+
+
+def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str = "text") -> tuple[list[DataFrame], np.ndarray]:
+    """(key, value, n) of the retained contexts and of the runs met in them, level by level, and a filter of the keys.
 
     words: (key, p, n), the words' shares and counts; n: the number of tokens. Values are log10: of a context, the share
     that it leaves to its suffix; of a run, its probability over the suffix's, less the value of its context."""
     spark = docs.sparkSession
-    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    common = bits_of(words.where(F.col("n") >= LEAST))
-    before, parts, depth = words.select("key", "p"), [], 1
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // DEAL + 1)
+    bits = no_bits(n)
+    common, met_bits = bits_of(words.where((F.col("n") >= LEAST) & (F.col("key") != int(END.view(np.int64)))), n), no_bits(n)
+    frequent = words.where(F.col("n") > n // (4 * parts)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+    before, out, depth = words.select("key", "p"), [], 1
+    c, least = F.col("n"), F.col("seen") + F.col("m")
     while True:
-        given = spark.sparkContext.broadcast((packed(common), packed(bits)))
-        counts = level_counts(docs, training, depth, given, text)
-        met = cut(counts.join(before.toDF("suffix", "q"), "suffix").drop("suffix"))
+        given = spark.sparkContext.broadcast((packed(common), packed(bits), packed(met_bits), frequent))
+        raw = cut(level_counts(docs, training, depth, given, parts, text))
         given.destroy()
-        c = F.col("n")
-        sums = met.groupBy("context").agg(F.sum("n").alias("a"), F.count("*").alias("s"), F.sum(c * F.log(c / F.col("q"))).alias("g"))
-        gain = 2 * (F.col("g") - F.col("a") * F.log(F.col("a")))
-        kept = cut(sums.where((F.col("a") >= LEAST) & (gain > F.col("s") * F.log(F.lit(float(n))))).select("context", "a", "s"))
+        if depth == 1:
+            met_bits = bits_of(raw.where(F.col("run").isNotNull() & (c >= LEAST)).select(F.col("run").alias("key")), n)
+        met = cut(raw.where(F.col("run").isNotNull()).join(before.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix").drop("suffix"))
+        total = raw.where(F.col("run").isNull()).groupBy("context").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
+        own = met.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("s"), F.sum("q").alias("mass"), F.sum(c * F.log(c / F.col("q"))).alias("g"))
+        rest = F.col("a") - F.col("seen")
+        others = F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+        gain = 2 * (F.col("g") + others - F.col("a") * F.log("a"))
+        kept = cut(own.join(total, "context").where(gain > (F.col("s") + 1) * F.log(F.lit(float(n)))).select("context", "seen", (rest + F.col("s")).alias("m"), "a"), raw)
         if kept.isEmpty():
-            return (parts[0] if len(parts) == 1 else cut(_union(parts))) if parts else None, bits
-        rest = F.col("s") / (F.col("a") + F.col("s"))
-        p = c / (F.col("a") + F.col("s")) + rest * F.col("q")
-        runs = cut(met.join(kept, "context").select(F.col("run").alias("key"), p.alias("p"), (F.log10(p / F.col("q")) - F.log10(rest)).alias("value"), "n"))
-        own = _context_keys(kept.select("context", F.log10(rest).alias("value"), F.col("a").alias("n")))
-        level = cut(own.unionByName(runs.select("key", "value", "n")))
-        parts.append(level)
-        bits |= bits_of(level)
+            drop(met)
+            drop(kept)
+            return out, bits
+        p = (c + F.col("m") * F.col("q")) / least
+        runs = cut(met.join(kept.drop("a"), "context").select(F.col("run").alias("key"), p.alias("p"), F.log10(1 + c / (F.col("m") * F.col("q"))).alias("value"), "n"), met)
+        contexts = cut(_context_keys(kept.select("context", F.log10(F.col("m") / least).alias("value"), F.col("a").alias("n"))), kept)
+        out += [runs.select("key", "value", "n"), contexts]
+        bits |= bits_of(runs.select("key").union(contexts.select("key")), n)
         before, depth = runs.select("key", "p"), depth + 1
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 def _context_keys(contexts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,119 +326,106 @@ def _context_keys(contexts: DataFrame) -> DataFrame:
     return contexts.mapInArrow(run, "key long, value double, n long")
 
 
-def hot_runs(model: DataFrame | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and values of the most frequent rows, as many whole counts as `most` rows hold."""
-    if model is None:
-        return np.zeros(0, np.uint64), np.zeros(0)
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def hot_rows(table: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, and a column, of the rows with the greatest n: as many whole counts as `most` rows hold."""
     least, held = None, 0
-    for r in model.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():
+    for r in table.groupBy(F.least("n", F.lit(10_000)).alias("least")).agg(F.count("*").alias("rows")).orderBy(F.desc("least")).collect():
         held += r["rows"]
         if held > most:
             break
-        least = r["n"]
+        least = r["least"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0)
-    top = model.where(F.col("n") >= least).select("key", "value").toArrow()
+    top = table.where(F.col("n") >= least).select("key", column).toArrow()
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    return key[order], top.column("value").to_numpy()[order]
+    return key[order], top.column(column).to_numpy()[order]
+
+
+def _found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return i, keys[i] == key
 
 
 def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     counts = cut(corpus_counts(docs, training, text))
-    vocabulary = counts.where("word is not null").select("word", F.col("n").alias("c"))
-    texts = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
-    distinct, total, once = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1)).first()
-    n, v = total + texts, distinct + (texts > 0)
-    # A bounded part of the vocabulary: HOT words of at most HOT_BYTES bytes, the first SYMBOLS - 2 of them symbols.
-    top = vocabulary.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT).toArrow()
-    hot = dict(zip([w.encode() for w in top.column("word").to_pylist()], top.column("c").to_pylist(), strict=True))
-    symbol = {w: i + 1 for i, w in enumerate(list(hot)[: SYMBOLS - 2])}
-    grams = run_counts(docs, training, symbol, text).toArrow()
-    tree = zstandard.compress(grow(grams.column("run").to_numpy(), grams.column("n").to_numpy()).tobytes(), 1)
-    # Of the other words: their tokens, their number, and as many tokens for all unknown words as there are words met once.
+    v, n, once = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+    # For all unknown words as many tokens as there are words met once.
     unknown = float(max(once, 1))
-    others = float(total - sum(hot[w] for w in symbol)) + SHARE * (distinct - len(symbol)) + unknown
-    # The words' shares, by which the others share alike in both trees, and by symbol.
-    whole = others + sum(hot[w] + SHARE for w in symbol) + texts + SHARE
-    share_of = np.log10(np.r_[texts + SHARE, [hot[w] + SHARE for w in symbol], np.ones(SYMBOLS - 2 - len(symbol)), others] / whole)
-    ends = spark.createDataFrame([(END, (texts + SHARE) / whole, int(texts))], "key long, p double, n long")
-    shares = vocabulary.select(F.xxhash64("word").alias("key"), ((F.col("c") + SHARE) / F.lit(whole)).alias("p"), F.col("c").alias("n")).unionByName(ends)
-    model, bits = grow_words(docs, training, shares, n, text) if n else (None, np.zeros(1 << FILTER_BITS - 3, np.uint8))
-    given = spark.sparkContext.broadcast((hot, symbol, tree, share_of, packed(bits), *hot_runs(model, HOT_RUNS)))
-    schema = "rid long, doc_id long, training boolean, n_tokens long, n_hot long, base_hot double, log_hot double, cold array<struct<word:string,k:int>>, runs array<struct<key:long,more:double>>"
+    whole = n + SHARE * v + unknown
+    tree, bits = grow(docs, training, counts.select("key", ((F.col("n") + SHARE) / F.lit(whole)).alias("p"), "n"), n, text) if n else ([], no_bits(0))
+    runs = _union(tree) if tree else None
+    given = spark.sparkContext.broadcast((packed(bits), *hot_rows(counts, "n", HOT), *(hot_rows(runs, "value", HOT_RUNS) if tree else (np.zeros(0, np.uint64), np.zeros(0)))))
+    schema = "rid long, doc_id long, training boolean, n_tokens long, n_hot long, base_hot double, log_hot double, late array<struct<key:long,k:int>>"
+    log_unknown, log_all = float(np.log10(unknown / whole)), float(np.log10(n + v + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, symbol, classes, share_of, bits, key, value = given.value
-        bits = unpacked(bits)
-        seen: dict[bytes, int] = {}
-        log_p = np.frombuffer(zstandard.decompress(classes), np.float32)
-        log_base = {w: float(np.log10(c + 1)) for w, c in known.items()}
-        log_share = {w: 0.0 if w in symbol else float(np.log10((c + SHARE) / others)) for w, c in known.items()}
-        end, rid = float(np.log10(texts + 1)), TaskContext.get().partitionId() << 33
+        packed_bits, words, times, keys, values = given.value
+        bits = unpacked(packed_bits)
+        base_of, log_of = np.log10((times + 1) / (n + v + 1)), np.log10((times + SHARE) / whole)
+        rid = TaskContext.get().partitionId() << 33
         for batch in small(batches, text):
             body = texts_of(batch, text)
             for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
-                held = [tokens(t) for t in body[lo:hi]]
-                number, offsets = runs(held, symbol)
-                path = np.add.reduceat(log_p[number], offsets[:-1], dtype=np.float64)
-                doc = np.repeat(np.arange(len(held)), np.diff(offsets))
-                # Where the word before is a context, its share comes in place of what the classes predict.
-                instead = share_of[number % SYMBOLS] - log_p[number]
-                late = []
-                for depth, at, context, run, _ in levels(*hashes(held, seen), lambda _, c: holds(bits, as_context(c))):
-                    first = holds(bits, as_context(context))
-                    at, context, run = at[first], as_context(context[first]), run[first]
-                    also = holds(bits, run)
-                    more = np.r_[instead[at] if depth == 1 else np.zeros(len(at)), np.zeros(also.sum())]
-                    at, k = np.r_[at, at[also]], np.r_[context, run[also]]
-                    i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
-                    there = key[i] == k if len(key) else np.zeros(len(k), bool)
-                    path += np.bincount(doc[at[there]], value[i[there]] + more[there], len(held))
-                    late.append((doc[at[~there]], k[~there], more[~there]))
-                late = [np.concatenate(x) for x in zip(*late, strict=True)] if late else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)]
-                order = np.argsort(late[0], kind="stable")
-                late_ends = np.r_[0, np.cumsum(np.bincount(late[0], minlength=len(held)))].astype(np.int32)
-                late_runs = pa.ListArray.from_arrays(pa.array(late_ends), pa.StructArray.from_arrays([pa.array(late[1][order].view(np.int64)), pa.array(late[2][order])], ["key", "more"]))
-                n_hot, base, share, ends, words, times = [], [], [], [0], [], []
-                for w in held:
-                    found, b, s = int(texts > 0), end, 0.0
-                    for word, k in Counter(w).items():
-                        x = log_base.get(word)
-                        if x is None:
-                            words.append(word)
-                            times.append(k)
-                        else:
-                            found += k
-                            b += k * x
-                            s += k * log_share[word]
-                    n_hot.append(found)
-                    base.append(b)
-                    share.append(s)
-                    ends.append(len(words))
-                cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "k"]))
+                h, sizes = hashes(body[lo:hi])
+                rows = len(sizes)
+                doc = np.repeat(np.arange(rows), sizes)
+                distinct, of = np.unique(h, return_inverse=True)
+                i, there = _found(words, distinct)
+                known = there[of]
+                hot, at = doc[known], i[of[known]]
+                n_hot, n_rest = np.bincount(hot, minlength=rows), np.bincount(doc[~known], minlength=rows)
+                # A word that is not among the frequent ones counts as unknown here; the tables have the difference.
+                base = np.bincount(hot, base_of[at], rows) - log_all * n_rest
+                path = np.bincount(hot, log_of[at], rows) + log_unknown * n_rest
+                late_doc, late_key = [doc[~known]], [h[~known]]
+                for _, at, context, _ in levels(h, places(sizes), lambda c: holds(bits, as_context(c))):
+                    own = as_context(context)
+                    in_tree = holds(bits, own)
+                    at, own, context = at[in_tree], own[in_tree], context[in_tree]
+                    run = longer(h[at], context)
+                    met = holds(bits, run)
+                    at, key = np.r_[at, at[met]], np.r_[own, run[met]]
+                    i, there = _found(keys, key)
+                    path += np.bincount(doc[at[there]], values[i[there]], rows)
+                    late_doc.append(doc[at[~there]])
+                    late_key.append(key[~there])
+                late_doc, late_key = np.concatenate(late_doc), np.concatenate(late_key)
+                order = np.lexsort((late_key, late_doc))
+                late_doc, late_key = late_doc[order], late_key[order]
+                first = np.flatnonzero(np.r_[True, (late_doc[1:] != late_doc[:-1]) | (late_key[1:] != late_key[:-1])]) if len(order) else order
+                many = np.diff(np.r_[first, len(order)])
+                ends = np.searchsorted(late_doc[first], np.arange(rows + 1)).astype(np.int32)
+                late = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(late_key[first].view(np.int64)), pa.array(many.astype(np.int32))], ["key", "k"]))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid + lo, rid + hi)), part.column("doc_id"), part.column("training"), pa.array(np.diff(offsets)), pa.array(n_hot, pa.int64()), pa.array(base, pa.float64()), pa.array(path + np.array(share)), cold, late_runs],
-                    ["rid", "doc_id", "training", "n_tokens", "n_hot", "base_hot", "log_hot", "cold", "runs"],
-                )
+                    [pa.array(np.arange(rid + lo, rid + hi)), part.column("doc_id"), part.column("training"), pa.array(sizes.astype(np.int64)), pa.array(n_hot.astype(np.int64)), pa.array(base), pa.array(path), late],
+                    ["rid", "doc_id", "training", "n_tokens", "n_hot", "base_hot", "log_hot", "late"],
+                )
             rid += len(body)
 
     rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text, training.alias("training")).mapInArrow(score, schema))
-    rest = rows.select("rid", F.explode("cold").alias("x")).select("rid", "x.*").join(vocabulary, "word", "left")
-    rest = rest.groupBy("rid").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("n_cold"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base_cold"),
-        F.sum(F.col("k") * F.log10(F.coalesce(F.col("c") + SHARE, F.lit(unknown)) / F.lit(others))).alias("log_cold"),
+    model = counts.select("key", (F.log10((F.col("n") + SHARE) / F.lit(whole)) - F.lit(log_unknown)).alias("value"), F.col("n"))
+    if runs is not None:
+        model = model.unionByName(runs.select("key", "value", F.lit(0).cast("long").alias("n")))
+    k = F.col("k")
+    rest = rows.select("rid", F.explode("late").alias("x")).select("rid", "x.*").join(model, "key").groupBy("rid").agg(
+        F.sum(F.when(F.col("n") > 0, k).otherwise(0)).alias("n_late"), F.sum(k * F.log10(F.col("n") + 1)).alias("base_late"), F.sum(k * F.col("value")).alias("log_late"),
     )
     zero = F.lit(0.0)
-    if model is not None:
-        later = rows.select("rid", F.explode("runs").alias("x")).select("rid", "x.*").join(model.select("key", "value"), "key").groupBy("rid").agg(F.sum(F.col("value") + F.col("more")).alias("log_runs"))
-        rest = rest.join(later, "rid", "full")
-    else:
-        rest = rest.withColumn("log_runs", zero)
-    return rows.drop("cold", "runs").join(rest, "rid", "left").select(
-        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("base_cold", zero) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), (F.col("log_hot") + F.coalesce("log_cold", zero) + F.coalesce("log_runs", zero)).alias("score"),
+    return rows.drop("late").join(rest, "rid", "left").select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", (F.col("n_hot") + F.coalesce("n_late", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base_hot") + F.coalesce("base_late", zero)).alias("base_score"), (F.col("log_hot") + F.coalesce("log_late", zero)).alias("score"),
     )

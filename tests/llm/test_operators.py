@@ -507,13 +507,100 @@ def test_tree_beats_the_base_on_held_out_texts(docs):
     assert all(r.score <= 0 for r in rows)
 
 
+class BruteTree:
+    """Contexts by counting every one of them, and probabilities by recursion."""
+
+    def __init__(self, texts):
+        tok = [self.tokens(t) for t in texts]
+        self.words = Counter(w for t in tok for w in t)
+        self.n, once = sum(self.words.values()), max(1, sum(k == 1 for k in self.words.values()))
+        self.unknown = once / (self.n + 0.75 * len(self.words) + once)
+        self.share = {w: (k + 0.75) / (self.n + 0.75 * len(self.words) + once) for w, k in self.words.items()}
+        self.kept, depth, some = {}, 1, True
+        while some:
+            met = defaultdict(Counter)
+            for t in tok:
+                for i in range(depth, len(t)):
+                    if depth == 1 or tuple(t[i - depth + 1 : i]) in self.kept:
+                        met[tuple(t[i - depth : i])][t[i]] += 1
+            some = {}
+            for context, counts in met.items():
+                a, twice = sum(counts.values()), {w: k for w, k in counts.items() if k > 1}
+                if a < suffix_tree.LEAST or not twice:
+                    continue
+                q = {w: self.p(context[1:], w) for w in twice}
+                rest = a - sum(twice.values())
+                gain = sum(k * math.log(k / a / q[w]) for w, k in twice.items()) + (rest * math.log(rest / a / (1 - sum(q.values()))) if rest else 0)
+                if 2 * gain > (len(twice) + 1) * math.log(self.n):
+                    some[context] = twice, sum(twice.values()), rest + len(twice)
+            self.kept |= some
+            depth += 1
+
+    @staticmethod
+    def tokens(t):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), "\0end"]
+
+    def p(self, context, w):
+        if not context:
+            return self.share.get(w, self.unknown)
+        if context not in self.kept:
+            return self.p(context[1:], w)
+        counts, seen, m = self.kept[context]
+        return (counts.get(w, 0) + m * self.p(context[1:], w)) / (seen + m)
+
+    def score(self, t):
+        tok = self.tokens(t)
+        deepest = max(map(len, self.kept), default=0)
+        out = 0.0
+        for i, w in enumerate(tok):
+            context = next((c for k in range(min(i, deepest), 0, -1) if (c := tuple(tok[i - k : i])) in self.kept), ())
+            out += math.log10(self.p(context, w))
+        return out
+
+
+@pytest.mark.parametrize("hot", [1 << 19, 40])
+def test_tree_equals_brute_force(spark, docs, odd, hot, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    monkeypatch.setattr(suffix_tree, "HOT_RUNS", hot)
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        rows = df.withColumn("t", remainder(F.col("doc_id"), 7) != 2).collect()
+        tree = BruteTree([r.text for r in rows if r.t])
+        if len(rows) > 100:
+            assert max(map(len, tree.kept)) > 1
+        expect = sorted((r.doc_id is None, r.doc_id or 0, tree.score(r.text)) for r in rows)
+        found = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in suffix_tree.scored(df, remainder(F.col("doc_id"), 7) != 2).collect())
+        for f, e in zip(found, expect, strict=True):
+            assert f[:2] == e[:2] and math.isclose(f[2], e[2], rel_tol=1e-5, abs_tol=1e-5)
+
+
 def test_tree_distributions_sum_to_one(docs):
-    texts = [suffix_tree.tokens(r.text) for r in docs.limit(50).collect()]
-    top = [w for w, _ in Counter(w for t in texts for w in t).most_common(suffix_tree.SYMBOLS - 2)]
-    number, _ = suffix_tree.runs(texts, {w: i + 1 for i, w in enumerate(top)})
-    run, n = np.unique(number, return_counts=True)
-    p = 10.0 ** suffix_tree.grow(run, n).reshape(-1, suffix_tree.SYMBOLS).astype(np.float64)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    tree = BruteTree([r.text for r in docs.limit(60).collect()])
+    for context in [(), *list(tree.kept)[::50]]:
+        assert math.isclose(sum(tree.p(context, w) for w in tree.words) + tree.p(context, "never met"), 1)
+
+
+def test_frequent_contexts_are_dealt_by_next_word(spark, monkeypatch):
+    texts = [f"the w{i % 90} x{i % 7} the the" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = BruteTree(texts)
+    found = {r.doc_id: r.score for r in suffix_tree.scored(df, F.lit(True)).collect()}
+    assert all(math.isclose(found[i], tree.score(t), rel_tol=1e-5) for i, t in enumerate(texts[:200]))
+
+
+def test_packed_counts_unpack():
+    rng = np.random.default_rng(1)
+    x = [rng.integers(0, 50, 999).astype(np.uint64) for _ in range(3)] + [rng.integers(1, 1 << 20, 999)]
+    x[1] = x[0] * np.uint64(3)
+    back = suffix_tree.unpack(suffix_tree.pack(*x))
+    assert sorted(zip(*(c.tolist() for c in back), strict=True)) == sorted(zip(*(c.tolist() for c in x), strict=True))
+
+
+@given(st.lists(st.text(st.sampled_from("aB \t\n\x85é日"), max_size=40), max_size=6))
+def test_tokens_are_hashed_alike(texts):
+    h, sizes = suffix_tree.hashes(texts)
+    words = [w for t in texts for w in BruteTree.tokens(t)]
+    assert sizes.tolist() == [len(BruteTree.tokens(t)) for t in texts]
+    assert len({(w, x) for w, x in zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
 
 
 def test_no_documents_or_no_training(none, odd):
