@@ -29,6 +29,21 @@ def own_partitions(spark: SparkSession, parts: int) -> list[int]:
     return [keys[k] for k in range(parts)]
 
 
+#: A key is frequent if it has more than one row in so many; there are no more frequent keys than that.
+FREQUENT = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], rows: int, n: str = "n") -> DataFrame:
+    """left joined to right, which has each key once and in `n` its number of rows in left, of which there are `rows`.
+
+    The at most FREQUENT keys of more than rows / FREQUENT rows are broadcast, so no task gets all rows of one of them."""
+    key = [key] if isinstance(key, str) else key
+    frequent = right.where(F.col(n) * FREQUENT > rows)
+    rest = right.where(F.col(n) * FREQUENT <= rows).drop(n)
+    one = left.join(F.broadcast(frequent.drop(n)), key)
+    return one.unionByName(left.join(F.broadcast(frequent.select(*key)), key, "left_anti").join(rest, key))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
@@ -66,7 +81,8 @@ def small(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4
     """The batches in slices of at most `limit` bytes of the column `name` (texts or lists), or one row: what a task holds is bounded."""
     for batch in batches:
         column = batch.column(name)
-        size = pc.binary_length(column) if pa.types.is_string(column.type) else pc.multiply(pc.list_value_length(column), 4)
+        kind = column.type
+        size = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(kind) or pa.types.is_large_list(kind) else pc.binary_length(column)
         for lo, hi in blocks(pc.fill_null(size, 0).to_pylist(), limit):
             yield batch.slice(lo, hi - lo)
 

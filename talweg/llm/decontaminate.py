@@ -8,7 +8,8 @@ buffer at once, each lane jumping by its own shifts.
 
 Nulls and edges: null and empty texts have no words and are not contaminated; items without words have no window;
 rows equal in every column are each answered; the answer columns replace columns of the same name.
-The benchmark is taken in blocks of at most `BLOCK_BYTES` bytes of windows, so what each task holds is bounded.
+The benchmark is taken in blocks of about `BLOCK_BYTES` bytes of windows, one after the other over a table of what was
+found so far, so that the driver and each task hold the windows of one block.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talweg.llm.common import blocks, small, texts_of
+from talweg.llm.common import blocks, cut, small, texts_of
 
 WINDOW = 10
 #: Bytes of normalised benchmark text in one table, and of document text searched at once.
@@ -109,14 +110,19 @@ class Windows:
         for lo, hi in blocks([len(x) for x in lines], BUFFER_BYTES):
             buffer = b"".join(lines[lo:hi])
             starts = np.cumsum([0, *map(len, lines[lo:hi])])
+            blanks = None
             for c in self.classes:
                 found = list(c.search(buffer))
                 if not found:
                     continue
-                doc = np.searchsorted(starts, [f[0] for f in found], "right") - 1
-                for (start, k), d in zip(found, doc.tolist(), strict=True):
+                if blanks is None:
+                    blanks = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32)
+                at = np.array([f[0] for f in found])
+                doc = np.searchsorted(starts, at, "right") - 1
+                # A window's blank is the one before its first word: blanks from the text's start count its words.
+                word = np.searchsorted(blanks, at) - np.searchsorted(blanks, starts[doc])
+                for (_, k), d, first in zip(found, doc.tolist(), word.tolist(), strict=True):
                     p = c.patterns[k]
-                    first = buffer.count(b" ", starts[d], start)
                     spans, items = out[lo + d]
                     spans.append((first, first + self.n_words[p]))
                     items.update(self.owners[p])
@@ -139,7 +145,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     """docs with n_words, hit_spans (first word and end of every window met) and items (ids of the items met)."""
     added = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
     out = docs.select(*[c for c in docs.columns if c not in added.names], F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("hit_spans"), F.array().cast("array<string>").alias("items"))
-    for items in _item_blocks(benchmark, item_id, item_text, limit):
+    held: list[DataFrame] = []
+    for k, items in enumerate(_item_blocks(benchmark, item_id, item_text, limit)):
+        if k:  # one block's table at a time in a task
+            out = cut(out, *held)
+            held = [out]
         table = Windows(items, window)
 
         def search(batches: Iterator[pa.RecordBatch], table: Windows = table) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,16 @@
 """Line dedup by winnowing over line hashes (DataFrame functions only).
 
 A line is a maximal text without line feeds; lines are compared after trimming blanks and lines without words are
-neither compared nor removed. The window of a line is the shortest run of lines from it that holds `min_words`
-words. Of each window the smallest line hash is its fingerprint (winnowing): two equal runs of at least `min_words`
-words contain an equal window and so share a fingerprint. Positions of fingerprints met at more than one place are
-joined; their windows are compared in full and matches extend both ways, through the windows that start at a line
-(forward) and those that end at a line (backward). Together the two cover every line of every maximal repeated run
-of at least `min_words` words. Every occurrence but the first, by (doc_id, text hash, line), is removed.
+neither compared nor removed. A window is a shortest run of lines with `min_words` words, from a line on (forward) or up
+to a line (backward). Of each window the place of the smallest line hash is selected (winnowing): the fingerprints are
+these places, fewer than the windows, each with the windows that selected it. Two equal runs of at least `min_words`
+words contain an equal window and so have a fingerprint at the same place of both. Places of fingerprints met more than
+once are joined; of these the windows are compared, and a match extends both ways through the windows around it:
+together the forward and the backward windows cover every line of every maximal repeated run of at least `min_words`
+words. Every occurrence but the first, by (doc_id, text hash, line), is removed.
+
+Windows are equal if their fingerprints, the hashes of their lines' hashes and lengths, and their numbers of words are:
+more than 128 bits. Fingerprints and windows that many places share are joined by broadcast, at most `FREQUENT` of them.
 
 Nulls and edges: a null text stays null, an empty text empty; documents with a null doc_id come first in the order;
 rows equal in doc_id and text count as one document and keep the same lines. Other columns pass through unchanged.
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talweg.llm.common import cut
+from talweg.llm.common import cut, spread_join
 
 MIN_WORDS = 50
 
@@ -45,33 +49,35 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Adds f and b (hashes of the forward and backward window, null where the document is too short), their far
-    ends f_end and b_start, and the winnowed fingerprints f_min and b_min."""
+    """(id, k, way, run, lo, hi, at, mark): the forward (0) and backward (1) window of each line, where the document has
+    the words, with their hash, their first and last line, and the place and hash of their fingerprint."""
     ahead = W.partitionBy("id", "k").orderBy("s").rangeBetween(0, min_words - 1)
     behind = W.partitionBy("id", "k").orderBy("c").rangeBetween(-(min_words - 1), 0)
 
-    def whole(w, value: Column) -> Column:
-        return F.when(F.sum("words").over(w) >= min_words, value)
+    def window(way: int, w, lo: Column, hi: Column) -> Column:
+        words, least = F.sum("words").over(w), F.min(F.struct("h", "pos")).over(w)
+        found = F.struct(F.lit(way).alias("way"), F.xxhash64(F.collect_list("h").over(w), words).alias("run"), lo.alias("lo"), hi.alias("hi"), least["pos"].alias("at"), least["h"].alias("mark"))
+        return F.when(words >= min_words, found)
+
+    two = lines.select("id", "k", window(0, ahead, F.col("pos"), F.max("pos").over(ahead)).alias("f"), window(1, behind, F.min("pos").over(behind), F.col("pos")).alias("b"))
+    return two.select("id", "k", F.explode(F.array_compact(F.array("f", "b"))).alias("x")).select("id", "k", "x.*")
+
 
-    return lines.select(
-        "id", "k", "pos",
-        whole(ahead, F.xxhash64(F.collect_list("h").over(ahead))).alias("f"), whole(ahead, F.max("pos").over(ahead)).alias("f_end"), whole(ahead, F.min("h").over(ahead)).alias("f_min"),
-        whole(behind, F.xxhash64(F.collect_list("h").over(behind))).alias("b"), whole(behind, F.min("pos").over(behind)).alias("b_start"), whole(behind, F.min("h").over(behind)).alias("b_min"),
-    )
+def fingerprints(found: DataFrame) -> DataFrame:
+    """(id, k, at, mark, found): the selected places, each once, with the windows that selected it."""
+    return found.groupBy("id", "k", "at", "mark").agg(F.collect_list(F.struct("way", "run", "lo", "hi")).alias("found"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, k, gone array<int>): the positions of the lines that a repeated run takes from each document."""
-    both = windows(line_table(docs, doc_id, text), min_words)
-    place = F.struct("id", "k", "pos")
-    forward = F.struct(F.lit(0).alias("way"), F.col("f").alias("run"), F.col("f_min").alias("mark"), F.col("pos").alias("lo"), F.col("f_end").alias("hi"))
-    backward = F.struct(F.lit(1).alias("way"), F.col("b").alias("run"), F.col("b_min").alias("mark"), F.col("b_start").alias("lo"), F.col("pos").alias("hi"))
-    ways = F.array(*[F.when(x["run"].isNotNull(), x) for x in (forward, backward)])
-    seeds = cut(both.select("id", "k", "pos", F.explode(F.array_compact(ways)).alias("x")).select("id", "k", "pos", "x.*"))
-    marks = seeds.groupBy("way", "mark").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("way", "mark")
-    met = seeds.join(marks, ["way", "mark"], "left_semi")
-    first = met.groupBy("way", "run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("way", "run", "first")
-    later = met.join(first, ["way", "run"]).where(place != F.col("first"))
+    selected = cut(fingerprints(windows(line_table(docs, doc_id, text), min_words)))
+    places, total = selected.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    place = F.struct("id", "k", "at")
+    marks = selected.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.count("*").alias("n")).where("a != z").select("mark", "n")
+    met = cut(spread_join(selected, marks, "mark", places).select("id", "k", "mark", F.inline("found")), selected)
+    key, spot = ["way", "mark", "run"], F.struct("id", "k", "lo")
+    first = met.groupBy(*key).agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("n")).where("first != last").drop("last")
+    later = spread_join(met, first, key, total).where(spot != F.col("first"))
     return later.select("id", "k", F.explode(F.sequence("lo", "hi")).alias("pos")).groupBy("id", "k").agg(F.collect_set("pos").alias("gone"))
 
 

@@ -3,16 +3,18 @@
 Fingerprint: bit b is set if it is set in over half of the XXH64 hashes (seed 42) of a text's word shingles.
 
 Links: fingerprints that differ in at most `radius` bits. Over the whole 64 bits, distances between unrelated
-fingerprints lie within a few bits of 32, where triangle bounds prune nothing, so the outermost partition is a
-forest of radius + 1 trees, each under the Hamming distance of one block of bits: a shard holds what lies at distance
-zero from a vantage value of that block. By the pigeonhole principle two linked fingerprints share a shard in at
-least one tree, so no link is lost. A shard of more than `SHARD` fingerprints is split by its distance to a vantage
-point into rings wider than the radius; fingerprints within the radius of a ring's edge are sent to both rings. What
-a task reads of one shard it searches by a vantage-point tree over all 64 bits: points inside and outside the median
-distance meet only where triangle bounds allow.
+fingerprints lie within a few bits of 32, where triangle bounds prune nothing, so the outermost partitions are by the
+distance over a block of bits alone: a shard holds what lies at distance zero, on the block, from a vantage value. The
+bits are in radius + 1 blocks, and two linked fingerprints differ in at most `radius` bits, so they share a shard of at
+least one block. A shard of more than `shard` fingerprints is parted again, by radius + 1 blocks of the bits that are
+not yet equal in it, and so on: no link is lost, and no shard stays above the limit however many fingerprints there are
+or however close they lie, as fingerprints of which radius bits are free are few. A shard is searched by a vantage-point
+tree over all 64 bits: points inside and outside the median distance meet only where triangle bounds allow, and leaves
+that a boundary overlaps are queried from both of its sides.
 
 Components: a task reports, for each fingerprint that it linked, the least fingerprint of its local component (never
-all pairs); these edges are contracted by repeated large-star and small-star steps, cut between rounds.
+all pairs); these edges are contracted by repeated large-star and small-star steps, cut between rounds. Fingerprints,
+components and hubs that many rows share are joined by broadcast, at most `FREQUENT` of them.
 
 Nulls and edges: null and empty texts have fingerprint zero, linked like any other; a null doc_id gets the component
 of its fingerprint, and component_id is null where no member has an id. Rows equal in every column are each answered.
@@ -26,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talweg.llm.common import cut, small, texts_of
+from talweg.llm.common import cut, drop, small, spread_join, texts_of
 
-RADIUS, SHINGLE, SHARD, LEAF = 4, 4, 50_000, 256
+RADIUS, SHINGLE, SHARD, LEAF = 4, 4, 4096, 32
 _SHINGLES = 1 << 16
 
 
@@ -74,7 +77,7 @@ class Links:
     """Components of links found among one shard's fingerprints."""
 
     def __init__(self, points: np.ndarray, radius: int = RADIUS):
-        self.p, self.radius, self.label = points, radius, np.arange(len(points))
+        self.p, self.radius, self.label, self.compared = points, radius, np.arange(len(points)), 0
         self.within(self.label.copy())
 
     def _merge(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -92,10 +95,11 @@ class Links:
                 label[:] = up
 
     def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        for lo in range(0, len(a), LEAF):
-            x = a[lo : lo + LEAF]
-            for at in range(0, len(b), 16 * LEAF):
-                y = b[at : at + 16 * LEAF]
+        self.compared += len(a) * len(b)
+        for lo in range(0, len(a), 256):
+            x = a[lo : lo + 256]
+            for at in range(0, len(b), 4096):
+                y = b[at : at + 4096]
                 i, j = np.nonzero(np.bitwise_count(self.p[x][:, None] ^ self.p[y][None, :]) <= self.radius)
                 if len(i):
                     self._merge(x[i], y[j])
@@ -134,23 +138,45 @@ class Links:
         return None
 
 
+def _blocks(fixed: int, radius: int) -> list[int]:
+    """The bits that are not in `fixed`, in radius + 1 blocks, as masks."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    ends = [len(free) * k // (radius + 1) for k in range(radius + 2)]
+    return [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def shards(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(tree, cell, ring, fp): fps dealt to the shards of radius + 1 trees, large shards to overlapping rings."""
-    n = radius + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    cell = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)])
-    dealt = fps.select("fp", F.posexplode(cell).alias("tree", "cell"))
-    large = dealt.groupBy("tree", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > shard)
-    d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-    width = 2 * radius
-    home = F.floor(d / F.lit(width)).cast("int")
-    rings = F.when(F.col("vantage").isNull(), F.array(F.lit(0))).when((home > 0) & (d % width < radius), F.array(home, home - 1)).otherwise(F.array(home))
-    return dealt.join(large.select("tree", "cell", "vantage"), ["tree", "cell"], "left").select("tree", "cell", F.explode(rings).alias("ring"), "fp")
+    """(fixed, cell, fp): fps dealt to shards, which are equal in the bits of the mask `fixed`, none above `shard`."""
+    shard = max(shard, 1 << radius + 1)
+    parts, masks, rest, old = [], [0], fps.select(F.lit(0).cast("long").alias("fixed"), "fp"), None
+    while True:
+        more = {m: [m | b for b in _blocks(m, radius)] for m in masks}
+        into = F.create_map(*[x for m, bs in more.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(b)).cast("long") for b in bs]))])
+        dealt = rest.select(F.explode(F.element_at(into, F.col("fixed"))).alias("fixed"), "fp").select("fixed", F.col("fp").bitwiseAND(F.col("fixed")).alias("cell"), "fp")
+        sizes = dealt.groupBy("fixed", "cell").agg(F.count("*").alias("n"))
+        large = cut(sizes.where(F.col("n") > shard))
+        if large.isEmpty():
+            drop(large)
+            parts.append(dealt)
+            break
+        # Few next to all shards, but no bound on them: an ordinary join.
+        marked = cut(dealt.join(large, ["fixed", "cell"], "left"), *([old] if old is not None else []), large)
+        parts.append(marked.where("n is null").drop("n"))
+        old, rest = None, marked.where("n is not null").select("fixed", "fp")
+        masks = sorted({b for bs in more.values() for b in bs})
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def local_edges(dealt: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): for every fingerprint with a link in a shard, the least of its local component there."""
-    keys = ["tree", "cell", "ring"]
+    keys = ["fixed", "cell"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(shard: np.ndarray) -> np.ndarray:
@@ -158,9 +184,13 @@ def local_edges(dealt: DataFrame, radius: int = RADIUS) -> DataFrame:
             to = np.flatnonzero(label != np.arange(len(shard)))
             return np.stack([shard[to], shard[label[to]]])
 
+        def edges(out: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.concatenate(out, 1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         open_key, parts = None, []
         for batch in batches:
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(fp)]
             out = []
@@ -174,11 +204,9 @@ def local_edges(dealt: DataFrame, radius: int = RADIUS) -> DataFrame:
                     open_key, parts = this, []
                 parts.append(fp[lo:hi])
             if out:
-                a, b = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield edges(out)
         if sum(map(len, parts)) > 1:
-            a, b = found(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield edges([found(np.concatenate(parts))])
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(search, "a long, b long")
 
@@ -186,34 +214,56 @@ def local_edges(dealt: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node reachable by edges (a, b), for every node with an edge."""
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    mark, rows = None, 2 * e.count()
     for _ in range(rounds):
         # Large star: a node's larger neighbours move to its least neighbour.
         both = e.union(e.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("b > a"), least, "a", rows).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours move to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        e, before = cut(small), mark
+        e, before = cut(small, e), mark
         mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        rows = 2 * mark[0]
         if mark == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
+def _components_of(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, n, component_id, root) of each fingerprint of prints (doc_id, fp): its rows, and what its component has."""
+    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(cut(local_edges(shards(fps.select("fp"), radius), radius)))
+    rooted = cut(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "root", "least"), fps)
+    # A fingerprint without a link is its own component and joins nothing.
+    alone = rooted.where("root is null").select("fp", "n", F.col("least").alias("component_id"), F.col("fp").alias("root"))
+    linked = rooted.where("root is not null")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return alone.unionByName(spread_join(linked, named, "root", linked.count(), "members").select("fp", "n", "component_id", "root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) and component_id of every document."""
-    prints = cut(with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), size=size))
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = local_edges(shards(fps.select("fp"), radius), radius)
-    roots = components(edges)
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    """doc_id, row_hash (of id and text), fp (long), component_id and root (the component's least fingerprint) of every document."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_hash"), F.col(text).alias("text"))
+    prints = cut(with_fingerprint(own, size=size))
+    of = cut(_components_of(prints, radius))
+    return spread_join(prints, of, "fp", prints.count()).select("doc_id", "row_hash", "fp", "component_id", "root")
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: the least by doc_id (null last), then by the row's hash; of equal ones any."""
+    named = near_duplicates(docs, doc_id, text)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
+    kept = named.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_hash").alias("__hash"))
+    # Dealt by the hash once: of rows with a hash that is kept, those of its id, of these one.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("hash"))
+    joined = rows.join(kept, F.col("hash") == F.col("__hash"))
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    numbered = joined.withColumn("n", F.row_number().over(W.partitionBy("__hash", "__id").orderBy(same.desc())))
+    return numbered.where((F.col("n") == 1) & same).select("row.*")

@@ -2,12 +2,13 @@
 
 Tokens are lower-cased words and one end for each text. A node is a context of whole words. Contexts of one word are
 tried first, and those that a retained context is the suffix of after that, as long as any is retained: depth and
-number of contexts follow the counts and have no bound. A context met `LEAST` times or more is retained if its next
+number of contexts follow the counts. A context met `LEAST` times or more is retained if its next
 words diverge from what its suffix predicts: the log-likelihood ratio over the next words met twice or more, and all
 others together, exceeds for each of these the logarithm of the number of tokens. In a retained context the words met
 twice or more count; tokens met once there count for the suffix, whose smoothed prediction has their weight and that of
 as many tokens as there are words met more often. A token is so predicted by the longest retained suffix of what
-precedes it, and at last by the words' shares; unknown words have together the share of the words met once.
+precedes it, and at last by the words' shares; unknown words have together the share of the words met once. Contexts
+have at most as many words as the logarithm of the number of tokens to the base `LEAST`, so they grow with the corpus.
 
 All counts are over all training texts. Words and contexts are 64-bit hashes. Each level of contexts is counted in
 two steps: a task counts what it reads and deals the counts by context, packed into blocks of bytes; of contexts that
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -38,11 +40,11 @@ from talweg.llm.common import blocks, cut, drop, own_partitions, small, texts_of
 
 LEAST, SHARE = 8, 0.75
 HOT, HOT_RUNS, FILTER_BITS = 1 << 19, 2_000_000, 28
-FLUSH, DEAL, BLOCK_CHARS = 1 << 21, 1 << 22, 1 << 20
+FLUSH, DEAL, SPARSE, BLOCK_CHARS = 1 << 21, 1 << 22, 200, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _BLANK = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BYTES = np.random.default_rng(7).integers(1 << 63, 1 << 64, 256, np.uint64) | np.uint64(1)
-_POWERS = np.ones(1, np.uint64)
+#: By a number of bytes, the bits of so many; words of more bytes than `_LONG` are hashed one by one.
+_MASKS, _LONG = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64), 64
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -63,18 +65,23 @@ def as_context(run: np.ndarray) -> np.ndarray:
 
 def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each token of each text, and the number of tokens of each text."""
-    global _POWERS
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer((b" " + b" ".join(parts) + b" ").translate(_BLANK), np.uint8)
-    solid = data != 32
+    buffer = (b" " + b" ".join(parts) + b" " * 9).translate(_BLANK)
+    solid = np.frombuffer(buffer, np.uint8) != 32
     edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     starts, sizes = edge[::2], edge[1::2] - edge[::2]
-    if len(sizes) and sizes.max() > len(_POWERS):
-        _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max()) * 2, 0x9FB21C651E98DF25, np.uint64)])
-    letters = np.flatnonzero(solid)
-    place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    h = np.add.reduceat(_BYTES[data[letters]] * _POWERS[place], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.uint64)
-    h = mixed(h ^ (sizes.astype(np.uint64) << np.uint64(48)))
+    # Eight bytes of every word at a time; few words have more.
+    eights = np.ndarray((len(buffer) - 7,), "<u8", buffer, 0, (1,))
+    h = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = mixed(h ^ (eights[starts] & _MASKS[np.minimum(sizes, 8)]) * np.uint64(0xD6E8FEB86659FD93))
+    live, done = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+    while len(live):
+        piece = eights[starts[live] + done] & _MASKS[np.minimum(sizes[live] - done, 8)]
+        h[live] = mixed(h[live] * np.uint64(0x94D049BB133111EB) ^ piece)
+        done += 8
+        live = live[sizes[live] > done]
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        h[k] = xxhash.xxh64_intdigest(buffer[starts[k] : starts[k] + sizes[k]], 42)
     ends = np.cumsum([len(p) + 1 for p in parts])
     upto = np.searchsorted(starts, ends)
     return np.insert(h, upto, END), np.diff(np.r_[0, upto]) + 1
@@ -87,7 +94,7 @@ def places(sizes: np.ndarray) -> np.ndarray:
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, sums of n, a place of each)."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     return key[first], np.add.reduceat(n[order], first) if len(key) else n[:0], order[first]
@@ -149,8 +156,9 @@ def bits_of(keys: DataFrame, n: int) -> np.ndarray:
     low = F.lit(8 * len(out) - 1)
     probes = F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", 35).bitwiseAND(low))
     x = keys.select(F.explode(probes).alias("x")).select((F.col("x") + 1).alias("x"))
-    for r in x.groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toLocalIterator():
-        out[(r["b"] - 1) << 12 : r["b"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    found = x.groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toArrow()
+    for b, bits in zip(found.column("b").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[(b - 1) << 12 : b << 12] = np.frombuffer(bits, np.uint8)
     return out
 
 
@@ -189,7 +197,7 @@ def _narrow(data: bytes) -> np.ndarray:
 
 def pack(context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
     """Counts n of words after contexts as a block of bytes: each context and each word is there once."""
-    order = np.argsort(context, kind="stable")
+    order = np.argsort(context)
     context = context[order]
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
     words, at = np.unique(word[order], return_inverse=True)
@@ -208,7 +216,7 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.repeat(context, many), np.repeat(suffix, many), words[_narrow(x[4])], _narrow(x[5]).astype(np.int64)
 
 
-def level_counts(docs: DataFrame, training: Column, depth: int, given, parts: int, text: str = "text") -> DataFrame:
+def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "text") -> DataFrame:
     """(run, context, suffix, n) of runs met twice or more whose context has `depth` words and may be retained, and under
     a null run the tokens after each such context; contexts that are dealt by next word are there in parts."""
     keys = own_partitions(docs.sparkSession, parts)
@@ -236,12 +244,11 @@ def level_counts(docs: DataFrame, training: Column, depth: int, given, parts: in
             body = texts_of(batch, text)
             for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
                 h, sizes = hashes(body[lo:hi])
-                ok = holds(common, h)
                 # A context of two words is no more frequent than its words as a run of the level before.
                 may = lambda c: holds(bits, as_context(c))
                 for d, at, context, suffix in levels(h, places(sizes), may):
                     if d == depth:
-                        good = ok[at - d] & (holds(met, context) if d == 2 else True)
+                        good = holds(met, context) if d == 2 else holds(common, h[at - d])
                         at, context, suffix = at[good], context[good], suffix[good]
                         held.append([context, suffix, h[at], h[at - 1]])
                         some += len(at)
@@ -276,10 +283,27 @@ def level_counts(docs: DataFrame, training: Column, depth: int, given, parts: in
                 none = pa.nulls(len(x), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, pa.array(x), none, pa.array(y)], ["run", "context", "suffix", "n"])
 
-    dealt = docs.where(training).select(text).mapInArrow(count, "place int, part boolean, block binary")
+    dealt = docs.mapInArrow(count, "place int, part boolean, block binary")
     return dealt.repartition(parts, "place").mapInArrow(merge, "run long, context long, suffix long, n long")
 
 
+def going_on(docs: DataFrame, given, depth: int, text: str = "text") -> DataFrame:
+    """The texts that may hold a context of `depth` words whose suffix is retained."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = unpacked(given.value)
+        for batch in small(batches, text):
+            h, sizes = hashes(texts_of(batch, text))
+            doc, some = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(sizes), bool)
+            for d, at, _, _ in levels(h, places(sizes), lambda c: holds(bits, as_context(c))):
+                if d == depth:
+                    some[doc[at]] = True
+                    break
+            yield batch.filter(pa.array(some))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str = "text") -> tuple[list[DataFrame], np.ndarray]:
     """(key, value, n) of the retained contexts and of the runs met in them, level by level, and a filter of the keys.
 
@@ -290,11 +314,12 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
     bits = no_bits(n)
     common, met_bits = bits_of(words.where((F.col("n") >= LEAST) & (F.col("key") != int(END.view(np.int64)))), n), no_bits(n)
     frequent = words.where(F.col("n") > n // (4 * parts)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
-    before, out, depth = words.select("key", "p"), [], 1
+    before, out, depth, deepest = words.select("key", "p"), [], 1, int(np.log(max(n, 2)) / np.log(LEAST))
+    texts, size = docs.where(training).select(text), n
     c, least = F.col("n"), F.col("seen") + F.col("m")
     while True:
         given = spark.sparkContext.broadcast((packed(common), packed(bits), packed(met_bits), frequent))
-        raw = cut(level_counts(docs, training, depth, given, parts, text))
+        raw = cut(level_counts(texts, depth, given, parts, text))
         given.destroy()
         if depth == 1:
             met_bits = bits_of(raw.where(F.col("run").isNotNull() & (c >= LEAST)).select(F.col("run").alias("key")), n)
@@ -305,7 +330,8 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
         others = F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
         gain = 2 * (F.col("g") + others - F.col("a") * F.log("a"))
         kept = cut(own.join(total, "context").where(gain > (F.col("s") + 1) * F.log(F.lit(float(n)))).select("context", "seen", (rest + F.col("s")).alias("m"), "a"), raw)
-        if kept.isEmpty():
+        held = kept.agg(F.sum("a")).first()[0]
+        if held is None:
             drop(met)
             drop(kept)
             return out, bits
@@ -314,7 +340,11 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
         contexts = cut(_context_keys(kept.select("context", F.log10(F.col("m") / least).alias("value"), F.col("a").alias("n"))), kept)
         out += [runs.select("key", "value", "n"), contexts]
         bits |= bits_of(runs.select("key").union(contexts.select("key")), n)
+        if depth == deepest:
+            return out, bits
         before, depth = runs.select("key", "p"), depth + 1
+        if held * SPARSE < size:  # few texts go deeper
+            texts, size = cut(going_on(texts, spark.sparkContext.broadcast(packed(bits)), depth, text), *([texts] if size < n else [])), held * SPARSE // 4
 
 
 def _context_keys(contexts: DataFrame) -> DataFrame:
