@@ -35,9 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the least id; documents without an id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+    """Keeps one row of each near-duplicate group: the document with the least id, and of rows equal in id and text one."""
+    return simhash.distinct_documents(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
