@@ -50,6 +50,11 @@ def points(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("patch_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 
+def as_items(point_rows: DataFrame) -> DataFrame:
+    """(id, tile, x) from (id, tile, points): births and deaths in turn, as the blocks of pair distances take them."""
+    return point_rows.select("id", "tile", F.flatten(F.transform("points", lambda p: F.array(p["birth"], p["death"]))).alias("x"))
+
+
 def betti_curve(point_rows: DataFrame, grid: Column) -> DataFrame:
     """patch_id, i, t, n: classes alive at each threshold of the array `grid`."""
     out = point_rows.select("patch_id", "points", F.posexplode(grid).alias("i", "t"))
@@ -125,44 +130,32 @@ def sliced_wasserstein(pairs_of_points: DataFrame, directions: int = 50, cap: Co
 # Kernels
 
 
-def sublevel_pairs(z: np.ndarray) -> list[tuple[int, float, float | None]]:
-    """(dim, birth, death) of the sublevel sets of a grid: cells join in rows and columns, squares of four are filled.
+def sublevel_points(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(patch, dim, birth, death) of the sublevel sets of a stack of grids: cells join in rows and columns, squares of four
+    are filled; essential classes have a NaN death.
 
     Holes are the bounded components of what lies above, which joins over 8 neighbours and beyond the edge."""
-    h, w = z.shape
+    n, h, w = z.shape
     flat = z.reshape(-1)
-    out: list[tuple[int, float, float | None]] = []
-
-    def sweep(order: list[int], steps: list[tuple[int, int]], outside: bool, emit) -> None:
-        parent, first = {-1: -1}, {-1: -1}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        rank = {cell: k for k, cell in enumerate(order)}
-        rank[-1] = -1
-        for cell in order:
-            parent[cell] = first[cell] = cell
-            r, c = divmod(cell, w)
-            near = {find((r + dr) * w + c + dc) for dr, dc in steps if 0 <= r + dr < h and 0 <= c + dc < w and (r + dr) * w + c + dc in parent}
-            if outside and (r in (0, h - 1) or c in (0, w - 1)):
-                near.add(find(-1))
-            for other in near:
-                a, b = find(cell), find(other)
-                old, young = sorted((a, b), key=lambda x: rank[first[x]])
-                if first[young] != cell:
-                    emit(first[young], cell)
-                parent[young] = old
-        return None
-
-    up = np.lexsort((np.arange(h * w), flat)).tolist()
-    sweep(up, [(-1, 0), (1, 0), (0, -1), (0, 1)], False, lambda f, cell: out.append((0, float(flat[f]), float(flat[cell]))))
-    out.append((0, float(flat.min()), None))
-    sweep(up[::-1], list(kernels.STEPS), True, lambda f, cell: out.append((1, float(flat[cell]), float(flat[f]))))
-    return sorted(((d, a, b) for d, a, b in out if a != b), key=lambda p: (p[0], p[1], math.inf if p[2] is None else p[2]))
+    low, high = kernels.Basins(z, ((-1, 0), (1, 0), (0, -1), (0, 1))), kernels.Basins(-z, kernels.STEPS, True)
+    ends = np.repeat(np.nan, n)
+    patch = np.r_[low.first // (h * w), np.arange(n), high.first // (h * w)]
+    dim = np.r_[np.zeros(len(low.first) + n, np.int32), np.ones(len(high.first), np.int32)]
+    birth = np.r_[flat[low.first], z.min((1, 2)), flat[high.saddle]]
+    death = np.r_[flat[low.saddle], ends, flat[high.first]]
+    some = np.flatnonzero(birth != death)
+    some = some[np.lexsort((death[some], birth[some], dim[some], patch[some]))]
+    return patch[some], dim[some], birth[some], death[some]
+
+
+def sublevel_pairs(z: np.ndarray) -> list[tuple[int, float, float | None]]:
+    """(dim, birth, death) of the sublevel sets of a grid."""
+    _, dim, birth, death = sublevel_points(z[None])
+    return [(int(d), float(a), None if math.isnan(b) else float(b)) for d, a, b in zip(dim, birth, death, strict=True)]
+
+
+#: Cells of a stack that are worked on at once.
+STACK = 1 << 19
 
 
 def cubical(patch_rows: DataFrame, superlevel: bool = False) -> DataFrame:
@@ -172,16 +165,19 @@ def cubical(patch_rows: DataFrame, superlevel: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("patch_id").to_pylist()
             for rows, stack in kernels.stacks(batch):
-                out = []
-                for i, z in zip(rows.tolist(), stack, strict=True):
+                step = max(1, STACK // stack[0].size)
+                for lo in range(0, len(rows), step):
+                    z, ids = stack[lo : lo + step], rows[lo : lo + step]
                     finite = np.isfinite(z)
-                    if finite.any():
-                        grid = np.where(finite, z, z[finite].max())
-                        out += [(ids[i], d, sign * a, None if b is None else sign * b) for d, a, b in sublevel_pairs(sign * grid)]
-                columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], ["patch_id", "dim", "birth", "death"])
+                    some = finite.any((1, 2))
+                    z, ids, finite = z[some], ids[some], finite[some]
+                    if not len(z):
+                        continue
+                    greatest = np.where(finite, z, -np.inf).max((1, 2), keepdims=True)
+                    patch, dim, birth, death = sublevel_points(sign * np.where(finite, z, greatest))
+                    none = np.isnan(death)
+                    yield pa.RecordBatch.from_arrays([batch.column("patch_id").take(pa.array(ids[patch])).cast(pa.int64()), pa.array(dim), pa.array(sign * birth), pa.array(sign * death, mask=none)], ["patch_id", "dim", "birth", "death"])
 
     return patch_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, schema)
 
@@ -197,38 +193,74 @@ def directional(patch_rows: DataFrame, directions: int = 8) -> DataFrame:
     return out.select("patch_id", "label", "h", "w", "d", height.alias("z"))
 
 
+def _matches_all(near: list[np.ndarray], m: int) -> bool:
+    """Whether every row can be matched to a place of its own among its places: augmenting paths by layers, without recursion."""
+    mate_row, mate = [-1] * len(near), [-1] * m
+    for i, places in enumerate(near):  # most rows find a free place at once
+        for j in places:
+            if mate[j] < 0:
+                mate_row[i], mate[j] = j, i
+                break
+    while True:
+        free = [i for i, j in enumerate(mate_row) if j < 0]
+        if not free:
+            return True
+        layer, now, found = dict.fromkeys(free, 0), free, False
+        while now and not found:
+            following = []
+            for i in now:
+                for j in near[i]:
+                    if mate[j] < 0:
+                        found = True
+                    elif mate[j] not in layer:
+                        layer[mate[j]] = layer[i] + 1
+                        following.append(mate[j])
+            now = following
+        if not found:
+            return False
+        tried = [0] * len(near)
+        for start in free:
+            path = [start]
+            while path:
+                i = path[-1]
+                if tried[i] == len(near[i]):
+                    path.pop()
+                    continue
+                j = near[i][tried[i]]
+                tried[i] += 1
+                if mate[j] < 0:
+                    for k in reversed(path):
+                        mate_row[k], mate[j], j = j, k, mate_row[k]
+                    break
+                if layer.get(mate[j]) == layer[i] + 1:
+                    path.append(mate[j])
+
+
 def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
-    """Bottleneck distance of finite diagrams (n x 2), by search over the candidate distances with augmenting paths."""
+    """Bottleneck distance of finite diagrams (n x 2), by search over the candidate distances with augmenting paths.
+
+    A point whose distance to the diagonal is within the limit needs no partner, so a limit holds if the points of either
+    diagram that need one can all be matched within it; the two matchings together give one that serves both."""
+    half = [(x[:, 1] - x[:, 0]) / 2 if len(x) else np.zeros(0) for x in (a, b)]
     if not len(a) and not len(b):
         return 0.0
-    da, db = (a[:, 1] - a[:, 0]) / 2 if len(a) else np.zeros(0), (b[:, 1] - b[:, 0]) / 2 if len(b) else np.zeros(0)
-    n, m = len(a), len(b)
-    cost = np.full((n + m, n + m), np.inf)
-    cost[:n, :m] = np.abs(a[:, None] - b[None]).max(2) if n and m else cost[:n, :m]
-    cost[np.arange(n), m + np.arange(n)] = da
-    cost[n + np.arange(m), np.arange(m)] = db
-    cost[n:, m:] = 0
-    candidates = np.unique(cost[np.isfinite(cost)])
-
-    def whole(limit: float) -> bool:
-        near = [np.flatnonzero(row <= limit).tolist() for row in cost]
-        mate = [-1] * (n + m)
-
-        def place(i: int, seen: set[int]) -> bool:
-            for j in near[i]:
-                if j not in seen:
-                    seen.add(j)
-                    if mate[j] < 0 or place(mate[j], seen):
-                        mate[j] = i
-                        return True
-            return False
-
-        return all(place(i, set()) for i in range(n + m))
+    apart = np.abs(a[:, None, 0] - b[None, :, 0]) if len(a) and len(b) else np.zeros((len(a), len(b)))
+    if apart.size:
+        np.maximum(apart, np.abs(a[:, None, 1] - b[None, :, 1]), out=apart)
+    greatest = max(half[0].max(initial=0.0), half[1].max(initial=0.0))
+    candidates = np.unique(np.r_[0.0, *half, apart[apart < greatest]])
+
+    def holds(limit: float) -> bool:
+        for cost, own in ((apart, half[0]), (apart.T, half[1])):
+            rows = np.flatnonzero(own > limit)
+            if len(rows) and not _matches_all([np.flatnonzero(cost[i] <= limit).tolist() for i in rows], cost.shape[1]):
+                return False
+        return True
 
     lo, hi = 0, len(candidates) - 1
     while lo < hi:
         mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if whole(candidates[mid]) else (mid + 1, hi)
+        lo, hi = (lo, mid) if holds(candidates[mid]) else (mid + 1, hi)
     return float(candidates[lo])
 
 

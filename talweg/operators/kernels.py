@@ -1,7 +1,7 @@
 """Per-patch kernels over Arrow batches: each patch is one row, so none of them shuffles.
 
-Patches of one shape are stacked and walked together, cell rank by cell rank; a step is one array operation for all of
-them. Null elevations are nodata: they neither give nor receive flow.
+Patches of one shape are stacked and walked together, level by level downstream; a step is one array operation for all
+cells of a level. Null elevations are nodata: they neither give nor receive flow.
 """
 
 from __future__ import annotations
@@ -53,97 +53,94 @@ def targets(code: np.ndarray) -> np.ndarray:
     return np.where(code >= 0, at, -1).reshape(n, -1)
 
 
-def upstream_first(z: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Cells of each patch, each before its receiver: by falling elevation, as flow always falls."""
-    return np.argsort(-np.nan_to_num(z.reshape(len(z), -1), nan=-np.inf), axis=1, kind="stable")
-
-
-def depth_order(to: np.ndarray) -> np.ndarray:
-    """Cells each before its receiver, for any forest of receivers: by the length of the longest way from a head."""
+def flat_targets(to: np.ndarray) -> np.ndarray:
+    """Receivers by place in the whole stack (patch x cells + cell), -1 without one."""
     n, m = to.shape
-    level, rows = np.zeros((n, m + 1), np.int64), np.arange(n)[:, None]
-    for _ in range(m):
-        pushed = np.zeros_like(level)
-        np.maximum.at(pushed, (np.broadcast_to(rows, to.shape), to), level[:, :m] + 1)
-        pushed[:, m] = 0
-        pushed = np.maximum(level, np.where(np.arange(m + 1) < m, pushed, 0))
-        if np.array_equal(pushed, level):
-            break
-        level = pushed
-    else:
+    return np.where(to >= 0, to + np.arange(n)[:, None] * m, -1).reshape(-1)
+
+
+def levels(to: np.ndarray, among: np.ndarray | None = None) -> list[np.ndarray]:
+    """Places of a forest of receivers (flat), or of those among them, by the length of the longest way from a head: each
+    before its receiver. A level is one step of array operations, and levels are far fewer than cells."""
+    waiting = np.bincount(to[to >= 0], minlength=len(to)) if among is None else np.bincount(to[among][to[among] >= 0], minlength=len(to))
+    some = np.arange(len(to)) if among is None else among
+    out, left, now = [], len(some), some[waiting[some] == 0]
+    while len(now):
+        out.append(now)
+        left -= len(now)
+        t = to[now]
+        t = t[t >= 0]
+        np.subtract.at(waiting, t, 1)
+        now = np.unique(t[waiting[t] == 0])
+    if left:
         raise ValueError("receivers run in a circle")
-    return np.argsort(level[:, :m], axis=1, kind="stable")
+    return out
 
 
-def accumulation(to: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Cells draining through each cell, itself included; 0 where nothing flows in or out."""
-    n, m = to.shape
-    rows = np.arange(n)
-    acc = np.zeros((n, m + 1), np.int64)
-    linked = np.zeros((n, m + 1), bool)
-    linked[:, :m] = to >= 0
-    np.logical_or.at(linked, (np.repeat(rows, m), to.reshape(-1)), True)
-    acc[:, :m] = linked[:, :m]
-    for k in range(m):
-        at = order[:, k]
-        acc[rows, to[rows, at]] += acc[rows, at]  # place m, reached by -1, takes what leaves the patch
-    return acc[:, :m]
+def depth_order(to: np.ndarray) -> list[np.ndarray]:
+    """The levels of the receivers (n x cells) of a stack."""
+    return levels(flat_targets(to))
+
+
+def accumulation(to: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
+    """Cells draining through each cell, itself included; 0 where nothing flows in or out. order: the levels of the stack."""
+    flat = flat_targets(to)
+    acc = (flat >= 0).astype(np.int64)
+    acc[flat[flat >= 0]] = 1
+    for now in order:
+        t = flat[now]
+        on = t >= 0
+        np.add.at(acc, t[on], acc[now[on]])
+    return acc.reshape(to.shape)
+
+
+def last_of(pointer: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Where each place's pointers lead: to the first place that stops, or -1; each round doubles the way."""
+    while True:
+        on = (pointer >= 0) & ~stop[pointer]
+        if not on.any():
+            return pointer
+        pointer = np.where(on, pointer[pointer], pointer)
 
 
 class Forest:
-    """The donor-graph merge trees of masked cells: nodes are heads and confluences, edges lead to the next node downstream."""
+    """The donor-graph merge trees of masked cells: nodes are heads and confluences, edges lead to the next node downstream.
+
+    Cells are walked over by doubled pointers, nodes, which are far fewer, by levels of their tree."""
 
-    def __init__(self, to: np.ndarray, acc: np.ndarray, order: np.ndarray, mask: np.ndarray):
+    def __init__(self, to: np.ndarray, acc: np.ndarray, mask: np.ndarray):
         n, m = to.shape
-        rows = np.arange(n)
         self.acc, self.mask = acc, mask
-        inside = mask & (to >= 0) & np.take_along_axis(np.c_[mask, np.zeros((n, 1), bool)], to, 1)
-        self.to = np.where(inside, to, -1)
-        donors = np.zeros((n, m + 1), np.int64)
-        np.add.at(donors, (np.broadcast_to(rows[:, None], to.shape)[inside], to[inside]), 1)
-        self.donors = donors[:, :m]
-        if np.any(inside & (np.take_along_axis(np.c_[acc, np.zeros((n, 1), acc.dtype)], to, 1) <= acc)):
+        flat, flow, wet = flat_targets(to), acc.reshape(-1), mask.reshape(-1)
+        inside = wet & (flat >= 0) & wet[flat]
+        self.to = np.where(inside.reshape(n, m), to, -1)
+        flat = np.where(inside, flat, -1)
+        self.donors = np.bincount(flat[inside], minlength=n * m).reshape(n, m)
+        if np.any(flow[flat[inside]] <= flow[inside]):
             raise ValueError("accumulation does not rise downstream")
         self.head, self.confluence = mask & (self.donors == 0), mask & (self.donors >= 2)
         self.node = self.head | self.confluence
-        # Downstream first: the next node of a cell is its receiver, or the receiver's next node.
-        following = np.full((n, m + 1), -1)
-        root = np.full((n, m + 1), -1)
-        for k in range(m - 1, -1, -1):
-            at = order[:, k]
-            d = self.to[rows, at]
-            is_node = (d >= 0) & self.node[rows, d]
-            following[rows, at] = np.where(is_node, d, following[rows, d])
-            following[:, m] = -1
-        self.parent = np.where(self.node, following[:, :m], -1)
+        node, head = self.node.reshape(-1), self.head.reshape(-1)
+        parent = np.where(node, last_of(flat, node), -1)
+        some = np.flatnonzero(node)
         # Upstream first: orders, oldest births and descendants rise to the parents.
-        top, times = np.zeros((n, m + 1), np.int64), np.zeros((n, m + 1), np.int64)
-        oldest = np.full((n, m + 1), np.iinfo(np.int64).max)
-        self.order = np.zeros((n, m), np.int64)
-        below = np.zeros((n, m + 1), np.int64)
-        self.oldest = np.zeros((n, m), np.int64)
-        for k in range(m):
-            at = order[:, k]
-            on = self.node[rows, at]
-            is_head = self.head[rows, at]
-            mine = np.where(is_head, 1, np.where(times[rows, at] == 1, top[rows, at], top[rows, at] + 1))
-            birth = np.where(is_head, acc[rows, at], oldest[rows, at])
-            self.order[rows[on], at[on]], self.oldest[rows[on], at[on]] = mine[on], birth[on]
-            p = np.where(on, self.parent[rows, at], -1)
-            higher, equal = mine > top[rows, p], mine == top[rows, p]
-            times[rows, p] = np.where(higher, 1, times[rows, p] + equal)
-            top[rows, p] = np.maximum(top[rows, p], mine)
-            oldest[rows, p] = np.minimum(oldest[rows, p], birth)
-            below[rows, p] += np.where(on, below[rows, at] + 1, 0)
-            top[:, m] = times[:, m] = below[:, m] = 0
-            oldest[:, m] = np.iinfo(np.int64).max
-        self.below = below[:, :m]
-        for k in range(m - 1, -1, -1):
-            at = order[:, k]
-            on = self.node[rows, at]
-            p = self.parent[rows, at]
-            root[rows, at] = np.where(on, np.where(p < 0, at, root[rows, p]), -1)
-        self.root = root[:, :m]
+        top, times, below, order = (np.zeros(n * m, np.int64) for _ in range(4))
+        oldest = np.where(head, flow, np.iinfo(np.int64).max)
+        for now in levels(parent, some):
+            order[now] = np.where(head[now], 1, np.where(times[now] == 1, top[now], top[now] + 1))
+            now = now[parent[now] >= 0]
+            p, mine = parent[now], order[now]
+            before = top[p]
+            np.maximum.at(top, p, mine)
+            times[p[top[p] > before]] = 0
+            np.add.at(times, p[mine == top[p]], 1)
+            np.minimum.at(oldest, p, oldest[now])
+            np.add.at(below, p, below[now] + 1)
+        root = last_of(np.where(parent >= 0, parent, np.arange(n * m)), parent < 0)
+        cell = lambda x: np.where(x >= 0, x % m, -1).reshape(n, m)
+        self.parent, self.root = cell(parent), cell(np.where(node, root, -1))
+        self.order, self.below = order.reshape(n, m), below.reshape(n, m)
+        self.oldest = np.where(self.node, oldest.reshape(n, m), 0)
 
 
 FLOW = T.StructType([
@@ -165,11 +162,11 @@ def _ids(batch: pa.RecordBatch, rows: np.ndarray, times: np.ndarray | int) -> li
     return [batch.column("patch_id").take(at).cast(pa.int64()), batch.column("label").take(at).cast(pa.int32())]
 
 
-def routed(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, receivers, accumulation, upstream-first order) of stacked elevations."""
+def routed(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(codes, receivers, accumulation, levels) of stacked elevations."""
     code = receivers(z)
     to = targets(code)
-    order = upstream_first(z, to)
+    order = depth_order(to)
     return code.reshape(len(z), -1), to, accumulation(to, order), order
 
 
@@ -207,12 +204,12 @@ def merge_tree(patch_rows: DataFrame, tau: int = 2, kth: int | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, z in stacks(batch):
-                _, to, acc, order = routed(z)
+                _, to, acc, _ = routed(z)
                 least = tau
                 if kth is not None:
                     k = min(max(kth, 1), acc.shape[1])
                     least = np.maximum(np.partition(acc, acc.shape[1] - k, axis=1)[:, [acc.shape[1] - k]], 1)
-                yield _node_batches(batch, rows, Forest(to, acc, order, acc >= least))
+                yield _node_batches(batch, rows, Forest(to, acc, acc >= least))
 
     return patch_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, NODES)
 
@@ -226,6 +223,77 @@ def merge_tree_of_codes(code_rows: DataFrame, tau: int = 1) -> DataFrame:
                 to = targets(z.astype(np.int8))
                 order = depth_order(to)
                 acc = accumulation(to, order)
-                yield _node_batches(batch, rows, Forest(to, acc, order, acc >= tau))
+                yield _node_batches(batch, rows, Forest(to, acc, acc >= tau))
 
     return code_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, NODES)
+
+
+# Joins of components as cells come in by value
+
+
+class Basins:
+    """Steepest-descent basins of a stack of grids, joined at their saddles by falling age: the pairs of H0 of the sublevel
+    sets in the total order (value, cell). Cells that are not `wet` are not there.
+
+    Basins, not cells, go through the union-find: a cell joins its lowest neighbour the moment that it comes in."""
+
+    def __init__(self, values: np.ndarray, steps: tuple[tuple[int, int], ...], outside: bool = False, wet: np.ndarray | None = None):
+        n, h, w = values.shape
+        size = n * h * w
+        flat = values.reshape(-1)
+        wet = np.ones(size, bool) if wet is None else wet.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        rank = np.empty(size, np.int64)
+        rank[order] = np.arange(size)
+        none = size + n  # beyond all ranks
+        grid = np.where(wet, rank, none).reshape(n, h, w)
+        around = np.full((n, h + 2, w + 2), none, np.int64)
+        if outside:
+            around[:] = -1
+        around[:, 1:-1, 1:-1] = grid
+        low = grid.copy()
+        for dr, dc in steps:
+            np.minimum(low, around[:, 1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w], out=low)
+        low = low.reshape(-1)
+        # Places beyond the grids stand for what lies outside of each.
+        patch = np.repeat(np.arange(n), h * w)
+        to = np.where(low < 0, size + patch, order[np.minimum(np.maximum(low, 0), size - 1)])
+        to = np.r_[np.where(wet, to, np.arange(size)), np.arange(size, size + n)]
+        while True:
+            further = to[to]
+            if np.array_equal(further, to):
+                break
+            to = further
+        self.rank, self.basin, self.order = np.r_[rank, np.full(n, -1)], to, order
+        label, low_of = to[:size].reshape(n, h, w), grid
+        edges = []
+        for dr, dc in steps:
+            if (dr, dc) > (0, 0):
+                here = np.s_[:, : h - dr, max(0, -dc) : w - max(0, dc)]
+                there = np.s_[:, dr:, max(0, dc) : w + min(0, dc)]
+                a, b, at = label[here].reshape(-1), label[there].reshape(-1), np.maximum(low_of[here], low_of[there]).reshape(-1)
+                apart = (a != b) & (at < none)
+                edges.append((np.minimum(a, b)[apart], np.maximum(a, b)[apart], at[apart]))
+        a, b, at = (np.concatenate(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64),) * 3
+        by = np.argsort(at, kind="stable")
+        _, first = np.unique(a[by] * np.int64(size + n) + b[by], return_index=True)
+        by = by[np.sort(first)]
+        names, where = np.unique(np.r_[a[by], b[by]], return_inverse=True)
+        where = where.reshape(2, -1)
+        # The older of two components is that of the lesser rank; outside is older than all.
+        age = self.rank[names].tolist()
+        parent = list(range(len(names)))
+        joins = []
+        for i, j, k in zip(where[0].tolist(), where[1].tolist(), at[by].tolist(), strict=True):
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            while parent[j] != j:
+                parent[j] = j = parent[parent[j]]
+            if i != j:
+                if age[j] < age[i]:
+                    i, j = j, i
+                parent[j] = i
+                joins.append((j, k))
+        young, saddle = np.array(joins, np.int64).reshape(-1, 2).T
+        #: Places of the younger component's first cell, and of the cell that joined it.
+        self.first, self.saddle = names[young], order[saddle]

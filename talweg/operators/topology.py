@@ -87,8 +87,8 @@ def mask_h1(patch_rows: DataFrame, tau: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, z in kernels.stacks(batch):
-                _, to, acc, order = kernels.routed(z)
-                forest = kernels.Forest(to, acc, order, acc >= tau)
+                _, to, acc, _ = kernels.routed(z)
+                forest = kernels.Forest(to, acc, acc >= tau)
                 mask = (acc >= tau).reshape(z.shape)
                 padded = np.pad(mask, ((0, 0), (1, 1), (1, 1)))
                 h, w = z.shape[1:]
@@ -104,29 +104,16 @@ def mask_h1(patch_rows: DataFrame, tau: int = 2) -> DataFrame:
 
 def filtration_joins(values: np.ndarray, mask: np.ndarray, descending: bool = False) -> list[tuple[int, int]]:
     """(cell, components joined) for cells that join two or more 8-connected components as cells come in by (value, cell)."""
-    h, w = values.shape
-    flat, inside = values.reshape(-1), mask.reshape(-1)
-    keys = -flat if descending else flat
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for cell in np.lexsort((np.arange(h * w), keys)).tolist():
-        if not inside[cell]:
-            continue
-        parent[cell] = cell
-        r, c = divmod(cell, w)
-        met = {find((r + dr) * w + c + dc) for dr, dc in kernels.STEPS if 0 <= r + dr < h and 0 <= c + dc < w and (r + dr) * w + c + dc in parent}
-        for m in met:
-            parent[m] = cell
-        if len(met) >= 2:
-            out.append((cell, len(met)))
-    return out
+    place, joined = stack_joins(values[None], mask[None], descending)
+    return list(zip(place.tolist(), joined.tolist(), strict=True))
+
+
+def stack_joins(values: np.ndarray, mask: np.ndarray, descending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a stack of grids: places (patch x cells + cell) in the order they come in, and components joined."""
+    keys = -values if descending else values
+    place, n = np.unique(kernels.Basins(keys, kernels.STEPS, wet=mask).saddle, return_counts=True)
+    order = np.lexsort((place, keys.reshape(-1)[place]))
+    return place[order], n[order] + 1
 
 
 def cubical_confluences(patch_rows: DataFrame, tau: int = 2, descending: bool = False) -> DataFrame:
@@ -137,10 +124,11 @@ def cubical_confluences(patch_rows: DataFrame, tau: int = 2, descending: bool =
         for batch in batches:
             for rows, z in kernels.stacks(batch):
                 _, _, acc, _ = kernels.routed(z)
+                m = acc.shape[1]
                 acc = acc.reshape(z.shape)
-                found = [(i, *x) for i, a in enumerate(acc) for x in filtration_joins(a, a > 0 if descending else a >= tau, descending)]
-                at, cell, joined = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column("patch_id").take(pa.array(rows[list(at)])).cast(pa.int64()), pa.array(cell, pa.int32()), pa.array(joined, pa.int32())], ["patch_id", "cell", "joined"])
+                place, joined = stack_joins(acc, acc > 0 if descending else acc >= tau, descending)
+                ids = batch.column("patch_id").take(pa.array(rows[place // m])).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array((place % m).astype(np.int32)), pa.array(joined.astype(np.int32))], ["patch_id", "cell", "joined"])
 
     return patch_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talweg.operators import diagrams, raster, twosample
+from talweg.operators import diagrams, raster, topology, twosample
 from talweg.sources.tables import cells
 
 PATCH = "patch_id long, label int, h int, w int, z array<double>"
@@ -125,3 +125,66 @@ def test_frechet_distance_of_equal_samples_is_zero(spark):
     n, m, c = twosample.moments(v, 4)
     assert n == 50 and abs(twosample.frechet(m, c, m, c)) < 1e-9
     assert math.isclose(twosample.frechet(m, c, m + 1, c), 4.0, abs_tol=1e-9)
+
+
+def test_bottleneck_of_large_diagrams():
+    rng = np.random.default_rng(5)
+    a = rng.random((2000, 2))
+    a[:, 1] += a[:, 0]
+    moved = a + rng.uniform(-0.001, 0.001, a.shape)
+    assert diagrams.bottleneck(a, moved[rng.permutation(2000)]) <= 0.001
+    assert diagrams.bottleneck(a, a[::-1]) == 0
+
+
+def test_quantiles_of_distances_equal_direct_ones(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 3))
+    v = spark.createDataFrame([(i, i % 4, y.tolist()) for i, y in enumerate(x)], "id long, tile long, x array<double>")
+    pairs = twosample.block_pairs(twosample.vector_blocks(v, 150))
+    i, j = np.triu_indices(150, 1)
+    d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+    assert math.isclose(twosample.distance_quantiles(pairs, 0.95)[0], np.quantile(d, 0.95), rel_tol=1e-9)
+    by = twosample.distance_quantiles(pairs, 0.5, "tiles")
+    same = i % 4 == j % 4
+    assert math.isclose(by[1], np.median(d[same]), rel_tol=1e-9) and math.isclose(by[0], np.median(d[~same]), rel_tol=1e-9)
+
+
+def test_sliced_distances_of_blocks_equal_the_columns(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(20):
+        points = [(float(b), float(b + p)) for b, p in rng.random((int(rng.integers(0, 6)), 2))]
+        rows.append((k, points + [(0.5, None)] * int(rng.integers(0, 3))))
+    df = spark.createDataFrame([(k, [{"birth": b, "death": d} for b, d in p]) for k, p in rows], "id long, points array<struct<birth:double,death:double>>")
+    duos = df.toDF("i", "a").join(df.toDF("j", "b"), F.col("i") < F.col("j"))
+    expect = {(r.i, r.j): r.sw for r in diagrams.sliced_wasserstein(duos, twosample.DIRECTIONS).collect()}
+    items = diagrams.as_items(df.withColumn("tile", F.lit(0).cast("long")))
+    found = {(r.i, r.j): r.d for r in twosample.pair_distances(twosample.block_pairs(twosample.vector_blocks(items, 20)), "sliced").collect()}
+    assert found.keys() == expect.keys()
+    assert all(math.isclose(found[k], expect[k], abs_tol=1e-9) for k in expect)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_joins_of_a_stack_equal_those_of_its_grids(ties):
+    rng = np.random.default_rng(8)
+    z = rng.integers(0, 4, (5, 9, 7)) if ties else rng.random((5, 9, 7))
+    mask = rng.random(z.shape) < 0.8
+    place, joined = topology.stack_joins(z, mask)
+    for k in range(5):
+        own = place // 63 == k
+        assert list(zip((place[own] % 63).tolist(), joined[own].tolist(), strict=True)) == brute_joins(z[k], mask[k])
+
+
+def brute_joins(values, mask):
+    h, w = values.shape
+    component, out = {}, []
+    for cell in sorted(np.flatnonzero(mask.reshape(-1)).tolist(), key=lambda c: (values.reshape(-1)[c], c)):
+        r, c = divmod(cell, w)
+        met = {component[x] for x in component if max(abs(x // w - r), abs(x % w - c)) == 1}
+        for x in component:
+            if component[x] in met:
+                component[x] = cell
+        component[cell] = cell
+        if len(met) > 1:
+            out.append((cell, len(met)))
+    return out
