@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talweg.operators.ranking import running
+from talweg.operators.ranking import numbered, running
+from talweg.sources.files import cut
 
 #: Vectors in one block; a pair of blocks is one row of at most 2 BLOCK vectors.
 BLOCK = 512
@@ -26,71 +27,212 @@ MOST_SPLITS = 5000
 
 
 def vector_blocks(vectors: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """(block, ids, tiles, xs): the vectors (id, tile, x) in ceil(n / BLOCK) blocks; n is their number."""
-    count = max(1, -(-n // BLOCK))
+    """(block, of, ids, tiles, xs, sizes): the items (id, tile, x) in `of` blocks of at most about BLOCK, n being their number.
+
+    x is an array of doubles: a vector, or the births and deaths of a diagram in turn, whose essential deaths are null."""
+    count = max(1, -(-n // min(BLOCK, max(64, n // 12))))
     # Blocks by id modulo their number are even for running ids; a hash would not be as even.
     block = F.pmod(F.col(key), F.lit(count)).cast("int")
     rows = vectors.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "tile", "x"))).alias("v"))
     pick = lambda f: F.transform("v", lambda p: p[f])
-    return rows.select("block", pick("id").alias("ids"), pick("tile").alias("tiles"), F.flatten(pick("x")).alias("xs"))
+    return rows.select("block", F.lit(count).alias("of"), pick("id").alias("ids"), pick("tile").alias("tiles"), F.flatten(pick("x")).alias("xs"), F.transform("v", lambda p: F.size(p["x"])).alias("sizes"))
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
-    """Every unordered pair of blocks once: ids_a, tiles_a, xs_a, and the same of b."""
-    side = lambda s: blocks.select(F.col("block").alias(f"block_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "tiles", "xs")])
-    return side("a").join(side("b"), F.col("block_a") <= F.col("block_b")).repartition("block_a", "block_b")
-
+    """Every unordered pair of blocks once: block_a, block_b and the columns of either as ids_a, ids_b and so on.
+
+    A block is sent to the cells of its row and column of the grid of blocks, where equal cells join."""
+    count = (blocks.select("of").first() or [1])[0]
+    parts = max(1, min(count * (count + 1) // 2, 1 << 16))
+
+    def side(s: str, row: Column, column: Column) -> DataFrame:
+        at = blocks.select(row.alias("block_a"), F.col("block"), "of", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "tiles", "xs", "sizes")])
+        return at.select("block_a", column.alias("block_b"), *[f"{c}_{s}" for c in ("ids", "tiles", "xs", "sizes")])
+
+    a = side("a", F.col("block"), F.explode(F.sequence(F.col("block"), F.col("of") - 1)))
+    b = side("b", F.explode(F.sequence(F.lit(0), F.col("block"))), F.col("block"))
+    cell = ["block_a", "block_b"]
+    return a.repartition(parts, *cell).hint("shuffle_hash").join(b.repartition(parts, *cell), cell)
+
+
+def _l2(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distances of the vectors (values, sizes) of two blocks."""
+    xa, xb = (x.reshape(len(n), -1) for x, n in (a, b))
+    return np.sqrt(np.maximum((xa**2).sum(1)[:, None] + (xb**2).sum(1)[None] - 2 * xa @ xb.T, 0))
+
+
+DIRECTIONS = 50
+
+
+def _padded(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(births, deaths, there) of diagrams, as rows of one length; essential deaths are NaN."""
+    points, owner = values.reshape(-1, 2), np.repeat(np.arange(len(sizes)), sizes // 2)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes // 2) - sizes // 2, sizes // 2)
+    out = np.zeros((2, len(sizes), int((sizes // 2).max(initial=0))))
+    there = np.zeros(out.shape[1:], bool)
+    out[0, owner, place], out[1, owner, place], there[owner, place] = points[:, 0], points[:, 1], True
+    return out[0], out[1], there
+
+
+def _sliced(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sliced Wasserstein distances of the diagrams of two blocks over DIRECTIONS directions; essential deaths are at 1.5
+    times the greatest finite death of the pair (1.0 without any)."""
+    (xa, ya, ina), (xb, yb, inb) = _padded(*a), _padded(*b)
+    t = -math.pi / 2 + np.arange(DIRECTIONS) * math.pi / DIRECTIONS
+    cos, sin = np.cos(t)[:, None, None], np.sin(t)[:, None, None]
+    finite = lambda y: np.where(np.isnan(y), -np.inf, y).max(1, initial=-np.inf)
+    cap_a, cap_b = finite(np.where(ina, ya, np.nan)), finite(np.where(inb, yb, np.nan))
+    out = np.zeros((len(xa), len(xb)))
+    step = max(1, (1 << 22) // max(1, DIRECTIONS * (xa.shape[1] + xb.shape[1])))
+    for i in range(len(xa)):
+        k = np.flatnonzero(ina[i])
+        for lo in range(0, len(xb), step):
+            rows = slice(lo, lo + step)
+            cap = np.maximum(cap_a[i], cap_b[rows])
+            cap = np.where(np.isfinite(cap), 1.5 * cap, 1.0)[:, None]
+            x1, y1 = np.broadcast_to(xa[i, k], (len(cap), len(k))), np.where(np.isnan(ya[i, k]), cap, ya[i, k])
+            x2, y2, there = xb[rows], np.where(np.isnan(yb[rows]), cap, yb[rows]), inb[rows]
+            # What is not there is beyond all, in both sides alike.
+            far = lambda v: np.where(there, v, np.inf)  # noqa: B023, E731
+            u = np.concatenate([x1 * cos + y1 * sin, far((x2 + y2) / 2 * (cos + sin))], 2)
+            v = np.concatenate([(x1 + y1) / 2 * (cos + sin), far(x2 * cos + y2 * sin)], 2)
+            u.sort(2)
+            v.sort(2)
+            with np.errstate(invalid="ignore"):
+                gap = np.abs(u - v)
+            out[i, rows] = np.where(np.isnan(gap), 0, gap).sum(2).mean(0)
+    return out
+
+
+METRICS = {"l2": _l2, "sliced": _sliced}
+
+
+class _Block:
+    """One pair of blocks: ids and tiles of either side, distances, and which pairs are there (each once, i < j)."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int, metric: str):
+        def side(s: str) -> list[np.ndarray]:
+            get = lambda c: batch.column(f"{c}_{s}")[k].values.to_numpy(zero_copy_only=False)
+            return [get("ids"), get("tiles").astype(np.int64), get("xs").astype(np.float64), get("sizes").astype(np.int64)]
+
+        (self.ia, self.ta, xa, na), (self.ib, self.tb, xb, nb) = side("a"), side("b")
+        self.a, self.b = (xa, na), (xb, nb)
+        self.d = METRICS[metric](self.a, self.b)
+        same = batch.column("block_a")[k].as_py() == batch.column("block_b")[k].as_py()
+        self.keep = self.ia[:, None] < self.ib[None] if same else np.ones(self.d.shape, bool)
+
+
+def _blockwise(pairs: DataFrame, metric: str, work, schema: str) -> DataFrame:
+    """The columns that work(block) makes of each pair of blocks, as rows."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-def _distances(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    def side(s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = batch.column(f"ids_{s}")[k].values.to_numpy(zero_copy_only=False)
-        return ids, batch.column(f"tiles_{s}")[k].values.to_numpy(zero_copy_only=False), batch.column(f"xs_{s}")[k].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(_Block(batch, k, metric))], names)
 
-    (ia, ta, xa), (ib, tb, xb) = side("a"), side("b")
-    d = np.sqrt(np.maximum((xa**2).sum(1)[:, None] + (xb**2).sum(1)[None] - 2 * xa @ xb.T, 0))
-    same = batch.column("block_a")[k].as_py() == batch.column("block_b")[k].as_py()
-    keep = ia[:, None] < ib[None] if same else np.ones(d.shape, bool)
-    return ia, ta, ib, tb, d, xa @ xb.T, keep
+    return pairs.mapInArrow(run, schema)
 
 
-def pair_distances(pairs: DataFrame) -> DataFrame:
+def pair_distances(pairs: DataFrame, metric: str = "l2") -> DataFrame:
     """(i, j, d) for every pair i < j."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ia, _, ib, _, d, _, keep = _distances(batch, k)
-                r, c = np.nonzero(keep)
-                i, j = np.minimum(ia[r], ib[c]), np.maximum(ia[r], ib[c])
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(d[r, c])], ["i", "j", "d"])
+    def work(x: _Block) -> list[np.ndarray]:
+        r, c = np.nonzero(x.keep)
+        return [np.minimum(x.ia[r], x.ib[c]), np.maximum(x.ia[r], x.ib[c]), x.d[r, c]]
+
+    return _blockwise(pairs, metric, work, "i long, j long, d double")
 
-    return pairs.mapInArrow(run, "i long, j long, d double")
 
+def closest_far_pairs(pairs: DataFrame, floor: float) -> DataFrame:
+    """(i, j, d, gap): of the pairs of vectors at least `floor` apart, of each pair of blocks the one that differs least in its first number."""
 
-def block_sums(pairs: DataFrame, sigma: float, kind: str = "gauss") -> DataFrame:
+    def work(x: _Block) -> list[np.ndarray]:
+        first = [v.reshape(len(n), -1)[:, 0] for v, n in (x.a, x.b)]
+        r, c = np.nonzero(x.keep & (x.d >= floor))
+        gap, i, j = np.abs(first[0][r] - first[1][c]), np.minimum(x.ia[r], x.ib[c]), np.maximum(x.ia[r], x.ib[c])
+        best = np.lexsort((j, i, gap))[:1]
+        return [i[best], j[best], x.d[r, c][best], gap[best]]
+
+    return _blockwise(pairs, "l2", work, "i long, j long, d double, gap double")
+
+
+def block_sums(pairs: DataFrame, sigma: float, kind: str = "gauss", metric: str = "l2") -> DataFrame:
     """(tile_a, tile_b, sum_k, n): kernel sums over all pairs of items of two tiles, tile_a <= tile_b, without the diagonal.
 
     kind: gauss, exp(-d2 / 2 sigma2); cubic, (x.y / dim + 1)^3; distance, d itself."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                _, ta, _, tb, d, dot, keep = _distances(batch, k)
-                dim = len(batch.column("xs_a")[k]) // max(1, len(ta))
-                value = {"gauss": lambda: np.exp(-(d**2) / (2 * sigma * sigma)), "cubic": lambda: (dot / dim + 1) ** 3, "distance": lambda: d}[kind]()
-                r, c = np.nonzero(keep)
-                a, b = np.minimum(ta[r], tb[c]).astype(np.int64), np.maximum(ta[r], tb[c]).astype(np.int64)
-                pair, at = np.unique(np.stack([a, b], 1), axis=0, return_inverse=True)
-                at = at.reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.bincount(at, value[r, c], len(pair))), pa.array(np.bincount(at, minlength=len(pair)).astype(np.int64))], ["tile_a", "tile_b", "sum_k", "n"])
-
-    parts = pairs.mapInArrow(run, "tile_a long, tile_b long, sum_k double, n long")
+    def work(x: _Block) -> list[np.ndarray]:
+        if kind == "gauss":
+            value = np.exp(-(x.d**2) / (2 * sigma * sigma))
+        elif kind == "cubic":
+            xa, xb = (v.reshape(len(n), -1) for v, n in (x.a, x.b))
+            value = (xa @ xb.T / max(1, xa.shape[1]) + 1) ** 3
+        else:
+            value = x.d
+        r, c = np.nonzero(x.keep)
+        a, b = np.minimum(x.ta[r], x.tb[c]), np.maximum(x.ta[r], x.tb[c])
+        low, at_a = np.unique(a, return_inverse=True)
+        high, at_b = np.unique(b, return_inverse=True)
+        pair, at = np.unique(at_a.reshape(-1) * max(1, len(high)) + at_b.reshape(-1), return_inverse=True)
+        at = at.reshape(-1)
+        pair_a, pair_b = (low[pair // len(high)], high[pair % len(high)]) if len(pair) else (low, high)
+        return [pair_a, pair_b, np.bincount(at, value[r, c], len(pair)), np.bincount(at, minlength=len(pair)).astype(np.int64)]
+
+    parts = _blockwise(pairs, metric, work, "tile_a long, tile_b long, sum_k double, n long")
     return parts.groupBy("tile_a", "tile_b").agg(F.sum("sum_k").alias("sum_k"), F.sum("n").alias("n"))
 
 
-def median_sigma(distances: DataFrame) -> float:
+#: A number is read by so many of its bits at a time, from the highest.
+_DIGITS = ((43, 20), (22, 21), (0, 22))
+
+
+def distance_quantiles(pairs: DataFrame, share: float, kinds: str = "all", metric: str = "l2", positive: bool = True) -> dict[int, float]:
+    """The exact percentile (interpolated) of the distances, or the positive ones, by kind: `all` (0), or by `tiles` (0 across, 1 within).
+
+    No distance leaves a task: tasks count them by their leading bits, then those of the numbers in question by the bits
+    after these, until the numbers are known."""
+    wanted: dict[int, list[tuple[int, int]]] | None = None  # by kind: (leading bits, rank among them)
+    totals: dict[int, int] = {}
+    for shift, width in _DIGITS:
+
+        def work(x: _Block, shift: int = shift, width: int = width, wanted: dict | None = wanted) -> list[np.ndarray]:
+            r, c = np.nonzero(x.keep & (x.d > 0) if positive else x.keep)
+            bits = x.d[r, c].view(np.int64)
+            kind = (x.ta[r] == x.tb[c]).astype(np.int64) if kinds == "tiles" else np.zeros(len(r), np.int64)
+            lead, digit = bits >> shift + width, bits >> shift & (1 << width) - 1
+            if wanted is not None:
+                ok = np.zeros(len(bits), bool)
+                for k, places in wanted.items():
+                    ok |= (kind == k) & np.isin(lead, [p for p, _ in places])
+                kind, lead, digit = kind[ok], lead[ok], digit[ok]
+            rows, n = np.unique(np.stack([kind, lead, digit], 1), axis=0, return_counts=True)
+            return [*np.ascontiguousarray(rows.T), n.astype(np.int64)]
+
+        counts = _blockwise(pairs, metric, work, "kind long, lead long, digit long, n long")
+        rows = counts.groupBy("kind", "lead", "digit").agg(F.sum("n").alias("n")).toPandas()
+        if wanted is None:
+            totals = {int(k): int(n) for k, n in rows.groupby("kind").n.sum().items()}
+            wanted = {k: [(0, int(np.floor((n - 1) * share))), (0, int(np.ceil((n - 1) * share)))] for k, n in totals.items()}
+        found: dict[int, list[tuple[int, int]]] = {}
+        for k, places in wanted.items():
+            for lead, rank in places:
+                part = rows[(rows.kind == k) & (rows.lead == lead)].sort_values("digit")
+                through = part.n.cumsum().to_numpy()
+                at = min(int(np.searchsorted(through, rank, "right")), len(part) - 1)
+                found.setdefault(k, []).append(((lead << width) + int(part.digit.iloc[at]), rank - int(through[at] - part.n.iloc[at])))
+        wanted = found
+    out = {}
+    for k, places in (wanted or {}).items():
+        low, high = (float(np.array([p]).view(np.float64)[0]) for p, _ in places)
+        at = (totals[k] - 1) * share
+        out[k] = float(low + (high - low) * (at - np.floor(at)))
+    return out
+
+
+def median_sigma(pairs: DataFrame, metric: str = "l2") -> float:
     """Median of the positive distances, 1.0 without any."""
-    return distances.where("d > 0").agg(F.percentile("d", 0.5)).first()[0] or 1.0
+    return distance_quantiles(pairs, 0.5, metric=metric).get(0, 1.0)
 
 
 def mmd2(sums: DataFrame, splits: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
@@ -128,8 +270,11 @@ def against_null(test: DataFrame, null: DataFrame) -> DataFrame:
 
 
 def balanced_splits(tiles: list[int]) -> list[tuple[int, int, str]]:
-    """(split, tile, side) for every split of an even number of tiles into halves, numbered by its bit mask."""
+    """(split, tile, side) for every split of an even number of tiles into halves, numbered by its bit mask; of an odd number,
+    or of one that has more than MOST_SPLITS splits, as sized_splits."""
     half = len(tiles) // 2
+    if len(tiles) % 2 or math.comb(len(tiles), half) > MOST_SPLITS:
+        return sized_splits(tiles, half)
     return [(m, t, "a" if m >> i & 1 else "b") for m in range(1 << len(tiles)) if m.bit_count() == half for i, t in enumerate(tiles)]
 
 
@@ -144,6 +289,16 @@ def sized_splits(tiles: list[int], k: int) -> list[tuple[int, int, str]]:
     return [(i, t, side) for i, (a, b) in enumerate(pairs) for side, part in (("a", a), ("b", b)) for t in part]
 
 
+def resampled(values: DataFrame, reps: int, order: list[str], value: str = "mmd2") -> DataFrame:
+    """(rep, value): for each repetition as many draws with replacement as there are values, by a hash of (rep, draw)."""
+    rows = cut(numbered(values.select(*order, value), order, "__i"))
+    n = rows.count()
+    draw = F.concat_ws(",", F.col("rep"), F.col("k"))
+    place = F.conv(F.substring(F.md5(draw), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
+    draws = rows.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")).alias("k"))
+    return draws.withColumn("__i", place).join(rows, "__i").select("rep", value)
+
+
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds ranks from 1, ties sharing their mean; ranks are worked out over distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))

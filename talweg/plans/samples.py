@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,17 +27,46 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sums_of(spark: SparkSession, sf_dir: str, kind: str = "gauss") -> DataFrame:
     p = pairs(spark, sf_dir)
-    return twosample.block_sums(p, twosample.median_sigma(twosample.pair_distances(p)) if kind == "gauss" else 1.0, kind)
+    return twosample.block_sums(p, twosample.median_sigma(p) if kind == "gauss" else 1.0, kind)
 
 
 def sizes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).groupBy("tile").agg(F.count("*").alias("n_items"))
 
 
+def tiles_of(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The tiles, few beside their items."""
+    return [r["tile"] for r in sizes_of(spark, sf_dir).orderBy("tile").collect()]
+
+
 def splits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All balanced splits of the first ten tiles."""
-    tiles = [r["tile"] for r in sizes_of(spark, sf_dir).orderBy("tile").limit(10).collect()]
-    return spark.createDataFrame(twosample.balanced_splits(tiles[: len(tiles) // 2 * 2]), "split int, tile long, side string")
+    """Balanced splits of all tiles."""
+    return spark.createDataFrame(twosample.balanced_splits(tiles_of(spark, sf_dir)), "split int, tile long, side string")
+
+
+#: Tiles of a second population have the numbers of the first, and this more for each population.
+POPULATION = 1 << 20
+
+
+def moved(v: DataFrame, population: int, amount: float) -> DataFrame:
+    """Another population: each vector with `amount` added to every second of its numbers, under new ids and tiles."""
+    shift = F.transform("x", lambda x, k: F.when(k % 2 == 0, x + amount).otherwise(x))
+    return v.select((F.col("id") + (population << 40)).alias("id"), (F.col("tile") + population * POPULATION).alias("tile"), shift.alias("x"))
+
+
+def populations(spark: SparkSession, sf_dir: str, amounts: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """(block sums, sizes) of the vectors and of populations moved by `amounts`; the bandwidth is that of the vectors."""
+    v = vectors(spark, sf_dir)
+    sigma, every = twosample.median_sigma(pairs(spark, sf_dir)), v
+    for k, amount in enumerate(amounts):
+        every = every.unionByName(moved(v, k + 1, amount))
+    sums = twosample.block_sums(twosample.block_pairs(twosample.vector_blocks(every, every.count())), sigma)
+    return cut(sums), every.groupBy("tile").agg(F.count("*").alias("n_items"))
+
+
+def against_moved(splits: DataFrame, population: int | Column) -> DataFrame:
+    """The splits with side a taken from another population."""
+    return splits.withColumn("tile", F.when(F.col("side") == "a", F.col("tile") + population * POPULATION).otherwise(F.col("tile")))
 
 
 _D = "v as (select vec_id as id, label::bigint as tile, list_transform(embedding, lambda x: x::double) as x from embeddings), pd as (select a.id as i, b.id as j, a.tile as ta, b.tile as tb, sqrt(greatest(list_dot_product(a.x, a.x) + list_dot_product(b.x, b.x) - 2 * list_dot_product(a.x, b.x), 0)) as d, list_dot_product(a.x, b.x) as dot from v a join v b on a.id < b.id)"
@@ -49,7 +78,7 @@ def _sums(kernel: str) -> str:
 
 
 _GAUSS = _sums("exp(-(d * d) / (2 * sigma * sigma))")
-_SPLITS = "tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v order by tile limit 10)), split as (select m::int as split, t.tile, case when (m >> t.i) & 1 = 1 then 'a' else 'b' end as side from range(0, 1024) g(m), tiles t where bit_count(m) = 5)"
+_SPLITS = "tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v)), split as (select m::int as split, t.tile, case when (m >> t.i) & 1 = 1 then 'a' else 'b' end as side from range(0, 1024) g(m), tiles t where bit_count(m) = 5)"
 
 
 def _mmd(splits: str, key: str) -> str:
@@ -79,6 +108,57 @@ def sw_matrix(spark, sf_dir):
     return diagrams.sliced_wasserstein(duos, 5).select("i", "j", F.round("sw", 3).alias("sw"))
 
 
+_POINTS = f"""{tree()}, {PAIRS}, item as (select vec_id as id, label::bigint as tile, coalesce(pts, []) as pts from embeddings left join (select patch_id, list({{'x': birth::double, 'y': death::double}}) as pts from pairs group by all) on patch_id = vec_id)"""
+_SLICED = """duo as (select a.id as i, b.id as j, a.pts as a, b.pts as b, coalesce(greatest(list_max(list_transform(a.pts, lambda p: p.y)), list_max(list_transform(b.pts, lambda p: p.y))) * 1.5, 1.0) as cap from item a join item b on a.id < b.id),
+ang as (select cos(t) as c, sin(t) as s from (select -pi() / 2 + k * pi() / 50 as t from range(0, 50) g(k))),
+sides as (select i, j, list_sort(list_concat(list_transform(a, lambda p: p.x * c + coalesce(p.y, cap) * s), list_transform(b, lambda p: (p.x + coalesce(p.y, cap)) / 2 * (c + s)))) as u,
+  list_sort(list_concat(list_transform(b, lambda p: p.x * c + coalesce(p.y, cap) * s), list_transform(a, lambda p: (p.x + coalesce(p.y, cap)) / 2 * (c + s)))) as v from duo, ang),
+sw as (select i, j, sum(coalesce(list_sum(list_transform(list_zip(u, v), lambda z: abs(z[1] - z[2]))), 0)) / 50 as d from sides group by all)"""
+
+
+def diagram_pairs(spark: SparkSession, sf_dir: str, eps: float = 0.0) -> DataFrame:
+    """Pairs of blocks of the patches' diagrams, without the finite pairs shorter than eps."""
+    found = diagrams.points(diagrams.pruned(pairs_of(spark, sf_dir), eps))
+    items = patches(spark, sf_dir).select("patch_id", "label").join(found, "patch_id", "left")
+    points = F.coalesce("points", F.array().cast(found.schema["points"].dataType))
+    items = diagrams.as_items(items.select(F.col("patch_id").alias("id"), F.col("label").cast("long").alias("tile"), points.alias("points")))
+    return twosample.block_pairs(twosample.vector_blocks(items, items.count()))
+
+
+@query(f"with recursive {_POINTS}, {_SLICED} select i, j, round(d, 4) as sw from sw")
+def sw_items(spark, sf_dir):
+    """Sliced Wasserstein distances over 50 directions between the diagrams of every two patches."""
+    return twosample.pair_distances(diagram_pairs(spark, sf_dir), "sliced").select("i", "j", F.round("d", 4).alias("sw"))
+
+
+def sliced_test(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
+    """The test of one population of patches against another over their diagrams: floor, median, ratio, share above, p, verdict.
+
+    The populations are the patches of even and of odd id, in the same tiles."""
+    found = diagram_pairs(spark, sf_dir, eps)
+    sigma = twosample.median_sigma(found, "sliced")
+    odd = F.transform("ids_a", lambda i: i % 2), F.transform("ids_b", lambda i: i % 2)
+    mark = lambda tiles, flags: F.zip_with(tiles, flags, lambda t, f: t + f * POPULATION)
+    found = found.withColumn("tiles_a", mark("tiles_a", odd[0])).withColumn("tiles_b", mark("tiles_b", odd[1]))
+    sums = cut(twosample.block_sums(found, sigma, metric="sliced"))
+    sizes = vectors(spark, sf_dir).groupBy((F.col("tile") + F.pmod("id", F.lit(2)) * POPULATION).alias("tile")).agg(F.count("*").alias("n_items"))
+    splits = splits_of(spark, sf_dir)
+    null, test = (cut(twosample.mmd2(sums, x, sizes, "split")) for x in (splits, against_moved(splits, 1)))
+    return twosample.against_null(test, null)
+
+
+@query()
+def pruning_rerun(spark, sf_dir):
+    """Distances, bandwidth, null and test over diagrams pruned at 0 and at percentiles of the finite lengths, threshold by threshold."""
+    shares = (0.1, 0.25, 0.5, 0.75, 0.9)
+    found = pairs_of(spark, sf_dir).where("death is not null").agg(F.percentile(F.col("death") - F.col("birth"), F.array(*map(F.lit, shares))).alias("q")).first()["q"]
+    out = None
+    for share, eps in zip((0.0, *shares), (0.0, *(found or [0.0] * len(shares))), strict=True):
+        row = sliced_test(spark, sf_dir, eps).select(F.lit(share).alias("share"), F.lit(float(eps)).alias("eps"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(f"with {_D} select ta % 2 + tb % 2 as kind, count(*) as n, round(avg(d), 6) as mean from pd group by all")
 def population_blocks(spark, sf_dir):
     """Mean distances within and across two populations (even and odd tiles), as blocks of one matrix: 0 and 2 within, 1 across."""
@@ -89,8 +169,7 @@ def population_blocks(spark, sf_dir):
 
 @query(f"with {_SIGMA} select round(sigma, 6) as sigma from sg")
 def median_sigma(spark, sf_dir):
-    d = twosample.pair_distances(pairs(spark, sf_dir))
-    return d.where("d > 0").agg(F.round(F.coalesce(F.percentile("d", 0.5), F.lit(1.0)), 6).alias("sigma"))
+    return spark.createDataFrame([(round(twosample.median_sigma(pairs(spark, sf_dir)), 6),)], "sigma double")
 
 
 @query(f"with {_GAUSS} select tile_a, tile_b, round(sum_k, 5) as sum_k, n from sums")
@@ -104,52 +183,42 @@ def spatial_null(spark, sf_dir):
     return twosample.mmd2(sums_of(spark, sf_dir), splits_of(spark, sf_dir), sizes_of(spark, sf_dir), "split").withColumn("mmd2", F.round("mmd2", 7))
 
 
-def _sized_splits(spark: SparkSession, sf_dir: str, most: int = 2) -> DataFrame:
-    """Splits of K tiles against K others of the first ten, for K up to `most`: split = K * 2^20 + mask a * 2^10 + mask b."""
-    tiles = [r["tile"] for r in sizes_of(spark, sf_dir).orderBy("tile").limit(10).collect()]
-    masks = range(1 << len(tiles))
-    rows = [
-        (k, (k << 20) + (a << 10) + b, t, "a" if a >> i & 1 else "b")
-        for k in range(1, most + 1)
-        for a in masks
-        if a.bit_count() == k
-        for b in masks
-        if b.bit_count() == k and not a & b
-        for i, t in enumerate(tiles)
-        if (a | b) >> i & 1
-    ]
-    return spark.createDataFrame(rows, "k int, split int, tile long, side string")
-
-
-_SIZED = "tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v order by tile limit 10)), ks as (select bit_count(a)::int as k, a, b, (bit_count(a) * 1048576 + a * 1024 + b)::int as split from range(1, 1024) x(a), range(1, 1024) y(b) where a & b = 0 and bit_count(a) = bit_count(b) and bit_count(a) <= 2), sz as (select split, t.tile, case when (a >> t.i) & 1 = 1 then 'a' else 'b' end as side from ks, tiles t where ((a | b) >> t.i) & 1 = 1)"
+_SIZED = "tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v)), ks as (select bit_count(a)::int as k, a, b, (bit_count(a) * 1048576 + a * 1024 + b)::int as split from range(1, 1024) x(a), range(1, 1024) y(b) where a & b = 0 and bit_count(a) = bit_count(b) and bit_count(a) <= 5), sz as (select split, t.tile, case when (a >> t.i) & 1 = 1 then 'a' else 'b' end as side from ks, tiles t where ((a | b) >> t.i) & 1 = 1)"
 
 
 @query(f"""with {_GAUSS}, {_SIZED}, {_mmd('sz', 'split')} select k.k, count(*) as reps, round(avg((n_a + n_b) / 2), 6) as side_mean, min(least(n_a, n_b)) as side_min, round(quantile_cont(mmd2, 0.5), 6) as median, round(quantile_cont(mmd2, 0.95), 6) as p95, round(max(mmd2), 6) as greatest
 from mmd join ks k on k.split = mmd.split group by k.k""")
 def power_curve(spark, sf_dir):
-    splits = _sized_splits(spark, sf_dir)
-    null = twosample.mmd2(sums_of(spark, sf_dir), splits, sizes_of(spark, sf_dir), "k", "split")
-    out = twosample.null_summary(null, "k")
-    return out.select("k", "reps", "side_min", *[F.round(c, 6).alias(c) for c in ("side_mean", "median", "p95", "greatest")])
-
-
-@query(f"""with {_GAUSS}, {_SIZED.replace('<= 2', '<= 5')}, {_mmd('sz', 'split')} select k.k, count(*) as reps, round(avg((n_a + n_b) / 2), 6) as side_mean, min(least(n_a, n_b)) as side_min, round(quantile_cont(mmd2, 0.5), 6) as median, round(quantile_cont(mmd2, 0.95), 6) as p95, round(max(mmd2), 6) as greatest
-from mmd join ks k on k.split = mmd.split group by k.k""")
-def power_curve_whole(spark, sf_dir):
-    """The power curve over all tiles, K up to half their number; the SQL is for ten tiles."""
-    tiles = [r["tile"] for r in sizes_of(spark, sf_dir).orderBy("tile").collect()]
+    """The null of K tiles against K others for K up to half the number of tiles; the SQL is for ten tiles."""
+    tiles = tiles_of(spark, sf_dir)
     rows = [(k, *x) for k in range(1, len(tiles) // 2 + 1) for x in twosample.sized_splits(tiles, k)]
     splits = spark.createDataFrame(rows, "k int, split int, tile long, side string")
-    null = twosample.mmd2(sums_of(spark, sf_dir), splits, sizes_of(spark, sf_dir), "k", "split")
+    null = twosample.mmd2(cut(sums_of(spark, sf_dir)), splits, sizes_of(spark, sf_dir), "k", "split")
     return twosample.null_summary(null, "k").select("k", "reps", "side_min", *[F.round(c, 6).alias(c) for c in ("side_mean", "median", "p95", "greatest")])
 
 
-@query(f"""with {_GAUSS}, {_SPLITS}, {_mmd('split', 'split')}, test as (select mmd2 + 0.001 as mmd2 from mmd where split % 3 = 0), f as (select quantile_cont(mmd2, 0.95) as floor from mmd), m as (select quantile_cont(mmd2, 0.5) as median from test)
+def _moved_sql(amounts: tuple[float, ...]) -> str:
+    """The SQL of populations(): v holds all, sg the bandwidth of the first."""
+    more = " union all ".join(f"select id + ({k + 1}::bigint << 40), tile + {(k + 1) * POPULATION}, list_transform(x, lambda e, i: case when i % 2 = 1 then e + {amount} else e end) from v0" for k, amount in enumerate(amounts))
+    d = "sqrt(greatest(list_dot_product(a.x, a.x) + list_dot_product(b.x, b.x) - 2 * list_dot_product(a.x, b.x), 0))"
+    return f"""v0 as (select vec_id as id, label::bigint as tile, list_transform(embedding, lambda e: e::double) as x from embeddings), v as (select id, tile, x from v0 union all {more}),
+sg as (select coalesce(quantile_cont(d, 0.5), 1.0) as sigma from (select {d} as d from v0 a join v0 b on a.id < b.id) where d > 0), pd as (select a.tile as ta, b.tile as tb, {d} as d from v a join v b on a.id < b.id),
+sums as (select least(ta, tb) as tile_a, greatest(ta, tb) as tile_b, sum(exp(-(d * d) / (2 * sigma * sigma))) as sum_k, count(*) as n from pd, sg group by all), sizes as (select tile, count(*) as n_items from v group by all),
+tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v0)), split as (select m::int as split, t.tile, case when (m >> t.i) & 1 = 1 then 'a' else 'b' end as side from range(0, 1024) g(m), tiles t where bit_count(m) = 5)"""
+
+
+_AMOUNTS = (0.002, 0.005, 0.01, 0.02)
+_TEST = f"tsplit as (select split, case when side = 'a' then tile + {POPULATION} else tile end as tile, side from split)"
+
+
+@query(f"""with {_moved_sql((0.01,))}, {_TEST}, {_mmd('split', 'split')}, {_mmd('tsplit', 'split').replace('pr as', 'tpr as').replace('nn as', 'tnn as').replace('mmd as', 'test as').replace('from pr join nn on nn.split = pr.split', 'from tpr pr join tnn nn on nn.split = pr.split')},
+f as (select quantile_cont(mmd2, 0.95) as floor from mmd), m as (select quantile_cont(mmd2, 0.5) as median from test)
 select round(floor, 6) as floor, round(median, 6) as median, round(median / floor, 4) as ratio, round((select avg((mmd2 > floor)::int) from test, f), 6) as above, round((select avg((mmd2 >= median)::int) from mmd, m), 6) as p, median > floor as rejected from f, m""")
 def test_vs_null(spark, sf_dir):
-    """The null shifted by 0.001 in a third of the splits, against all."""
-    null = cut(twosample.mmd2(sums_of(spark, sf_dir), splits_of(spark, sf_dir), sizes_of(spark, sf_dir), "split"))
-    test = null.where("split % 3 = 0").select((F.col("mmd2") + 0.001).alias("mmd2"))
+    """A second population's tiles against the first's, split by split, beside the null of the first against itself."""
+    sums, sizes = populations(spark, sf_dir, (0.01,))
+    splits = splits_of(spark, sf_dir)
+    null, test = (cut(twosample.mmd2(sums, x, sizes, "split")) for x in (splits, against_moved(splits, 1)))
     out = twosample.against_null(test, null)
     return out.select(F.round("floor", 6).alias("floor"), F.round("median", 6).alias("median"), F.round("ratio", 4).alias("ratio"), F.round("above", 6).alias("above"), F.round("p", 6).alias("p"), "rejected")
 
@@ -171,24 +240,14 @@ def province_pairs(spark, sf_dir):
     return twosample.mmd2(sums_of(spark, sf_dir), splits, sizes_of(spark, sf_dir), "duo").withColumn("mmd2", F.round("mmd2", 7))
 
 
-@query(f"""with {_GAUSS}, {_SPLITS}, {_mmd('split', 'split')}, out1 as (select distinct tile from split), loo as (select o.tile, quantile_cont(m.mmd2, 0.95) as p95 from out1 o join split s on s.tile = o.tile and s.side = 'a' join mmd m on m.split = s.split group by all)
-select count(*) as n, round(min(p95), 6) as least, round(max(p95), 6) as greatest, round(avg(p95), 6) as mean, round(stddev_samp(p95), 7) as sd from loo""")
-def jackknife(spark, sf_dir):
-    """95th percentile of the null over the splits that hold a tile on side a, tile by tile, and its spread."""
-    splits = splits_of(spark, sf_dir)
-    null = twosample.mmd2(sums_of(spark, sf_dir), splits, sizes_of(spark, sf_dir), "split")
-    by_tile = splits.where("side = 'a'").join(null, "split").groupBy("tile").agg(F.percentile("mmd2", 0.95).alias("p95"))
-    return by_tile.agg(F.count("*").alias("n"), F.round(F.min("p95"), 6).alias("least"), F.round(F.max("p95"), 6).alias("greatest"), F.round(F.avg("p95"), 6).alias("mean"), F.round(F.stddev_samp("p95"), 7).alias("sd"))
-
-
-_LEFT = "tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v order by tile limit 10)), size as (select (count(*) - 1) // 2 as k, count(*) as n from tiles), ks as (select a, b, (a * 1024 + b)::int as split from size, range(1, 1024) x(a), range(1, 1024) y(b) where a & b = 0 and bit_count(a) = k and bit_count(b) = k and (a | b) < (1 << n)), sz as (select split, t.tile, case when (a >> t.i) & 1 = 1 then 'a' else 'b' end as side from ks, tiles t where ((a | b) >> t.i) & 1 = 1)"
+_LEFT = "tiles as (select tile, row_number() over (order by tile) - 1 as i from (select distinct tile from v)), size as (select (count(*) - 1) // 2 as k, count(*) as n from tiles), ks as (select a, b, (a * 1024 + b)::int as split from size, range(1, 1024) x(a), range(1, 1024) y(b) where a & b = 0 and bit_count(a) = k and bit_count(b) = k and (a | b) < (1 << n)), sz as (select split, t.tile, case when (a >> t.i) & 1 = 1 then 'a' else 'b' end as side from ks, tiles t where ((a | b) >> t.i) & 1 = 1)"
 
 
 @query(f"""with {_GAUSS}, {_LEFT}, {_mmd('sz', 'split')}, loo as (select t.tile, quantile_cont(m.mmd2, 0.95) as p95 from tiles t join ks on ((a | b) >> t.i) & 1 = 0 join mmd m on m.split = ks.split group by all)
 select count(*) as n, round(min(p95), 6) as least, round(max(p95), 6) as greatest, round(avg(p95), 6) as mean, round(stddev_samp(p95), 7) as sd from loo""")
-def leave_one_out(spark, sf_dir):
+def jackknife(spark, sf_dir):
     """95th percentile of the null over splits of K against K other tiles, K as large as fits without one tile, tile by tile, and its spread."""
-    tiles = [r["tile"] for r in sizes_of(spark, sf_dir).orderBy("tile").collect()]
+    tiles = tiles_of(spark, sf_dir)
     rows = [(t, *x) for t in tiles for x in twosample.sized_splits([o for o in tiles if o != t], (len(tiles) - 1) // 2)]
     splits = spark.createDataFrame(rows, "left_out long, split int, tile long, side string")
     null = twosample.mmd2(sums_of(spark, sf_dir), splits, sizes_of(spark, sf_dir), "left_out", "split")
@@ -199,10 +258,12 @@ def leave_one_out(spark, sf_dir):
 @query(f"""with {_D}, w as (select d, ta = tb as same from pd) select round(avg(d) filter (where not same) / avg(d) filter (where same), 6) as mean_ratio, round(quantile_cont(d, 0.5) filter (where not same) / quantile_cont(d, 0.5) filter (where same), 6) as median_ratio from w""")
 def raw_movement(spark, sf_dir):
     """Distances across tiles over those within."""
-    tile = vectors(spark, sf_dir).select("id", "tile")
-    d = twosample.pair_distances(pairs(spark, sf_dir)).join(tile.toDF("i", "ta"), "i").join(tile.toDF("j", "tb"), "j")
-    within, across = F.when(F.col("ta") == F.col("tb"), F.col("d")), F.when(F.col("ta") != F.col("tb"), F.col("d"))
-    return d.agg(F.round(F.avg(across) / F.avg(within), 6).alias("mean_ratio"), F.round(F.percentile(across, 0.5) / F.percentile(within, 0.5), 6).alias("median_ratio"))
+    p = pairs(spark, sf_dir)
+    within = F.col("tile_a") == F.col("tile_b")
+    mean = lambda c: F.sum(F.when(c, F.col("sum_k"))) / F.sum(F.when(c, F.col("n")))
+    middle = twosample.distance_quantiles(p, 0.5, "tiles", positive=False)
+    median = round(middle[0] / middle[1], 6) if len(middle) == 2 else None
+    return twosample.block_sums(p, 1.0, "distance").agg(F.round(mean(~within) / mean(within), 6).alias("mean_ratio")).withColumn("median_ratio", F.lit(median).cast("double"))
 
 
 @query(f"""with recursive {tree()}, {PAIRS}, e as (select quantile_cont(death - birth, [0.1, 0.25, 0.5, 0.75, 0.9]) as q from pairs where death is not null), lv as (select i::int as level, q[i + 1] as eps from e, range(0, 5) g(i))
@@ -215,29 +276,34 @@ def pruning_sweep(spark, sf_dir):
     return p.crossJoin(F.broadcast(levels)).groupBy("level", "eps").agg(kept.alias("kept")).withColumn("eps", F.round("eps", 6))
 
 
+_REPS = 2000
+
+
 @query(f"""with {_GAUSS}, {_SPLITS}, {_mmd('split', 'split')}, vals as (select mmd2, row_number() over (order by split) - 1 as i, count(*) over () as n from mmd),
-draws as (select rep, v.mmd2 from range(0, 50) r(rep), range(0, 100) k(k) join vals v on v.i = (rep * 7919 + k * 104729 + rep * k) % v.n), p as (select rep, quantile_cont(mmd2, 0.95) as p95 from draws group by all)
+draws as (select rep, ('0x' || md5(rep || ',' || k)[1:8])::bigint % n as i from range(0, {_REPS}) r(rep), (select distinct n from vals), range(0, (select count(*) from mmd)) k(k)),
+p as (select rep, quantile_cont(mmd2, 0.95) as p95 from draws join vals using (i) group by all)
 select round(quantile_cont(p95, 0.025), 6) as low, round(quantile_cont(p95, 0.975), 6) as high, count(*) as reps from p""")
 def bootstrap_ci(spark, sf_dir):
-    """Interval of the null's 95th percentile over 50 resamples of 100 values, drawn by a fixed rule."""
+    """Interval of the null's 95th percentile over resamples of all its values with replacement, drawn by a hash."""
     null = twosample.mmd2(sums_of(spark, sf_dir), splits_of(spark, sf_dir), sizes_of(spark, sf_dir), "split")
-    whole = W.partitionBy(F.lit(0))
-    values = null.select("mmd2", (F.row_number().over(whole.orderBy("split")) - 1).cast("long").alias("i"), F.count("*").over(whole).alias("n"))
-    reps = spark.range(50).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"))
-    drawn = reps.crossJoin(F.broadcast(values.agg(F.max("n").alias("m")))).withColumn("i", (F.col("rep") * 7919 + F.col("k") * 104729 + F.col("rep") * F.col("k")) % F.col("m")).join(values, "i")
-    p = drawn.groupBy("rep").agg(F.percentile("mmd2", 0.95).alias("p95"))
+    p = twosample.resampled(null, _REPS, ["split"]).groupBy("rep").agg(F.percentile("mmd2", 0.95).alias("p95"))
     return p.agg(F.round(F.percentile("p95", 0.025), 6).alias("low"), F.round(F.percentile("p95", 0.975), 6).alias("high"), F.count("*").alias("reps"))
 
 
-@query(f"""with {_GAUSS}, base as (select * from sums), lv as (select l::int as level, (l + 1) * 0.002 as shift from range(0, 4) g(l)), {_SPLITS}, {_mmd('split', 'split')}, f as (select quantile_cont(mmd2, 0.95) as floor from mmd)
-select l.level, round(quantile_cont(m.mmd2 + l.shift, 0.5) / max(f.floor), 4) as ratio, quantile_cont(m.mmd2 + l.shift, 0.5) / max(f.floor) >= 1 as reached from mmd m, lv l, f group by all""")
+@query(f"""with {_moved_sql(_AMOUNTS)}, lv as (select l::int as level from range(0, {len(_AMOUNTS)}) g(l)),
+every as (select -1 as level, split, tile, side from split union all select level, split, case when side = 'a' then tile + (level + 1) * {POPULATION} else tile end, side from split, lv), keyed as (select (level + 1) * 4096 + split as spot, tile, side from every), {_mmd('keyed', 'spot')},
+f as (select quantile_cont(mmd2, 0.95) as floor from mmd where spot < 4096), t as (select (spot // 4096 - 1)::int as level, quantile_cont(mmd2, 0.5) as median from mmd where spot >= 4096 group by 1)
+select level, round(median / floor, 4) as ratio, median / floor >= 1 as reached, coalesce(level = (select min(level) from t, f where median >= floor), false) as first_reached from t, f""")
 def effect_curve(spark, sf_dir):
-    """Median of the shifted null over its 95th percentile, level by level, and whether it reaches it."""
-    null = twosample.mmd2(sums_of(spark, sf_dir), splits_of(spark, sf_dir), sizes_of(spark, sf_dir), "split")
-    floor = null.agg(F.percentile("mmd2", 0.95).alias("floor"))
-    levels = spark.range(4).select(F.col("id").cast("int").alias("level"), ((F.col("id") + 1) * 0.002).alias("shift"))
-    ratio = F.percentile(F.col("mmd2") + F.col("shift"), 0.5) / F.max("floor")
-    return null.crossJoin(F.broadcast(levels.crossJoin(floor))).groupBy("level").agg(F.round(ratio, 4).alias("ratio"), (ratio >= 1).alias("reached"))
+    """Perturbed tiles against others, level by level: the median over the null's 95th percentile, whether it reaches it, and the first level that does."""
+    sums, sizes = populations(spark, sf_dir, _AMOUNTS)
+    splits = splits_of(spark, sf_dir)
+    levels = spark.range(len(_AMOUNTS)).select(F.col("id").cast("int").alias("level"))
+    floor = twosample.mmd2(sums, splits, sizes, "split").agg(F.percentile("mmd2", 0.95).alias("floor"))
+    test = twosample.mmd2(sums, against_moved(splits.crossJoin(F.broadcast(levels)), F.col("level") + 1), sizes, "level", "split")
+    t = test.groupBy("level").agg(F.percentile("mmd2", 0.5).alias("median")).crossJoin(F.broadcast(floor)).select("level", (F.col("median") / F.col("floor")).alias("r"))
+    first = F.min(F.when(F.col("r") >= 1, F.col("level"))).over(W.partitionBy(F.lit(0)))  # a row a level
+    return t.select("level", F.round("r", 4).alias("ratio"), (F.col("r") >= 1).alias("reached"), F.coalesce(F.col("level") == first, F.lit(False)).alias("first_reached"))
 
 
 @query()
@@ -367,11 +433,9 @@ def in_family(spark, sf_dir):
 @query(f"""with {_D}, far as (select i, j, d from pd where d >= (select quantile_cont(d, 0.95) from pd)), near as (select f.i, f.j, f.d, abs(a.x[1] - b.x[1]) as gap from far f join v a on a.id = f.i join v b on b.id = f.j) select i, j, round(d, 6) as d, round(gap, 6) as gap from near order by near.gap, i, j limit 1""")
 def found_pair(spark, sf_dir):
     """Of the pairs at or beyond the 95th percentile of distance, the one that is closest in its first feature."""
-    d = twosample.pair_distances(pairs(spark, sf_dir))
-    far = d.crossJoin(F.broadcast(d.agg(F.percentile("d", 0.95).alias("floor")))).where("d >= floor")
-    x = vectors(spark, sf_dir).select("id", F.col("x")[0].alias("x"))
-    near = far.join(x.toDF("i", "xi"), "i").join(x.toDF("j", "xj"), "j").withColumn("gap", F.abs(F.col("xi") - F.col("xj")))
-    return near.orderBy("gap", "i", "j").limit(1).select("i", "j", F.round("d", 6).alias("d"), F.round("gap", 6).alias("gap"))
+    p = pairs(spark, sf_dir)
+    best = twosample.closest_far_pairs(p, twosample.distance_quantiles(p, 0.95, positive=False).get(0, 0.0))
+    return best.orderBy("gap", "i", "j").limit(1).select("i", "j", F.round("d", 6).alias("d"), F.round("gap", 6).alias("gap"))
 
 
 @query("select label::int as label, (g.i - 1)::int as pos, round(avg(embedding[g.i]::double), 6) as mean from embeddings, range(1, 65) g(i) group by all")
