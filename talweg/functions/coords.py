@@ -90,6 +90,17 @@ def mercator(lon: Column, lat: Column) -> Column:
     return F.struct((F.radians(lon) * radius).alias("x"), (F.log(F.tan(F.radians(lat) / 2 + 0.7853981633974483)) * radius).alias("y"))
 
 
+def grown(a: Column, by: float) -> Column:
+    """A box with a buffer around it."""
+    return F.struct((a["min_x"] - by).alias("min_x"), (a["min_y"] - by).alias("min_y"), (a["max_x"] + by).alias("max_x"), (a["max_y"] + by).alias("max_y"))
+
+
+def digest_id(name: Column) -> Column:
+    """The MD5 of a text in the form 8-4-4-4-12."""
+    h = F.md5(name)
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def natural_key(name: Column) -> Column:
     """Sort key of names like `model_12ms`: prefix, number, whether it ends in ms."""
     return F.struct(F.regexp_extract(name, r"^(\D*)", 1).alias("prefix"), F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("int"), F.lit(-1)).alias("number"), name.endswith("ms").alias("ms"))

@@ -137,11 +137,23 @@ class Forest:
             np.minimum.at(oldest, p, oldest[now])
             np.add.at(below, p, below[now] + 1)
         root = last_of(np.where(parent >= 0, parent, np.arange(n * m)), parent < 0)
+        #: Places downstream within the mask, flat.
+        self.flat = flat
         cell = lambda x: np.where(x >= 0, x % m, -1).reshape(n, m)
         self.parent, self.root = cell(parent), cell(np.where(node, root, -1))
         self.order, self.below = order.reshape(n, m), below.reshape(n, m)
         self.oldest = np.where(self.node, oldest.reshape(n, m), 0)
 
+    def segments(self) -> np.ndarray:
+        """The node that each masked cell is downstream of, itself if it is one: the segment that leads to the next node; -1 elsewhere."""
+        node, m = self.node.reshape(-1), self.node.shape[1]
+        out = np.where(node, np.arange(len(node)), -1)
+        for now in levels(self.flat, np.flatnonzero(self.mask.reshape(-1))):
+            t = self.flat[now]
+            on = (t >= 0) & ~node[t]
+            out[t[on]] = out[now[on]]
+        return np.where(out >= 0, out % m, -1).reshape(self.node.shape)
+
 
 FLOW = T.StructType([
     T.StructField("patch_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("r", T.IntegerType()), T.StructField("c", T.IntegerType()),
@@ -214,6 +226,26 @@ def merge_tree(patch_rows: DataFrame, tau: int = 2, kth: int | None = None) -> D
     return patch_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, NODES)
 
 
+STREAM = "patch_id long, cell int, segment int, strahler int, acc long"
+
+
+def stream_cells(patch_rows: DataFrame, tau: int = 2) -> DataFrame:
+    """The stream raster: masked cells with their segment (its first node) and that node's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, z in stacks(batch):
+                _, to, acc, _ = routed(z)
+                forest = Forest(to, acc, acc >= tau)
+                segment = forest.segments()
+                at, cell = np.nonzero(segment >= 0)
+                own = segment[at, cell]
+                ids = batch.column("patch_id").take(pa.array(rows[at])).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in (cell, own, forest.order[at, own])), pa.array(acc[at, cell])], ["patch_id", "cell", "segment", "strahler", "acc"])
+
+    return patch_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, STREAM)
+
+
 def merge_tree_of_codes(code_rows: DataFrame, tau: int = 1) -> DataFrame:
     """The same from given receiver codes: patch rows whose `z` holds codes (-1: none) instead of elevations."""
 

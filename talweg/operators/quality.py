@@ -28,6 +28,13 @@ def require(found: DataFrame) -> None:
         raise ValueError("; ".join(f"{r['dataset']}.{r['check']}: {r['message']}" for r in bad))
 
 
+def policy(df: DataFrame, name: str, kept: Column) -> DataFrame:
+    """One row: n, n_offenders, their names in order, and whether there are none; an unknown counts as an offence."""
+    bad = ~F.coalesce(kept, F.lit(False))
+    names = F.concat_ws(",", F.array_sort(F.collect_list(F.when(bad, F.col(name)))))
+    return df.agg(F.count("*").alias("n"), F.count_if(bad).alias("n_offenders"), names.alias("offenders"), (F.count_if(bad) == 0).alias("passed"))
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 

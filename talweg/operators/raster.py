@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,23 +152,99 @@ def _mapped(patch_rows: DataFrame, f, seeded: bool = False) -> DataFrame:
     return patch_rows.select("patch_id", "label", "h", "w", "z").mapInArrow(run, schema)
 
 
+def _ways(shape: tuple[int, int]) -> tuple[int, list[int]]:
+    """Width of a grid with a margin of one cell, and the steps to the neighbours in it."""
+    wide = shape[1] + 2
+    return wide, [dr * wide + dc for dr, dc in kernels.STEPS]
+
+
+def _bordered(z: np.ndarray) -> tuple[list[float], np.ndarray]:
+    """The grid with a margin as one list, nodata and margin NaN, and its cells that touch either: where water leaves."""
+    wide = np.pad(z, 1, constant_values=np.nan)
+    dry = np.isnan(wide)
+    touched = np.zeros(wide.shape, bool)
+    for dr, dc in kernels.STEPS:
+        touched |= np.roll(dry, (dr, dc), (0, 1))
+    return wide.reshape(-1).tolist(), np.flatnonzero(touched & ~dry)
+
+
+def flooded(z: np.ndarray, slope: float) -> np.ndarray:
+    """A grid with each cell at least `slope` above the lowest neighbour on its lowest way out, by a priority flood."""
+    _, steps = _ways(z.shape)
+    height, outlets = _bordered(z)
+    level: list[float | None] = [None] * len(height)
+    heap = [(height[c], c) for c in outlets.tolist()]
+    for v, c in heap:
+        level[c] = v
+    heapq.heapify(heap)
+    while heap:
+        v, c = heapq.heappop(heap)
+        v += slope
+        for step in steps:
+            n = c + step
+            own = height[n]
+            if level[n] is None and own == own:
+                level[n] = own if own > v else v
+                heapq.heappush(heap, (level[n], n))
+    out = np.array([math.nan if v is None else v for v in level]).reshape(z.shape[0] + 2, z.shape[1] + 2)[1:-1, 1:-1]
+    return np.where(np.isnan(z), np.nan, out)
+
+
+def breached_grid(z: np.ndarray, reach: int, slope: float) -> np.ndarray:
+    """A grid in which ways are cut from pits to lower ground: of all ways of at most `reach` steps, the one that takes away
+    least, falling by `slope` a step. Pits without such a way stay; the lowest pits are taken first."""
+    _, steps = _ways(z.shape)
+    height, outlets = _bordered(z)
+    out = set(outlets.tolist())
+    inside = [c for c, v in enumerate(height) if v == v and c not in out]
+    pits = sorted((height[c], c) for c in inside if not any(height[c + s] < height[c] for s in steps))
+    for _, pit in pits:
+        low = height[pit]
+        if any(height[pit + s] < low for s in steps):
+            continue  # an earlier way has opened it
+        best, came, done = {(pit, 0): 0.0}, {}, set()
+        heap = [(0.0, 0, pit)]
+        while heap:
+            cost, k, c = heapq.heappop(heap)
+            if c in done:
+                continue
+            done.add(c)
+            if k and (c in out or height[c] < low - k * slope):
+                at = (c, k)
+                while at is not None:
+                    height[at[0]] = min(height[at[0]], low - at[1] * slope)
+                    at = came.get(at)
+                break
+            if k == reach:
+                continue
+            for s in steps:
+                n = c + s
+                v = height[n]
+                if v != v or n in done:
+                    continue
+                total = cost + max(0.0, v - (low - (k + 1) * slope))
+                if total < best.get((n, k + 1), math.inf):
+                    best[n, k + 1], came[n, k + 1] = total, (c, k)
+                    heapq.heappush(heap, (total, k + 1, n))
+    return np.array(height).reshape(z.shape[0] + 2, z.shape[1] + 2)[1:-1, 1:-1]
+
+
 def filled(patch_rows: DataFrame, slope: float = 1e-6) -> DataFrame:
-    """Depressions raised to their lowest way out over the edge, rising by `slope` from cell to cell so that all of a patch drains."""
-
-    def fill(z: np.ndarray, ids: list) -> np.ndarray:
-        # Relaxation to the least fixed point: a cell is at its own height or at its lowest neighbour's level plus slope.
-        out = np.full_like(z, np.inf)
-        for edge in (np.s_[:, 0, :], np.s_[:, -1, :], np.s_[:, :, 0], np.s_[:, :, -1]):
-            out[edge] = z[edge]
-        while True:
-            padded = np.pad(out, ((0, 0), (1, 1), (1, 1)), constant_values=np.inf)
-            low = np.min([padded[:, 1 + dr : 1 + dr + z.shape[1], 1 + dc : 1 + dc + z.shape[2]] for dr, dc in kernels.STEPS], axis=0)
-            new = np.minimum(out, np.maximum(z, low + slope))
-            if np.array_equal(new, out, equal_nan=True):
-                return np.where(np.isnan(z), np.nan, out)
-            out = new
-
-    return _mapped(patch_rows, fill)
+    """Depressions raised to their lowest way out over the edge or nodata, rising by `slope` from cell to cell so that all of a patch drains."""
+    return _mapped(patch_rows, lambda z, ids: np.stack([flooded(x, slope) for x in z]))
+
+
+def breached(patch_rows: DataFrame, reach: int = 100, slope: float = 1e-6) -> DataFrame:
+    """Depressions opened by least-cost ways of at most `reach` steps; those without one stay."""
+    return _mapped(patch_rows, lambda z, ids: np.stack([breached_grid(x, reach, slope) for x in z]))
+
+
+def conditioned(patch_rows: DataFrame, condition: str = "breach") -> DataFrame:
+    """Patches ready for routing: depressions breached or filled."""
+    ways = {"breach": breached, "fill": filled}
+    if condition not in ways:
+        raise ValueError(f"condition must be one of {sorted(ways)}, not {condition!r}")
+    return ways[condition](patch_rows)
 
 
 def gaussian_kernel(sigma: float) -> np.ndarray:

@@ -72,3 +72,44 @@ def independent_split(df: DataFrame, key: str, box: str, n_test: int, n_validati
     train = box_anti_join(rest.join(validation.select(key), key, "left_anti"), validation.select(F.col(box).alias("__t")), box, "__t", key)
     marked = test.select(key, F.lit("test").alias("split")).unionByName(validation.select(key, F.lit("validation").alias("split"))).unionByName(train.select(key, F.lit("train").alias("split")))
     return df.join(marked, key, "left")
+
+
+def box_state(box: Column) -> Column:
+    """missing, invalid (turned about), empty (without an area) or valid."""
+    wide, high = box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]
+    return F.when(box.isNull(), "missing").when((wide < 0) | (high < 0), "invalid").when((wide == 0) | (high == 0), "empty").otherwise("valid")
+
+
+def repaired(df: DataFrame, box: str) -> DataFrame:
+    """Boxes turned the right way; missing and empty ones go."""
+    b = F.col(box)
+    ends = lambda f, c: f(b[f"min_{c}"], b[f"max_{c}"])
+    whole = F.struct(ends(F.least, "x").alias("min_x"), ends(F.least, "y").alias("min_y"), ends(F.greatest, "x").alias("max_x"), ends(F.greatest, "y").alias("max_y"))
+    return df.where(box_state(b).isin("valid", "invalid")).withColumn(box, whole)
+
+
+def union_cells(df: DataFrame, box: str, *keys: str, grid: float = 1.0) -> DataFrame:
+    """(keys, x, y): the cells of a snapping grid inside the union of each key's boxes, every cell once."""
+    b = F.col(box)
+    inside = lambda c: F.sequence(F.ceil(b[f"min_{c}"] / grid).cast("long"), F.ceil(b[f"max_{c}"] / grid).cast("long") - 1)
+    some = df.where((F.ceil(b["max_x"] / grid) > F.ceil(b["min_x"] / grid)) & (F.ceil(b["max_y"] / grid) > F.ceil(b["min_y"] / grid)))
+    return some.select(*keys, box, F.explode(inside("x")).alias("x")).select(*keys, "x", F.explode(inside("y")).alias("y")).distinct()
+
+
+def catalog(searches: DataFrame, items: DataFrame, a: str, b: str, key: str, fits: Column) -> DataFrame:
+    """Items whose box shares an area with a search's: those that fit, or where a search has none that fit, all (by_gsd false)."""
+    met = box_join(searches, items, a, b, strict=True).withColumn("__fits", fits)
+    some = met.groupBy(key).agg(F.max("__fits").alias("by_gsd"))
+    return met.join(some, key).where(F.col("__fits") | ~F.col("by_gsd")).drop("__fits")
+
+
+def prefix_match(wanted: DataFrame, ids: DataFrame, want: str, name: str, order: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(want, name): for each wanted key the id that equals it, or has one of the suffixes in turn, or is the first by `order`
+    that starts with it. Ids join by their prefixes, as many as they have characters, so the join is on equal keys."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))
+    by_prefix = ids.where(F.length(name) > 0).select(name, order, F.explode(prefixes).alias(want))
+    rank = F.when(F.col(name) == F.col(want), 0)
+    for k, suffix in enumerate(suffixes):
+        rank = rank.when(F.col(name) == F.concat(F.col(want), F.lit(suffix)), k + 1)
+    best = by_prefix.join(wanted, want).groupBy(want).agg(F.min(F.struct(rank.otherwise(len(suffixes) + 1).alias("rank"), order, name)).alias("m"))
+    return best.select(want, f"m.{name}")

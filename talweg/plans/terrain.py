@@ -193,12 +193,30 @@ def receiver_flips(spark, sf_dir):
     return _carved_pair(spark, sf_dir).groupBy("patch_id").agg(F.count_if(F.col("code") != F.col("code2")).alias("flips"))
 
 
-@query(f"""with recursive {ACC}, k as (select a.patch_id, a.acc, c.z, row_number() over (partition by a.patch_id order by a.acc, a.cell) as k, count(*) over (partition by a.patch_id) as n from acc a join cells c on c.patch_id = a.patch_id and c.cell = a.cell)
-select patch_id, round(stddev_pop(z) / (max(z) - min(z)), 6) as std_over_range, round(2 * sum(k * acc)::double / (max(n) * sum(acc))::double - (max(n) + 1) / max(n)::double, 6) as gini,
-  round(sum(acc) filter (where k > n - greatest(1, n // 100))::double / sum(acc)::double, 6) as top_share, round(max(acc) / max(n)::double, 6) as max_over_size from k group by all""")
+@query(f"""with recursive {tree(TAU)}, {PAIRS}, {_GRAD[len(CELLS) + 2:]}, k as (select a.patch_id, a.acc, c.z, row_number() over (partition by a.patch_id order by a.acc, a.cell) as k, count(*) over (partition by a.patch_id) as n from acc a join cells c on c.patch_id = a.patch_id and c.cell = a.cell),
+own as (select patch_id, stddev_pop(z) / (max(z) - min(z)) as std_over_range, max(z) - min(z) as range, 2 * sum(k * acc)::double / (max(n) * sum(acc))::double - (max(n) + 1) / max(n)::double as gini,
+  sum(acc) filter (where k > n - greatest(1, n // 100))::double / sum(acc)::double as top_share, max(acc) / max(n)::double as max_over_size, greatest(max(acc), 1) as amax, count(*) filter (where acc >= {TAU}) as channel_cells from k group by all),
+rms as (select patch_id, sqrt(avg(gx * gx + gy * gy)) as rms from g group by all), fe as (select patch_id, count(*) as n_h0, quantile_cont(death - birth, 0.5) as median, max(death - birth) as greatest from pairs group by all),
+ro as (select patch_id, count(*) as n_roots from nodes where parent is null group by all)
+select o.patch_id, round(std_over_range, 6) as std_over_range, round(gini, 6) as gini, round(top_share, 6) as top_share, round(max_over_size, 6) as max_over_size, round(rms / range, 6) as grad_over_range, coalesce(n_h0, 0) as n_h0, coalesce(n_roots, 0) as n_roots,
+  round(coalesce(median, 0) / amax, 6) as median_persistence, round(coalesce(greatest, 0) / amax, 6) as max_persistence, channel_cells, round(coalesce(n_roots, 0) / greatest(1, channel_cells)::double, 6) as roots_over_channel
+from own o join rms on rms.patch_id = o.patch_id left join fe on fe.patch_id = o.patch_id left join ro on ro.patch_id = o.patch_id""")
 def substrate_descriptors(spark, sf_dir):
-    out = raster.descriptors(kernels.flow(patches(spark, sf_dir)))
-    return out.select("patch_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "patch_id"])
+    """Smoothness, concentration of accumulation, diagram and basin structure of each patch, without units."""
+    p, nodes = patches(spark, sf_dir), nodes_of(spark, sf_dir)
+    flow = kernels.flow(p)
+    own = raster.descriptors(flow)
+    sizes = flow.groupBy("patch_id").agg(F.greatest(F.max("acc"), F.lit(1)).alias("amax"), F.count_if(F.col("acc") >= TAU).alias("channel_cells"), (F.max("z") - F.min("z")).alias("range"))
+    rms = raster.gradient(cells(p)).groupBy("patch_id").agg(F.sqrt(F.avg(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("rms"))
+    life = F.col("death") - F.col("birth")
+    features = topology.persistence_pairs(nodes).groupBy("patch_id").agg(F.count("*").alias("n_h0"), F.percentile(life, 0.5).alias("median"), F.max(life).alias("greatest"))
+    roots = nodes.where("parent is null").groupBy("patch_id").agg(F.count("*").alias("n_roots"))
+    whole = own.join(sizes, "patch_id").join(rms, "patch_id").join(features, "patch_id", "left").join(roots, "patch_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    return whole.select(
+        "patch_id", *[F.round(c, 6).alias(c) for c in own.columns if c != "patch_id"], F.round(F.col("rms") / F.col("range"), 6).alias("grad_over_range"), count("n_h0").alias("n_h0"), count("n_roots").alias("n_roots"),
+        F.round(count("median") / F.col("amax"), 6).alias("median_persistence"), F.round(count("greatest") / F.col("amax"), 6).alias("max_persistence"), "channel_cells", F.round(count("n_roots") / F.greatest(F.lit(1), "channel_cells"), 6).alias("roots_over_channel"),
+    )
 
 
 @query(f"""with {CELLS} select a.patch_id, round(corr(a.z, b.z), 6) as r, count(*) as n from cells a join cells b on b.patch_id = a.patch_id + 1 and b.cell = a.cell
@@ -341,6 +359,23 @@ def raster_checks(spark, sf_dir):
     )
 
 
+_STREAM = f"{tree(TAU)}, sc as (select n.patch_id, n.node as cell, n.node as segment from nodes n union all select w.patch_id, w.spot, w.node from walk w join dn d on d.patch_id = w.patch_id and d.cell = w.spot where d.donors = 1)"
+
+
+@query(f"with recursive {_STREAM} select s.patch_id, s.cell, s.segment, o.strahler from sc s join ord o on o.patch_id = s.patch_id and o.node = s.segment")
+def stream_raster(spark, sf_dir):
+    """Channel cells with their segment and its Strahler order."""
+    return kernels.stream_cells(patches(spark, sf_dir), TAU).drop("acc")
+
+
+@query(f"with recursive {_STREAM} select s.patch_id, s.segment, count(*) as n_cells, string_agg(s.cell::varchar, ',' order by a.acc) as cells from sc s join acc a on a.patch_id = s.patch_id and a.cell = s.cell group by all")
+def stream_segments(spark, sf_dir):
+    """Segments as lines: their cells downstream, from a node to before the next."""
+    line = F.array_sort(F.collect_list(F.struct("acc", "cell")))
+    out = kernels.stream_cells(patches(spark, sf_dir), TAU).groupBy("patch_id", "segment").agg(F.count("*").alias("n_cells"), line.alias("line"))
+    return out.select("patch_id", "segment", "n_cells", F.concat_ws(",", F.transform("line", lambda x: x["cell"].cast("string"))).alias("cells"))
+
+
 @query()
 def cubical_confluences(spark, sf_dir):
     return topology.cubical_confluences(patches(spark, sf_dir), TAU)
@@ -357,6 +392,12 @@ def filled_flow(spark, sf_dir):
     return kernels.flow(raster.filled(patches(spark, sf_dir))).groupBy("patch_id").agg(F.count_if(F.col("recv").isNull()).alias("outlets"), F.max("acc").alias("greatest"))
 
 
+@query()
+def breached_flow(spark, sf_dir):
+    """Depressions breached by least-cost ways, then routed: cells whose flow stays inside the patch."""
+    return kernels.flow(raster.conditioned(patches(spark, sf_dir), "breach")).groupBy("patch_id").agg(F.count_if(F.col("recv").isNull()).alias("outlets"), F.max("acc").alias("greatest"))
+
+
 @query()
 def smoothed_field(spark, sf_dir):
     return cells(raster.smoothed(patches(spark, sf_dir), 1.0)).select("patch_id", "cell", F.round("z", 6).alias("z"))

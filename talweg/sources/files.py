@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import tempfile
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -139,6 +141,54 @@ def read_flowlines(spark: SparkSession, path: str, tile: Column) -> DataFrame:
     return out.select(F.concat_ws("_", F.col("line").cast("string"), F.col("part").cast("string")).alias("line_id"), "tile", F.transform("xy", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("vertices"))
 
 
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """Rows of CSV files under a schema; a field that does not parse is null, and only the columns asked for are parsed."""
+    return spark.read.schema(schema).option("header", header).csv(path)
+
+
+def written(df: DataFrame, kind: str, **options) -> str:
+    """The path, in the shared folder, of df in another format."""
+    path = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    df.write.options(**options).format(kind).save(path)
+    return path
+
+
+class PagedReader(DataSourceReader):
+    """One partition for each key: its pages in turn, until one is empty, is the last, or `most` have been read."""
+
+    def __init__(self, schema: T.StructType, options: dict[str, str]):
+        self.schema, self.folder, self.keys = schema, options["path"], options["keys"].split(",")
+        self.size, self.most = int(options.get("size", "2000")), int(options.get("most", "200"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(k) for k in self.keys]
+
+    def page(self, key: str, offset: int) -> dict:
+        """A page by key and offset; a service would be asked here."""
+        with open(f"{self.folder}/{key}/{offset}.json", encoding="utf-8") as f:
+            return json.load(f)
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for k in range(self.most):
+            page = self.page(partition.value, k * self.size)
+            rows = page.get("features") or []
+            for r in rows:
+                yield (partition.value, *(r.get("attributes", {}).get(c) for c in self.schema.names[1:]))
+            if not rows or not page.get("exceededTransferLimit"):
+                return
+
+
+class Paged(DataSource):
+    """A paged service as a source, `paged`: the key, then the attributes that the schema names. Options: path, keys (comma-joined), size, most."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged"
+
+    def reader(self, schema: T.StructType) -> PagedReader:
+        return PagedReader(schema, self.options)
+
+
 def write_by_region(df: DataFrame, path: str, region: str = "province") -> None:
     """Rows under a folder for each region; a row may be there for several regions."""
     df.write.mode("overwrite").partitionBy(region).parquet(path)

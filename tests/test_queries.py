@@ -51,13 +51,13 @@ def test_entry(spark):
 
 
 def test_each_left_out_tile_gives_its_own_percentile(spark, sf_dir):
-    r = QUERIES["leave_one_out"](spark, sf_dir).first()
+    r = QUERIES["jackknife"](spark, sf_dir).first()
     assert r.n > 1 and r.least < r.greatest and r.sd > 0
 
 
 def test_power_curve_runs_to_half_the_tiles(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label").distinct().count()
-    assert sorted(r.k for r in QUERIES["power_curve_whole"](spark, sf_dir).collect()) == list(range(1, n // 2 + 1))
+    assert sorted(r.k for r in QUERIES["power_curve"](spark, sf_dir).collect()) == list(range(1, n // 2 + 1))
 
 
 def test_drawn_splits_hold_every_tile():
@@ -72,4 +72,4 @@ def test_every_box_is_extracted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(relations, "patches", lambda *_: grid)
     monkeypatch.setattr(relations, "cells", lambda df: df.select("patch_id", F.posexplode("z").alias("r", "row")).select("patch_id", "r", F.posexplode("row").alias("c", "z")))
     monkeypatch.setattr(relations, "table", lambda *_: spark.range(1, 70).toDF("s_suppkey"))
-    assert {r.box for r in relations.patch_extract_all(spark, "").collect()} == {1, 50, 51, 60}
+    assert {r.box for r in relations.patch_extract(spark, "").collect()} == {1, 50, 51, 60}
