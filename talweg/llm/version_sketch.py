@@ -1,7 +1,8 @@
 """Document fingerprints by an invertible Bloom lookup sketch of paragraph digests.
 
-A text's paragraphs are its lines, long ones in stretches of `STRETCH` words; a paragraph's digest is the XXH64 of its
-text, seeded with how many equal ones came before it, so that digests make a set. A sketch has cells of a count, the
+A text's paragraphs are its lines, long ones cut after words that their own hash chooses, one in `STRETCH`, and after
+`LONGEST` words at last: a word put in changes the paragraph around it and no other. A paragraph's digest is the XXH64
+of its text, seeded with how many equal ones came before it, so that digests make a set. A sketch has cells of a count, the
 exclusive or of digests and of their checks; each digest goes to one cell of each third. Two sketches of a size
 subtract cell by cell to the sketch of the digests that differ; peeling takes out, round by round, the digests that
 stand alone in a cell. Where cells remain, sketches four times larger are made and subtracted, until all differing
@@ -10,8 +11,12 @@ digests are recovered. Likeness is twice the digests in common over those of bot
 A fingerprint is the sketch of `CELLS` cells in base64: equal texts have equal ones, and fingerprints of texts that
 differ in few paragraphs can be peeled without the texts.
 
+Texts meet the next document's by one shuffle: rows are dealt to places by ranges of doc_id, each of about `PLACE_BYTES`
+bytes or less, and to partitions of their own; ids that fill several places are split by the texts' hashes.
+
 Nulls and edges: a null text reads as empty and an empty text has no digests; rows go by descending doc_id, equal ids
-by text, null ids last; the next of the last row is the first row, and of a single row the row itself.
+by the text's hash and then the text, null ids last; the next of the last row is the first row, and of a single row the
+row itself.
 """
 
 from __future__ import annotations
@@ -23,14 +28,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.common import blocks
+from talweg.llm.common import blocks, own_partitions
+
+CELLS, GROWTH, STRETCH, LONGEST, BLOCK_CHARS, PLACE_BYTES = 12, 4, 8, 32, 1 << 19, 64 << 20
+
+
+class _Ends(dict):
+    """Whether a paragraph ends after a word."""
+
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word, 1) % STRETCH == 0
+        return out
 
-#: Places that texts are dealt to by doc_id, at most: what a place holds is sorted with spilling, so more are no need.
-PLACES = 2048
-CELLS, GROWTH, STRETCH, BLOCK_CHARS = 12, 4, 8, 1 << 19
+
+_ends = _Ends()
+
+
+def paragraphs(line: bytes) -> list[bytes]:
+    """The line in stretches of words that end where a word's hash says so."""
+    words = line.split(b" ")
+    if len(words) <= STRETCH:
+        return [line] if line else []
+    out, at = [], 0
+    for end in [*(i + 1 for i, w in enumerate(words) if _ends[w]), len(words)]:
+        while end - at > LONGEST:
+            out.append(b" ".join(words[at : at + LONGEST]))
+            at += LONGEST
+        if end > at:
+            out.append(b" ".join(words[at:end]))
+            at = end
+    return [p for p in out if p]
 
 
 def digests(text: str) -> list[int]:
@@ -39,13 +71,10 @@ def digests(text: str) -> list[int]:
     out = []
     h = xxhash.xxh64_intdigest
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        words = line.split(b" ")
-        for i in range(0, len(words), STRETCH):
-            part = b" ".join(words[i : i + STRETCH])
-            if part:
-                n = seen.get(part, 0)
-                seen[part] = n + 1
-                out.append(h(part, n))
+        for part in paragraphs(line):
+            n = seen.get(part, 0)
+            seen[part] = n + 1
+            out.append(h(part, n))
     return out
 
 
@@ -161,42 +190,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
+def _layout(docs: DataFrame, parts: int) -> tuple[np.ndarray, int, int]:
+    """(bounds, places, of which for null ids): ascending ids that part the rows evenly; an id that fills several places is there several times."""
+    n, nulls, size = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(parts, size // PLACE_BYTES + 1)
     at = [k / parts for k in range(1, parts)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)) if at else F.lit(0.5), 10_000).alias("q")).first()[0]
-    return sorted(set(found if isinstance(found, list) else [] if found is None or not at else [found]))
+    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), max(10_000, 20 * parts)).alias("q")).first()[0] if at else []
+    spare = -(-nulls * parts // max(n, 1))
+    return np.sort(np.array(found or [], np.int64)), len(found or []) + 1 + spare, spare
+
+
+def _share(h: np.ndarray, pieces: np.ndarray | int) -> np.ndarray:
+    """Which of so many equal ranges of all hashes each hash is in."""
+    return np.minimum(((h.astype(np.float64) / 2.0**64 + 0.5) * pieces).astype(np.int64), np.maximum(pieces, 1) - 1)
 
 
-def _place(bounds: list[int]) -> Column:
-    """Number of bounds at or above doc_id, so that places go by descending id; null ids have the last."""
+def _place(bounds: np.ndarray, spare: int):
+    """Column function of (doc_id, hash): the row's place by descending id; null ids have the last places."""
 
-    def among(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(len(bounds) - lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > bounds[mid], among(mid + 1, hi)).otherwise(among(lo, mid))
+    @F.arrow_udf("int")
+    def place(doc_id: pa.Array, h: pa.Array) -> pa.Array:
+        ids, h = doc_id.fill_null(0).to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        above, from_ = len(bounds) - np.searchsorted(bounds, ids, "right"), len(bounds) - np.searchsorted(bounds, ids, "left")
+        out = np.where(from_ > above, above + 1 + _share(h, from_ - above), above)
+        none = doc_id.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(np.where(none, len(bounds) + 1 + _share(h, spare), out).astype(np.int32))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(among(0, len(bounds)))
+    return place
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """(place, guest, doc_id, text) by place, each sorted; the first rows of a place are also guests of the one before."""
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = min(parts, PLACES)
-    place = _place(_bounds(placed, parts))
-    heads = {r["place"]: r["head"] for r in placed.groupBy(place.alias("place")).agg(F.max("doc_id").alias("head")).collect()}
-    used = sorted(heads)
-    before = {p: used[i - 1] for i, p in enumerate(used)}
-    head = F.lit(False)
-    if ids := [h for h in heads.values() if h is not None]:
-        head = head | F.coalesce(F.col("doc_id").isin(ids), F.lit(False))
-    if None in heads.values():
-        head = head | F.col("doc_id").isNull()
-    own = F.struct(place.alias("place"), F.lit(0).alias("guest"))
-    ahead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.lit(None)
-    guest = F.struct((ahead[place] if before else place).alias("place"), F.lit(1).alias("guest"))
-    both = placed.select(F.explode(F.when(head, F.array(own, guest)).otherwise(F.array(own))).alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
-    return both.repartition(parts, "place").sortWithinPartitions("place", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    bounds, places, spare = _layout(placed, parts)
+    placed = placed.withColumn("place", _place(bounds, spare)("doc_id", "h"))
+    # One row for each place.
+    first = F.min(F.struct((~F.col("doc_id").isNull()).alias("known"), F.bitwise_not("doc_id").alias("down"), "h"))
+    heads = placed.groupBy("place").agg(first.alias("head")).orderBy("place").collect()
+    before = {r["place"]: heads[i - 1]["place"] for i, r in enumerate(heads)}
+    by_place = np.full((3, places), -1, np.int64)
+    for r in heads:
+        down = r["head"]["down"]
+        by_place[:, r["place"]] = before[r["place"]], 0 if down is None else ~down, r["head"]["h"]
+
+    @F.arrow_udf("int")
+    def host(place: pa.Array, doc_id: pa.Array, h: pa.Array) -> pa.Array:
+        to, ids, hashes = by_place[:, place.to_numpy(zero_copy_only=False)]
+        head = (doc_id.fill_null(0).to_numpy(zero_copy_only=False) == ids) & (h.to_numpy(zero_copy_only=False) == hashes)
+        return pa.array(to.astype(np.int32), mask=~head)
+
+    keys = np.array(own_partitions(docs.sparkSession, places), np.int32)
+
+    @F.arrow_udf("int")
+    def key(place: pa.Array) -> pa.Array:
+        return pa.array(keys[place.to_numpy(zero_copy_only=False)])
+
+    own = F.struct("place", F.lit(0).alias("guest"))
+    guest = F.struct(F.col("host").alias("place"), F.lit(1).alias("guest"))
+    both = placed.withColumn("host", host("place", "doc_id", "h")).select(F.explode(F.when(F.col("host").isNotNull(), F.array(own, guest)).otherwise(F.array(own))).alias("at"), "doc_id", "h", "text")
+    dealt = both.select("at.*", "doc_id", "h", "text").withColumn("key", key("place")).repartition(places, "key")
+    return dealt.sortWithinPartitions("place", "guest", F.col("doc_id").desc_nulls_last(), "h", "text").drop("key", "h")
 
 
 def with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str, str]]]:
