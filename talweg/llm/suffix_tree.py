@@ -18,7 +18,7 @@ it, whose share is bounded by `DEAL` tokens. Divergence tests and smoothing are
 A text's score is a sum: a retained context adds the logarithm of what it leaves to its suffix, a run of a context and
 a next word that was met what it differs from that. The most frequent words and runs, at most `HOT` and `HOT_RUNS`,
 go to every task, with filters of at most 2**`FILTER_BITS` bits that tell most keys that are in no table; what else a
-document holds is joined to the tables.
+document holds is dealt by key, packed like the counts, to the parts of the tables that have it.
 
 Nulls and edges: a null text reads as empty and has the end alone as token; rows equal in every column are each
 answered; a null doc_id counts as the empty text for the training split; without training texts every count is 0.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from talweg.llm.common import blocks, cut, drop, own_partitions, small, texts_of
 
 LEAST, SHARE = 8, 0.75
-HOT, HOT_RUNS, FILTER_BITS = 1 << 19, 2_000_000, 28
+HOT, HOT_RUNS, FILTER_BITS = 1 << 19, 1 << 20, 28
 FLUSH, DEAL, SPARSE, BLOCK_CHARS = 1 << 21, 1 << 22, 200, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _BLANK = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -146,19 +146,18 @@ def holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def no_bits(n: int) -> np.ndarray:
-    """An empty filter for keys out of n tokens."""
-    return np.zeros(1 << min(FILTER_BITS, max(16, (4 * n).bit_length())) - 3, np.uint8)
+    """An empty filter for n keys."""
+    return np.zeros(1 << min(FILTER_BITS, max(16, (16 * n).bit_length())) - 3, np.uint8)
 
 
-def bits_of(keys: DataFrame, n: int) -> np.ndarray:
-    """A filter of the column key: two bits for each."""
-    out = no_bits(n)
+def bits_of(keys: DataFrame, out: np.ndarray) -> np.ndarray:
+    """The filter `out` with two bits for each of the column key."""
     low = F.lit(8 * len(out) - 1)
     probes = F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", 35).bitwiseAND(low))
     x = keys.select(F.explode(probes).alias("x")).select((F.col("x") + 1).alias("x"))
     found = x.groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toArrow()
     for b, bits in zip(found.column("b").to_pylist(), found.column("bits").to_pylist(), strict=True):
-        out[(b - 1) << 12 : b << 12] = np.frombuffer(bits, np.uint8)
+        out[(b - 1) << 12 : b << 12] |= np.frombuffer(bits, np.uint8)
     return out
 
 
@@ -311,8 +310,9 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
     that it leaves to its suffix; of a run, its probability over the suffix's, less the value of its context."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // DEAL + 1)
-    bits = no_bits(n)
-    common, met_bits = bits_of(words.where((F.col("n") >= LEAST) & (F.col("key") != int(END.view(np.int64)))), n), no_bits(n)
+    often = words.where((F.col("n") >= LEAST) & (F.col("key") != int(END.view(np.int64))))
+    common = bits_of(often, no_bits(often.count()))
+    bits = met_bits = no_bits(0)
     frequent = words.where(F.col("n") > n // (4 * parts)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
     before, out, depth, deepest = words.select("key", "p"), [], 1, int(np.log(max(n, 2)) / np.log(LEAST))
     texts, size = docs.where(training).select(text), n
@@ -322,7 +322,8 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
         raw = cut(level_counts(texts, depth, given, parts, text))
         given.destroy()
         if depth == 1:
-            met_bits = bits_of(raw.where(F.col("run").isNotNull() & (c >= LEAST)).select(F.col("run").alias("key")), n)
+            pairs = raw.where(F.col("run").isNotNull() & (c >= LEAST)).select(F.col("run").alias("key"))
+            met_bits = bits_of(pairs, no_bits(pairs.count()))
         met = cut(raw.where(F.col("run").isNotNull()).join(before.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix").drop("suffix"))
         total = raw.where(F.col("run").isNull()).groupBy("context").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
         own = met.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("s"), F.sum("q").alias("mass"), F.sum(c * F.log(c / F.col("q"))).alias("g"))
@@ -339,7 +340,9 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
         runs = cut(met.join(kept.drop("a"), "context").select(F.col("run").alias("key"), p.alias("p"), F.log10(1 + c / (F.col("m") * F.col("q"))).alias("value"), "n"), met)
         contexts = cut(_context_keys(kept.select("context", F.log10(F.col("m") / least).alias("value"), F.col("a").alias("n"))), kept)
         out += [runs.select("key", "value", "n"), contexts]
-        bits |= bits_of(runs.select("key").union(contexts.select("key")), n)
+        if depth == 1:  # those of one word are most of all
+            bits = no_bits(runs.count() + contexts.count())
+        bits_of(runs.select("key").union(contexts.select("key")), bits)
         if depth == deepest:
             return out, bits
         before, depth = runs.select("key", "p"), depth + 1
@@ -363,20 +366,156 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def hot_rows(table: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys, and a column, of the rows with the greatest n: as many whole counts as `most` rows hold."""
-    least, held = None, 0
-    for r in table.groupBy(F.least("n", F.lit(10_000)).alias("least")).agg(F.count("*").alias("rows")).orderBy(F.desc("least")).collect():
+def hot_rows(table: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys, and a column, of the rows with the greatest n, as many whole counts as `most` rows hold; the least n of these."""
+    top, held = 10_000, 0
+    least = top + 1
+    for r in table.groupBy(F.least("n", F.lit(top)).alias("least")).agg(F.count("*").alias("rows")).orderBy(F.desc("least")).collect():
         held += r["rows"]
         if held > most:
             break
         least = r["least"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    top = table.where(F.col("n") >= least).select("key", column).toArrow()
-    key = top.column("key").to_numpy().view(np.uint64)
+    if least > top:
+        return np.zeros(0, np.uint64), np.zeros(0), 1 << 62
+    rows = table.where(F.col("n") >= least).select("key", column).toArrow()
+    key = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    return key[order], top.column(column).to_numpy()[order]
+    return key[order], rows.column(column).to_numpy()[order], least
+
+
+class Table:
+    """Keys with a number each, found by open addressing: a round of array operations for each place that is tried."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.bits = max(4, (2 * len(key)).bit_length())
+        self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
+        self.full = np.zeros(1 << self.bits, bool)
+        left, at = np.arange(len(key)), self._first(key)
+        while len(left):
+            free = np.flatnonzero(~self.full[at])
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.key[at[put]], self.value[at[put]], self.full[at[put]] = key[left[put]], value[left[put]], True
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each key (0 where there is none), and whether it is there."""
+        value, there = np.zeros(len(key)), np.zeros(len(key), bool)
+        left, at = np.arange(len(key)), self._first(key)
+        while len(left):
+            full = self.full[at]
+            hit = full & (self.key[at] == key[left])
+            value[left[hit]], there[left[hit]] = self.value[at[hit]], True
+            on = full & ~hit
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return value, there
+
+
+# Documents' words and runs that are not in every task, and the tables' rows, dealt by key
+
+
+def _dealt(key: np.ndarray, parts: int, names: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(name of the part, places) of keys by part."""
+    part = (mixed(key) >> np.uint64(24)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield names[k], order[ends[k] : ends[k + 1]]
+
+
+def pack_places(key: np.ndarray, rid: np.ndarray, k: np.ndarray) -> bytes:
+    """Numbers k of keys in rows as a block of bytes: each key is there once, rows count from the least."""
+    order = np.lexsort((rid, key))
+    key, rid, k = key[order], rid[order], k[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    head = np.array([len(first), len(key), rid.min()], "<u8").tobytes()
+    return zstandard.compress(head + key[first].tobytes() + _wide(np.diff(np.r_[first, len(key)])) + _wide(rid - rid.min()) + _wide(k), 1)
+
+
+def unpack_places(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.decompress(block)
+    a, n, least = np.frombuffer(data[:24], "<u8").tolist()
+    ends = np.cumsum([24, 8 * a, 4 * a, 4 * n, 4 * n]).tolist()
+    keys, many, rid, k = (data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False))
+    return np.repeat(np.frombuffer(keys, np.uint64), _narrow(many)), _narrow(rid).astype(np.int64) + least, _narrow(k).astype(np.int64)
+
+
+_ROW = "place int, kind int, block binary, rid long, doc_id long, training boolean, n_tokens long, known long, base double, log double"
+_KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+
+
+def _block_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    place, kind, block = zip(*rows, strict=True)
+    given = {"place": place, "kind": kind, "block": block}
+    return pa.RecordBatch.from_arrays([pa.array(given[n], t) if n in given else pa.nulls(len(rows), t) for n, t in zip(_NAMES, _KINDS, strict=True)], _NAMES)
+
+
+def table_blocks(table: DataFrame, parts: int, names: list[int]) -> DataFrame:
+    """The rows (key, value, n) of a table as blocks of their parts (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            key, value, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            rows = []
+            for name, at in _dealt(key, parts, names):
+                at = at[np.argsort(key[at])]
+                rows.append((name, 2, zstandard.compress(key[at].tobytes() + value[at].tobytes() + n[at].tobytes(), 1)))
+            return _block_rows(rows)
+
+        some = 0
+        for b in batches:
+            if b.num_rows:
+                held.append([b.column("key").to_numpy().view(np.uint64), b.column("value").to_numpy(), b.column("n").to_numpy()])
+                some += b.num_rows
+            if some > FLUSH:
+                yield out()
+                some = 0
+        if held:
+            yield out()
+
+    return table.select("key", "value", "n").mapInArrow(run, _ROW)
+
+
+def resolved(dealt: DataFrame) -> DataFrame:
+    """Rows of documents as they are, and for each block of places what the part's rows of the tables give its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, tables = [], []
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            if (kind == 0).any():
+                yield b.filter(pa.array(kind == 0)).select(_NAMES[3:])
+            for k, block in zip(kind.tolist(), b.column("block").to_pylist(), strict=True):
+                if k:
+                    (places if k == 1 else tables).append(block)
+        if not places or not tables:
+            return
+        rows = [np.frombuffer(zstandard.decompress(x), np.uint64).reshape(3, -1) for x in tables]
+        key, value, n = np.concatenate(rows, 1)
+        order = np.argsort(key)
+        key, value, n = key[order], value.view(np.float64)[order], n.view(np.int64)[order]
+        for block in places:
+            keys, rid, k = unpack_places(block)
+            i, there = _found(key, keys)
+            i, rid, k = i[there], rid[there], k[there]
+            if not len(rid):
+                continue
+            least = rid.min()
+            some = np.flatnonzero(np.bincount(rid - least))
+            total = lambda x: np.bincount(rid - least, x)[some]  # noqa: B023, E731
+            given = {"rid": some + least, "known": total(np.where(n[i] > 0, k, 0)).astype(np.int64), "base": total(k * np.log10(n[i] + 1)), "log": total(k * value[i])}
+            yield pa.RecordBatch.from_arrays([pa.array(given[m], t) if m in given else pa.nulls(len(some), t) for m, t in zip(_NAMES[3:], _KINDS[3:], strict=True)], _NAMES[3:])
+
+    return dealt.mapInArrow(run, _ROW.split(", ", 3)[3])
 
 
 def _found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,21 +535,31 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
     unknown = float(max(once, 1))
     whole = n + SHARE * v + unknown
     tree, bits = grow(docs, training, counts.select("key", ((F.col("n") + SHARE) / F.lit(whole)).alias("p"), "n"), n, text) if n else ([], no_bits(0))
-    runs = _union(tree) if tree else None
-    given = spark.sparkContext.broadcast((packed(bits), *hot_rows(counts, "n", HOT), *(hot_rows(runs, "value", HOT_RUNS) if tree else (np.zeros(0, np.uint64), np.zeros(0)))))
-    schema = "rid long, doc_id long, training boolean, n_tokens long, n_hot long, base_hot double, log_hot double, late array<struct<key:long,k:int>>"
+    words, times, least_word = hot_rows(counts, "n", HOT)
+    keys, values, least_run = hot_rows(_union(tree), "value", HOT_RUNS) if tree else (np.zeros(0, np.uint64), np.zeros(0), 0)
+    given = spark.sparkContext.broadcast((packed(bits), words, times, Table(keys, values)))
     log_unknown, log_all = float(np.log10(unknown / whole)), float(np.log10(n + v + 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // DEAL + 1)
+    names = own_partitions(spark, parts)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed_bits, words, times, keys, values = given.value
+        packed_bits, words, times, hot_runs = given.value
         bits = unpacked(packed_bits)
         base_of, log_of = np.log10((times + 1) / (n + v + 1)), np.log10((times + SHARE) / whole)
         rid = TaskContext.get().partitionId() << 33
+        held: list[list[np.ndarray]] = []
+
+        def place_blocks() -> pa.RecordBatch:
+            key, row, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return _block_rows([(name, 1, pack_places(key[at], row[at], k[at])) for name, at in _dealt(key, parts, names)])
+
+        some = 0
         for batch in small(batches, text):
             body = texts_of(batch, text)
             for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
                 h, sizes = hashes(body[lo:hi])
-                rows = len(sizes)
+                rows, place = len(sizes), places(sizes)
                 doc = np.repeat(np.arange(rows), sizes)
                 distinct, of = np.unique(h, return_inverse=True)
                 i, there = _found(words, distinct)
@@ -421,41 +570,45 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
                 base = np.bincount(hot, base_of[at], rows) - log_all * n_rest
                 path = np.bincount(hot, log_of[at], rows) + log_unknown * n_rest
                 late_doc, late_key = [doc[~known]], [h[~known]]
-                for _, at, context, _ in levels(h, places(sizes), lambda c: holds(bits, as_context(c))):
+                at, depth = np.flatnonzero(place >= 1), 1
+                context = h[at - 1]
+                while len(at):
                     own = as_context(context)
-                    in_tree = holds(bits, own)
-                    at, own, context = at[in_tree], own[in_tree], context[in_tree]
+                    on = holds(bits, own)
+                    at, context, own = at[on], context[on], own[on]
                     run = longer(h[at], context)
                     met = holds(bits, run)
-                    at, key = np.r_[at, at[met]], np.r_[own, run[met]]
-                    i, there = _found(keys, key)
-                    path += np.bincount(doc[at[there]], values[i[there]], rows)
-                    late_doc.append(doc[at[~there]])
+                    token, key = np.r_[at, at[met]], np.r_[own, run[met]]
+                    value, there = hot_runs.find(key)
+                    path += np.bincount(doc[token], value, rows)
+                    late_doc.append(doc[token[~there]])
                     late_key.append(key[~there])
+                    on = place[at] > depth
+                    at, context, depth = at[on], context[on], depth + 1
+                    context = longer(context, h[at - depth])
                 late_doc, late_key = np.concatenate(late_doc), np.concatenate(late_key)
-                order = np.lexsort((late_key, late_doc))
-                late_doc, late_key = late_doc[order], late_key[order]
-                first = np.flatnonzero(np.r_[True, (late_doc[1:] != late_doc[:-1]) | (late_key[1:] != late_key[:-1])]) if len(order) else order
-                many = np.diff(np.r_[first, len(order)])
-                ends = np.searchsorted(late_doc[first], np.arange(rows + 1)).astype(np.int32)
-                late = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(late_key[first].view(np.int64)), pa.array(many.astype(np.int32))], ["key", "k"]))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid + lo, rid + hi)), part.column("doc_id"), part.column("training"), pa.array(sizes.astype(np.int64)), pa.array(n_hot.astype(np.int64)), pa.array(base), pa.array(path), late],
-                    ["rid", "doc_id", "training", "n_tokens", "n_hot", "base_hot", "log_hot", "late"],
-                )
+                if len(late_key):
+                    order = np.lexsort((late_key, late_doc))
+                    late_doc, late_key = late_doc[order], late_key[order]
+                    first = np.flatnonzero(np.r_[True, (late_doc[1:] != late_doc[:-1]) | (late_key[1:] != late_key[:-1])])
+                    held.append([late_key[first], late_doc[first] + (rid + lo), np.diff(np.r_[first, len(order)])])
+                    some += len(first)
+                if some > FLUSH // 2:
+                    yield place_blocks()
+                    some = 0
+                part, own_rid = batch.slice(lo, hi - lo), np.arange(rid + lo, rid + hi)
+                dealt = np.array(names, np.int32)[own_rid % parts]
+                columns = [dealt, np.zeros(rows, np.int32), pa.nulls(rows, pa.binary()), own_rid, part.column("doc_id"), part.column("training"), sizes.astype(np.int64), n_hot.astype(np.int64), base, path]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
             rid += len(body)
-
-    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text, training.alias("training")).mapInArrow(score, schema))
-    model = counts.select("key", (F.log10((F.col("n") + SHARE) / F.lit(whole)) - F.lit(log_unknown)).alias("value"), F.col("n"))
-    if runs is not None:
-        model = model.unionByName(runs.select("key", "value", F.lit(0).cast("long").alias("n")))
-    k = F.col("k")
-    rest = rows.select("rid", F.explode("late").alias("x")).select("rid", "x.*").join(model, "key").groupBy("rid").agg(
-        F.sum(F.when(F.col("n") > 0, k).otherwise(0)).alias("n_late"), F.sum(k * F.log10(F.col("n") + 1)).alias("base_late"), F.sum(k * F.col("value")).alias("log_late"),
-    )
-    zero = F.lit(0.0)
-    return rows.drop("late").join(rest, "rid", "left").select(
-        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", (F.col("n_hot") + F.coalesce("n_late", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("base_late", zero)).alias("base_score"), (F.col("log_hot") + F.coalesce("log_late", zero)).alias("score"),
-    )
+        if held:
+            yield place_blocks()
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text, training.alias("training")).mapInArrow(score, _ROW)
+    more = F.log10((F.col("n") + SHARE) / F.lit(whole)) - F.lit(log_unknown)
+    rows = rows.unionByName(table_blocks(counts.where(F.col("n") < least_word).select("key", more.alias("value"), "n"), parts, names))
+    if tree:
+        cold = _union(tree).where(F.col("n") < least_run).select("key", "value", F.lit(0).cast("long").alias("n"))
+        rows = rows.unionByName(table_blocks(cold, parts, names))
+    of = resolved(rows.repartition(parts, "place")).groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "training", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "log")])
+    return of.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("log").alias("score"))

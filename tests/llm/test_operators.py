@@ -671,6 +671,23 @@ def test_packed_counts_unpack():
     assert sorted(zip(*(c.tolist() for c in back), strict=True)) == sorted(zip(*(c.tolist() for c in x), strict=True))
 
 
+def test_a_table_finds_its_keys():
+    rng = np.random.default_rng(2)
+    key = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64))
+    table = suffix_tree.Table(key, np.arange(len(key), dtype=float))
+    value, there = table.find(np.r_[key, key + np.uint64(1)])
+    assert there[: len(key)].all() and (value[: len(key)] == np.arange(len(key))).all()
+    assert there[len(key) :].sum() == np.isin(key + np.uint64(1), key).sum()
+    assert not suffix_tree.Table(key[:0], np.zeros(0)).find(key)[1].any()
+
+
+def test_packed_places_unpack():
+    rng = np.random.default_rng(3)
+    x = [rng.integers(0, 90, 700).astype(np.uint64), rng.integers(5 << 33, (5 << 33) + 999, 700), rng.integers(1, 9, 700)]
+    back = suffix_tree.unpack_places(suffix_tree.pack_places(*x))
+    assert sorted(zip(*(c.tolist() for c in back), strict=True)) == sorted(zip(*(c.tolist() for c in x), strict=True))
+
+
 @given(st.lists(st.text(st.sampled_from("aabbB \t\n\x85é日"), max_size=120), max_size=6))
 def test_tokens_are_hashed_alike(texts):
     h, sizes = suffix_tree.hashes(texts)
