@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -153,6 +154,54 @@ def flowline_statistics(edges: DataFrame, area_km2: Column) -> DataFrame:
     return whole.join(per_node, "tile").select("tile", "edges", "junctions", "roots", F.when(area_km2 > 0, F.col("degrees") * 111 / area_km2).alias("density"))
 
 
+def flowline_orders(edges: DataFrame) -> DataFrame:
+    """(tile, strahler, n): Strahler orders of the nodes of each tile's directed edges, parallel edges counted apart.
+
+    A node's order is the greatest of its donors', one more if two of them have it; heads, and nodes on or below a circle,
+    have order 1. A tile's network is in one task."""
+
+    def orders(tile: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.r_[tile.src.to_numpy(), tile.dst.to_numpy()], return_inverse=True)
+        src, dst = at.reshape(2, -1)
+        waiting = np.bincount(dst, minlength=len(names))
+        out_edges = np.argsort(src, kind="stable")
+        ends = np.searchsorted(src[out_edges], np.arange(len(names) + 1))
+        top, times, order = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), np.ones(len(names), np.int64)
+        now = np.flatnonzero(waiting == 0)
+        while len(now):
+            order[now] = np.maximum(1, np.where(times[now] > 1, top[now] + 1, top[now]))
+            along = np.concatenate([out_edges[ends[k] : ends[k + 1]] for k in now])
+            to, mine = dst[along], order[src[along]]
+            before = top[to]
+            np.maximum.at(top, to, mine)
+            times[to[top[to] > before]] = 0
+            np.add.at(times, to[mine == top[to]], 1)
+            np.subtract.at(waiting, to, 1)
+            now = np.unique(to[waiting[to] == 0])
+        found, n = np.unique(order, return_counts=True)
+        return pd.DataFrame({"tile": tile.tile.iloc[0], "strahler": found.astype(np.int32), "n": n.astype(np.int64)})
+
+    node = lambda c: F.concat_ws(":", F.col(c)["x"].cast("string"), F.col(c)["y"].cast("string")).alias(c)
+    kind = dict(edges.dtypes)["tile"]
+    return edges.select("tile", node("src"), node("dst")).groupBy("tile").applyInPandas(orders, f"tile {kind}, strahler int, n long")
+
+
+def flowline_branching(edges: DataFrame, area_km2: Column) -> DataFrame:
+    """flowline_statistics with the greatest order and the bifurcation ratio of each tile."""
+    dist = flowline_orders(edges)
+    orders = dist.groupBy("tile").agg(F.max("strahler").alias("max_order"))
+    return flowline_statistics(edges, area_km2).join(orders, "tile").join(bifurcation(dist, "tile"), "tile")
+
+
+def branching_agreement(a: DataFrame, b: DataFrame, dist_a: DataFrame, dist_b: DataFrame, key: str = "tile") -> DataFrame:
+    """The two sides' (key, junctions, rb, density) tile by tile: both values of each, the distance of their order
+    distributions (key, strahler, n), and the difference of the ratios (null where one has none)."""
+    names = ("junctions", "rb", "density")
+    both = a.select(key, *[F.col(c).alias(f"{c}_a") for c in names]).join(b.select(key, *[F.col(c).alias(f"{c}_b") for c in names]), key)
+    weights = dist_a.withColumnRenamed("n", "a").join(dist_b.withColumnRenamed("n", "b"), [key, "strahler"], "full")
+    return both.join(wasserstein1(weights, "a", "b", "strahler", key), key).withColumn("rb_difference", F.abs(F.col("rb_a") - F.col("rb_b")))
+
+
 def branching_shift(junctions_a: Column, junctions_b: Column, rb_a: Column, rb_b: Column, distance: Column, orders: Column) -> Column:
     """Greatest of the relative changes in junctions and ratio and of the distance per order; nulls are passed over."""
     return F.greatest(F.abs(junctions_b - junctions_a) / F.greatest(junctions_a, F.lit(1)), F.abs(rb_b - rb_a) / F.when(rb_a != 0, rb_a), distance / F.greatest(orders, F.lit(1)))

@@ -266,7 +266,7 @@ def against_null(test: DataFrame, null: DataFrame) -> DataFrame:
     both = F.broadcast(floor.crossJoin(middle))
     above = test.crossJoin(both).agg(F.avg((F.col("mmd2") > F.col("floor")).cast("int")).alias("above"))
     p = null.crossJoin(both).agg(F.avg((F.col("mmd2") >= F.col("median")).cast("int")).alias("p"))
-    return floor.crossJoin(middle).crossJoin(above).crossJoin(p).select("floor", "median", (F.col("median") / F.col("floor")).alias("ratio"), "above", "p", (F.col("median") > F.col("floor")).alias("rejected"))
+    return floor.crossJoin(middle).crossJoin(above).crossJoin(p).select("floor", "median", F.try_divide("median", "floor").alias("ratio"), "above", "p", (F.col("median") > F.col("floor")).alias("rejected"))
 
 
 def balanced_splits(tiles: list[int]) -> list[tuple[int, int, str]]:

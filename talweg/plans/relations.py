@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talweg.functions import coords
-from talweg.operators import evaluation, quality, raster, simplicial, spatial, topology
+from talweg.operators import evaluation, kernels, quality, raster, simplicial, spatial, topology
 from talweg.operators.ranking import numbered
 from talweg.plans.prelude import CELLS
 from talweg.plans.registry import query
@@ -443,6 +443,28 @@ def flowline_network(spark, sf_dir):
     return out.withColumn("density", F.round("density", 6))
 
 
+@query()
+def flowline_branching(spark, sf_dir):
+    """Junctions, roots, orders, ratio and density of each tile's flowlines."""
+    out = topology.flowline_branching(topology.flowline_edges(_lines(spark, sf_dir)), F.lit(1000.0))
+    return out.select(*[F.round(c, 6).alias(c) if c in ("density", "rb") else c for c in out.columns])
+
+
+@query()
+def branching_agreement(spark, sf_dir):
+    """Patches and flowlines side by side, tile by tile (labels against nations)."""
+    edges = topology.flowline_edges(_lines(spark, sf_dir))
+    nodes = kernels.merge_tree(patches(spark, sf_dir), 2).withColumnRenamed("label", "tile")
+    dist = topology.distribution(nodes, "tile")
+    drained = kernels.stream_cells(patches(spark, sf_dir), 2).groupBy("patch_id").agg(F.count("*").alias("n")).join(patches(spark, sf_dir).select("patch_id", F.col("label").alias("tile")), "patch_id")
+    density = drained.groupBy("tile").agg((F.sum("n") / (F.count("*") * 64)).alias("density"))
+    own = topology.junctions(nodes, "tile").join(topology.bifurcation(dist, "tile"), "tile").join(density, "tile")
+    lines = topology.flowline_branching(edges, F.lit(1000.0)).withColumn("tile", F.col("tile").cast("int"))
+    of_lines = topology.flowline_orders(edges).withColumn("tile", F.col("tile").cast("int"))
+    out = topology.branching_agreement(own, lines, dist, of_lines)
+    return out.select("tile", *[F.round(c, 6).alias(c) for c in out.columns if c != "tile"])
+
+
 @query(f"with {_FL}, d as (select tile, round(sum(degrees) * 111, 6) as km from ed where degrees > 0 group by all) select tile, km, (rank() over (order by km desc, tile))::int as place from d")
 def flowline_density(spark, sf_dir):
     v = F.col("vertices")

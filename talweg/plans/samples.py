@@ -116,9 +116,9 @@ sides as (select i, j, list_sort(list_concat(list_transform(a, lambda p: p.x * c
 sw as (select i, j, sum(coalesce(list_sum(list_transform(list_zip(u, v), lambda z: abs(z[1] - z[2]))), 0)) / 50 as d from sides group by all)"""
 
 
-def diagram_pairs(spark: SparkSession, sf_dir: str, eps: float = 0.0) -> DataFrame:
+def diagram_pairs(spark: SparkSession, sf_dir: str, eps: float = 0.0, found: DataFrame | None = None) -> DataFrame:
     """Pairs of blocks of the patches' diagrams, without the finite pairs shorter than eps."""
-    found = diagrams.points(diagrams.pruned(pairs_of(spark, sf_dir), eps))
+    found = diagrams.points(diagrams.pruned(pairs_of(spark, sf_dir) if found is None else found, eps))
     items = patches(spark, sf_dir).select("patch_id", "label").join(found, "patch_id", "left")
     points = F.coalesce("points", F.array().cast(found.schema["points"].dataType))
     items = diagrams.as_items(items.select(F.col("patch_id").alias("id"), F.col("label").cast("long").alias("tile"), points.alias("points")))
@@ -131,11 +131,11 @@ def sw_items(spark, sf_dir):
     return twosample.pair_distances(diagram_pairs(spark, sf_dir), "sliced").select("i", "j", F.round("d", 4).alias("sw"))
 
 
-def sliced_test(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
+def sliced_test(spark: SparkSession, sf_dir: str, eps: float, whole: DataFrame) -> DataFrame:
     """The test of one population of patches against another over their diagrams: floor, median, ratio, share above, p, verdict.
 
     The populations are the patches of even and of odd id, in the same tiles."""
-    found = diagram_pairs(spark, sf_dir, eps)
+    found = cut(diagram_pairs(spark, sf_dir, eps, whole))
     sigma = twosample.median_sigma(found, "sliced")
     odd = F.transform("ids_a", lambda i: i % 2), F.transform("ids_b", lambda i: i % 2)
     mark = lambda tiles, flags: F.zip_with(tiles, flags, lambda t, f: t + f * POPULATION)
@@ -151,10 +151,11 @@ def sliced_test(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
 def pruning_rerun(spark, sf_dir):
     """Distances, bandwidth, null and test over diagrams pruned at 0 and at percentiles of the finite lengths, threshold by threshold."""
     shares = (0.1, 0.25, 0.5, 0.75, 0.9)
-    found = pairs_of(spark, sf_dir).where("death is not null").agg(F.percentile(F.col("death") - F.col("birth"), F.array(*map(F.lit, shares))).alias("q")).first()["q"]
+    whole = cut(pairs_of(spark, sf_dir))
+    found = whole.where("death is not null").agg(F.percentile(F.col("death") - F.col("birth"), F.array(*map(F.lit, shares))).alias("q")).first()["q"]
     out = None
     for share, eps in zip((0.0, *shares), (0.0, *(found or [0.0] * len(shares))), strict=True):
-        row = sliced_test(spark, sf_dir, eps).select(F.lit(share).alias("share"), F.lit(float(eps)).alias("eps"), "*")
+        row = sliced_test(spark, sf_dir, eps, whole).select(F.lit(share).alias("share"), F.lit(float(eps)).alias("eps"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -348,6 +349,25 @@ def branching_compare(spark, sf_dir):
     return st.join(after, "label").select("label", "other", (F.col("j2") - F.col("junctions")).alias("d_junctions"), F.round(change, 6).alias("shift"), F.round(F.col("l2") / F.col("leaves"), 6).alias("leaf_ratio"))
 
 
+_BRANCH = f"""{_FOREST}, dl as (select l.label, d.strahler, sum(d.n)::double as n from dist d join lab l on l.patch_id = d.patch_id group by all), rb as (select label, avg(ratio) as rb, max(strahler) as orders from (select label, strahler, n / lead(n) over (partition by label order by strahler) as ratio from dl) group by label),
+st as (select p.label, sum(junctions)::bigint as junctions, any_value(r.rb) as rb, any_value(r.orders) as orders from per p join rb r on r.label = p.label group by all),
+cum as (select a.label as la, b.label as lb, x, coalesce((select sum(n) from dl where label = a.label and strahler <= x), 0) / (select sum(n) from dl where label = a.label) as ca, coalesce((select sum(n) from dl where label = b.label and strahler <= x), 0) / (select sum(n) from dl where label = b.label) as cb
+  from rb a join rb b on b.label = a.label + 1, range(1, 20) g(x)), w as (select la, sum(abs(ca - cb)) as w1 from cum group by all)"""
+
+
+@query(f"""with recursive {_BRANCH} select a.label, b.label as other, round(w.w1, 6) as w1, round(abs(b.rb - a.rb), 6) as d_rb,
+  round(greatest(abs(b.junctions - a.junctions) / greatest(a.junctions, 1)::double, abs(b.rb - a.rb) / a.rb, w.w1 / greatest(a.orders, 1)), 6) as shift from st a join st b on b.label = a.label + 1 join w on w.la = a.label""")
+def branching_shift(spark, sf_dir):
+    """The greatest relative change between each tile's branching and the next one's: junctions, ratio, and distance of orders by their number."""
+    dist = topology.distribution(nodes_of(spark, sf_dir), "label")
+    st = per_patch(spark, sf_dir).groupBy("label").agg(F.sum("junctions").alias("junctions")).join(topology.bifurcation(dist, "label"), "label").join(dist.groupBy("label").agg(F.max("strahler").alias("orders")), "label")
+    after = st.select((F.col("label") - 1).alias("label"), F.col("label").alias("other"), F.col("junctions").alias("j2"), F.col("rb").alias("rb2"))
+    weights = dist.withColumnRenamed("n", "a").join(dist.select((F.col("label") - 1).alias("label"), "strahler", F.col("n").alias("b")), ["label", "strahler"], "full")
+    w = topology.wasserstein1(weights, "a", "b", "strahler", "label")
+    change = topology.branching_shift(F.col("junctions"), F.col("j2"), F.col("rb"), F.col("rb2"), F.col("w1"), F.col("orders"))
+    return st.join(after, "label").join(w, "label").select("label", "other", F.round("w1", 6).alias("w1"), F.round(F.abs(F.col("rb2") - F.col("rb")), 6).alias("d_rb"), F.round(change, 6).alias("shift"))
+
+
 @query(f"with recursive {_FOREST} select label % 3 as province, count(*) as n, round(case when stddev_pop(leaves) > 0 and stddev_pop(junctions) > 0 then corr(leaves, junctions) end, 6) as pearson, quantile_cont(junctions, 0.5)::double as median_junctions from per group by grouping sets ((label % 3), ())")
 def construct_summary(spark, sf_dir):
     """Per province and over all, by grouping sets."""

@@ -151,3 +151,21 @@ def directional_match(spark, sf_dir):
     term = F.transform("x", lambda v, i: (v - F.get("y", (i + F.col("shift")) % 8)) * (v - F.get("y", (i + F.col("shift")) % 8)))
     costs = shifted.select("patch_id", "shift", F.round(F.aggregate(term, F.lit(0.0), lambda a, v: a + v), 6).alias("cost"))
     return costs.groupBy("patch_id").agg(F.min(F.struct("cost", "shift")).alias("m")).select("patch_id", "m.shift", "m.cost")
+
+
+_CAPPED = f"{_P}, cp as (select patch_id, log10(greatest(birth, 1)) as birth, coalesce(log10(greatest(death, 1)), (select max(log10(greatest(death, 1))) + 0.5 from pairs where death is not null)) as death from pairs)"
+
+
+@query(f"with recursive {_CAPPED}, r as (select min(birth) as lo, max(birth) as hi, max(death - birth) as span from cp) select round(lo, 6) as lo, round(greatest(hi, lo + span / 30), 6) as hi, round(span, 6) as span, round(span / 30, 6) as pixel from r")
+def image_grid(spark, sf_dir):
+    """The grid of persistence images, frozen over the diagrams of all patches."""
+    r = diagrams.image_grid(diagrams.log_capped(pairs_of(spark, sf_dir)))
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+@query()
+def persistence_image_mass(spark, sf_dir):
+    """Pixel masses of every patch's capped diagram on the frozen grid."""
+    capped = diagrams.log_capped(pairs_of(spark, sf_dir))
+    grid = diagrams.image_grid(capped).first()
+    return diagrams.image_mass(diagrams.points(capped), grid["lo"], grid["hi"], grid["span"], grid["pixel"])

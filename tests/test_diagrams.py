@@ -188,3 +188,17 @@ def brute_joins(values, mask):
         if len(met) > 1:
             out.append((cell, len(met)))
     return out
+
+
+def test_image_mass_equals_the_integral(spark):
+    df = spark.createDataFrame([(1, [(0.2, 0.9), (0.1, 0.3), (0.4, None)]), (2, [])], "patch_id long, points array<struct<birth:double,death:double>>")
+    lo, hi, span, pixel = 0.1, 0.4, 0.7, 0.1
+    got = {(r.patch_id, r.px, r.py): r.value for r in diagrams.image_mass(df, lo, hi, span, pixel).collect()}
+    assert len(got) == 2 * 3 * 7 and all(v == 0 for k, v in got.items() if k[0] == 2)
+    phi = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+    for (patch, px, py), value in got.items():
+        expect = 0.0
+        for b, d in ((0.2, 0.9), (0.1, 0.3)) if patch == 1 else ():
+            x, y, p = lo + px * pixel, py * pixel, d - b
+            expect += p * (phi((x + pixel - b) / pixel) - phi((x - b) / pixel)) * (phi((y + pixel - p) / pixel) - phi((y - p) / pixel))
+        assert math.isclose(value, expect, abs_tol=1e-12)

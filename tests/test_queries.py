@@ -73,3 +73,47 @@ def test_every_box_is_extracted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(relations, "cells", lambda df: df.select("patch_id", F.posexplode("z").alias("r", "row")).select("patch_id", "r", F.posexplode("row").alias("c", "z")))
     monkeypatch.setattr(relations, "table", lambda *_: spark.range(1, 70).toDF("s_suppkey"))
     assert {r.box for r in relations.patch_extract(spark, "").collect()} == {1, 50, 51, 60}
+
+
+def test_pruning_rerun_equals_brute_force(spark, tmp_path):
+    from itertools import combinations
+
+    import numpy as np
+
+    from talweg.operators import diagrams
+    from talweg.plans.shapes import pairs_of
+
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(64).tolist(), i // 2 % 4) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sf = str(tmp_path)
+    found = {round(r.share, 2): r for r in QUERIES["pruning_rerun"](spark, sf).collect()}
+    pairs = [(r.patch_id, r.birth, r.death) for r in pairs_of(spark, sf).collect()]
+    life = [d - b for _, b, d in pairs if d is not None]
+    for share in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9):
+        eps = float(np.quantile(life, share)) if share else 0.0
+        points = {i: [(float(b), None if d is None else float(d)) for p, b, d in pairs if p == i and (d is None or eps <= 0 or d - b >= eps)] for i in range(24)}
+        df = spark.createDataFrame([(i, [{"birth": b, "death": d} for b, d in p]) for i, p in points.items()], "id long, points array<struct<birth:double,death:double>>")
+        duos = df.toDF("i", "a").join(df.toDF("j", "b"), F.col("i") < F.col("j"))
+        d = np.zeros((24, 24))
+        for r in diagrams.sliced_wasserstein(duos, 50).collect():
+            d[r.i, r.j] = d[r.j, r.i] = r.sw
+        above = d[np.triu_indices(24, 1)]
+        sigma = np.median(above[above > 0])
+        k = np.exp(-(d**2) / (2 * sigma**2))
+
+        def mmd(a, b):
+            mean = lambda x, y, same: (k[np.ix_(x, y)].sum() - (len(x) if same else 0)) / (len(x) * (len(y) - same))  # noqa: B023, E731
+            return mean(a, a, True) + mean(b, b, True) - 2 * mean(a, b, False)
+
+        even, odd = ({t: [i for i in range(24) if i // 2 % 4 == t and i % 2 == e] for t in range(4)} for e in (0, 1))
+        size = lambda ids: len(ids) > 1
+        of = lambda side, tiles: [i for t in tiles for i in side[t]]
+        null, test = [], []
+        for a in combinations(range(4), 2):
+            b = [t for t in range(4) if t not in a]
+            for out, x, y in ((null, of(even, a), of(even, b)), (test, of(odd, a), of(even, b))):
+                out.append(mmd(x, y) if size(x) and size(y) else 0.0)
+        r = found[share]
+        assert math.isclose(r.eps, eps, abs_tol=1e-9)
+        assert math.isclose(r.floor, np.quantile(null, 0.95), abs_tol=1e-9) and math.isclose(r["median"], np.median(test), abs_tol=1e-9)

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talweg.operators import diagrams, kernels, topology
 from tests.toys import TOYS, rows
@@ -165,3 +166,22 @@ def test_scaling_leaves_the_tree(spark):
     nodes = kernels.merge_tree(spark.createDataFrame(rows_, PATCH), 2).collect()
     side = lambda i: sorted((n.node, n.birth, n.strahler) for n in nodes if n.patch_id == i)
     assert side(0) == side(1)
+
+
+def test_flowline_orders_follow_the_donors(spark):
+    point = lambda x: {"x": float(x), "y": 0.0}
+    links = [("y", 1, 3), ("y", 2, 3), ("y", 3, 5), ("y", 4, 5), ("y", 5, 6)] + [("p", 1, 2), ("p", 1, 2), ("p", 2, 3)] + [("c", 1, 2), ("c", 2, 1), ("c", 3, 4)]
+    lines = spark.createDataFrame([(t, i, [point(a), point(b)]) for i, (t, a, b) in enumerate(links)], "tile string, line_id int, vertices array<struct<x:double,y:double>>")
+    edges = topology.flowline_edges(lines)
+    found = {(r.tile, r.strahler): r.n for r in topology.flowline_orders(edges).collect()}
+    # Two heads make order 2, a third head does not raise it; parallel edges are two donors; a circle has order 1.
+    assert found == {("y", 1): 3, ("y", 2): 3, ("p", 1): 1, ("p", 2): 2, ("c", 1): 4}
+    rows = {r.tile: r for r in topology.flowline_branching(edges, F.lit(100.0)).collect()}
+    assert rows["y"].max_order == 2 and rows["y"].rb == 1.0 and rows["y"].junctions == 2 and rows["c"].rb is None
+
+
+def test_agreement_of_equal_sides_is_whole(spark):
+    stats = spark.createDataFrame([(1, 4, 2.0, 0.5), (2, 3, None, 0.1)], "tile int, junctions long, rb double, density double")
+    dist = spark.createDataFrame([(1, 1, 6), (1, 2, 3), (2, 1, 4)], "tile int, strahler int, n long")
+    rows = {r.tile: r for r in topology.branching_agreement(stats, stats, dist, dist).collect()}
+    assert rows[1].w1 == 0 and rows[1].rb_difference == 0 and rows[1].junctions_a == rows[1].junctions_b == 4 and rows[2].rb_difference is None
