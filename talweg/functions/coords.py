@@ -90,6 +90,12 @@ def mercator(lon: Column, lat: Column) -> Column:
     return F.struct((F.radians(lon) * radius).alias("x"), (F.log(F.tan(F.radians(lat) / 2 + 0.7853981633974483)) * radius).alias("y"))
 
 
+def mercator_inverse(x: Column, y: Column) -> Column:
+    """Longitude and latitude of spherical Mercator metres."""
+    radius = 6378137.0
+    return F.struct(F.degrees(x / radius).alias("lon"), F.degrees(2 * F.atan(F.exp(y / radius)) - F.pi() / 2).alias("lat"))
+
+
 def grown(a: Column, by: float) -> Column:
     """A box with a buffer around it."""
     return F.struct((a["min_x"] - by).alias("min_x"), (a["min_y"] - by).alias("min_y"), (a["max_x"] + by).alias("max_x"), (a["max_y"] + by).alias("max_y"))

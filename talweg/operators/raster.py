@@ -75,6 +75,43 @@ def normalized(cell_rows: DataFrame, value: str = "z", low: float = 0.02, high:
     return out.withColumn("norm", norm).drop("__e", "__lo", "__hi")
 
 
+def between(value: Column, lo: float, hi: float) -> Column:
+    """value between given bounds, clipped to [0, 1]; equal bounds have hi = lo + 1."""
+    span = hi - lo if hi > lo else 1.0
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / span))
+
+
+def geomorphic_stack(cell_rows: DataFrame) -> DataFrame:
+    """(patch_id, cell, channel, level): hillshade, elevation and slope, each between its patch's percentiles, as 0 to 255."""
+    graded = hillshade(gradient(cell_rows))
+    slope = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    channels = graded.select("patch_id", "cell", F.posexplode(F.array("shade", "z", slope)).alias("channel", "v"))
+    edges = channels.groupBy("patch_id", "channel").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("e"))
+    lo, hi = F.col("e")[0], F.col("e")[1]
+    norm = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - lo) / F.when(hi <= lo, F.lit(1.0)).otherwise(hi - lo)))
+    return channels.join(edges, ["patch_id", "channel"]).select("patch_id", "cell", "channel", to_uint8(F.round(norm, 6)).alias("level"))
+
+
+def _cubic(t: Column) -> Column:
+    a = F.abs(t)
+    return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
+
+
+def resampled_cubic(patch_rows: DataFrame, h: int, w: int) -> DataFrame:
+    """cell rows on an h x w grid over the same extent, by cubic weights of the sixteen cells around; edges are held. Narrow."""
+    out = patch_rows.select("patch_id", "label", F.col("h").alias("__h"), F.col("w").alias("__w"), F.col("z").alias("__z"), F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("cell"))
+    r, c = F.floor(F.col("cell") / w).cast("int"), F.col("cell") % w
+    out = out.select("*", r.alias("r"), c.alias("c"), ((r + 0.5) * F.col("__h") / h - 0.5).alias("__y"), ((c + 0.5) * F.col("__w") / w - 0.5).alias("__x"))
+    y, x = F.col("__y"), F.col("__x")
+    held = lambda i, n: F.greatest(F.lit(0), F.least(i, n - 1))
+    total = F.lit(0.0)
+    for a in range(-1, 3):
+        for b in range(-1, 3):
+            i, j = F.floor(y).cast("int") + a, F.floor(x).cast("int") + b
+            total = total + F.get("__z", held(i, F.col("__h")) * F.col("__w") + held(j, F.col("__w"))) * _cubic(y - i) * _cubic(x - j)
+    return out.select("patch_id", "label", "cell", "r", "c", total.alias("z"))
+
+
 def to_uint8(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), F.bround(value * 255))).cast("int")
 

@@ -670,7 +670,13 @@ def logistic_match(spark, sf_dir):
     return LogisticRegression(maxIter=20, regParam=0.1).fit(v).transform(v).select("vec_id", F.round(vector_to_array("probability")[1], 4).alias("p"))
 
 
-@query()
+@query(f"""with {CELLS}, g as (select i // 16 as r, i % 16 as c, least(7, greatest(0, (i // 16 + 0.5) * 8 / 16 - 0.5))::double as y, least(7, greatest(0, (i % 16 + 0.5) * 8 / 16 - 0.5))::double as x from range(0, 256) t(i)),
+q as (select r, c, floor(y)::int as y0, floor(x)::int as x0, y - floor(y) as fy, x - floor(x) as fx from g),
+f as (select k.patch_id, k.label, q.r, q.c, sum(k.z * (case when k.r = y0 then 1 - fy else fy end) * (case when k.c = x0 then 1 - fx else fx end)) as z from q join cells k on k.r between y0 and y0 + 1 and k.c between x0 and x0 + 1 group by all),
+d as (select label, case when r = 0 then lead(z) over v - z when r = 15 then z - lag(z) over v else (lead(z) over v - lag(z) over v) / 2 end as gy, case when c = 0 then lead(z) over h - z when c = 15 then z - lag(z) over h else (lead(z) over h - lag(z) over h) / 2 end as gx
+  from f window v as (partition by patch_id, c order by r), h as (partition by patch_id, r order by c)),
+s as (select label, pi() / 2 - atan(sqrt(gx * gx + gy * gy)) as sl, atan2(-gx, gy) as asp from d)
+select label, round(avg(greatest(0, least(1, (sin(radians(45.0::double)) * sin(sl) + cos(radians(45.0::double)) * cos(sl) * cos(radians(135.0::double) - pi() / 2 - asp) + 1) / 2))), 6) as shade, count(*) as n from s group by all""")
 def patch_resampled_hillshade(spark, sf_dir):
     """Hillshade of patches resampled to 16 x 16."""
     fine = raster.resampled(patches(spark, sf_dir), 16, 16)

@@ -398,7 +398,11 @@ def breached_flow(spark, sf_dir):
     return kernels.flow(raster.conditioned(patches(spark, sf_dir), "breach")).groupBy("patch_id").agg(F.count_if(F.col("recv").isNull()).alias("outlets"), F.max("acc").alias("greatest"))
 
 
-@query()
+_MIRROR = "case when {i} < 0 then -{i} - 1 when {i} >= 8 then 15 - {i} else {i} end"
+
+
+@query(f"""with {CELLS}, o as (select (i - 4)::int as d, exp(-0.5 * (i - 4) * (i - 4)) / (select sum(exp(-0.5 * (j - 4) * (j - 4))) from range(0, 9) t(j)) as w from range(0, 9) g(i))
+select c.patch_id, c.cell, round(sum(a.w * b.w * k.z), 6) as z from cells c, o a, o b join cells k on k.patch_id = c.patch_id and k.r = {_MIRROR.format(i='(c.r + a.d)')} and k.c = {_MIRROR.format(i='(c.c + b.d)')} group by all""")
 def smoothed_field(spark, sf_dir):
     return cells(raster.smoothed(patches(spark, sf_dir), 1.0)).select("patch_id", "cell", F.round("z", 6).alias("z"))
 
