@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -179,6 +180,93 @@ def test_quality_by_compression(spark, sf_dir, docs):
     assert ((score >= 0) & (score <= 1)).all()
 
 
+def brute_gram(text, size, bits):
+    """The hashes of the n-grams of a text, one by one."""
+    word = lambda x: x & 0xFFFFFFFF
+    for p in range(size - 1, len(text)):
+        h = 0
+        for ch in text[p - size + 1 : p + 1]:
+            h = word(word(h * 0x01000193) + ord(ch))
+        h ^= h >> 15
+        h = word(word(h + size) * 0x9E3779B1)
+        h ^= h >> 13
+        yield word(h * 0x85EBCA6B) >> 32 - bits
+
+
+def test_toxicity_scores_equal_brute_force(docs):
+    texts = [r.text for r in docs.limit(60).collect()]
+    model = toxicity.fit([(t, i % 3 == 0) for i, t in enumerate(texts)])
+    for t, score in zip([*texts[:25], "", "ab"], model.scores([*texts[:25], "", "ab"]), strict=True):
+        met = {model.table[g] for n in toxicity.SIZES for g in brute_gram(t.lower(), n, toxicity.BITS)} - {-1}
+        assert math.isclose(score, 1 / (1 + math.exp(-max(-35, min(35, model.bias + sum(model.weights[f] for f in met))))), rel_tol=1e-6)
+
+
+def test_toxicity_ratios_equal_brute_force(docs):
+    texts = [r.text for r in docs.limit(40).collect()]
+    label = [i % 4 == 0 for i in range(40)]
+    model = toxicity.fit(list(zip(texts, label, strict=True)))
+    count = {True: Counter(), False: Counter()}
+    for t, y in zip(texts, label, strict=True):
+        count[y].update({g for n in toxicity.SIZES for g in brute_gram(t.lower(), n, toxicity.BITS)})
+    share = {y: lambda g, c=c, n=sum(c.values()) + (1 << toxicity.BITS): math.log((c[g] + 1) / n) for y, c in count.items()}
+    sure = lambda g: abs(share[True](g) - share[False](g)) / math.sqrt(1 / (count[True][g] + 1) + 1 / (count[False][g] + 1))
+    kept = {g for g in range(1 << toxicity.BITS) if model.table[g] >= 0}
+    met = {*count[True], *count[False]}
+    least = min(sure(g) for g in kept & met)
+    assert sum(sure(g) > least + 1e-9 for g in met) <= toxicity.FEATURES
+
+
+def test_quality_scores_equal_brute_force(spark, sf_dir, docs):
+    sample = toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", F.lit(True), 200)
+    model = quality.fit(sample)
+    texts = [r.text for r in docs.limit(30).collect()]
+    size = lambda t, d: sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(b)) for b in quality.text_blocks(t))
+    for t, score in zip(texts, model.scores(texts), strict=True):
+        if not t:
+            continue
+        good, bad, n = size(t, model.good), size(t, model.bad), len(t.encode())
+        d, share, short = 10 * (bad - good) / (good + bad), min(good, bad) / n, 1 / (1 + len(t) / 100)
+        z = float(np.dot(model.curve, [1, d, share, d * share, share**2, short, d * short, share * short]))
+        # Tables made beforehand may differ by a few bytes from those made for each call.
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), abs_tol=0.05)
+
+
+def test_quality_of_odd_texts(spark, docs):
+    texts = [r.text for r in docs.limit(40).collect()]
+    model = quality.fit([(t, i % 2) for i, t in enumerate(texts)])
+    rows = toxicity.score(spark.createDataFrame([(None,), ("",), ("x" * 200_000,), (texts[0],), (texts[0],)], "text string"), model).collect()
+    assert rows[0].score == rows[1].score == model.prior and rows[3].score == rows[4].score and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_languages_equal_brute_force(docs):
+    rows = docs.where("lang is not null").limit(150).collect()
+    model = langid.fit([(r.text, r.lang) for r in rows])
+    texts = [r.text for r in rows[:25]] + ["1 2 3", ""]
+    pred, score = model.predict(texts)
+    assert pred[-2:] == ["und", "und"] and (score[-2:] == 0).all()
+    names = [n for c in model.languages for n in c.names]
+    assert set(pred) <= {*names, "und"}
+    # A text is of the family, and then the language, that wins most of its contests one against one.
+    symbols = lambda t: " " + re.sub(r"[^\w]+|[\d_]+", " ", t.lower())
+    for t, p in zip(texts[:25], pred, strict=False):
+        if not re.fullmatch(r"[a-zA-Z0-9 .,;:!?'\n\-]*", t):
+            continue
+        clean = re.sub(r" +", " ", symbols(t))
+        grams = [g for n in langid.SIZES for g in brute_gram(clean, n, langid.BITS)]
+        margin = model.weights[grams].astype(np.float64).sum(0) * langid._SCALE / max(1, len(grams))
+
+        def winner(contest):
+            votes = Counter({n: 0 for n in contest.names})
+            for (i, j), column, bias in zip(contest.pairs, contest.columns, contest.bias, strict=True):
+                votes[contest.names[i] if margin[column] + bias > 0 else contest.names[j]] += 1
+            top = max(votes.values())
+            return {n for n, k in votes.items() if k == top}
+
+        families = winner(model.families)
+        assert langid.family(p) in families
+        assert p in winner(model.languages[sorted(model.families.names).index(langid.family(p))])
+
+
 def test_classifiers_without_both_classes(odd, none):
     for fit in (toxicity.fit, quality.fit):
         assert fit([]).scores(["x", ""]).max() < 1e-6
