@@ -18,7 +18,7 @@ it, whose share is bounded by `DEAL` tokens. Divergence tests and smoothing are
 A text's score is a sum: a retained context adds the logarithm of what it leaves to its suffix, a run of a context and
 a next word that was met what it differs from that. The most frequent words and runs, at most `HOT` and `HOT_RUNS`,
 go to every task, with filters of at most 2**`FILTER_BITS` bits that tell most keys that are in no table; what else a
-document holds is dealt by key, packed like the counts, to the parts of the tables that have it.
+document holds is dealt by key, packed like the counts, to the parts of the tables that have it, and the sums go back.
 
 Nulls and edges: a null text reads as empty and has the end alone as token; rows equal in every column are each
 answered; a null doc_id counts as the empty text for the training split; without training texts every count is 0.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from talweg.llm.common import blocks, cut, drop, own_partitions, small, texts_of
 
 LEAST, SHARE = 8, 0.75
-HOT, HOT_RUNS, FILTER_BITS = 1 << 19, 1 << 20, 28
+HOT, HOT_RUNS, FILTER_BITS = 1 << 16, 1 << 17, 28
 FLUSH, DEAL, SPARSE, BLOCK_CHARS = 1 << 21, 1 << 22, 200, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _BLANK = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -419,30 +419,28 @@ class Table:
 # Documents' words and runs that are not in every task, and the tables' rows, dealt by key
 
 
-def _dealt(key: np.ndarray, parts: int, names: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(name of the part, places) of keys by part."""
-    part = (mixed(key) >> np.uint64(24)).astype(np.int64) % parts
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    for k in np.flatnonzero(np.diff(ends)).tolist():
-        yield names[k], order[ends[k] : ends[k + 1]]
+def _parts(key: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of `parts` equal ranges of keys begins and ends among sorted keys."""
+    return np.searchsorted(key, [np.uint64(-(-(k << 64) // parts)) for k in range(parts)] + [np.uint64((1 << 64) - 1)])
 
 
-def pack_places(key: np.ndarray, rid: np.ndarray, k: np.ndarray) -> bytes:
-    """Numbers k of keys in rows as a block of bytes: each key is there once, rows count from the least."""
-    order = np.lexsort((rid, key))
-    key, rid, k = key[order], rid[order], k[order]
+def pack_places(key: np.ndarray, rid: np.ndarray) -> bytes:
+    """Rows of sorted keys as a block of bytes: each key is there once, and each of its rows with its number; rows count from the least."""
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])])
+    k = np.diff(np.r_[new, len(key)])
+    key, rid = key[new], rid[new]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     head = np.array([len(first), len(key), rid.min()], "<u8").tobytes()
     return zstandard.compress(head + key[first].tobytes() + _wide(np.diff(np.r_[first, len(key)])) + _wide(rid - rid.min()) + _wide(k), 1)
 
 
-def unpack_places(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_places(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, how many rows each has, the rows, their numbers)."""
     data = zstandard.decompress(block)
     a, n, least = np.frombuffer(data[:24], "<u8").tolist()
     ends = np.cumsum([24, 8 * a, 4 * a, 4 * n, 4 * n]).tolist()
     keys, many, rid, k = (data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False))
-    return np.repeat(np.frombuffer(keys, np.uint64), _narrow(many)), _narrow(rid).astype(np.int64) + least, _narrow(k).astype(np.int64)
+    return np.frombuffer(keys, np.uint64), _narrow(many), _narrow(rid).astype(np.int64) + least, _narrow(k).astype(np.int64)
 
 
 _ROW = "place int, kind int, block binary, rid long, doc_id long, training boolean, n_tokens long, known long, base double, log double"
@@ -465,11 +463,10 @@ def table_blocks(table: DataFrame, parts: int, names: list[int]) -> DataFrame:
         def out() -> pa.RecordBatch:
             key, value, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            rows = []
-            for name, at in _dealt(key, parts, names):
-                at = at[np.argsort(key[at])]
-                rows.append((name, 2, zstandard.compress(key[at].tobytes() + value[at].tobytes() + n[at].tobytes(), 1)))
-            return _block_rows(rows)
+            order = np.argsort(key)
+            key, value, n = key[order], value[order], n[order]
+            ends = _parts(key, parts)
+            return _block_rows([(names[k], 2, zstandard.compress(b"".join(x[ends[k] : ends[k + 1]].tobytes() for x in (key, value, n)), 1)) for k in np.flatnonzero(np.diff(ends)).tolist()])
 
         some = 0
         for b in batches:
@@ -485,15 +482,15 @@ def table_blocks(table: DataFrame, parts: int, names: list[int]) -> DataFrame:
     return table.select("key", "value", "n").mapInArrow(run, _ROW)
 
 
-def resolved(dealt: DataFrame) -> DataFrame:
-    """Rows of documents as they are, and for each block of places what the part's rows of the tables give its documents."""
+def resolved(dealt: DataFrame, parts: int, names: list[int]) -> DataFrame:
+    """Documents as they are, and what each part's rows of the tables give them: a block of sums (kind 3) for each task of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, tables = [], []
         for b in batches:
             kind = b.column("kind").to_numpy()
             if (kind == 0).any():
-                yield b.filter(pa.array(kind == 0)).select(_NAMES[3:])
+                yield b.filter(pa.array(kind == 0))
             for k, block in zip(kind.tolist(), b.column("block").to_pylist(), strict=True):
                 if k:
                     (places if k == 1 else tables).append(block)
@@ -503,17 +500,60 @@ def resolved(dealt: DataFrame) -> DataFrame:
         key, value, n = np.concatenate(rows, 1)
         order = np.argsort(key)
         key, value, n = key[order], value.view(np.float64)[order], n.view(np.int64)[order]
+        base = np.log10(n + 1.0)
+        sums: dict[int, list[np.ndarray]] = {}
         for block in places:
-            keys, rid, k = unpack_places(block)
+            keys, many, rid, k = unpack_places(block)
             i, there = _found(key, keys)
+            i, there = np.repeat(i, many), np.repeat(there, many)
             i, rid, k = i[there], rid[there], k[there]
             if not len(rid):
                 continue
-            least = rid.min()
-            some = np.flatnonzero(np.bincount(rid - least))
-            total = lambda x: np.bincount(rid - least, x)[some]  # noqa: B023, E731
-            given = {"rid": some + least, "known": total(np.where(n[i] > 0, k, 0)).astype(np.int64), "base": total(k * np.log10(n[i] + 1)), "log": total(k * value[i])}
-            yield pa.RecordBatch.from_arrays([pa.array(given[m], t) if m in given else pa.nulls(len(some), t) for m, t in zip(_NAMES[3:], _KINDS[3:], strict=True)], _NAMES[3:])
+            task = int(rid[0]) >> 33
+            at, size = rid - (task << 33), int(rid.max() - (task << 33)) + 1
+            own = np.stack([np.bincount(at, x, size) for x in (np.where(n[i] > 0, k, 0), k * base[i], k * value[i])])
+            if task in sums:
+                one, other = sorted((sums[task], own), key=lambda x: x.shape[1])
+                other[:, : one.shape[1]] += one
+                own = other
+            sums[task] = own
+        for task, own in sums.items():
+            some = np.flatnonzero(own.any(0))
+            body = np.array([task], np.int64).tobytes() + some.astype(np.int64).tobytes() + own[:, some].tobytes()
+            yield _block_rows([(names[task % parts], 3, zstandard.compress(body, 1))])
+
+    return dealt.mapInArrow(run, _ROW)
+
+
+def added_up(dealt: DataFrame) -> DataFrame:
+    """Documents with the sums of all parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = [], {}
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            own.append(b.filter(pa.array(kind == 0)).select(_NAMES[3:]))
+            for block in b.filter(pa.array(kind == 3)).column("block").to_pylist():
+                data = zstandard.decompress(block)
+                task, rows = int(np.frombuffer(data[:8], np.int64)[0]), (len(data) - 8) // 32
+                at, part = np.frombuffer(data[8 : 8 + 8 * rows], np.int64), np.frombuffer(data[8 + 8 * rows :]).reshape(3, rows)
+                sums.setdefault(task, []).append((at, part))
+        total = {}
+        for task, parts in sums.items():
+            total[task] = np.zeros((3, int(max(at.max() for at, _ in parts)) + 1))
+            for at, part in parts:
+                total[task][:, at] += part
+        for b in own:
+            rid = b.column("rid").to_numpy()
+            more = np.zeros((3, len(rid)))
+            for task in np.unique(rid >> 33).tolist():
+                if task in total:
+                    at = np.flatnonzero(rid >> 33 == task)
+                    place = rid[at] - (task << 33)
+                    inside = place < total[task].shape[1]
+                    more[:, at[inside]] = total[task][:, place[inside]]
+            known = b.column("known").to_numpy() + np.rint(more[0]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _NAMES[3:7]), pa.array(known), pa.array(b.column("base").to_numpy() + more[1]), pa.array(b.column("log").to_numpy() + more[2])], _NAMES[3:])
 
     return dealt.mapInArrow(run, _ROW.split(", ", 3)[3])
 
@@ -546,13 +586,17 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
         packed_bits, words, times, hot_runs = given.value
         bits = unpacked(packed_bits)
         base_of, log_of = np.log10((times + 1) / (n + v + 1)), np.log10((times + SHARE) / whole)
-        rid = TaskContext.get().partitionId() << 33
+        task = TaskContext.get().partitionId()
+        rid = task << 33
         held: list[list[np.ndarray]] = []
 
         def place_blocks() -> pa.RecordBatch:
-            key, row, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, row = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _block_rows([(name, 1, pack_places(key[at], row[at], k[at])) for name, at in _dealt(key, parts, names)])
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            ends = _parts(key, parts)
+            return _block_rows([(names[k], 1, pack_places(key[ends[k] : ends[k + 1]], row[ends[k] : ends[k + 1]])) for k in np.flatnonzero(np.diff(ends)).tolist()])
 
         some = 0
         for batch in small(batches, text):
@@ -586,22 +630,16 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
                     on = place[at] > depth
                     at, context, depth = at[on], context[on], depth + 1
                     context = longer(context, h[at - depth])
-                late_doc, late_key = np.concatenate(late_doc), np.concatenate(late_key)
-                if len(late_key):
-                    order = np.lexsort((late_key, late_doc))
-                    late_doc, late_key = late_doc[order], late_key[order]
-                    first = np.flatnonzero(np.r_[True, (late_doc[1:] != late_doc[:-1]) | (late_key[1:] != late_key[:-1])])
-                    held.append([late_key[first], late_doc[first] + (rid + lo), np.diff(np.r_[first, len(order)])])
-                    some += len(first)
-                if some > FLUSH // 2:
+                held.append([np.concatenate(late_key), np.concatenate(late_doc) + (rid + lo)])
+                some += len(held[-1][0])
+                if some > FLUSH:
                     yield place_blocks()
                     some = 0
                 part, own_rid = batch.slice(lo, hi - lo), np.arange(rid + lo, rid + hi)
-                dealt = np.array(names, np.int32)[own_rid % parts]
-                columns = [dealt, np.zeros(rows, np.int32), pa.nulls(rows, pa.binary()), own_rid, part.column("doc_id"), part.column("training"), sizes.astype(np.int64), n_hot.astype(np.int64), base, path]
+                columns = [np.full(rows, names[task % parts], np.int32), np.zeros(rows, np.int32), pa.nulls(rows, pa.binary()), own_rid, part.column("doc_id"), part.column("training"), sizes.astype(np.int64), n_hot.astype(np.int64), base, path]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
             rid += len(body)
-        if held:
+        if some:
             yield place_blocks()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text, training.alias("training")).mapInArrow(score, _ROW)
@@ -610,5 +648,5 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
     if tree:
         cold = _union(tree).where(F.col("n") < least_run).select("key", "value", F.lit(0).cast("long").alias("n"))
         rows = rows.unionByName(table_blocks(cold, parts, names))
-    of = resolved(rows.repartition(parts, "place")).groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "training", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "log")])
+    of = added_up(resolved(rows.repartition(parts, "place"), parts, names).repartition(parts, "place"))
     return of.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("log").alias("score"))

@@ -771,9 +771,18 @@ def test_a_table_finds_its_keys():
 
 def test_packed_places_unpack():
     rng = np.random.default_rng(3)
-    x = [rng.integers(0, 90, 700).astype(np.uint64), rng.integers(5 << 33, (5 << 33) + 999, 700), rng.integers(1, 9, 700)]
-    back = suffix_tree.unpack_places(suffix_tree.pack_places(*x))
-    assert sorted(zip(*(c.tolist() for c in back), strict=True)) == sorted(zip(*(c.tolist() for c in x), strict=True))
+    key, rid = np.sort(rng.integers(0, 90, 700).astype(np.uint64)), rng.integers(5 << 33, (5 << 33) + 20, 700)
+    order = np.lexsort((rid, key))
+    keys, many, rows, k = suffix_tree.unpack_places(suffix_tree.pack_places(key[order], rid[order]))
+    found = {(x, y): z for x, y, z in zip(np.repeat(keys, many).tolist(), rows.tolist(), k.tolist(), strict=True)}
+    assert found == Counter(zip(key.tolist(), rid.tolist(), strict=True))
+
+
+def test_parts_are_ranges_of_keys():
+    key = np.sort(np.random.default_rng(4).integers(0, 1 << 64, 5000, np.uint64))
+    for parts in (1, 3, 64):
+        ends = suffix_tree._parts(key, parts)
+        assert ends[0] == 0 and ends[-1] == 5000 and (np.diff(ends) >= 0).all() and np.diff(ends).max() < 2 * 5000 / parts + 60
 
 
 @given(st.lists(st.text(st.sampled_from("aabbB \t\n\x85é日"), max_size=120), max_size=6))
