@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from talweg.llm.common import blocks, cut, drop, own_partitions, small, texts_of
 
 LEAST, SHARE = 8, 0.75
-HOT, HOT_RUNS, FILTER_BITS = 1 << 16, 1 << 17, 28
-FLUSH, DEAL, SPARSE, BLOCK_CHARS = 1 << 21, 1 << 22, 200, 1 << 20
+HOT, HOT_RUNS, CODED, FILTER_BITS = 1 << 18, 1 << 19, 1 << 16, 28
+FLUSH, DEAL, SPARSE, BLOCK_CHARS = 1 << 20, 1 << 22, 200, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _BLANK = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: By a number of bytes, the bits of so many; words of more bytes than `_LONG` are hashed one by one.
@@ -194,25 +194,36 @@ def _narrow(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def pack(context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
-    """Counts n of words after contexts as a block of bytes: each context and each word is there once."""
+def _coded(keys: np.ndarray, known: np.ndarray) -> list[bytes]:
+    """Keys by their places among sorted known ones, which are short, and the others as they are."""
+    i, there = _found(known, keys)
+    return [_wide(np.where(there, i + 1, 0)), keys[~there].tobytes()]
+
+
+def _decoded(places: bytes, others: bytes, known: np.ndarray) -> np.ndarray:
+    i = _narrow(places).astype(np.int64)
+    out = known[np.maximum(i - 1, 0)] if len(known) else np.zeros(len(i), np.uint64)
+    out[i == 0] = np.frombuffer(others, np.uint64)
+    return out
+
+
+def pack(context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray, known: np.ndarray) -> bytes:
+    """Counts n of words after contexts as a block of bytes: each context and each word is there once, known ones by their place."""
     order = np.argsort(context)
     context = context[order]
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
     words, at = np.unique(word[order], return_inverse=True)
-    sizes = np.array([len(first), len(words), len(order)], "<u8")
-    body = [context[first].tobytes(), suffix[order][first].tobytes(), words.tobytes(), _wide(np.diff(np.r_[first, len(order)])), _wide(at), _wide(n[order])]
-    return zstandard.compress(sizes.tobytes() + b"".join(body), 1)
+    body = [*_coded(context[first], known), *_coded(suffix[order][first], known), *_coded(words, known), _wide(np.diff(np.r_[first, len(order)])), _wide(at), _wide(n[order])]
+    return zstandard.compress(np.array([len(x) for x in body], "<u8").tobytes() + b"".join(body), 1)
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(block: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.decompress(block)
-    a, b, c = np.frombuffer(data[:24], "<u8").tolist()
-    ends = np.cumsum([24, 8 * a, 8 * a, 8 * b, 4 * a, 4 * c, 4 * c]).tolist()
+    ends = np.cumsum(np.r_[72, np.frombuffer(data[:72], "<u8").astype(np.int64)]).tolist()
     x = [data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
-    context, suffix, words = (np.frombuffer(y, np.uint64) for y in x[:3])
-    many = _narrow(x[3])
-    return np.repeat(context, many), np.repeat(suffix, many), words[_narrow(x[4])], _narrow(x[5]).astype(np.int64)
+    context, suffix, words = (_decoded(x[k], x[k + 1], known) for k in (0, 2, 4))
+    many = _narrow(x[6])
+    return np.repeat(context, many), np.repeat(suffix, many), words[_narrow(x[7])], _narrow(x[8]).astype(np.int64)
 
 
 def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "text") -> DataFrame:
@@ -222,7 +233,7 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, bits, met = (unpacked(x) for x in given.value[:3])
-        frequent = given.value[3]
+        frequent, known = given.value[3:]
         held: list[list[np.ndarray]] = []
 
         def blocks_of() -> Iterator[pa.RecordBatch]:
@@ -235,7 +246,7 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
             ends = np.searchsorted(place[order], np.arange(2 * parts + 1))
             for k in np.flatnonzero(np.diff(ends)).tolist():
                 rows = order[ends[k] : ends[k + 1]]
-                block = pack(context[rows], suffix[rows], word[rows], n[rows])
+                block = pack(context[rows], suffix[rows], word[rows], n[rows], known)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[k // 2]], pa.int32()), pa.array([bool(k % 2)]), pa.array([block], pa.binary())], ["place", "part", "block"])
 
         some = 0
@@ -262,7 +273,7 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
         held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
         for batch in batches:
             for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                held[part].append(unpack(block))
+                held[part].append(unpack(block, given.value[4]))
         for part, some in held.items():
             if not some:
                 continue
@@ -314,11 +325,12 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
     common = bits_of(often, no_bits(often.count()))
     bits = met_bits = no_bits(0)
     frequent = words.where(F.col("n") > n // (4 * parts)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+    known = hot_rows(words, "p", CODED)[0]
     before, out, depth, deepest = words.select("key", "p"), [], 1, int(np.log(max(n, 2)) / np.log(LEAST))
     texts, size = docs.where(training).select(text), n
     c, least = F.col("n"), F.col("seen") + F.col("m")
     while True:
-        given = spark.sparkContext.broadcast((packed(common), packed(bits), packed(met_bits), frequent))
+        given = spark.sparkContext.broadcast((packed(common), packed(bits), packed(met_bits), frequent, known))
         raw = cut(level_counts(texts, depth, given, parts, text))
         given.destroy()
         if depth == 1:
