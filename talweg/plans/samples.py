@@ -22,7 +22,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return twosample.block_pairs(twosample.vector_blocks(v, v.count()))
+    return twosample.block_pairs(cut(twosample.vector_blocks(v, v.count())))
 
 
 def sums_of(spark: SparkSession, sf_dir: str, kind: str = "gauss") -> DataFrame:
@@ -122,7 +122,8 @@ def diagram_pairs(spark: SparkSession, sf_dir: str, eps: float = 0.0, found: Dat
     items = patches(spark, sf_dir).select("patch_id", "label").join(found, "patch_id", "left")
     points = F.coalesce("points", F.array().cast(found.schema["points"].dataType))
     items = diagrams.as_items(items.select(F.col("patch_id").alias("id"), F.col("label").cast("long").alias("tile"), points.alias("points")))
-    return twosample.block_pairs(twosample.vector_blocks(items, items.count()))
+    items = cut(items)
+    return twosample.block_pairs(cut(twosample.vector_blocks(items, items.count()), items))
 
 
 @query(f"with recursive {_POINTS}, {_SLICED} select i, j, round(d, 4) as sw from sw")
@@ -135,7 +136,7 @@ def sliced_test(spark: SparkSession, sf_dir: str, eps: float, whole: DataFrame)
     """The test of one population of patches against another over their diagrams: floor, median, ratio, share above, p, verdict.
 
     The populations are the patches of even and of odd id, in the same tiles."""
-    found = cut(diagram_pairs(spark, sf_dir, eps, whole))
+    found = diagram_pairs(spark, sf_dir, eps, whole)
     sigma = twosample.median_sigma(found, "sliced")
     odd = F.transform("ids_a", lambda i: i % 2), F.transform("ids_b", lambda i: i % 2)
     mark = lambda tiles, flags: F.zip_with(tiles, flags, lambda t, f: t + f * POPULATION)
