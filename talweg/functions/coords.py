@@ -75,13 +75,15 @@ def shoelace(vertices: Column) -> Column:
 
 def inside_ring(x: Column, y: Column, vertices: Column) -> Column:
     """Whether a point is inside a closed ring, by the crossings of a ray to the right."""
-    n = F.size(vertices)
+    # The point goes into the array: a lambda that names outer columns can be pushed below a join, to where they are not.
+    n = F.greatest(F.size(vertices) - 1, F.lit(0))
+    edges = F.arrays_zip(F.slice(vertices, 1, n).alias("a"), F.slice(vertices, 2, n).alias("b"), F.array_repeat(x, n).alias("x"), F.array_repeat(y, n).alias("y"))
 
-    def crossed(i: Column) -> Column:
-        a, b = F.get(vertices, i), F.get(vertices, i + 1)
-        return F.when(((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"]), 1).otherwise(0)
+    def crossed(e: Column) -> Column:
+        a, b, px, py = e["a"], e["b"], e["x"], e["y"]
+        return ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"])
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), n - 2), crossed), F.lit(0), lambda s, v: s + v) % 2 == 1
+    return F.size(F.filter(edges, crossed)) % 2 == 1
 
 
 def mercator(lon: Column, lat: Column) -> Column:

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +133,20 @@ def test_columns_without_finite_values_become_zero(spark):
     assert out == {("a", 0.0), ("b", 1.0)}
     flat = spark.createDataFrame([(2.0,), (2.0,)], "v double")
     assert {r.v for r in quality.standardized(flat, "v").collect()} == {0.0}
+
+
+def test_point_in_ring_as_the_first_query_of_a_session(sf_dir):
+    # The ring test was pushed below the join, to the side without the point, in plans made first in a session.
+    code = f"""if 1:
+        from pyspark.sql import SparkSession
+        from talweg.plans import QUERIES
+
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+        rows = QUERIES["point_in_ring"](spark, {sf_dir!r}).collect()
+        spark.stop()
+        assert rows and len(rows) == len(set(rows))"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # Without the variables by which a Python started inside a Spark driver finds that driver.
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")} | {"PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
