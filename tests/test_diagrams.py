@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talweg.operators import diagrams, raster, topology, twosample
+from talweg.sources.files import cut
 from talweg.sources.tables import cells
 
 PATCH = "patch_id long, label int, h int, w int, z array<double>"
@@ -164,6 +165,51 @@ def test_sliced_distances_of_blocks_equal_the_columns(spark):
     assert all(math.isclose(found[k], expect[k], abs_tol=1e-9) for k in expect)
 
 
+def test_copies_are_at_no_distance(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((60, 7)) * 100, 3, 0)
+    v = spark.createDataFrame([(i, i % 4, y.tolist()) for i, y in enumerate(x)], "id long, tile long, x array<double>")
+    pairs = twosample.block_pairs(cut(twosample.vector_blocks(v, 180)))
+    d = {(r.i, r.j): r.d for r in twosample.pair_distances(pairs).collect()}
+    assert len(d) == 180 * 179 // 2 and all((v_ == 0) == (i // 3 == j // 3) for (i, j), v_ in d.items())
+    assert math.isclose(twosample.median_sigma(pairs), np.median([v_ for v_ in d.values() if v_ > 0]), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("guess", [(1, 2), (1 << 62, (1 << 62) + 5)])
+def test_quantiles_are_found_beside_a_wrong_guess(spark, monkeypatch, guess):
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.standard_normal((50, 3)), 2, 0)
+    v = spark.createDataFrame([(i, i % 4, y.tolist()) for i, y in enumerate(x)], "id long, tile long, x array<double>")
+    pairs = twosample.block_pairs(cut(twosample.vector_blocks(v, 100)))
+    monkeypatch.setattr(twosample, "_guess", lambda *_: {0: guess})
+    monkeypatch.setattr(twosample, "_FEW", 20)
+    d = np.array([r.d for r in twosample.pair_distances(pairs).collect()])
+    assert math.isclose(twosample.distance_quantiles(pairs, 0.3)[0], np.quantile(d[d > 0], 0.3), rel_tol=1e-12)
+    assert math.isclose(twosample.distance_quantiles(pairs, 0.3, positive=False)[0], np.quantile(d, 0.3), rel_tol=1e-12)
+
+
+def test_blocks_are_sent_a_bounded_number_of_times(spark):
+    v = spark.range(300).select("id", F.lit(0).cast("long").alias("tile"), F.array(F.rand(1)).alias("x"))
+    assert twosample.vector_blocks(v, 120_000).select("of").distinct().collect() == [(15,)]
+
+
+def test_populations_meet_the_first_and_themselves(spark):
+    v = spark.range(90).select("id", F.lit(0).cast("long").alias("tile"), F.array(F.rand(1)).alias("x"))
+    parts = [twosample.vector_blocks(v, 90, population=k, populations=4) for k in range(4)]
+    blocks = cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    n = blocks.count() // 4
+    met = {(r.block_a // n, r.block_b // n) for r in twosample.block_pairs(blocks, 4).select("block_a", "block_b").collect()}
+    assert n > 1 and met == {(0, k) for k in range(4)} | {(k, k) for k in range(4)}
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(11)
+    x = np.r_[rng.random(2000) * 50, (rng.integers(0, 10**6, 2000) + 0.5) / 10**6, rng.integers(0, 10**7, 2000) / 10**7, 0.0, 2.5, 1e12 + 0.1]
+    for digits in (4, 6):
+        expect = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "v double").select(F.round("v", digits)).collect()]
+        assert twosample.rounded(x, digits).tolist() == expect
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_joins_of_a_stack_equal_those_of_its_grids(ties):
     rng = np.random.default_rng(8)
