@@ -200,6 +200,7 @@ def test_populations_meet_the_first_and_themselves(spark):
     n = blocks.count() // 4
     met = {(r.block_a // n, r.block_b // n) for r in twosample.block_pairs(blocks, 4).select("block_a", "block_b").collect()}
     assert n > 1 and met == {(0, k) for k in range(4)} | {(k, k) for k in range(4)}
+    assert {(r.block_a // n, r.block_b // n) for r in twosample.block_pairs(blocks, 4, first=False).select("block_a", "block_b").collect()} == met - {(0, 0)}
 
 
 def test_rounding_is_that_of_spark(spark):
