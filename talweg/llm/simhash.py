@@ -212,7 +212,7 @@ def local_edges(dealt: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node reachable by edges (a, b), for every node with an edge."""
+    """(node, root): the least node reachable by edges (a, b), itself included, for every node with an edge."""
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark, rows = None, 2 * e.count()
     for _ in range(rounds):
@@ -227,7 +227,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         rows = 2 * mark[0]
         if mark == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            # A least node points nowhere, but is of its component.
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 

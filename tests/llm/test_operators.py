@@ -556,6 +556,19 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def test_component_ids_are_the_least_of_all_members(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    p = np.unique(centers[rng.integers(0, 60, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))
+    fp, doc = np.repeat(p, 2), rng.permutation(2 * len(p))
+    prints = spark.createDataFrame(list(zip(doc.tolist(), fp.view(np.int64).tolist(), strict=True)), "doc_id long, fp long")
+    found = {r.fp: r.component_id for r in simhash._components_of(prints, 4).collect()}
+    label, least = np.repeat(brute_components(p), 2), {}
+    for k, d in zip(label.tolist(), doc.tolist(), strict=True):
+        least[k] = min(d, least.get(k, d))
+    assert found == {x: least[k] for x, k in zip(fp.view(np.int64).tolist(), label.tolist(), strict=True)}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = simhash.near_duplicate_table(odd).collect()
     assert len(rows) == len(ODD)
