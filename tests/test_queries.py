@@ -76,6 +76,25 @@ def test_every_box_is_extracted(spark, tmp_path, monkeypatch):
     assert {r.box for r in relations.patch_extract(spark, "").collect()} == {1, 50, 51, 60}
 
 
+@pytest.mark.parametrize("held", [16_384, 0])
+def test_pruning_rerun_works_out_distances_once_where_they_fit(spark, tmp_path, monkeypatch, held):
+    import numpy as np
+
+    from talweg.plans import samples
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(64).tolist(), i // 2 % 4) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = samples.pairs_of(spark, str(tmp_path))
+    want = samples.sliced_test(spark, str(tmp_path), 0.0, whole).first()
+    passes, blockwise = [], twosample._blockwise
+    monkeypatch.setattr(twosample, "_blockwise", lambda pairs, metric, *a: passes.append(metric) or blockwise(pairs, metric, *a))
+    monkeypatch.setattr(samples, "HELD_ITEMS", held)
+    found = samples.sliced_test(spark, str(tmp_path), 0.0, whole).first()
+    assert passes.count("sliced") == 1 if held else passes.count("sliced") > 1
+    assert all(math.isclose(found[c], want[c], rel_tol=1e-9) for c in ("floor", "median", "p"))
+
+
 def test_pruning_rerun_equals_brute_force(spark, tmp_path):
     from itertools import combinations
 
