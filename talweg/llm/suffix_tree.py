@@ -40,8 +40,10 @@ from talweg.llm.common import blocks, cut, drop, own_partitions, small, texts_of
 
 LEAST, SHARE = 8, 0.75
 HOT, HOT_RUNS, CODED, FILTER_BITS = 1 << 18, 1 << 19, 1 << 16, 28
-FLUSH, DEAL, SPARSE, BLOCK_CHARS = 1 << 20, 1 << 22, 200, 1 << 20
+FLUSH, DEAL, THIN, BLOCK_CHARS = 1 << 20, 1 << 22, 32, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
+#: Stands for all next words that are met once in a context's suffix, and so in the context.
+OTHER = np.uint64(0x2545F4914F6CDD1D)
 _BLANK = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: By a number of bytes, the bits of so many; words of more bytes than `_LONG` are hashed one by one.
 _MASKS, _LONG = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64), 64
@@ -194,26 +196,35 @@ def _narrow(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _near(keys: np.ndarray) -> bytes:
+    """Keys by planes of their differences, which are short among sorted ones."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _apart(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def _coded(keys: np.ndarray, known: np.ndarray) -> list[bytes]:
-    """Keys by their places among sorted known ones, which are short, and the others as they are."""
+    """Keys by their places among sorted known ones, which are short, and the others by their differences."""
     i, there = _found(known, keys)
-    return [_wide(np.where(there, i + 1, 0)), keys[~there].tobytes()]
+    return [_wide(np.where(there, i + 1, 0)), _near(keys[~there])]
 
 
 def _decoded(places: bytes, others: bytes, known: np.ndarray) -> np.ndarray:
     i = _narrow(places).astype(np.int64)
     out = known[np.maximum(i - 1, 0)] if len(known) else np.zeros(len(i), np.uint64)
-    out[i == 0] = np.frombuffer(others, np.uint64)
+    out[i == 0] = _apart(others)
     return out
 
 
-def pack(context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray, known: np.ndarray) -> bytes:
-    """Counts n of words after contexts as a block of bytes: each context and each word is there once, known ones by their place."""
+def pack(context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray, known: np.ndarray, depth: int = 1) -> bytes:
+    """Counts n of words after contexts of `depth` words as a block of bytes: each context and each word is there once, known words by their place."""
     order = np.argsort(context)
     context = context[order]
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
     words, at = np.unique(word[order], return_inverse=True)
-    body = [*_coded(context[first], known), *_coded(suffix[order][first], known), *_coded(words, known), _wide(np.diff(np.r_[first, len(order)])), _wide(at), _wide(n[order])]
+    body = [*_coded(context[first], known[: len(known) * (depth == 1)]), *_coded(suffix[order][first], known[: len(known) * (depth <= 2)]), *_coded(words, known), _wide(np.diff(np.r_[first, len(order)])), _wide(at), _wide(n[order])]
     return zstandard.compress(np.array([len(x) for x in body], "<u8").tobytes() + b"".join(body), 1)
 
 
@@ -228,7 +239,8 @@ def unpack(block: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "text") -> DataFrame:
     """(run, context, suffix, n) of runs met twice or more whose context has `depth` words and may be retained, and under
-    a null run the tokens after each such context; contexts that are dealt by next word are there in parts."""
+    a null run the tokens after each such context; contexts that are dealt by next word are there in parts. After a context
+    of two words come as many tokens as it was met as a run, so of these there are only runs that may be met twice."""
     keys = own_partitions(docs.sparkSession, parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,36 +249,41 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
         held: list[list[np.ndarray]] = []
 
         def blocks_of() -> Iterator[pa.RecordBatch]:
-            context, suffix, word, last = (np.concatenate(x) for x in zip(*held, strict=True))
+            context, word, part, suffix = (_taken(held, k) for k in range(4))
             held.clear()
-            run, n, at = summed(longer(word, context), np.ones(len(word), np.int64))
-            context, suffix, word, part = context[at], suffix[at], word[at], np.isin(last[at], frequent)
-            place = (mixed(np.where(part, run, context)) >> np.uint64(20)).astype(np.int64) % parts * 2 + part
+            run, n, at = summed(longer(word, context), np.ones(len(word), np.uint32))
+            context, word, part = context[at], word[at], part[at]
+            suffix = suffix[at] if depth > 1 else context
+            place = ((mixed(np.where(part, run, context)) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 15 else np.int64) * 2 + part
             order = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[order], np.arange(2 * parts + 1))
             for k in np.flatnonzero(np.diff(ends)).tolist():
                 rows = order[ends[k] : ends[k + 1]]
-                block = pack(context[rows], suffix[rows], word[rows], n[rows], known)
+                block = pack(context[rows], suffix[rows], word[rows], n[rows], known, depth)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[k // 2]], pa.int32()), pa.array([bool(k % 2)]), pa.array([block], pa.binary())], ["place", "part", "block"])
 
         some = 0
-        for batch in small(batches, text):
-            body = texts_of(batch, text)
-            for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
-                h, sizes = hashes(body[lo:hi])
-                # A context of two words is no more frequent than its words as a run of the level before.
-                may = lambda c: holds(bits, as_context(c))
-                for d, at, context, suffix in levels(h, places(sizes), may):
-                    if d == depth:
-                        good = holds(met, context) if d == 2 else holds(common, h[at - d])
-                        at, context, suffix = at[good], context[good], suffix[good]
-                        held.append([context, suffix, h[at], h[at - 1]])
-                        some += len(at)
-                        break
-            if some > FLUSH:
+        for h, sizes in tokens(batches, text):
+            # A context of two words is no more frequent than its words as a run of the level before.
+            may = lambda c: holds(bits, as_context(c))
+            for d, at, context, suffix in levels(h, places(sizes), may):
+                if d == depth:
+                    good = np.flatnonzero(holds(met, context) if d == 2 else holds(common, h[at - d]))
+                    word = h[at[good]]
+                    if d > 1:  # a run is met no oftener than the one without its first word
+                        twice = holds(bits, longer(word, suffix[good]))
+                        if d == 2:
+                            good, word = good[twice], word[twice]
+                        else:
+                            word = np.where(twice, word, OTHER)
+                    at, context, suffix = at[good], context[good], suffix[good]
+                    held.append([context, word, np.isin(h[at - 1], frequent), suffix[: len(at) * (d > 1)]])
+                    some += len(at)
+                    break
+            if some > 2 * FLUSH:
                 yield from blocks_of()
                 some = 0
-        if held:
+        if some:
             yield from blocks_of()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +298,10 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
             run, n, at = summed(longer(word, context), n)
             context, suffix, word = context[at], suffix[at], word[at]
             total, a, _ = summed(context, n)
-            twice = n >= 2
-            if not part:  # of these contexts all is here
+            twice = (n >= 2) & (word != OTHER)
+            if depth == 2:
+                total = total[:0]
+            elif not part:  # of these contexts all is here
                 total, a = total[a >= LEAST], a[a >= LEAST]
                 twice &= np.isin(context, total)
             before = word if depth == 1 else longer(word, suffix)
@@ -297,21 +316,65 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
     return dealt.repartition(parts, "place").mapInArrow(merge, "run long, context long, suffix long, n long")
 
 
-def going_on(docs: DataFrame, given, depth: int, text: str = "text") -> DataFrame:
-    """The texts that may hold a context of `depth` words whose suffix is retained."""
+def tokens(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of tokens, and how many there are in a text, of blocks of texts or of what going_on() keeps of them."""
+    for batch in batches:
+        if "tokens" in batch.schema.names:
+            for block in batch.column("tokens").to_pylist():
+                data = zstandard.decompress(block)
+                a, n, k = np.frombuffer(data[:24], "<u8").tolist()
+                ends = np.cumsum([24, 8 * a, 4 * n, 4 * k]).tolist()
+                words, at, sizes = (data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False))
+                yield _apart(words)[_narrow(at)], _narrow(sizes).astype(np.int64)
+            continue
+        for part in small(iter([batch]), text):
+            body = texts_of(part, text)
+            for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
+                yield hashes(body[lo:hi])
+
+
+def _taken(held: list[list[np.ndarray]], k: int) -> np.ndarray:
+    """Column k of all that is held, which is let go."""
+    out = np.concatenate([x[k] for x in held])
+    for x in held:
+        x[k] = out[:0]
+    return out
+
+
+def going_on(docs: DataFrame, given, depth: int, deepest: int, text: str = "text") -> DataFrame:
+    """The tokens that may have a context of `depth` words whose suffix is retained, with the `deepest` words before each, as blocks of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpacked(given.value)
-        for batch in small(batches, text):
-            h, sizes = hashes(texts_of(batch, text))
-            doc, some = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(sizes), bool)
-            for d, at, _, _ in levels(h, places(sizes), lambda c: holds(bits, as_context(c))):
-                if d == depth:
-                    some[doc[at]] = True
-                    break
-            yield batch.filter(pa.array(some))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            h, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            words, at = np.unique(h, return_inverse=True)
+            body = np.array([len(words), len(h), len(sizes)], "<u8").tobytes() + _near(words) + _wide(at) + _wide(sizes)
+            return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(body, 1)], pa.binary())], ["tokens"])
+
+        some = 0
+        for h, sizes in tokens(batches, text):
+            place = places(sizes)
+            for d, at, _, _ in levels(h, place, lambda c: holds(bits, as_context(c))):
+                if d < depth:
+                    continue
+                size = len(h) + 1
+                covered = np.cumsum(np.bincount(at - np.minimum(place[at], deepest), minlength=size) - np.bincount(at + 1, minlength=size))
+                i = np.flatnonzero(covered)
+                first = np.flatnonzero((place[i] == 0) | (np.diff(i, prepend=-2) > 1))
+                held.append((h[i], np.diff(np.r_[first, len(i)])))
+                some += len(i)
+                break
+            if some > FLUSH // 4:
+                yield block()
+                some = 0
+        if some:
+            yield block()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, "tokens binary")
 
 
 def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str = "text") -> tuple[list[DataFrame], np.ndarray]:
@@ -334,20 +397,20 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
         raw = cut(level_counts(texts, depth, given, parts, text))
         given.destroy()
         if depth == 1:
-            pairs = raw.where(F.col("run").isNotNull() & (c >= LEAST)).select(F.col("run").alias("key"))
-            met_bits = bits_of(pairs, no_bits(pairs.count()))
+            pairs = cut(raw.where(F.col("run").isNotNull() & (c >= LEAST)).select(F.col("run").alias("context"), c.alias("a")))
+            met_bits = bits_of(pairs.select(F.col("context").alias("key")), no_bits(pairs.count()))
         met = cut(raw.where(F.col("run").isNotNull()).join(before.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix").drop("suffix"))
-        total = raw.where(F.col("run").isNull()).groupBy("context").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
+        total = pairs if depth == 2 else raw.where(F.col("run").isNull()).groupBy("context").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
         own = met.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("s"), F.sum("q").alias("mass"), F.sum(c * F.log(c / F.col("q"))).alias("g"))
         rest = F.col("a") - F.col("seen")
         others = F.when(rest > 0, rest * F.log(rest / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
         gain = 2 * (F.col("g") + others - F.col("a") * F.log("a"))
-        kept = cut(own.join(total, "context").where(gain > (F.col("s") + 1) * F.log(F.lit(float(n)))).select("context", "seen", (rest + F.col("s")).alias("m"), "a"), raw)
+        kept = cut(own.join(total, "context").where(gain > (F.col("s") + 1) * F.log(F.lit(float(n)))).select("context", "seen", (rest + F.col("s")).alias("m"), "a"), *([raw, pairs] if depth == 2 else [raw]))
         held = kept.agg(F.sum("a")).first()[0]
         if held is None:
             drop(met)
             drop(kept)
-            return out, bits
+            break
         p = (c + F.col("m") * F.col("q")) / least
         runs = cut(met.join(kept.drop("a"), "context").select(F.col("run").alias("key"), p.alias("p"), F.log10(1 + c / (F.col("m") * F.col("q"))).alias("value"), "n"), met)
         contexts = cut(_context_keys(kept.select("context", F.log10(F.col("m") / least).alias("value"), F.col("a").alias("n"))), kept)
@@ -356,10 +419,15 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
             bits = no_bits(runs.count() + contexts.count())
         bits_of(runs.select("key").union(contexts.select("key")), bits)
         if depth == deepest:
-            return out, bits
+            break
         before, depth = runs.select("key", "p"), depth + 1
-        if held * SPARSE < size:  # few texts go deeper
-            texts, size = cut(going_on(texts, spark.sparkContext.broadcast(packed(bits)), depth, text), *([texts] if size < n else [])), held * SPARSE // 4
+        if held * THIN < size:  # few tokens go deeper
+            texts, size = cut(going_on(texts, spark.sparkContext.broadcast(packed(bits)), depth, deepest, text), *([texts] if size < n else [])), held * THIN // 4
+    if size < n:
+        drop(texts)
+    if depth == 1:
+        drop(pairs)
+    return out, bits
 
 
 def _context_keys(contexts: DataFrame) -> DataFrame:
@@ -443,7 +511,7 @@ def pack_places(key: np.ndarray, rid: np.ndarray) -> bytes:
     key, rid = key[new], rid[new]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     head = np.array([len(first), len(key), rid.min()], "<u8").tobytes()
-    return zstandard.compress(head + key[first].tobytes() + _wide(np.diff(np.r_[first, len(key)])) + _wide(rid - rid.min()) + _wide(k), 1)
+    return zstandard.compress(head + _near(key[first]) + _wide(np.diff(np.r_[first, len(key)])) + _wide(rid - rid.min()) + _wide(k), 1)
 
 
 def unpack_places(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -452,7 +520,7 @@ def unpack_places(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     a, n, least = np.frombuffer(data[:24], "<u8").tolist()
     ends = np.cumsum([24, 8 * a, 4 * a, 4 * n, 4 * n]).tolist()
     keys, many, rid, k = (data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False))
-    return np.frombuffer(keys, np.uint64), _narrow(many), _narrow(rid).astype(np.int64) + least, _narrow(k).astype(np.int64)
+    return _apart(keys), _narrow(many), _narrow(rid).astype(np.int64) + least, _narrow(k).astype(np.int64)
 
 
 _ROW = "place int, kind int, block binary, rid long, doc_id long, training boolean, n_tokens long, known long, base double, log double"
@@ -478,7 +546,7 @@ def table_blocks(table: DataFrame, parts: int, names: list[int]) -> DataFrame:
             order = np.argsort(key)
             key, value, n = key[order], value[order], n[order]
             ends = _parts(key, parts)
-            return _block_rows([(names[k], 2, zstandard.compress(b"".join(x[ends[k] : ends[k + 1]].tobytes() for x in (key, value, n)), 1)) for k in np.flatnonzero(np.diff(ends)).tolist()])
+            return _block_rows([(names[k], 2, zstandard.compress(_near(key[ends[k] : ends[k + 1]]) + value[ends[k] : ends[k + 1]].tobytes() + _near(n[ends[k] : ends[k + 1]].view(np.uint64)), 1)) for k in np.flatnonzero(np.diff(ends)).tolist()])
 
         some = 0
         for b in batches:
@@ -508,10 +576,10 @@ def resolved(dealt: DataFrame, parts: int, names: list[int]) -> DataFrame:
                     (places if k == 1 else tables).append(block)
         if not places or not tables:
             return
-        rows = [np.frombuffer(zstandard.decompress(x), np.uint64).reshape(3, -1) for x in tables]
-        key, value, n = np.concatenate(rows, 1)
+        rows = [(_apart(x[: len(x) // 3]), np.frombuffer(x[len(x) // 3 : len(x) // 3 * 2]), _apart(x[len(x) // 3 * 2 :]).view(np.int64)) for x in map(zstandard.decompress, tables)]
+        key, value, n = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(key)
-        key, value, n = key[order], value.view(np.float64)[order], n.view(np.int64)[order]
+        key, value, n = key[order], value[order], n[order]
         base = np.log10(n + 1.0)
         sums: dict[int, list[np.ndarray]] = {}
         for block in places:
@@ -531,7 +599,7 @@ def resolved(dealt: DataFrame, parts: int, names: list[int]) -> DataFrame:
             sums[task] = own
         for task, own in sums.items():
             some = np.flatnonzero(own.any(0))
-            body = np.array([task], np.int64).tobytes() + some.astype(np.int64).tobytes() + own[:, some].tobytes()
+            body = np.array([task], np.int64).tobytes() + _near(some.astype(np.uint64)) + _near(own[0, some].astype(np.uint64)) + own[1:, some].tobytes()
             yield _block_rows([(names[task % parts], 3, zstandard.compress(body, 1))])
 
     return dealt.mapInArrow(run, _ROW)
@@ -548,8 +616,8 @@ def added_up(dealt: DataFrame) -> DataFrame:
             for block in b.filter(pa.array(kind == 3)).column("block").to_pylist():
                 data = zstandard.decompress(block)
                 task, rows = int(np.frombuffer(data[:8], np.int64)[0]), (len(data) - 8) // 32
-                at, part = np.frombuffer(data[8 : 8 + 8 * rows], np.int64), np.frombuffer(data[8 + 8 * rows :]).reshape(3, rows)
-                sums.setdefault(task, []).append((at, part))
+                at, k = (_apart(data[lo : lo + 8 * rows]).astype(np.int64) for lo in (8, 8 + 8 * rows))
+                sums.setdefault(task, []).append((at, np.stack([k, *np.frombuffer(data[8 + 16 * rows :]).reshape(2, rows)])))
         total = {}
         for task, parts in sums.items():
             total[task] = np.zeros((3, int(max(at.max() for at, _ in parts)) + 1))
@@ -591,7 +659,7 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
     keys, values, least_run = hot_rows(_union(tree), "value", HOT_RUNS) if tree else (np.zeros(0, np.uint64), np.zeros(0), 0)
     given = spark.sparkContext.broadcast((packed(bits), words, times, Table(keys, values)))
     log_unknown, log_all = float(np.log10(unknown / whole)), float(np.log10(n + v + 1))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // DEAL + 1)
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), n // DEAL + 1)
     names = own_partitions(spark, parts)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -603,12 +671,12 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
         held: list[list[np.ndarray]] = []
 
         def place_blocks() -> pa.RecordBatch:
-            key, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, row = (_taken(held, k) for k in range(2))
             held.clear()
             order = np.argsort(key, kind="stable")
             key, row = key[order], row[order]
             ends = _parts(key, parts)
-            return _block_rows([(names[k], 1, pack_places(key[ends[k] : ends[k + 1]], row[ends[k] : ends[k + 1]])) for k in np.flatnonzero(np.diff(ends)).tolist()])
+            return _block_rows([(names[k], 1, pack_places(key[ends[k] : ends[k + 1]], row[ends[k] : ends[k + 1]] + np.int64(task << 33))) for k in np.flatnonzero(np.diff(ends)).tolist()])
 
         some = 0
         for batch in small(batches, text):
@@ -629,22 +697,29 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
                 at, depth = np.flatnonzero(place >= 1), 1
                 context = h[at - 1]
                 while len(at):
-                    own = as_context(context)
-                    on = holds(bits, own)
-                    at, context, own = at[on], context[on], own[on]
+                    if depth == 1:  # contexts of one word are looked up once for all their places
+                        own = as_context(distinct)
+                        on, who = holds(bits, own), of[at - 1]
+                        value, there = hot_runs.find(own)
+                        on, own, value, there = on[who], own[who], value[who], there[who]
+                        at, context, own, value, there = at[on], context[on], own[on], value[on], there[on]
+                    else:
+                        own = as_context(context)
+                        on = holds(bits, own)
+                        at, context, own = at[on], context[on], own[on]
+                        value, there = hot_runs.find(own)
                     run = longer(h[at], context)
-                    met = holds(bits, run)
-                    token, key = np.r_[at, at[met]], np.r_[own, run[met]]
-                    value, there = hot_runs.find(key)
-                    path += np.bincount(doc[token], value, rows)
-                    late_doc.append(doc[token[~there]])
-                    late_key.append(key[~there])
+                    met = np.flatnonzero(holds(bits, run))
+                    for token, key, (value, there) in ((at, own, (value, there)), (at[met], run[met], hot_runs.find(run[met]))):
+                        path += np.bincount(doc[token], value, rows)
+                        late_doc.append(doc[token[~there]])
+                        late_key.append(key[~there])
                     on = place[at] > depth
                     at, context, depth = at[on], context[on], depth + 1
                     context = longer(context, h[at - depth])
-                held.append([np.concatenate(late_key), np.concatenate(late_doc) + (rid + lo)])
+                held.append([np.concatenate(late_key), (np.concatenate(late_doc) + (rid - (task << 33) + lo)).astype(np.uint32)])
                 some += len(held[-1][0])
-                if some > FLUSH:
+                if some > 2 * FLUSH:
                     yield place_blocks()
                     some = 0
                 part, own_rid = batch.slice(lo, hi - lo), np.arange(rid + lo, rid + hi)

@@ -793,6 +793,31 @@ def test_packed_places_unpack():
     assert found == Counter(zip(key.tolist(), rid.tolist(), strict=True))
 
 
+def test_sorted_keys_are_packed_by_their_differences():
+    key = np.sort(np.random.default_rng(6).integers(0, 1 << 58, 1 << 14, np.uint64))
+    block = suffix_tree.pack_places(key, np.full(len(key), 7 << 33))
+    assert len(block) < 7 * len(key) and (suffix_tree.unpack_places(block)[0] == key).all()
+
+
+def test_tokens_that_go_on_are_counted_as_whole_texts_are(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(" ".join(rng.choice(list("abcdefgh"), 30)),) for _ in range(200)], "text string")
+    (b, c), every = suffix_tree.hashes(["b c"])[0][:2], np.full(1 << 13, 255, np.uint8)
+    bits = suffix_tree.no_bits(0)
+    for key in (suffix_tree.as_context(b[None]), suffix_tree.longer(c[None], b[None])):  # the context b, and c after it
+        for probe in range(2):
+            at = suffix_tree._at(key, probe, 8 * len(bits))[0]
+            bits[at >> 3] |= np.uint8(1 << (at & 7))
+    none = np.zeros(0, np.uint64)
+    given_ = spark.sparkContext.broadcast((*map(suffix_tree.packed, (every, bits, every)), none, none))
+    few = suffix_tree.going_on(df, spark.sparkContext.broadcast(suffix_tree.packed(bits)), 2, 4)
+    assert few.columns == ["tokens"] and 0 < sum(len(h) for h, _ in suffix_tree.tokens(iter(few.toArrow().to_batches()))) < 200 * 31 * 0.7
+    whole, part = (sorted(map(tuple, suffix_tree.level_counts(x, 2, given_, 3).collect())) for x in (df, few))
+    assert whole == part and len(whole) == 8  # those met once after b, and totals, are not dealt
+    texts = [r.text for r in df.collect()]
+    assert sum(r[3] for r in whole) == sum(len(re.findall("(?<=. b )c", t)) for t in texts)
+
+
 def test_parts_are_ranges_of_keys():
     key = np.sort(np.random.default_rng(4).integers(0, 1 << 64, 5000, np.uint64))
     for parts in (1, 3, 64):
