@@ -42,8 +42,9 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     doubled = F.when(F.contains(raw, F.lit("  ")), F.regexp_count(raw, F.lit(" (?= )"))).otherwise(0)
     words = F.length(raw) - F.length(F.replace(raw, F.lit(" "), F.lit(""))) - doubled + 1
     parts = parts.withColumn("line", line).where(F.length("line") > 0).select("id", "k", "pos", F.xxhash64("line").alias("h"), words.cast("long").alias("words"))
-    # Dealt by document once, for repeated rows to meet and for the windows.
-    parts = parts.repartition("id", "k").dropDuplicates(["id", "k", "pos"])
+    # Dealt by document and sorted by line once, for repeated rows to meet and for the words before a line.
+    once = F.row_number().over(W.partitionBy("id", "k", "pos").orderBy("h"))
+    parts = parts.repartition("id", "k").withColumn("once", once).where("once = 1").drop("once")
     doc = W.partitionBy("id", "k").orderBy("pos")
     return parts.withColumn("c", F.sum("words").over(doc.rowsBetween(W.unboundedPreceding, 0))).withColumn("s", F.col("c") - F.col("words"))
 
@@ -85,10 +86,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     """docs with repeated runs of lines removed from `text`; all other columns and rows as they were."""
     gone = repeated_lines(docs, min_words, doc_id, text).select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (_key(text) == F.col("__k")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    # Runs reach over lines without words, which stay.
-    worded = F.filter("__gone", lambda i: F.length(F.trim(F.translate(F.get(lines, i), "\t\r\x0b\x0c", "    "))) > 0)
-    joined = joined.withColumn("__gone", worded)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i)), "\n")
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
-    return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns if c != "n_removed"], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    whole = F.col("__gone").isNull()
+
+    def taken(lines: Column) -> Column:
+        # Runs reach over lines without words, which stay.
+        worded = F.filter("__gone", lambda i: F.length(F.trim(F.translate(F.get(lines, i), "\t\r\x0b\x0c", "    "))) > 0)
+        kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), worded), lambda i: F.get(lines, i))
+        return F.struct(F.array_join(kept, "\n").alias("text"), F.size(worded).cast("long").alias("n"))
+
+    # The text is split once and bound to a variable: an expression inside a lambda is worked out anew for every element.
+    joined = joined.withColumn("__taken", F.when(~whole, F.get(F.transform(F.array(F.split(F.col(text), "\n", -1)), taken), F.lit(0))))
+    cleaned = F.when(whole, F.col(text)).otherwise(F.col("__taken.text"))
+    return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns if c != "n_removed"], F.coalesce("__taken.n", F.lit(0).cast("long")).alias("n_removed"))

@@ -121,6 +121,24 @@ def test_line_dedup_keeps_other_columns(spark):
     assert sorted((r.doc_id, r.text, r.id, r.gone) for r in line_dedup.dedup_lines(df).collect()) == [(1, long, 7, "a"), (2, "", 8, "b")]
 
 
+def test_line_dedup_splits_a_long_text_once(spark):
+    run = [f"shared line {i} of the run" for i in range(12)]
+    texts = {d: "\n".join([f"own {d} {i}" for i in range(3000)] + run + ["", f"end {d}"]) for d in range(2)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = line_dedup.dedup_lines(df)
+    # A lambda's body is worked out for every element, so a split in one takes the square of the number of lines.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {r.doc_id: (r.text, r.n_removed) for r in out.collect()} == {0: (texts[0], 0), 1: (texts[1].replace("\n".join(run) + "\n", ""), 12)}
+
+
+def test_lines_of_repeated_rows_are_kept_once_without_a_hash_map(spark):
+    rows = [(1, "a b\nc\na b"), (1, "a b\nc\na b"), (1, "a b"), (None, "a b"), (None, "a b"), (2, None)]
+    lines = line_dedup.line_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Sort [") == 1
+    assert sorted((str(r.id), r.pos, r.words, r.s, r.c) for r in lines.collect()) == [("1", 0, 2, 0, 2), ("1", 0, 2, 0, 2), ("1", 1, 1, 2, 3), ("1", 2, 2, 3, 5), ("None", 0, 2, 0, 2)]
+
+
 # Language
 
 
