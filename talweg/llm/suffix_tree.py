@@ -10,10 +10,11 @@ as many tokens as there are words met more often. A token is so predicted by the
 precedes it, and at last by the words' shares; unknown words have together the share of the words met once. Contexts
 have at most as many words as the logarithm of the number of tokens to the base `LEAST`, so they grow with the corpus.
 
-All counts are over all training texts. Words and contexts are 64-bit hashes. Each level of contexts is counted in
-two steps: a task counts what it reads and deals the counts by context, packed into blocks of bytes; of contexts that
-end with a very frequent word the counts are dealt by next word too. A block's counts are summed by the task that gets
-it, whose share is bounded by `DEAL` tokens. Divergence tests and smoothing are joins and sums over what was met twice.
+All counts are over all training texts, whose tokens are packed into blocks of bytes once and read from these by every
+pass. Words and contexts are 64-bit hashes. Each level of contexts is counted in two steps: a task counts what it reads and
+deals the counts by context, packed into blocks of bytes; of contexts that end with a very frequent word the counts are
+dealt by next word too. A block's counts are summed by the task that gets it, whose share is bounded by `DEAL` tokens.
+Divergence tests and smoothing are joins and sums over what was met twice.
 
 A text's score is a sum: a retained context adds the logarithm of what it leaves to its suffix, a run of a context and
 a next word that was met what it differs from that. The most frequent words and runs, at most `HOT` and `HOT_RUNS`,
@@ -27,22 +28,28 @@ answered; a null doc_id counts as the empty text for the training split; without
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import blocks, cut, drop, own_partitions, small, texts_of
+from talweg.llm.common import blocks, cut, drop, own_partitions, small
 
 LEAST, SHARE = 8, 0.75
 HOT, HOT_RUNS, CODED, FILTER_BITS = 1 << 18, 1 << 19, 1 << 16, 28
-FLUSH, DEAL, THIN, BLOCK_CHARS = 1 << 20, 1 << 22, 32, 1 << 20
+FLUSH, DEAL, THIN, BLOCK_BYTES, BLOCK_TOKENS = 1 << 20, 1 << 22, 32, 1 << 20, 1 << 18
+PAGE = 1 << 15
 END = np.uint64(0x5851F42D4C957F2D)
-_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Texts take less memory beside what a task holds; parts of tables of at most so many bytes are joined without being sorted.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 << 20)}
+#: Bits of a context that its place does not hang on.
+LOW = np.uint64((1 << 24) - 1)
 #: Stands for all next words that are met once in a context's suffix, and so in the context.
 OTHER = np.uint64(0x2545F4914F6CDD1D)
 _BLANK = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -66,10 +73,16 @@ def as_context(run: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each token of each text, and the number of tokens of each text."""
-    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buffer = (b" " + b" ".join(parts) + b" " * 9).translate(_BLANK)
+def text_bytes(texts: pa.Array) -> np.ndarray:
+    """How many bytes each text has; null has none."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+
+
+def hashes(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token of each text, and the number of tokens of each text; null reads as empty."""
+    parts = texts.cast(pa.binary()) if isinstance(texts, pa.Array) else pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary())
+    whole = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), pc.fill_null(parts, b""))
+    buffer = (b" " + pc.binary_join(whole, b" ")[0].as_py() + b" " * 9).translate(_BLANK)
     solid = np.frombuffer(buffer, np.uint8) != 32
     edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     starts, sizes = edge[::2], edge[1::2] - edge[::2]
@@ -85,7 +98,7 @@ def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         live = live[sizes[live] > done]
     for k in np.flatnonzero(sizes > _LONG).tolist():
         h[k] = xxhash.xxh64_intdigest(buffer[starts[k] : starts[k] + sizes[k]], 42)
-    ends = np.cumsum([len(p) + 1 for p in parts])
+    ends = np.cumsum(text_bytes(parts) + 1)
     upto = np.searchsorted(starts, ends)
     return np.insert(h, upto, END), np.diff(np.r_[0, upto]) + 1
 
@@ -109,43 +122,102 @@ def _rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns.values()], list(columns))
 
 
-def corpus_counts(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
-    """(key, n): counts of the tokens of the training texts."""
+# Tokens of training texts, made once for all passes over them
+
+
+def packed_tokens(h: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Tokens of texts as a block of bytes: each word is there once, and tokens are places among them."""
+    words, at = np.unique(h, return_inverse=True)
+    body = np.array([len(words), len(h), len(sizes)], "<u8").tobytes() + _near(words) + _wide(at) + _wide(sizes)
+    return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(body, 1)], pa.binary())], ["tokens"])
+
+
+def token_places(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted words, each token's place among them, how many tokens each text has) of a block."""
+    data = zstandard.decompress(block)
+    a, n, k = np.frombuffer(data[:24], "<u8").tolist()
+    ends = np.cumsum([24, 8 * a, 4 * n, 4 * k]).tolist()
+    words, at, sizes = (data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False))
+    return _apart(words), _narrow(at), _narrow(sizes).astype(np.int64)
+
+
+def token_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All tokens of the texts as blocks of bytes of about `FLUSH` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         some = 0
-        for batch in small(batches, text):
-            h, _ = hashes(texts_of(batch, text))
-            held.append(np.unique(h, return_counts=True))
-            some += len(held[-1][0])
+        for h, sizes in tokens(batches, text):
+            held.append((h, sizes))
+            some += len(h)
             if some > FLUSH:
-                key, n, _ = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, some = [(key, n)], len(key)
-                if some > FLUSH // 2:
-                    yield from _rows({"key": key.view(np.int64), "n": n})
-                    held, some = [], 0
+                yield packed_tokens(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, some = [], 0
+        if some:
+            yield packed_tokens(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return docs.select(text).mapInArrow(run, "tokens binary")
+
+
+def corpus_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """(key, n): counts of the tokens in blocks; a task deals its counts by key, packed, to the task that sums them."""
+    names = own_partitions(texts.sparkSession, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        some = 0
+
+        def dealt(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            ends = _parts(key, parts)
+            rows = [(names[k], zstandard.compress(_near(key[ends[k] : ends[k + 1]]) + _near(n[ends[k] : ends[k + 1]].view(np.uint64)), 1)) for k in np.flatnonzero(np.diff(ends)).tolist()]
+            place, block = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(block, pa.binary())], ["place", "block"])
+
+        for batch in batches:
+            for block in batch.column("tokens").to_pylist():
+                words, at, _ = token_places(block)
+                held.append((words, np.bincount(at, minlength=len(words))))
+                some += len(words)
+                if some > FLUSH:
+                    key, n, _ = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, some = [(key, n)], len(key)
+                    if some > FLUSH // 2:
+                        yield dealt(key, n)
+                        held, some = [], 0
+        if held:
+            key, n, _ = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield dealt(key, n)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for data in map(zstandard.decompress, batch.column("block").to_pylist()):
+                held.append((_apart(data[: len(data) // 2]), _apart(data[len(data) // 2 :]).view(np.int64)))
         if held:
             key, n, _ = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield from _rows({"key": key.view(np.int64), "n": n})
 
-    return docs.where(training).select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "place int, block binary").repartition(parts, "place").mapInArrow(merge, "key long, n long")
 
 
 # Filters
 
 
 def _at(key: np.ndarray, probe: int, size: int) -> np.ndarray:
-    return (key >> np.uint64(35 * probe) & np.uint64(size - 1)).astype(np.int64)
+    """The place of a key's bit: both bits are in one word of 64, which is looked up once."""
+    return ((key & np.uint64((size >> 6) - 1)) << np.uint64(6) | (key >> np.uint64(52 + 6 * probe)) & np.uint64(63)).astype(np.int64)
+
+
+def _marks(key: np.ndarray) -> np.ndarray:
+    """Both bits of each key in its word."""
+    one, low = np.uint64(1), np.uint64(63)
+    return one << (key >> np.uint64(52) & low) | one << (key >> np.uint64(58))
 
 
 def holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether keys may be among those of a filter."""
-    out = np.ones(len(key), bool)
-    for probe in range(2):
-        at = _at(key, probe, 8 * len(bits))
-        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return out
+    words, marks = bits.view("<u8"), _marks(key)
+    return words[(key & np.uint64(len(words) - 1)).view(np.int64)] & marks == marks
 
 
 def no_bits(n: int) -> np.ndarray:
@@ -154,13 +226,32 @@ def no_bits(n: int) -> np.ndarray:
 
 
 def bits_of(keys: DataFrame, out: np.ndarray) -> np.ndarray:
-    """The filter `out` with two bits for each of the column key."""
-    low = F.lit(8 * len(out) - 1)
-    probes = F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", 35).bitwiseAND(low))
-    x = keys.select(F.explode(probes).alias("x")).select((F.col("x") + 1).alias("x"))
-    found = x.groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toArrow()
-    for b, bits in zip(found.column("b").to_pylist(), found.column("bits").to_pylist(), strict=True):
-        out[(b - 1) << 12 : b << 12] |= np.frombuffer(bits, np.uint8)
+    """The filter `out` with two bits for each of the column key. A task marks what it reads in a filter of its own, of which
+    the pages that have bits are dealt and put together."""
+    size = len(out)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(size >> 3, "<u8")
+        for b in batches:
+            key = b.column("key").to_numpy().view(np.uint64)
+            np.bitwise_or.at(words, (key & np.uint64(len(words) - 1)).view(np.int64), _marks(key))
+        pages = words.reshape(-1, min(len(words), PAGE >> 3))
+        for k in np.flatnonzero(pages.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(pages[k].tobytes(), 1)], pa.binary())], ["page", "bits"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, bits in zip(b.column("page").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                pages[k] = pages[k] | unpacked(bits) if k in pages else unpacked(bits)
+        for k, bits in pages.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(bits)], pa.binary())], ["page", "bits"])
+
+    form = "page int, bits binary"
+    found = keys.select("key").mapInArrow(mark, form).repartition("page").mapInArrow(together, form).toArrow()
+    for k, bits in zip(found.column("page").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        page = unpacked(bits)
+        out[k * len(page) : (k + 1) * len(page)] |= page
     return out
 
 
@@ -221,11 +312,12 @@ def _decoded(places: bytes, others: bytes, known: np.ndarray) -> np.ndarray:
 
 def pack(context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray, known: np.ndarray, depth: int = 1) -> bytes:
     """Counts n of words after contexts of `depth` words as a block of bytes: each context and each word is there once, known words by their place."""
-    order = np.argsort(context)
-    context = context[order]
+    if (context[1:] < context[:-1]).any():
+        order = np.argsort(context)
+        context, suffix, word, n = context[order], suffix[order], word[order], n[order]
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-    words, at = np.unique(word[order], return_inverse=True)
-    body = [*_coded(context[first], known[: len(known) * (depth == 1)]), *_coded(suffix[order][first], known[: len(known) * (depth <= 2)]), *_coded(words, known), _wide(np.diff(np.r_[first, len(order)])), _wide(at), _wide(n[order])]
+    words, at = np.unique(word, return_inverse=True)
+    body = [*_coded(context[first], known[: len(known) * (depth == 1)]), *_coded(suffix[first], known[: len(known) * (depth <= 2)]), *_coded(words, known), _wide(np.diff(np.r_[first, len(context)])), _wide(at), _wide(n)]
     return zstandard.compress(np.array([len(x) for x in body], "<u8").tobytes() + b"".join(body), 1)
 
 
@@ -242,27 +334,60 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
     """(run, context, suffix, n) of runs met twice or more whose context has `depth` words and may be retained, and under
     a null run the tokens after each such context; contexts that are dealt by next word are there in parts. After a context
     of two words come as many tokens as it was met as a run, so of these there are only runs that may be met twice."""
-    keys = own_partitions(docs.sparkSession, parts)
+    keys, whole = own_partitions(docs.sparkSession, parts), "tokens" in docs.columns
+    bounds = np.array([(k << 64) // parts for k in range(parts)], np.uint64) & ~LOW
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, bits, met = (unpacked(x) for x in given.value[:3])
         frequent, known = given.value[3:]
         held: list[list[np.ndarray]] = []
 
-        def blocks_of() -> Iterator[pa.RecordBatch]:
-            context, word, part, suffix = (_taken(held, k) for k in range(4))
-            held.clear()
-            run, n, at = summed(longer(word, context), np.ones(len(word), np.uint32))
-            context, word, part = context[at], word[at], part[at]
-            suffix = suffix[at] if depth > 1 else context
-            place = ((mixed(np.where(part, run, context)) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 15 else np.int64) * 2 + part
-            order = np.argsort(place, kind="stable")
-            ends = np.searchsorted(place[order], np.arange(2 * parts + 1))
+        def deal(part: bool, near: np.ndarray, context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ends = np.r_[np.searchsorted(near, bounds), len(near)]
             for k in np.flatnonzero(np.diff(ends)).tolist():
-                rows = order[ends[k] : ends[k + 1]]
-                block = pack(context[rows], suffix[rows], word[rows], n[rows], known, depth)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k // 2]], pa.int32()), pa.array([bool(k % 2)]), pa.array([block], pa.binary())], ["place", "part", "block"])
+                of = slice(ends[k], ends[k + 1])
+                block = pack(context[of], suffix[of], word[of], n[of], known, depth)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k]], pa.int32()), pa.array([part]), pa.array([block], pa.binary())], ["place", "part", "block"])
 
+        def blocks_of() -> Iterator[pa.RecordBatch]:
+            context, word, dealt, suffix = (_taken(held, k) for k in range(4))
+            held.clear()
+            run = longer(word, context)
+            for part, rows in ((False, np.flatnonzero(~dealt)), (True, np.flatnonzero(dealt))):
+                # One order for places, contexts and runs; a run that it should leave in two pieces is put together by merge().
+                near = run[rows] if part else context[rows] & ~LOW | run[rows] & LOW
+                order = np.argsort(near)
+                near, rows = near[order], rows[order]
+                first = np.flatnonzero(np.r_[True, run[rows[1:]] != run[rows[:-1]]]) if len(rows) else rows
+                n = np.diff(np.r_[first, len(rows)])
+                rows = rows[first]
+                yield from deal(part, near[first], context[rows], suffix[rows] if depth > 1 else context[rows], word[rows], n)
+
+        def pairs_of(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What blocks_of() yields at depth 1, of a block of tokens: two places are one number, sorted as the words are."""
+            later = np.ones(len(at), bool)
+            later[np.cumsum(sizes) - sizes] = False
+            i = np.flatnonzero(later)
+            i = i[holds(common, words)[at[i - 1]]]
+            pair = at[i - 1].astype(np.uint64) << np.uint64(32) | at[i]
+            pair.sort()
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else i
+            n, pair = np.diff(np.r_[first, len(pair)]), pair[first]
+            before, after = (pair >> np.uint64(32)).view(np.int64), (pair & np.uint64((1 << 32) - 1)).view(np.int64)
+            dealt = np.isin(words, frequent)[before]
+            context, word = words[before], words[after]
+            yield from deal(False, context[~dealt], context[~dealt], context[~dealt], word[~dealt], n[~dealt])
+            context, word, n = context[dealt], word[dealt], n[dealt]
+            run = longer(word, context)
+            order = np.argsort(run)
+            context = context[order]
+            yield from deal(True, run[order], context, context, word[order], n[order])
+
+        if depth == 1 and whole:
+            for batch in batches:
+                for block in batch.column("tokens").to_pylist():
+                    yield from pairs_of(*token_places(block))
+            return
         some = 0
         for h, sizes in tokens(batches, text):
             # A context of two words is no more frequent than its words as a run of the level before.
@@ -298,13 +423,18 @@ def level_counts(docs: DataFrame, depth: int, given, parts: int, text: str = "te
             context, suffix, word, n = (np.concatenate(x) for x in zip(*some, strict=True))
             run, n, at = summed(longer(word, context), n)
             context, suffix, word = context[at], suffix[at], word[at]
-            total, a, _ = summed(context, n)
             twice = (n >= 2) & (word != OTHER)
             if depth == 2:
-                total = total[:0]
-            elif not part:  # of these contexts all is here
-                total, a = total[a >= LEAST], a[a >= LEAST]
-                twice &= np.isin(context, total)
+                total, a = context[:0], n[:0]
+            else:
+                order = np.argsort(context)
+                run, context, suffix, word, n, twice = (x[order] for x in (run, context, suffix, word, n, twice))
+                first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+                total, a = context[first], np.add.reduceat(n, first)
+                if not part:  # of these contexts all is here
+                    enough = a >= LEAST
+                    twice &= np.repeat(enough, np.diff(np.r_[first, len(n)]))
+                    total, a = total[enough], a[enough]
             before = word if depth == 1 else longer(word, suffix)
             columns = (run[twice], context[twice], before[twice])
             yield from _rows(dict(zip(("run", "context", "suffix"), (c.view(np.int64) for c in columns), strict=True)) | {"n": n[twice]})
@@ -322,15 +452,14 @@ def tokens(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
     for batch in batches:
         if "tokens" in batch.schema.names:
             for block in batch.column("tokens").to_pylist():
-                data = zstandard.decompress(block)
-                a, n, k = np.frombuffer(data[:24], "<u8").tolist()
-                ends = np.cumsum([24, 8 * a, 4 * n, 4 * k]).tolist()
-                words, at, sizes = (data[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False))
-                yield _apart(words)[_narrow(at)], _narrow(sizes).astype(np.int64)
+                words, at, sizes = token_places(block)
+                ends = np.r_[0, np.cumsum(sizes)]
+                for lo, hi in blocks(sizes.tolist(), BLOCK_TOKENS):
+                    yield words[at[ends[lo] : ends[hi]]], sizes[lo:hi]
             continue
         for part in small(iter([batch]), text):
-            body = texts_of(part, text)
-            for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
+            body = part.column(text)
+            for lo, hi in blocks(text_bytes(body).tolist(), BLOCK_BYTES):
                 yield hashes(body[lo:hi])
 
 
@@ -352,9 +481,7 @@ def going_on(docs: DataFrame, given, depth: int, deepest: int, text: str = "text
         def block() -> pa.RecordBatch:
             h, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            words, at = np.unique(h, return_inverse=True)
-            body = np.array([len(words), len(h), len(sizes)], "<u8").tobytes() + _near(words) + _wide(at) + _wide(sizes)
-            return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(body, 1)], pa.binary())], ["tokens"])
+            return packed_tokens(h, sizes)
 
         some = 0
         for h, sizes in tokens(batches, text):
@@ -378,12 +505,12 @@ def going_on(docs: DataFrame, given, depth: int, deepest: int, text: str = "text
     return docs.mapInArrow(run, "tokens binary")
 
 
-def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str = "text") -> tuple[list[DataFrame], np.ndarray]:
+def grow(texts: DataFrame, words: DataFrame, n: int) -> tuple[list[DataFrame], np.ndarray]:
     """(key, value, n) of the retained contexts and of the runs met in them, level by level, and a filter of the keys.
 
-    words: (key, p, n), the words' shares and counts; n: the number of tokens. Values are log10: of a context, the share
+    texts: blocks of tokens, a table cut before, which is dropped; words: (key, p, n), the words' shares and counts; n: the number of tokens. Values are log10: of a context, the share
     that it leaves to its suffix; of a run, its probability over the suffix's, less the value of its context."""
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // DEAL + 1)
     often = words.where((F.col("n") >= LEAST) & (F.col("key") != int(END.view(np.int64))))
     common = bits_of(often, no_bits(often.count()))
@@ -391,11 +518,11 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
     frequent = words.where(F.col("n") > n // (4 * parts)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
     known = hot_rows(words, "p", CODED)[0]
     before, out, depth, deepest = words.select("key", "p"), [], 1, int(np.log(max(n, 2)) / np.log(LEAST))
-    texts, size = docs.where(training).select(text), n
+    size = n
     c, least = F.col("n"), F.col("seen") + F.col("m")
     while True:
         given = spark.sparkContext.broadcast((packed(common), packed(bits), packed(met_bits), frequent, known))
-        raw = cut(level_counts(texts, depth, given, parts, text))
+        raw = cut(level_counts(texts, depth, given, parts))
         given.destroy()
         if depth == 1:
             pairs = cut(raw.where(F.col("run").isNotNull() & (c >= LEAST)).select(F.col("run").alias("context"), c.alias("a")))
@@ -423,9 +550,8 @@ def grow(docs: DataFrame, training: Column, words: DataFrame, n: int, text: str
             break
         before, depth = runs.select("key", "p"), depth + 1
         if held * THIN < size:  # few tokens go deeper
-            texts, size = cut(going_on(texts, spark.sparkContext.broadcast(packed(bits)), depth, deepest, text), *([texts] if size < n else [])), held * THIN // 4
-    if size < n:
-        drop(texts)
+            texts, size = cut(going_on(texts, spark.sparkContext.broadcast(packed(bits)), depth, deepest), texts), held * THIN // 4
+    drop(texts)
     if depth == 1:
         drop(pairs)
     return out, bits
@@ -469,31 +595,37 @@ class Table:
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
         self.bits = max(4, (2 * len(key)).bit_length())
-        self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
-        self.full = np.zeros(1 << self.bits, bool)
+        # A key and its number are one item, so that one look finds both; a number that is none marks a free place.
+        self.slots = np.full(1 << self.bits, complex(0, np.nan))
+        own = np.ascontiguousarray(np.stack([key.view(np.float64), value.astype(np.float64)], 1)).view(np.complex128).reshape(-1)
         left, at = np.arange(len(key)), self._first(key)
         while len(left):
-            free = np.flatnonzero(~self.full[at])
+            free = np.flatnonzero(np.isnan(self.slots[at].imag))
             _, one = np.unique(at[free], return_index=True)
             put = free[one]
-            self.key[at[put]], self.value[at[put]], self.full[at[put]] = key[left[put]], value[left[put]], True
+            self.slots[at[put]] = own[left[put]]
             rest = np.ones(len(left), bool)
             rest[put] = False
             left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
 
     def _first(self, key: np.ndarray) -> np.ndarray:
-        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each key (0 where there is none), and whether it is there."""
-        value, there = np.zeros(len(key)), np.zeros(len(key), bool)
-        left, at = np.arange(len(key)), self._first(key)
+        at = self._first(key)
+        got = self.slots[at].view(np.float64).reshape(-1, 2)
+        free = np.isnan(got[:, 1])
+        there = (got.view(np.uint64)[:, 0] == key) & ~free
+        value = np.where(there, got[:, 1], 0.0)
+        left = np.flatnonzero(~(there | free))
         while len(left):
-            full = self.full[at]
-            hit = full & (self.key[at] == key[left])
-            value[left[hit]], there[left[hit]] = self.value[at[hit]], True
-            on = full & ~hit
-            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            got = self.slots[at[left]].view(np.float64).reshape(-1, 2)
+            free = np.isnan(got[:, 1])
+            hit = (got.view(np.uint64)[:, 0] == key[left]) & ~free
+            value[left[hit]], there[left[hit]] = got[hit, 1], True
+            left = left[~(hit | free)]
         return value, there
 
 
@@ -647,25 +779,36 @@ def _found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == key
 
 
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, BATCH_BYTES)  # texts take less memory beside what a task holds
-    try:
+    with _set(docs.sparkSession, SETTINGS):
         return _scored(docs, training, doc_id, text)
-    finally:
-        spark.conf.set(_BATCH, before)
 
 
 def _scored(docs: DataFrame, training: Column, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
-    counts = cut(corpus_counts(docs, training, text))
+    with _set(spark, {"spark.sql.files.maxRecordsPerFile": "8"}):  # what reads blocks may hold those of a file at once
+        texts = cut(token_blocks(docs.where(training), text))
+    counts = cut(corpus_counts(texts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() * FLUSH // DEAL + 1)))
     v, n, once = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
     # For all unknown words as many tokens as there are words met once.
     unknown = float(max(once, 1))
     whole = n + SHARE * v + unknown
-    tree, bits = grow(docs, training, counts.select("key", ((F.col("n") + SHARE) / F.lit(whole)).alias("p"), "n"), n, text) if n else ([], no_bits(0))
+    tree, bits = grow(texts, counts.select("key", ((F.col("n") + SHARE) / F.lit(whole)).alias("p"), "n"), n) if n else ([], no_bits(0))
+    if not n:
+        drop(texts)
     words, times, least_word = hot_rows(counts, "n", HOT)
     keys, values, least_run = hot_rows(_union(tree), "value", HOT_RUNS) if tree else (np.zeros(0, np.uint64), np.zeros(0), 0)
     given = spark.sparkContext.broadcast((packed(bits), words, times, Table(keys, values)))
@@ -684,15 +827,19 @@ def _scored(docs: DataFrame, training: Column, doc_id: str, text: str) -> DataFr
         def place_blocks() -> pa.RecordBatch:
             key, row = (_taken(held, k) for k in range(2))
             held.clear()
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
+            order = np.argsort(key)
+            key = key[order]
+            # Rows go in order within a key: both as one number, the key's by its place.
+            both = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.uint64) << np.uint64(32) | row[order]
+            both.sort()
+            row = both.astype(np.uint32)
             ends = _parts(key, parts)
             return _block_rows([(names[k], 1, pack_places(key[ends[k] : ends[k + 1]], row[ends[k] : ends[k + 1]] + np.int64(task << 33))) for k in np.flatnonzero(np.diff(ends)).tolist()])
 
         some = 0
         for batch in small(batches, text):
-            body = texts_of(batch, text)
-            for lo, hi in blocks([len(t) for t in body], BLOCK_CHARS):
+            body = batch.column(text)
+            for lo, hi in blocks(text_bytes(body).tolist(), BLOCK_BYTES):
                 h, sizes = hashes(body[lo:hi])
                 rows, place = len(sizes), places(sizes)
                 doc = np.repeat(np.arange(rows), sizes)

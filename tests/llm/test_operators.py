@@ -836,6 +836,40 @@ def test_tokens_that_go_on_are_counted_as_whole_texts_are(spark):
     assert sum(r[3] for r in whole) == sum(len(re.findall("(?<=. b )c", t)) for t in texts)
 
 
+def test_a_text_is_read_once_for_all_levels(spark):
+    df = spark.createDataFrame([("a b A  é" * k,) for k in range(1, 400)] + [(None,), ("",)], "text string")
+    blocks = suffix_tree.token_blocks(df)
+    assert blocks.columns == ["tokens"]
+    whole, part = (sorted(sum((h.tolist() for h, _ in suffix_tree.tokens(iter(x.toArrow().to_batches()))), [])) for x in (df, blocks))
+    assert whole == part and len(whole) == sum(3 * k + 2 for k in range(1, 400)) + 2
+    counts = {r.key: r.n for r in suffix_tree.corpus_counts(blocks, 3).collect()}
+    assert counts == Counter(np.array(whole, np.uint64).view(np.int64).tolist())
+
+
+def test_pairs_of_blocks_are_counted_as_those_of_texts(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(" ".join(rng.choice(list("abcdefghijklmnopqrst"), 40)),) for _ in range(300)] + [("a b",), (None,)], "text string")
+    words = suffix_tree.hashes(["a b c d e"])[0][:5]
+    common, bits = suffix_tree.no_bits(0), suffix_tree.no_bits(0)
+    for k in range(2):  # b and c are not among the common words
+        at = suffix_tree._at(words[[0, 3, 4]], k, 8 * len(common))
+        np.bitwise_or.at(common, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    for frequent in (words[:0], words[:1]):  # the counts after a frequent word are dealt by next word too
+        given_ = spark.sparkContext.broadcast((*map(suffix_tree.packed, (common, bits, bits)), frequent, words[2:3]))
+        texts, blocks = (sorted(map(str, suffix_tree.level_counts(x, 1, given_, 3).groupBy("run", "context", "suffix").agg(F.sum("n")).collect())) for x in (df, suffix_tree.token_blocks(df)))
+        assert texts == blocks and len(texts) > 50
+
+
+def test_both_bits_of_a_key_are_in_one_word(spark):
+    key = np.random.default_rng(9).integers(0, 1 << 64, 30_000, np.uint64)
+    df = spark.createDataFrame([(k,) for k in key[:20_000].view(np.int64).tolist()], "key long")
+    bits = suffix_tree.bits_of(df, suffix_tree.no_bits(20_000))
+    one, other = (suffix_tree._at(key, k, 8 * len(bits)) for k in range(2))
+    assert (one >> 6 == other >> 6).all()
+    assert (suffix_tree.holds(bits, key) == (bits[one >> 3] >> (one & 7) & bits[other >> 3] >> (other & 7) & 1).astype(bool)).all()
+    assert suffix_tree.holds(bits, key[:20_000]).all() and suffix_tree.holds(bits, key[20_000:]).mean() < 0.03
+
+
 def test_parts_are_ranges_of_keys():
     key = np.sort(np.random.default_rng(4).integers(0, 1 << 64, 5000, np.uint64))
     for parts in (1, 3, 64):
