@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from talweg.functions import coords
 
 CELL = 8.0
+#: Rows among which equal shapes are put together; no list of keys is longer.
+TOGETHER = 1 << 14
+#: Pairs of rows in a cell that one task is to work through.
+PAIRS_A_TASK = 1 << 22
 
 
 def _dealt(df: DataFrame, box: str, cell: float) -> DataFrame:
@@ -30,6 +34,32 @@ def box_join(left: DataFrame, right: DataFrame, a: str, b: str, strict: bool = F
     return met.where((corner("min_x") == F.col("__x")) & (corner("min_y") == F.col("__y")) & test(F.col(a), F.col(b))).drop("__x", "__y")
 
 
+def together(df: DataFrame, shape: str, key: str) -> DataFrame:
+    """(shape, __some, key): the keys of equal shapes as lists, among every TOGETHER rows."""
+    some = df.withColumn("__some", F.shiftright(F.monotonically_increasing_id(), TOGETHER.bit_length() - 1))
+    return some.groupBy(shape, "__some").agg(F.collect_list(key).alias(key))
+
+
+def point_join(points: DataFrame, shapes: DataFrame, point: str, box: str, a: str, b: str, inside: Column, cell: float = CELL) -> DataFrame:
+    """(a, b): keys of the points, as boxes without an area, and of the shapes, whose boxes hold them, for which `inside` holds.
+
+    Equal points and equal boxes are tested once for every two lists of their keys. A cell with more pairs than
+    PAIRS_A_TASK is dealt to several tasks: its lists of points once, its shapes to each."""
+    at = ["__x", "__y"]
+    count = lambda df, shape, n: _dealt(df.select(shape), shape, cell).groupBy(*at).agg(F.count("*").alias(n))
+    work = count(points, point, "n").join(count(shapes, box, "m"), at).select(*at, F.ceil(F.col("n") * F.col("m") / PAIRS_A_TASK).alias("__of"))
+    parts = work.agg(F.sum("__of")).first()[0] or 1
+    crowded = F.broadcast(work.where("__of > 1"))  # at most as many as the tasks
+    shares = lambda df: df.join(crowded, at, "left").withColumn("__of", F.coalesce("__of", F.lit(1)))
+    left = shares(_dealt(together(points, point, a), point, cell)).withColumn("__part", F.pmod(F.xxhash64(point, "__some"), F.col("__of"))).drop("__of", "__some")
+    right = shares(_dealt(together(shapes, box, b), box, cell)).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__of") - 1))).drop("__of", "__some")
+    by = [*at, "__part"]
+    # AQE would put all of the short inputs into one task, which then makes all rows.
+    parts = min(parts, 1 << 14)
+    met = left.repartition(parts, *by).hint("shuffle_hash").join(right.repartition(parts, *by), by).where(coords.intersects(F.col(point), F.col(box)) & inside)
+    return met.select(F.explode(a).alias(a), b).select(a, F.explode(b).alias(b))
+
+
 def box_semi_join(left: DataFrame, right: DataFrame, a: str, b: str, key: str, strict: bool = False) -> DataFrame:
     """Rows of left whose box meets any of right; `key` identifies a row of left."""
     hits = box_join(left.select(key, a), right.select(b), a, b, strict).select(key).distinct()

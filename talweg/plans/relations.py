@@ -247,11 +247,12 @@ def footprint(spark, sf_dir):
 
 @query(f"with {_CB} select c.k as customer, s.k as supplier from cb c join sb s on s.x0 < (c.x0 + c.x1) / 2 + 0.25 and (c.x0 + c.x1) / 2 + 0.25 < s.x1 and s.y0 < (c.y0 + c.y1) / 2 + 0.25 and (c.y0 + c.y1) / 2 + 0.25 < s.y1")
 def point_in_ring(spark, sf_dir):
-    """Centres (moved a quarter) inside rings, by ray crossings behind a box join."""
+    """Centres (moved a quarter) inside rings, by ray crossings behind a join on cells, once for equal centres and boxes."""
     c, s = _cb(spark, sf_dir)
-    b = F.col("b")
+    b, p = F.col("b"), F.col("p")
     x, y = (b["min_x"] + b["max_x"]) / 2 + 0.25, (b["min_y"] + b["max_y"]) / 2 + 0.25
-    return spatial.box_join(c, s, "b", "sb").where(coords.inside_ring(x, y, coords.ring(F.col("sb")))).select("customer", "supplier")
+    centres = c.select("customer", F.struct(x.alias("min_x"), y.alias("min_y"), x.alias("max_x"), y.alias("max_y")).alias("p"))
+    return spatial.point_join(centres, s, "p", "sb", "customer", "supplier", coords.inside_ring(p["min_x"], p["min_y"], coords.ring(F.col("sb"))))
 
 
 @query(f"with {_LL} select c_custkey, round(radians(lon) * 6378137.0, 3) as x, round(ln(tan(radians(lat) / 2 + 0.7853981633974483::double)) * 6378137.0, 3) as y from ll")

@@ -150,3 +150,28 @@ def test_point_in_ring_as_the_first_query_of_a_session(sf_dir):
     env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")} | {"PYTHONPATH": root}
     done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_point_in_ring_tests_equal_shapes_once(spark, tmp_path, monkeypatch):
+    from talweg.functions import coords
+    from talweg.operators import spatial
+    from talweg.plans import QUERIES
+
+    tests, inside_ring = spark.sparkContext.accumulator(0), coords.inside_ring
+
+    @F.udf("boolean")
+    def counted(inside):
+        tests.add(1)
+        return inside
+
+    monkeypatch.setattr(coords, "inside_ring", lambda *a: counted(inside_ring(*a)))
+    # Small enough that a cell is dealt to several tasks, and a shape to several lists.
+    monkeypatch.setattr(spatial, "PAIRS_A_TASK", 1 << 12)
+    monkeypatch.setattr(spatial, "TOGETHER", 1 << 6)
+    spark.range(0, 30_000, 100).toDF("c_custkey").union(spark.range(50, 60).toDF("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 20_000, 100).toDF("s_suppkey").union(spark.range(50, 60).toDF("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = [tuple(r) for r in QUERIES["point_in_ring"](spark, str(tmp_path)).collect()]
+    # The boxes of 0, 100 and so on are one, and share no area with those of 50 to 59.
+    assert len(rows) == len(set(rows)) == 300 * 200 + 10
+    assert {r for r in rows if r[0] % 100 == 0} == {(c, s) for c in range(0, 30_000, 100) for s in range(0, 20_000, 100)}
+    assert 0 < tests.value < 1000
