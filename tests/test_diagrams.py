@@ -249,3 +249,36 @@ def test_image_mass_equals_the_integral(spark):
             x, y, p = lo + px * pixel, py * pixel, d - b
             expect += p * (phi((x + pixel - b) / pixel) - phi((x - b) / pixel)) * (phi((y + pixel - p) / pixel) - phi((y - p) / pixel))
         assert math.isclose(value, expect, abs_tol=1e-12)
+
+
+def test_sliced_distances_leave_out_points_of_both(monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def some(n, most, whole):
+        sizes = rng.integers(0, most, n)
+        births = rng.integers(2, 6, sizes.sum()) if whole else rng.random(sizes.sum())
+        deaths = births + (rng.integers(0, 9, sizes.sum()) if whole else rng.random(sizes.sum()))
+        return np.c_[births, np.where(rng.random(len(births)) < 0.6, np.nan, deaths)].astype(float).reshape(-1), sizes * 2
+
+    def plain(p, q):
+        ends = [v[~np.isnan(v[:, 1]), 1].max(initial=-np.inf) for v in (p, q)]
+        cap = 1.5 * max(ends) if np.isfinite(max(ends)) else 1.0
+        p, q = (np.c_[v[:, 0], np.where(np.isnan(v[:, 1]), cap, v[:, 1])] for v in (p, q))
+        total = 0.0
+        for t in -np.pi / 2 + np.arange(50) * np.pi / 50:
+            line, flat = (lambda v: v @ [np.cos(t), np.sin(t)]), (lambda v: v.sum(1) / 2 * (np.cos(t) + np.sin(t)))  # noqa: B023
+            total += np.abs(np.sort(np.r_[line(p), flat(q)]) - np.sort(np.r_[line(q), flat(p)])).sum()
+        return total / 50
+
+    sorted_, transported = [], twosample._transported
+    monkeypatch.setattr(twosample, "_transported", lambda *a: sorted_.append(a[0].size) or transported(*a))
+    for most, whole, at_once in ((14, True, 1 << 19), (14, True, 100), (14, False, 1 << 19), (60, False, 1 << 19), (60, True, 1 << 19)):
+        monkeypatch.setattr(twosample, "_POINTS_AT_ONCE", at_once)
+        a, b = some(12, most, whole), some(9, most, whole)
+        sorted_.clear()
+        found = twosample._sliced(a, b)
+        single = lambda d: np.split(d[0].reshape(-1, 2), np.cumsum(d[1] // 2)[:-1])
+        assert np.allclose(found, [[plain(p, q) for q in single(b)] for p in single(a)], rtol=1e-12, atol=1e-12)
+        points = (a[1].sum() // 2) * 9 + (b[1].sum() // 2) * 12
+        assert sum(sorted_) < 0.75 * points if whole else sum(sorted_) == points
+        assert not np.diag(twosample._sliced(a, a)).any()
