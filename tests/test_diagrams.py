@@ -280,5 +280,6 @@ def test_sliced_distances_leave_out_points_of_both(monkeypatch):
         single = lambda d: np.split(d[0].reshape(-1, 2), np.cumsum(d[1] // 2)[:-1])
         assert np.allclose(found, [[plain(p, q) for q in single(b)] for p in single(a)], rtol=1e-12, atol=1e-12)
         points = (a[1].sum() // 2) * 9 + (b[1].sum() // 2) * 12
-        assert sum(sorted_) < 0.75 * points if whole else sum(sorted_) == points
+        # Large diagrams are compared one by one.
+        assert sum(sorted_) == 0 if most == 60 else sum(sorted_) < 0.75 * points if whole else sum(sorted_) == points
         assert not np.diag(twosample._sliced(a, a)).any()
